@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from strataline.llm.decontaminate import op4_decontaminate
+from strataline.llm.packing import op10_sum_of_squares_packing
 from strataline.llm.quality import op1_quality_fm
 from strataline.llm.simhash import op6_simhash
+from strataline.llm.tokenbin import op9_token_segments
 
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
+    "op4_decontaminate": op4_decontaminate,
     "op6_simhash": op6_simhash,
+    "op9_token_segments": op9_token_segments,
+    "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
