@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataline.runtime import ship
+
 _OWN_DIR: dict[str, str] = {}
 
 
@@ -49,7 +51,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of texts holds, in rows and in bytes."""
+    """Bound what one Arrow batch of texts holds, in rows and in bytes; every step that runs Python starts here."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

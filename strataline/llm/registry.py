@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strataline.llm.brown import op2_brown_lm
 from strataline.llm.decontaminate import op4_decontaminate
 from strataline.llm.packing import op10_sum_of_squares_packing
 from strataline.llm.quality import op1_quality_fm
@@ -9,6 +10,7 @@ from strataline.llm.simhash import op6_simhash
 from strataline.llm.tokenbin import op9_token_segments
 
 QUERIES = {
+    "op2_brown_lm": op2_brown_lm,
     "op1_quality_fm": op1_quality_fm,
     "op4_decontaminate": op4_decontaminate,
     "op6_simhash": op6_simhash,

@@ -105,7 +105,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         bases.append((r.part, base))
         base += r.n
     of_part = spark.createDataFrame(bases, "part int, part_base long")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    small_batches(spark, 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
