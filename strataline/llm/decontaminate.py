@@ -120,3 +120,13 @@ def matched(rows: DataFrame, benchmark: DataFrame, window: int = 10, shingle: in
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
+    """The rows of docs, all columns, that hold no window of the benchmark."""
+    row = "sl_row"
+    while row in (c.lower() for c in docs.columns):
+        row += "_"
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decon-rows")
+    hits = materialize(matched(rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")), benchmark, window, shingle).select(F.col("row").alias(row)), "decon-drop")
+    return rows.join(hits, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

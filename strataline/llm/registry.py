@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from strataline.llm.brown import op2_brown_lm
 from strataline.llm.decontaminate import op4_decontaminate
+from strataline.llm.langid import op7_langid
 from strataline.llm.packing import op10_sum_of_squares_packing
+from strataline.llm.pii import op8_pii_feistel
 from strataline.llm.quality import op1_quality_fm
 from strataline.llm.simhash import op6_simhash
 from strataline.llm.tokenbin import op9_token_segments
+from strataline.llm.topk import OP3_SQL, op3_topk
+from strataline.llm.toxicity import op5_toxicity_chain
 
 QUERIES = {
-    "op2_brown_lm": op2_brown_lm,
     "op1_quality_fm": op1_quality_fm,
+    "op2_brown_lm": op2_brown_lm,
+    "op3_topk": op3_topk,
     "op4_decontaminate": op4_decontaminate,
+    "op5_toxicity_chain": op5_toxicity_chain,
     "op6_simhash": op6_simhash,
+    "op7_langid": op7_langid,
+    "op8_pii_feistel": op8_pii_feistel,
     "op9_token_segments": op9_token_segments,
     "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL}
