@@ -1,17 +1,30 @@
 """Token ids of whole texts through the tokenizers library, fast on repeated words.
 
-The two vocabularies used here cut a text before every single space whatever stands around it, so a text is the
-sequence of its space-led pieces and each distinct piece is encoded once and remembered (up to a bound). A text with
-two spaces in a row, or one that another vocabulary might treat otherwise, is encoded whole.
+A text is cut where the vocabulary's own rules cut it whatever stands around, each distinct piece is encoded by the
+library once, and ids are remembered up to a bound. Two manners of cutting are known, and which one holds is probed:
+
+* `blind`: case and white space don't matter; cuts at white space and before punctuation.
+* `exact`: byte-level, a word takes the one space before it; cuts before spaces, around line feeds, and before
+  punctuation that follows a letter or digit.
+
+Texts with anything that could make a cut matter (characters outside Latin-1, unusual or repeated white space, special
+tokens' brackets), and vocabularies that fail the probes, are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
-ROOM = 300_000  # pieces remembered by a Python worker
-_ENCODERS: dict[tuple[str, int], "Encoder"] = {}
+import numpy as np
+
+ROOM = 600_000  # pieces remembered by a Python worker
+_ODD = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0]")
+_PUNCTUATION = re.compile(r"(?:[^\w\s]|_)+")
+_PUNCTUATION_AFTER = re.compile(r"(?<=[^\W_])(?:[^\w\s]|_)+")
+_PROBES = ("a b", "A.\nB c", "l'a 12 3", "It's, it'll.'s", "É$a% &b", "' s 't", "a_.b __c", "x2y.. (z)", "don't!!\nno")
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
 def vocabulary_path(name: str) -> str:
@@ -20,6 +33,23 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def plain(text: str) -> bool:
+    """Whether a cut can't matter."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not (_ODD.search(text) or "<|" in text or "  " in text or "\n\n" in text or " \n " in text or "\n \n" in text)
+
+
+def cut_exact(text: str) -> list[str]:
+    return _PUNCTUATION_AFTER.sub("\0\\g<0>", text.replace("\n", "\0\n\0").replace(" ", "\0 ")).split("\0")
+
+
+def cut_blind(text: str) -> list[str]:
+    return _PUNCTUATION.sub(r" \g<0>", text.lower()).split()
+
+
 class Encoder:
     """Texts to packed ids: `width` 2 or 4 bytes each, little-endian."""
 
@@ -27,39 +57,36 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.code, self.known = Tokenizer.from_file(path), "H" if width == 2 else "I", {}
+        self.tokenizer, self.code, self.known = Tokenizer.from_file(path), "H" if width == 2 else "I", {"": b""}
         if width == 2 and self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("two bytes can't hold these ids")
-        self.by_pieces = self._cuts_at_spaces()
-        #: A separator that is a token of its own between pieces, so that one call encodes many pieces.
-        self.separator = next((s for s in ("\n", " \x01") if self._separates(s)), None)
+        self.cut = next((c for c in (cut_blind, cut_exact) if all(self._ids(p) == [i for x in c(p) for i in self._ids(x)] for p in _PROBES)), None)
+        #: A token of its own between pieces, so that one call encodes many.
+        self.separator = next((s for s in ("\n", " \x01 ") if self.cut and self._separates(s)), None)
         self.mark = self._ids(self.separator)[0] if self.separator else -1
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _cuts_at_spaces(self) -> bool:
-        probes = ["a b", "a.\nB c", "l'a 12 3", "a\n b", "é\t b", "a \nb", "$a% &b", "' s 't", "<|endoftext|> a", "x\r\n y\x0b z "]
-        return all(self._ids(p) == [i for piece in cut(p) for i in self._ids(piece)] for p in probes)
-
     def _separates(self, s: str) -> bool:
-        probes = [" ab", " a.", " 12$", " É,", " .", " 't"]
-        return len(self._ids(s)) == 1 and self._ids(s.join(probes)) == [i for k, p in enumerate(probes) for i in (self._ids(s) if k else []) + self._ids(p)]
+        probes = ["ab", "a", "12", ".", "!!", "'t", *([" É", " $", " 's"] if self.cut is cut_exact else [])]
+        joined = [i for k, p in enumerate(probes) for i in (self._ids(s) if k else []) + self._ids(p)]
+        return len(self._ids(s)) == 1 and self._ids(s.join(probes)) == joined
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Packed ids of new pieces."""
         out: dict[str, bytes] = {}
-        joined = [p for p in pieces if p[:1] == " " and p[1:].isprintable() and len(p) > 1 and "<|" not in p and len(p) < 64] if self.separator else []
-        for at in range(0, len(joined), 512):
-            part = joined[at : at + 512]
-            groups: list[list[int]] = [[]]
-            for i in self._ids(self.separator.join(part)):
-                if i == self.mark:
-                    groups.append([])
-                else:
-                    groups[-1].append(i)
-            if len(groups) == len(part):
-                out.update((p, array(self.code, g).tobytes()) for p, g in zip(part, groups))
+        joined = [p for p in pieces if len(p) < 64 and p.isprintable() and not p.isspace()] if self.separator else []
+        parts = [joined[at : at + 256] for at in range(0, len(joined), 256)]
+        kind = np.uint16 if self.code == "H" else np.uint32
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([self.separator.join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, kind)
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) != len(part) - 1:
+                continue  # the separator's id within a piece
+            raw, size = ids.tobytes(), ids.itemsize
+            bounds = [-size, *(ends * size).tolist(), len(raw)]
+            out.update((p, raw[x + size : y]) for p, x, y in zip(part, bounds, bounds[1:]))
         rest = [p for p in pieces if p not in out]
         for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             out[p] = array(self.code, e.ids).tobytes()
@@ -67,50 +94,24 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; a null text has none."""
-        out: list[bytes | None] = [None] * len(texts)
-        whole, parts = [], []
+        out, parts = [b""] * len(texts), []
         for k, t in enumerate(texts):
-            if not t:
-                out[k] = b""
-            elif self.by_pieces and "  " not in t:
-                parts.append((k, cut(t)))
-            else:
-                whole.append(k)
-        for k in whole:
-            out[k] = array(self.code, self.tokenizer.encode_batch_fast([texts[k]], add_special_tokens=False)[0].ids).tobytes()
-        new = set().union(*(p for _, p in parts)).difference(self.known) if parts else ()
-        table = self.known
-        if new:
-            learned = self._learn(sorted(new))
-            if len(self.known) + len(learned) <= ROOM:
-                self.known.update(learned)
-            else:
-                room = max(0, ROOM - len(self.known))
-                table = Both(self.known, learned)
-                self.known.update(list(learned.items())[:room])
-        get = table.__getitem__
+            if t and self.cut and plain(t):
+                parts.append((k, self.cut(t)))
+            elif t:
+                out[k] = array(self.code, self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids).tobytes()
+        new = set().union(*(p for _, p in parts)).difference(self.known)
+        learned = self._learn(new) if new else {}
+        self.known.update(learned)
+        get = self.known.__getitem__
         for k, p in parts:
             out[k] = b"".join(map(get, p))
+        if len(self.known) > ROOM:
+            for p in learned:
+                del self.known[p]
         return out
 
 
-class Both(dict):
-    """The pieces just learned, then those remembered."""
-
-    def __init__(self, known: dict, learned: dict):
-        super().__init__(learned)
-        self.rest = known
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.rest[piece]
-
-
-def cut(text: str) -> list[str]:
-    first, *rest = text.split(" ")
-    out = [" " + r for r in rest]
-    return [first, *out] if first else out
-
-
 def encoder(path: str, width: int = 4) -> Encoder:
     """One for each file and worker."""
     if (path, width) not in _ENCODERS:
