@@ -3,9 +3,11 @@
 A text is cut where the vocabulary's own rules cut it whatever stands around, each distinct piece is encoded by the
 library once, and ids are remembered up to a bound. Two manners of cutting are known, and which one holds is probed:
 
-* `blind`: case and white space don't matter; cuts at white space and before punctuation.
-* `exact`: byte-level, a word takes the one space before it; cuts before spaces, around line feeds, and before
-  punctuation that follows a letter or digit.
+* `blind`: case and white space don't matter; cuts at white space.
+* `exact`: byte-level, a word takes the one space before it; cuts before spaces and around line feeds.
+
+Both also cut before full stops and commas where all of a text's follow a letter or digit, so that a word is not a new
+piece with each.
 
 Texts with anything that could make a cut matter (characters outside Latin-1, unusual or repeated white space, special
 tokens' brackets), and vocabularies that fail the probes, are encoded whole.
@@ -21,8 +23,7 @@ import numpy as np
 
 ROOM = 600_000  # pieces remembered by a Python worker
 _ODD = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0]")
-_PUNCTUATION = re.compile(r"(?:[^\w\s]|_)+")
-_PUNCTUATION_AFTER = re.compile(r"(?<=[^\W_])(?:[^\w\s]|_)+")
+_STOP_APART = re.compile(r"[.,](?<![^\W_][.,])")
 _PROBES = ("a b", "A.\nB c", "l'a 12 3", "It's, it'll.'s", "É$a% &b", "' s 't", "a_.b __c", "x2y.. (z)", "don't!!\nno")
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
@@ -43,11 +44,13 @@ def plain(text: str) -> bool:
 
 
 def cut_exact(text: str) -> list[str]:
-    return _PUNCTUATION_AFTER.sub("\0\\g<0>", text.replace("\n", "\0\n\0").replace(" ", "\0 ")).split("\0")
+    out = text.replace("\n", "\0\n\0").replace(" ", "\0 ")
+    return (out if _STOP_APART.search(text) else out.replace(".", "\0.").replace(",", "\0,")).split("\0")
 
 
 def cut_blind(text: str) -> list[str]:
-    return _PUNCTUATION.sub(r" \g<0>", text.lower()).split()
+    out = text.lower()
+    return (out if _STOP_APART.search(text) else out.replace(".", " .").replace(",", " ,")).split()
 
 
 class Encoder:
