@@ -2,19 +2,19 @@
 
 Words are bytes between ASCII white space with A-Z in lower case; each text ends in an end token. The model is
 
-    P(w | h) = P(class(w) | classes of the two tokens before) * P(w | class(w))
+    P(w | h) = P(class(w) | class of the token before) * P(w | class(w))
 
 * Every word belongs to a unit: the `heads` most frequent words are units of their own, all others share one of
   `affixes` units by a hash of their last three bytes. Exchange clustering moves units between classes as long as the
   class-bigram likelihood grows; its input, the unit-bigram counts of the whole training part, is at most
   (heads + affixes + 1)^2 numbers whatever the corpus.
-* Transitions: class trigrams, bigrams and unigrams of the whole training part, interpolated by Witten-Bell.
+* Transitions: class bigrams and unigrams of the whole training part, interpolated by Witten-Bell.
 * Emissions: exact counts of every training word, discounted by d (from the counts of counts); what is taken from a
   class's words is the probability of the class's unknown word. All sums over a history are 1, with one unknown word
   for each class.
 
-Counts are gathered over every training text: words by a hash aggregation of per-task sums, unit bigrams and class
-trigrams likewise. For scoring, the words most often seen (`lookup` at most, so the table sent out is bounded) are
+Counts are gathered over every training text: words by a hash aggregation of per-task sums, unit bigrams likewise
+(the class bigrams are sums of those). For scoring, the words most often seen (`lookup` at most, so the table sent out is bounded) are
 looked up in place; all others meet their counts in a join, and only their sums return to the document.
 
 Defined results: a null text is empty; an empty text is its end token; a null doc_id is scored and never trains;
@@ -40,6 +40,7 @@ from strataline.llm.common import documents, id_remainder, materialize, small_ba
 
 END = b"\n"  # no word holds white space
 HEADS, AFFIXES, CLASSES, LOOKUP = 2048, 512, 64, 1 << 17
+MERGE_AT = 1_000_000  # keys a task holds before it merges them
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -67,7 +68,7 @@ class Units(dict):
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession, 250)
     return docs.select(F.col("text").cast("string").alias("text"))
 
 
@@ -83,7 +84,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 counts.update(tokens(t))
-            if len(counts) > 500_000:
+            if len(counts) > 250_000:
                 yield out()
                 counts.clear()
         if counts:
@@ -105,39 +106,34 @@ def frequent(counts: DataFrame, by_count: list[tuple[int, int]], bound: int) ->
     return sorted(got, key=lambda x: (-x[1], x[0]))
 
 
-def sums_of_keys(docs: DataFrame, units: Units, n_units: int, classes: np.ndarray | None) -> DataFrame:
-    """key, c: unit bigrams u * n_units + v (with the boundary as the last unit), or class trigrams if classes are given."""
+def unit_bigrams(docs: DataFrame, units: Units, n_units: int) -> DataFrame:
+    """key, c: unit bigrams u * n_units + v; before a text stands the boundary, the last unit."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(pickle.dumps((units, classes)))
+    sent = spark.sparkContext.broadcast(pickle.dumps(units))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, cls = pickle.loads(sent.value)
+        own = pickle.loads(sent.value)
         held, size = [], 0
 
-        def summed():
-            k, c = merge(held)
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "c"])
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["key", "c"])
 
         for b in batches:
             lists = [tokens(t) for t in b.column(0).to_pylist()]
             u = np.fromiter(map(own.__getitem__, chain.from_iterable(lists)), np.int64)
-            first = np.cumsum([0, *map(len, lists[:-1])]) if lists else np.zeros(0, np.int64)
-            if cls is None:
-                before = np.concatenate([[n_units - 1], u[:-1]])
-                before[first] = n_units - 1
-                key = before * n_units + u
-            else:
-                key = trigram_keys(cls[u], first, int(cls[-1]))
-            held.append(np.unique(key, return_counts=True))
+            before = np.concatenate([[n_units - 1], u[:-1]])
+            before[np.cumsum([0, *map(len, lists[:-1])])] = n_units - 1
+            held.append(np.unique(before * n_units + u, return_counts=True))
             size += len(held[-1][0])
-            if size > 4_000_000:
+            if size > MERGE_AT:
                 held = [merge(held)]
                 size = len(held[0][0])
-                if size > 2_000_000:
-                    yield summed()
+                if size > MERGE_AT // 2:
+                    yield out()
                     held, size = [], 0
         if held:
-            yield summed()
+            held = [merge(held)]
+            yield out()
 
     return _texts(docs).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
@@ -149,14 +145,11 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return u, np.add.reduceat(c[by], first) if len(u) else c
 
 
-def trigram_keys(c: np.ndarray, first: np.ndarray, boundary: int) -> np.ndarray:
-    """(class two before, class before, class) as one number in base boundary + 1; before a text stand boundaries."""
-    base = boundary + 1
-    one = np.concatenate([[boundary], c[:-1]])
-    one[first] = boundary
-    two = np.concatenate([[boundary], one[:-1]])
-    two[first] = boundary
-    return (two * base + one) * base + c
+def bigram_keys(c: np.ndarray, first: np.ndarray, boundary: int) -> np.ndarray:
+    """(class before, class) as one number in base boundary + 1; before a text stands the boundary."""
+    before = np.concatenate([[boundary], c[:-1]])
+    before[first] = boundary
+    return before * (boundary + 1) + c
 
 
 # ------------------------------------------------------------------------------------------------------- clustering
@@ -224,7 +217,7 @@ def exchange(counts: np.ndarray, n_classes: int, passes: int = 8) -> np.ndarray:
 class Model:
     units: Units
     classes: np.ndarray  # of each unit; the boundary last
-    trigrams: np.ndarray  # log10 P(class | two before), flat in base CLASSES + 1
+    steps: np.ndarray  # log10 P(class | class before), flat in base CLASSES + 1
     discount: float
     log_class: np.ndarray  # log10 of the tokens in a class
     log_unknown: np.ndarray  # log10 of what the discount took from a class (at least a half)
@@ -235,21 +228,13 @@ class Model:
 
 
 def transitions(cells: np.ndarray) -> np.ndarray:
-    """cells[two, one, c] counts -> log10 of interpolated probabilities; c ranges over all but the boundary."""
-    cells = cells.astype(float)
-    n = cells.shape[0] - 1
-    cells[:, :, n] = 0
-    uni = cells.sum((0, 1))[:n]
-    p1 = (uni + 0.5) / (uni.sum() + 0.5 * n)
-
-    def mixed(c: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        total, kinds = c.sum(-1, keepdims=True), (c > 0).sum(-1, keepdims=True)
-        return (c + np.maximum(kinds, 1) * lower) / (total + np.maximum(kinds, 1))
-
-    p2 = mixed(cells.sum(0)[:, :n], p1[None, :])
-    p3 = mixed(cells[:, :, :n], p2[None, :, :])
-    out = np.zeros_like(cells)
-    out[:, :, :n] = np.log10(p3)
+    """cells[one, c] counts -> log10 of interpolated probabilities, flat; c ranges over all but the boundary."""
+    n = len(cells) - 1
+    own = cells[:, :n].astype(float)
+    p1 = (own.sum(0) + 0.5) / (own.sum() + 0.5 * n)
+    kinds = np.maximum((own > 0).sum(1, keepdims=True), 1)
+    out = np.zeros((n + 1, n + 1))
+    out[:, :n] = np.log10((own + kinds * p1) / (own.sum(1, keepdims=True) + kinds))
     return out.reshape(-1)
 
 
@@ -264,14 +249,12 @@ def train(docs: DataFrame, heads: int = HEADS, affixes: int = AFFIXES, n_classes
     n_units = units.heads + affixes + 1
 
     cells = np.zeros((n_units, n_units))
-    for r in _packed(sums_of_keys(docs, units, n_units, None)):
-        np.add.at(cells.reshape(-1), r[0], r[1])
+    for keys, c in _packed(unit_bigrams(docs, units, n_units)):
+        cells.reshape(-1)[keys] += c  # each key comes once
     classes = exchange(cells, n_classes)
+    one = np.eye(n_classes + 1)[classes]
+    table = one.T @ cells @ one
     del cells
-    base = n_classes + 1
-    three = np.zeros(base**3)
-    for r in _packed(sums_of_keys(docs, units, n_units, classes)):
-        np.add.at(three, r[0], r[1])
 
     n1, n2 = dict(by_count).get(1, 0), dict(by_count).get(2, 0)
     discount = n1 / (n1 + 2 * n2) if n1 else 0.5
@@ -280,7 +263,7 @@ def train(docs: DataFrame, heads: int = HEADS, affixes: int = AFFIXES, n_classes
     # Unknown words of a class: what the discount took; of a class without words, all.
     log_unknown = np.log10(np.where(kinds_of > 0, discount * kinds_of, 1.0))
     known = {w: (k, int(classes[units[w]])) for k, (w, _) in enumerate(often)}
-    return Model(units, classes, transitions(three.reshape(base, base, base)), discount, log_class, log_unknown, known, np.array([c for _, c in often], np.int64), total, distinct), counts
+    return Model(units, classes, transitions(table), discount, log_class, log_unknown, known, np.array([c for _, c in often], np.int64), total, distinct), counts
 
 
 def _packed(sums: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -291,7 +274,7 @@ def _packed(sums: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().astype("<i4").tobytes()]), pa.array([b.column(1).to_numpy().astype("<i8").tobytes()])], ["k", "c"])
 
     spark = sums.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     made = materialize(sums.mapInArrow(run, "k binary, c binary"), "brown-sums")
     small_batches(spark, 500)
     for r in made.toLocalIterator():
@@ -321,7 +304,7 @@ def _class_sizes(spark: SparkSession, counts: DataFrame, units: Units, classes:
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """Every column of docs but text, and n_tokens, n_known, base_score, score."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark, 250)
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
     keep = [f for f in docs.schema.fields if f.name != "text"]
     names = [f.name for f in keep]
@@ -342,7 +325,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             at = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
             first = np.cumsum(n) - n
             cls = np.where(at >= 0, classes_of[np.maximum(at, 0)] if len(classes_of) else 0, -at - 1)
-            steps = m.trigrams[trigram_keys(cls, first, base - 1)] - m.log_class[cls]
+            steps = m.steps[bigram_keys(cls, first, base - 1)] - m.log_class[cls]
             head = at >= 0
             emit = steps + np.where(head, seen_emit[np.maximum(at, 0)] if len(seen_emit) else 0.0, 0.0)
             logs = np.where(head, seen_log[np.maximum(at, 0)] if len(seen_log) else 0.0, 0.0)
