@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -70,77 +69,78 @@ class Chain:
         return out
 
 
-def salient(sets: list[set[str]], y: np.ndarray, most: int = 2000) -> list[str]:
+def salient(docs: list[np.ndarray], y: np.ndarray, n_words: int, most: int = 2000) -> np.ndarray:
     """Words in at least three positives whose log odds stand out by three standard errors, the strongest first."""
-    pos, neg = Counter(), Counter()
-    for s, v in zip(sets, y):
-        (pos if v else neg).update(s)
+    seen = lambda v: np.bincount(np.concatenate([d for d, x in zip(docs, y) if x == v] or [np.zeros(0, np.int64)]), minlength=n_words)
+    pos, neg = seen(1) + 0.5, seen(0) + 0.5
     n1, n0 = y.sum() + 1.0, len(y) - y.sum() + 1.0
-    out = []
-    for w, c in pos.items():
-        if c < 3:
-            continue
-        a, b = c + 0.5, neg[w] + 0.5
-        odds = np.log(a / max(n1 - a, 0.5)) - np.log(b / max(n0 - b, 0.5))
-        z = odds / np.sqrt(1 / a + 1 / b)
-        if z > 3:
-            out.append((-z, w))
-    return [w for _, w in sorted(out)[:most]]
-
-
-def fit_link(name: str, sets: list[set[str]], y: np.ndarray, earlier: np.ndarray, l2: float = 0.02, rounds: int = 300) -> Link:
+    odds = np.log(pos / np.maximum(n1 - pos, 0.5)) - np.log(neg / np.maximum(n0 - neg, 0.5))
+    z = np.where(pos > 3, odds / np.sqrt(1 / pos + 1 / neg), 0)
+    order = np.argsort(-z, kind="stable")[:most]
+    return order[z[order] > 3]
+
+
+def fit_link(name: str, docs: list[np.ndarray], words: list[str], y: np.ndarray, earlier: np.ndarray, l2: float = 0.02, rounds: int = 300) -> Link:
     """Logistic regression by accelerated gradient steps on the kept words and the earlier probabilities."""
     share = float((y.sum() + 0.5) / (len(y) + 1.0))
     constant = Link(name, float(np.log(share / (1 - share))), {}, np.zeros(earlier.shape[1]))
     if not len(y) or y.min() == y.max():
         return constant
-    words = salient(sets, y)
-    at = {w: k for k, w in enumerate(words)}
-    rows, cols = [], []
-    for i, s in enumerate(sets):
-        own = at.keys() & s
-        rows += [i] * len(own)
-        cols += [at[w] for w in own]
-    rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
-    k, n = len(words), len(y)
-    w, b, d = np.zeros(k), constant.bias, np.zeros(earlier.shape[1])
-    x = np.concatenate([w, d, [b]])
+    kept = salient(docs, y, len(words))
+    place = np.full(len(words), -1)
+    place[kept] = np.arange(len(kept))
+    cols = [p[p >= 0] for p in (place[d] for d in docs)]
+    rows, cols = np.repeat(np.arange(len(docs)), [len(c) for c in cols]), np.concatenate(cols)
+    k, n = len(kept), len(y)
+    x = np.concatenate([np.zeros(k), constant.before, [constant.bias]])
     last, t = x, 1.0
+    # At most the curvature of the loss: a quarter of the largest squared length of a row.
     step = 4.0 / (1 + earlier.shape[1] + (np.bincount(rows, minlength=n).max() if len(rows) else 0))
     for _ in range(rounds):
         z = np.bincount(rows, x[cols], minlength=n) + earlier @ x[k:-1] + x[-1]
         err = (sigmoid(z) - y) / n
         grad = np.concatenate([np.bincount(cols, err[rows], minlength=k) + l2 / n * x[:k], earlier.T @ err, [err.sum()]])
-        new = x - step * 4 * grad
+        new = x - step * grad
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         x, last, t = new + (t - 1) / t2 * (new - last), new, t2
-    return Link(name, float(last[-1]), {v: float(c) for v, c in zip(words, last[:k])}, last[k:-1])
+    return Link(name, float(last[-1]), {words[w]: float(c) for w, c in zip(kept.tolist(), last[:k])}, last[k:-1])
 
 
-def fit(texts: list[str | None], labels: dict[str, np.ndarray], folds: int = 3) -> Chain:
-    """labels: category -> 0/1 of each row, in chain order; the last is the verdict. The threshold is the one with the best F1 out of fold."""
-    sets = [word_set(t) for t in texts]
-    fold = np.arange(len(sets)) % folds
-    earlier, chain = np.zeros((len(sets), 0)), Chain()
+def fit(docs: list[np.ndarray], words: list[str], labels: dict[str, np.ndarray], folds: int = 3) -> Chain:
+    """docs: the different words of each row, as places in words. labels: category -> 0/1 of each row, in chain order;
+    the last is the verdict. The threshold is the one with the best F0.5 out of fold: clean texts are left alone."""
+    fold = np.arange(len(docs)) % folds
+    earlier, chain = np.zeros((len(docs), 0)), Chain()
     for name, y in labels.items():
-        chain.links.append(fit_link(name, sets, y, earlier))
-        out = np.zeros(len(sets))
+        chain.links.append(fit_link(name, docs, words, y, earlier))
+        out = np.zeros(len(docs))
         for f in range(folds):
             rows = np.flatnonzero(fold != f)
-            link = fit_link(name, [sets[i] for i in rows], y[rows], earlier[rows])
+            link = fit_link(name, [docs[i] for i in rows], words, y[rows], earlier[rows])
             for i in np.flatnonzero(fold == f):
-                out[i] = sigmoid(np.array(link.logit(sets[i], earlier[i].tolist())))
+                out[i] = sigmoid(np.array(link.logit({words[w] for w in docs[i]} if link.weights else set(), earlier[i].tolist())))
         earlier = np.column_stack([earlier, out])
     if earlier.size and y.min() < y.max():
         tried = np.linspace(0.1, 0.9, 33)
-        f1 = [2 * (y[out >= c].sum()) / max(1, (out >= c).sum() + y.sum()) for c in tried]
-        best = np.flatnonzero(np.isclose(f1, max(f1)))
+        f = [1.25 * (y[out >= c].sum()) / max(1, (out >= c).sum() + 0.25 * y.sum()) for c in tried]
+        best = np.flatnonzero(np.isclose(f, max(f)))
         chain.threshold = float(tried[best[len(best) // 2]])
     return chain
 
 
+class Vocabulary(dict):
+    """word -> place, in order of first sight."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = len(self)
+        return self[word]
+
+    def places(self, words: Iterator[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, seeds: dict[str, tuple[str, ...]] = SEEDS) -> Chain:
-    """labels: doc_id, toxic. Whole texts of the sample come to the driver as sets of words."""
+    """labels: doc_id, toxic. Whole texts of the sample come to the driver as sets of words, there as numbers."""
     small_batches(docs.sparkSession)
     few = bounded_sample(labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct(), "doc_id", max_train, seed=5)
 
@@ -149,11 +149,16 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, seeds: di
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(sorted(word_set(t))) for t in b.column(2).to_pylist()])], ["doc_id", "toxic", "words"])
 
     own = docs.join(F.broadcast(few), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", F.col("text").cast("string").alias("text"))
-    got = sorted((r.doc_id, r.toxic, r.words) for r in own.mapInArrow(run, "doc_id string, toxic int, words string").toLocalIterator())
-    texts, verdict = [w for *_, w in got], np.array([t for _, t, _ in got], float)
-    sets = [set(t.split()) for t in texts]
-    categories = {c: verdict * np.array([bool(s & set(w)) for s in sets], float) for c, w in seeds.items()}
-    return fit(texts, categories | {VERDICT: verdict})
+    vocabulary, rows = Vocabulary(), []
+    for r in own.mapInArrow(run, "doc_id string, toxic int, words string").toLocalIterator():
+        rows.append((r.doc_id, r.toxic, vocabulary.places(r.words.split(" ") if r.words else [])))
+    rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
+    sets, verdict = [w for *_, w in rows], np.array([t for _, t, _ in rows], float)
+    categories = {}
+    for name, seed in seeds.items():
+        of = [vocabulary[w] for w in seed if w in vocabulary]
+        categories[name] = verdict * np.array([np.isin(of, s).any() for s in sets], float)
+    return fit(sets, list(vocabulary), categories | {VERDICT: verdict})
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
