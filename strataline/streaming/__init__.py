@@ -1,0 +1 @@
+"""Nothing: the model this engine follows has no streams, watermarks or late data."""
