@@ -67,9 +67,12 @@ def densities(candidates: DataFrame, g: Geometry, spread: float, threshold: floa
     return near.groupBy(F.col("a_id").alias("id")).agg(F.sum(F.exp(F.lit(-spread) * F.col("delta") * F.col("delta"))).alias("density"))
 
 
-def vote(candidates: DataFrame, g: Geometry, spread: float | None = None, threshold: float = 0.1, floor: float = 1e-6, relative: bool = False) -> DataFrame:
-    """The candidate (id, r, t, density) of largest density; ties go to the smaller id. No candidate, no row."""
+def vote(candidates: DataFrame, g: Geometry, spread: float | None = None, threshold: float = 0.1, floor: float = 1e-6, relative: bool = False, median_share: float = 1.0) -> DataFrame:
+    """The candidate (id, r, t, density) of largest density; ties go to the smaller id. No candidate, no row.
+
+    Without a spread, a distance of `median_share` medians counts half.
+    """
     if spread is None:
-        spread = spread_for(max(median_distance(candidates, g), floor * g.diagonal * math.sqrt(g.count)))
+        spread = spread_for(max(median_share * median_distance(candidates, g), floor * g.diagonal * math.sqrt(g.count)))
     rho = densities(candidates, g, spread, threshold, relative)
     return candidates.join(rho.orderBy(F.desc("density"), "id").limit(1), "id").select("id", "r", "t", "density")

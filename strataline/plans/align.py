@@ -30,6 +30,7 @@ class Config:
     fraction: float = 1.0
     threshold: float = 0.1
     spread: float | None = None
+    median_share: float = 1.0  # of the median distance, where no spread is given: lower values see finer clusters
     sampler: Callable = sampling.percentile_sampler
     matcher: Callable = matching.position
     progress: Callable[[int, int, str], None] = field(default=lambda stage, of, name: None)
@@ -68,7 +69,7 @@ def align(spark: SparkSession, micro, macro, config: Config = Config()) -> DataF
         bases = [transforms.with_bases(p, fld, c.ball_radius, c.ball_step) for p, fld in ((micro_points, micro), (macro_points, macro))]
         found = transforms.candidates(matches, *bases).persist()
         tell(7)
-        return density.vote(found, macro.geometry if macro.geometry.count < micro.geometry.count else micro.geometry, c.spread, c.threshold)
+        return density.vote(found, macro.geometry if macro.geometry.count < micro.geometry.count else micro.geometry, c.spread, c.threshold, median_share=c.median_share)
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 

@@ -712,7 +712,7 @@ def align_volumes(spark, sf):
     from strataline.plans.align import Config, align
 
     macro, micro = headless_pair()
-    c = Config(micro_points=96, macro_points=128, quadric_radius=2.0, quadric_step=0.5, ball_radius=1.5, ball_step=0.5)
+    c = Config(micro_points=200, macro_points=400, quadric_radius=2.0, quadric_step=0.5, ball_radius=1.5, ball_step=0.3, median_share=0.2)
     return _out(align(spark, micro, macro, c).withColumn("id", F.lit(0)))
 
 

@@ -16,10 +16,9 @@ from strataline.types import Geometry
 
 def sphere() -> AnalyticField:
     """Distance from the middle of a box of side 5, in thousandths of the radius 2.5, at most 1000."""
-    c = E.lit3((2.5, 2.5, 2.5))
     return AnalyticField(
         Geometry((0.2,) * 3, (25,) * 3),
-        lambda x, y, z: F.least(E.distance((x, y, z), c) / 2.5, F.lit(1.0)) * 1000,
+        lambda x, y, z: F.least(E.distance((x, y, z), E.lit3((2.5, 2.5, 2.5))) / 2.5, F.lit(1.0)) * 1000,
         lambda p: np.minimum(np.sqrt(((p - 2.5) ** 2).sum(-1)) / 2.5, 1) * 1000,
     )
 
