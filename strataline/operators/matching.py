@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions import exprs as E
+from strataline.operators import ranking
 from strataline.runtime import ship
 
 BLOCK = 2048
@@ -96,22 +97,30 @@ def knn(micro: DataFrame, macro: DataFrame, k: int, kind: str = "euclid", column
     return found.withColumn("n", n).filter(F.col("n") <= k)
 
 
-def top_fraction(matches: DataFrame, fraction: float, order: list[Column], up: bool = False) -> DataFrame:
-    """The first trunc(n * fraction) rows in the given order (ceil with up). The number is known before the sort, which then is a bounded top-k."""
+def top_fraction(matches: DataFrame, fraction: float, best: str = "similarity", falling: bool = True, ids: tuple[str, ...] = ("micro_id",), up: bool = False, heap: int = 100_000) -> DataFrame:
+    """The best trunc(n * fraction) rows (ceil with up), ties to the smaller ids.
+
+    Few rows are a bounded top-k; beyond `heap`, the value at the cut comes from bucketed ranks and only its ties are sorted.
+    """
     if fraction >= 1:
         return matches
-    n = matches.count()
     # A product that misses a whole number by rounding is that number.
-    exact = n * fraction
+    exact = matches.count() * fraction
     exact = round(exact) if abs(exact - round(exact)) < 1e-9 else exact
-    return matches.orderBy(*order).limit(math.ceil(exact) if up else int(exact))
+    keep = math.ceil(exact) if up else int(exact)
+    if keep <= heap:
+        return matches.orderBy(F.desc(best) if falling else F.col(best), *ids).limit(keep)
+    key = -F.col(best) if falling else F.col(best)
+    ranks = ranking.cumulative(ranking.value_counts(matches.select(key.alias("k")), [], "k"), [])
+    cut = ranks.filter((F.col("below") < keep) & (F.col("upto") >= keep)).first()
+    return matches.filter(key < cut.value).unionByName(matches.filter(key == cut.value).orderBy(*ids).limit(keep - cut.below))
 
 
 def euclid_cosine(micro: DataFrame, macro: DataFrame, fraction: float = 0.1) -> DataFrame:
     """The nearest macro vector by distance, scored by cosine; the best-scored fraction."""
     near = knn(micro, macro, 1).select("micro_id", "macro_id")
     pairs = near.join(micro.select(F.col("id").alias("micro_id"), F.col("features").alias("a")), "micro_id").join(macro.select(F.col("id").alias("macro_id"), F.col("features").alias("b")), "macro_id")
-    return top_fraction(pairs.select("micro_id", "macro_id", E.cosine_score(F.col("a"), F.col("b")).alias("similarity")), fraction, [F.desc("similarity"), F.col("micro_id")])
+    return top_fraction(pairs.select("micro_id", "macro_id", E.cosine_score(F.col("a"), F.col("b")).alias("similarity")), fraction)
 
 
 def ratio_test(micro: DataFrame, macro: DataFrame, threshold: float = 0.8, fraction: float = 1.0) -> DataFrame:
@@ -119,7 +128,7 @@ def ratio_test(micro: DataFrame, macro: DataFrame, threshold: float = 0.8, fract
     two = knn(micro, macro, 2).groupBy("micro_id").agg(F.min(F.when(F.col("n") == 1, F.col("macro_id"))).alias("macro_id"), F.min(F.when(F.col("n") == 1, F.col("score"))).alias("d1"), F.min(F.when(F.col("n") == 2, F.col("score"))).alias("d2"))
     ratio = F.when(F.col("d2").isNull(), F.lit(0.0)).when(F.col("d2") > 0, F.col("d1") / F.col("d2"))
     kept = two.withColumn("ratio", ratio).filter(F.col("ratio") <= threshold).select("micro_id", "macro_id", (1 - F.col("ratio")).alias("similarity"))
-    return top_fraction(kept, fraction, [F.desc("similarity"), F.col("micro_id")])
+    return top_fraction(kept, fraction)
 
 
 def position(micro: DataFrame, macro: DataFrame, cutoff: float = 1.4, cap: int = 100, fraction: float = 1.0, same_set: bool = False) -> DataFrame:
@@ -136,7 +145,7 @@ def position(micro: DataFrame, macro: DataFrame, cutoff: float = 1.4, cap: int =
     placed = taken.join(macro.select(F.col("id").alias("macro_id"), "x", "y", "z"), "macro_id")
     spread = F.var_pop("x") + F.var_pop("y") + F.var_pop("z")
     out = placed.groupBy("micro_id").agg(F.min_by("macro_id", "n").alias("macro_id"), F.count("*").alias("taken"), (-spread).alias("similarity"))
-    return top_fraction(out, fraction, [F.desc("similarity"), F.col("micro_id")], up=True)
+    return top_fraction(out, fraction, up=True)
 
 
 def naive_cosine(micro: DataFrame, macro: DataFrame, fraction: float = 0.1) -> DataFrame:
@@ -147,14 +156,14 @@ def naive_cosine(micro: DataFrame, macro: DataFrame, fraction: float = 0.1) -> D
     best = knn(fine(left), fine(right), 1, kind="cosine")
     a, b = ("macro_id", "micro_id") if swap else ("micro_id", "macro_id")
     out = best.select(F.col("micro_id").alias(a), F.col("macro_id").alias(b), F.col("score").alias("similarity")).select("micro_id", "macro_id", "similarity")
-    return top_fraction(out, fraction, [F.desc("similarity"), F.col("micro_id"), F.col("macro_id")])
+    return top_fraction(out, fraction, ids=("micro_id", "macro_id"))
 
 
 def transformed_distance(micro: DataFrame, macro: DataFrame, r: list[float], t: list[float], fraction: float = 1.0) -> DataFrame:
     """The macro point nearest to R p + t for each micro point (x, y, z); similarity is minus the distance. For tests with a known transform."""
     moved = micro.select("id", F.array(*E.apply_rigid(r, t, E.xyz())).alias("features"))
     best = knn(moved, macro.select("id", F.array("x", "y", "z").alias("features")), 1)
-    return top_fraction(best.select("micro_id", "macro_id", (-F.col("score")).alias("similarity")), fraction, [F.desc("similarity"), F.col("micro_id")])
+    return top_fraction(best.select("micro_id", "macro_id", (-F.col("score")).alias("similarity")), fraction)
 
 
 def rank_sum(micro: DataFrame, macro: DataFrame, fraction: float = 1.0, keep: str = "best") -> DataFrame:
@@ -184,8 +193,7 @@ def rank_sum(micro: DataFrame, macro: DataFrame, fraction: float = 1.0, keep: st
     join = lambda name: F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x[name]))
     b = whole.filter(F.size("p") > 0).select(join("ids").alias("b_ids"), join("m").alias("b_m"), F.get("p", F.lit(0))["dim"].alias("b_dim"))
     out = a.crossJoin(F.broadcast(b)).mapInArrow(run, "micro_id long, macro_id long, similarity double")
-    best = F.col("similarity") if keep == "best" else F.desc("similarity")
-    return top_fraction(out, fraction, [best, F.col("micro_id")])
+    return top_fraction(out, fraction, falling=keep != "best")
 
 
 def positional(micro: DataFrame, macro: DataFrame, n: int, similarity: float = 100.0) -> DataFrame:

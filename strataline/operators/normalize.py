@@ -21,8 +21,8 @@ def weight_features(df: DataFrame, weights: Sequence[float], column: str = "feat
 
 
 def _per_set(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
-    """One row of statistics for each set, sent to every task."""
-    return df.join(F.broadcast(stats), by, "left") if by else df.crossJoin(F.broadcast(stats))
+    """One row of statistics for each set; without sets, a single row is sent to every task."""
+    return df.join(stats, by, "left") if by else df.crossJoin(F.broadcast(stats))
 
 
 def zscore(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "z") -> DataFrame:

@@ -19,16 +19,26 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("value")).agg(F.count("*").alias("cnt"))
 
 
-def cumulative(counts: DataFrame, by: Sequence[str], buckets: int = 64) -> DataFrame:
-    """Adds below (count of smaller values), upto (of values up to it) and n (of the set) to the value counts."""
-    by = list(by)
+def _bucketed(counts: DataFrame, by: list[str], buckets: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The counts with their bucket; the bounds of each set; of each set and bucket, base (what lies in earlier ones) and n."""
     grid = [(k + 1) / buckets for k in range(buckets - 1)]
     cuts = counts.groupBy(*by).agg(F.percentile_approx("value", grid, 200).alias("cuts"))
-    keyed = counts.join(cuts, by) if by else counts.crossJoin(F.broadcast(cuts))
-    keyed = keyed.withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    keyed = _in_bucket(counts, cuts, by)
     totals = keyed.groupBy(*by, "bucket").agg(F.sum("cnt").alias("total"))
     across = Window.partitionBy(*by).orderBy("bucket")
     base = totals.select(*by, "bucket", (F.sum("total").over(across) - F.col("total")).alias("base"), F.sum("total").over(Window.partitionBy(*by)).alias("n"))
+    return keyed, cuts, base
+
+
+def _in_bucket(values: DataFrame, cuts: DataFrame, by: list[str]) -> DataFrame:
+    keyed = values.join(cuts, by) if by else values.crossJoin(F.broadcast(cuts))
+    return keyed.withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+
+
+def cumulative(counts: DataFrame, by: Sequence[str], buckets: int = 64) -> DataFrame:
+    """Adds below (count of smaller values), upto (of values up to it) and n (of the set) to the value counts."""
+    by = list(by)
+    keyed, _, base = _bucketed(counts, by, buckets)
     within = F.sum("cnt").over(Window.partitionBy(*by, "bucket").orderBy("value"))
     out = keyed.withColumn("inner", within).join(base, [*by, "bucket"])
     upto = F.col("base") + F.col("inner")
@@ -42,19 +52,23 @@ def ecdf(df: DataFrame, by: Sequence[str], value: str, out: str = "ecdf") -> Dat
     return df.withColumn("sl_v", F.col(value).cast("double")).join(ranks, [*by, "sl_v"], "left").select(*df.columns, out)
 
 
-def ecdf_of(df: DataFrame, reference: DataFrame, by: Sequence[str], value: str, out: str = "ecdf") -> DataFrame:
-    """Mid-ranks in the reference set of values that need not be among it."""
+def ecdf_of(df: DataFrame, reference: DataFrame, by: Sequence[str], value: str, out: str = "ecdf", buckets: int = 64) -> DataFrame:
+    """Mid-ranks in the reference set of values that need not be among it; null for a set without reference."""
     by = list(by)
-    marks = cumulative(value_counts(reference, by, value), by).select(*by, "value", "below", "upto", "n", F.lit(0).alias("asks"))
-    asked = df.select(*by, F.col(value).cast("double").alias("value")).distinct().withColumn("asks", F.lit(1))
-    order = Window.partitionBy(*by).orderBy("value", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = marks.unionByName(asked, allowMissingColumns=True)
-    last = both.withColumn("seen", F.last(F.when(F.col("asks") == 0, F.struct("value", "below", "upto", "n")), ignorenulls=True).over(order)).filter("asks = 1")
-    sizes = marks.groupBy(*by).agg(F.max("n").alias("size"))
-    placed = last.drop("n").join(F.broadcast(sizes), by) if by else last.drop("n").crossJoin(F.broadcast(sizes))
-    s = F.col("seen")
-    rank = F.when(s.isNull(), F.lit(0.0)).when(s["value"] == F.col("value"), (s["below"] + s["upto"]) / 2.0).otherwise(s["upto"].cast("double"))
-    table = placed.select(*by, F.col("value").alias("sl_v"), (rank / F.col("size")).alias(out))
+    keyed, cuts, base = _bucketed(value_counts(reference, by, value), by, buckets)
+    asked = df.select(*by, F.col(value).cast("double").alias("value")).filter("value IS NOT NULL AND NOT isnan(value)").distinct()
+    both = keyed.select(*by, "bucket", "value", "cnt").unionByName(_in_bucket(asked, cuts, by).withColumn("cnt", F.lit(0).cast("long")).select(*by, "bucket", "value", "cnt"))
+    # Equal values are peers, so a value asked for sees all of the counts up to it.
+    upto = F.sum("cnt").over(Window.partitionBy(*by, "bucket").orderBy("value"))
+    equal = F.sum("cnt").over(Window.partitionBy(*by, "bucket", "value"))
+    seen = both.withColumn("upto", upto).withColumn("equal", equal).filter("cnt = 0").select(*by, "bucket", "value", "upto", "equal")
+    # A bucket without reference values lies after all that are before it.
+    sizes = base.groupBy(*by).agg(F.max("n").alias("size"), F.collect_list(F.struct("bucket", (F.col("base")).alias("base"), "n")).alias("parts"))
+    placed = seen.join(sizes, by) if by else seen.crossJoin(F.broadcast(sizes))
+    later = F.array_min(F.transform(F.filter("parts", lambda p: p["bucket"] >= F.col("bucket")), lambda p: p["base"]))
+    start = F.coalesce(later, F.col("size"))
+    rank = (2 * (start + F.col("upto")) - F.col("equal")) / 2.0 / F.col("size")
+    table = placed.select(*by, F.col("value").alias("sl_v"), rank.alias(out))
     return df.withColumn("sl_v", F.col(value).cast("double")).join(table, [*by, "sl_v"], "left").select(*df.columns, out)
 
 

@@ -48,6 +48,7 @@ def cell_lines(df: DataFrame, columns: Sequence[str], order: Sequence[str], head
 
 
 def _numbered(df: DataFrame, order: Sequence[str], line: Column) -> DataFrame:
+    """Lines of a report in order: one task's work."""
     from pyspark.sql import Window
 
     return df.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("n"), line.alias("line"))

@@ -71,9 +71,12 @@ def test_ratio_test_edges(spark):
 
 def test_top_fraction_counts(spark):
     df = spark.range(10).select(F.col("id").alias("micro_id"), F.col("id").cast("double").alias("similarity"))
-    order = [F.desc("similarity")]
-    assert matching.top_fraction(df, 0.25, order).count() == 2 and matching.top_fraction(df, 0.25, order, up=True).count() == 3
-    assert matching.top_fraction(df, 0.3, order, up=True).count() == 3
+    assert matching.top_fraction(df, 0.25).count() == 2 and matching.top_fraction(df, 0.25, up=True).count() == 3
+    assert matching.top_fraction(df, 0.3, up=True).count() == 3
+    ties = df.withColumn("similarity", F.floor(F.col("similarity") / 4).cast("double"))
+    for falling in (True, False):
+        few, many = ({r.micro_id for r in matching.top_fraction(ties, 0.6, falling=falling, heap=h).collect()} for h in (100, 0))
+        assert few == many and len(few) == 6
 
 
 def test_fake_match_recovers_planted_pairs(spark):
