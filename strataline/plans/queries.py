@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataline.functions import dense, metric
 from strataline.functions import exprs as E
-from strataline.functions import metric
 from strataline.operators import density, diagnostics, experiment, features, histogram, matching, normalize, ranking, sampling, slices, transforms
 from strataline.sources import mocks, texts
 from strataline.sources.fields import GridField, lattice
@@ -312,7 +312,14 @@ def rigid_compose(spark, sf):
     return _out(a.join(b, "id").select("id", F.array(*r).alias("r"), F.array(*t).alias("t")))
 
 
-@query()
+_STEP = ", ".join(f"{' + '.join(f'b.r{3 * i + k} * c.r{3 * k + j}' for k in range(3))}" for i in range(3) for j in range(3))
+_SHIFT = ", ".join(f"{' + '.join(f'b.r{3 * i + k} * c.t{k}' for k in range(3))} + b.t{i}" for i in range(3))
+
+
+@query(f"""WITH RECURSIVE {_TRANSFORMS}, b AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM tr),
+c(n, {", ".join(f"r{i}" for i in range(9))}, t0, t1, t2) AS (SELECT 0::BIGINT, {", ".join(f"{float(i % 4 == 0)}::DOUBLE" for i in range(9))}, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE UNION ALL
+SELECT b.n, {_STEP}, {_SHIFT} FROM c JOIN b ON b.n = c.n + 1)
+SELECT 0 AS id, {_ROUND12} FROM c ORDER BY n DESC LIMIT 1""")
 def transform_chain(spark, sf):
     """The supplier transforms applied one after another: an ordered fold over matrices."""
     steps = _supplier_transforms(spark, sf).select(F.col("id").alias("n"), "r", "t")
@@ -660,13 +667,18 @@ def transform_text_round_trip(spark, sf):
 _BALL = {"radius": 0.5, "step": 0.1}
 
 
-@query()
+_OFFSETS = ", ".join(f"({a!r}, {b!r}, {c!r})" for a, b, c in dense.ball_grid(**_BALL).tolist())
+_AROUND = f"""o(dx, dy, dz) AS (VALUES {_OFFSETS}), b AS (SELECT id, x + dx AS x, y + dy AS y, z + dz AS z FROM {_PART} p, o),
+v AS (SELECT id, x, y, z, {_SPHERE} AS value FROM b WHERE x BETWEEN 0 AND {_BOX[0]!r} AND y BETWEEN 0 AND {_BOX[1]!r} AND z BETWEEN 0 AND {_BOX[2]!r}), l AS (SELECT id, list_sort(list(value)) AS s FROM v GROUP BY 1)"""
+
+
+@query(f"""WITH {_AROUND} SELECT id, {", ".join(f"round(CASE WHEN s[1] = s[len(s)] THEN 'nan'::DOUBLE ELSE s[CAST(trunc({q} * (len(s) - 1)) AS INT) + 1] END, 6) AS f{i}" for i, q in enumerate((0.0, 0.25, 0.5, 0.75, 1.0)))} FROM l""")
 def ball_quantiles(spark, sf):
     out = features.quantiles_sql(_part_points(spark, sf), mocks.sphere(), [0.0, 0.25, 0.5, 0.75, 1.0], **_BALL)
     return out.select("id", *(_r(F.get("features", F.lit(i))).alias(f"f{i}") for i in range(5)))
 
 
-@query()
+@query(f"""WITH {_AROUND}, k AS (SELECT v.* FROM v JOIN l USING (id) WHERE s[1] < s[len(s)] AND value >= s[len(s) // 2 + 1]) SELECT id, {_COV}, count(*) AS n FROM k GROUP BY 1""")
 def ball_covariance(spark, sf):
     out = features.pca_moments(_part_points(spark, sf), mocks.sphere(), **_BALL)
     return out.select("id", *(_r(c, 9).alias(c) for c in out.columns[1:-1]), "n")
@@ -694,7 +706,7 @@ def pca_rotation(spark, sf):
     return out.select("id", *(_r(F.get(F.get("bases", F.lit(k)), F.lit(i))).alias(f"b{k}{i}") for k in range(2) for i in range(9)))
 
 
-@query()
+@query(f"""WITH g AS (SELECT i, j, k, {", ".join(f"least(greatest({v}, 0), {b!r}) AS {c}" for v, b, c in zip(_SEG_AT, _BOX, "xyz"))} FROM {_grid_sql(_SEG)} q) SELECT i, j, k, round(least(greatest({_SPHERE}, 0), 65535), 6) AS value FROM g""")
 def resample_volume(spark, sf):
     from strataline.sources import metaimage
 

@@ -1,8 +1,9 @@
 """Volumes as a text header and a raw file of samples.
 
-The header is read by Spark; the raw file by `binaryFile`, in one row a file, cut into slabs of the slowest axis by
-Arrow batches. 16-bit samples run x fastest; 8-bit samples run y fastest. Writing goes slab by slab as well: each slab
-is a row of a table (`slab`, `payload`), and `save_raw` joins slabs in order into one file on a shared path.
+The header is read by Spark; the raw file as records of one slab (the samples of one z), which Spark splits among tasks
+at any size and from any store it reaches. 16-bit samples run x fastest; 8-bit samples run y fastest. Writing goes slab
+by slab as well: each slab is a row of a table (`slab`, `payload`), and `save_raw` joins slabs in order into one file on
+a shared path.
 """
 
 from __future__ import annotations
@@ -49,15 +50,18 @@ def read_volume(spark: SparkSession, header_path: str, raw_path: str, vol_id: st
     ship(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, y = np.tile(np.arange(a), b), np.repeat(np.arange(b), a)
         for batch in batches:
-            for raw in batch["content"]:
-                v = np.frombuffer(raw, kind, g.count)
-                slabs = v.reshape(c, b, a) if kind.itemsize == 2 else v.reshape(c, a, b).transpose(0, 2, 1)
-                x, y = np.tile(np.arange(a), b), np.repeat(np.arange(b), a)
-                for k in range(c):
-                    yield pd.DataFrame({"vol_id": vol_id, "x": x, "y": y, "z": k, "v": slabs[k].reshape(-1).astype(np.int32)})
+            for k, raw in zip(batch["k"], batch["payload"]):
+                v = np.frombuffer(raw, kind)
+                slab = v.reshape(b, a) if kind.itemsize == 2 else v.reshape(a, b).T
+                yield pd.DataFrame({"vol_id": vol_id, "x": x, "y": y, "z": k, "v": slab.reshape(-1).astype(np.int32)})
 
-    return g, spark.read.format("binaryFile").load(raw_path).select("content").mapInPandas(run, VOXEL)
+    records = spark.sparkContext.newAPIHadoopFile(
+        raw_path, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
+        conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(a * b * kind.itemsize)},
+    )
+    return g, spark.createDataFrame(records, "k long, payload binary").filter(F.col("k") < c).mapInPandas(run, VOXEL)
 
 
 def header_text(g: Geometry, raw_name: str, element_type: str = "MET_USHORT") -> str:
@@ -75,7 +79,7 @@ def slabs(voxels: DataFrame, g: Geometry, value: str = "value") -> DataFrame:
     a, b, _ = g.dims
     ship(voxels.sparkSession)
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(a * b, "<u2")
         out[rows["at"].to_numpy()] = rows["v"].to_numpy()
         return pd.DataFrame({"slab": [int(key[0])], "payload": [out.tobytes()]})

@@ -34,6 +34,13 @@ def format_transform(r: Column, t: Column) -> Column:
     return F.concat(F.lit("R 3x3\n"), F.concat_ws(" ", *cells), F.lit("\nt 3\n"), F.array_join(F.transform(t, lambda v: v.cast("string")), " "), F.lit("\n"))
 
 
+def write_transform(r: Sequence[float], t: Sequence[float], path: str) -> None:
+    """One transform as a text file."""
+    cells = " ".join(repr(float(r[3 * i + j])) for j in range(3) for i in range(3))
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f"R 3x3\n{cells}\nt 3\n{' '.join(repr(float(v)) for v in t)}\n")
+
+
 def point_lines(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
     """n, line: a header and a row for each point, `; ` between cells."""
     head = df.sparkSession.createDataFrame([(0, "; ".join(columns))], "n long, line string")

@@ -194,6 +194,10 @@ def test_transform_files(spark, tmp_path):
     got = {r.path[-5:]: r for r in texts.read_transforms(spark, str(tmp_path)).collect()}
     assert got["a.txt"].r == [0, -1, 0, 1, 0, 0, 0, 0, 1] and got["a.txt"].t == [1.5, -0.2, 3]
     assert got["b.txt"].r is None
+    r = mocks.turn(0.1, 0.2, 0.3).reshape(-1).tolist()
+    texts.write_transform(r, [1.0, -2.5, 3e-7], str(tmp_path / "a.txt"))
+    back = texts.read_transforms(spark, str(tmp_path / "a.txt")).first()
+    assert back.r == r and back.t == [1.0, -2.5, 3e-7]
 
 
 def test_configurations(spark, tmp_path):
