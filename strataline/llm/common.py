@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,13 @@ from pyspark.sql import functions as F
 from strataline.runtime import ship
 
 _OWN_DIR: dict[str, str] = {}
+_LOCAL = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_LOCAL, "scopes"):
+        _LOCAL.scopes = []
+    return _LOCAL.scopes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,14 +46,36 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write the frame to the shared folder and read it back: lineage ends there, and a lost executor costs no rework."""
+def materialize(df: DataFrame, tag: str, outlive: bool = False) -> DataFrame:
+    """Write the frame to the shared folder and read it back: lineage ends there, and a lost executor costs no rework.
+
+    Within `temporary`, the table goes when that ends; with outlive, when the scope around it does (or stays, without one).
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    if len(_scopes()) > outlive:
+        _scopes()[-1 - outlive].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables made within are deleted at the end, so what leaves it must have been written with outlive.
+
+    Shuffle files of steps that are over go when the driver's JVM drops their handles, so it is told to look.
+    """
+    _scopes().append([])
+    try:
+        yield
+    finally:
+        made = _scopes().pop()
+        for path in made:
+            drop_path(spark, path)
+        if made:
+            spark.sparkContext._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

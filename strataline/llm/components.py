@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import materialize
+from strataline.llm.common import materialize, temporary
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -17,19 +17,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Defined results: null ends and loops are left out; repeated and reversed links count once; no links, no rows.
     """
-    links = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = materialize(links, "cc-links")
-    before = None
-    for _ in range(max_rounds):
-        large = materialize(_large_star(links), "cc-large")
-        links = materialize(_small_star(large), "cc-small")
-        state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (state.n, state.h) == before:
-            break
-        before = (state.n, state.h)
-    else:
-        raise RuntimeError("components did not settle")
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    spark = edges.sparkSession
+    with temporary(spark):
+        links = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        links = materialize(links, "cc-links")
+        before = None
+        for _ in range(max_rounds):
+            with temporary(spark):
+                links = materialize(_small_star(materialize(_large_star(links), "cc-large")), "cc-small", outlive=True)
+            state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+            if (state.n, state.h) == before:
+                break
+            before = (state.n, state.h)
+        else:
+            raise RuntimeError("components did not settle")
+        out = links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        return materialize(out, "cc-roots", outlive=True)
 
 
 def _large_star(links: DataFrame) -> DataFrame:

@@ -1,12 +1,16 @@
 """Operator 6: SimHash near-duplicates by deletion-variant signatures.
 
 A 64-bit fingerprint is cut into two 32-bit segments; of two fingerprints with at most two differing bits, one segment
-differs in at most one. Each segment therefore gives 32 signatures, each with one bit wiped: fingerprints that close
-share a signature. Signatures meet in an equality join and pairs are verified by counting bits.
+differs in at most one. Each segment therefore gives 33 signatures: itself, and one with each bit wiped. Fingerprints
+that close share a signature: the plain one if the segment is equal, else the one that wipes the differing bit, in
+which the two stand on different sides of that bit. Signatures meet in an equality join; pairs are verified by counting
+bits.
 
-A bucket of more than `pair_cap` fingerprints never emits its pairs: there, the bits that the signature leaves open are
-indexed by value and by every one-bit variant. Sharing such an entry means two differing bits at most, and every such
-pair shares one, so linking each fingerprint to the least of its entry loses no link and adds none.
+A bucket of more than `pair_cap` fingerprints never emits its pairs: there, the other segment is indexed. In a plain
+bucket each fingerprint enters with its other segment and every one-bit variant of it: two that share an entry differ
+in two bits at most, and every such pair shares one. In a wiped bucket, where one bit is spent, the smaller side enters
+with all variants and the larger with its own value only. Linking each fingerprint to the least of its entry so loses
+no link and adds none.
 
 Defined results: null and empty texts have fingerprint zero; a text of fewer words than a shingle is one shingle; exact
 copies share a fingerprint and so a component; repeated rows each get their row; a null doc_id gets a row but is never
@@ -23,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm.common import documents, materialize, small_batches
+from strataline.llm.common import documents, materialize, small_batches, temporary
 from strataline.llm.components import components
 
 SEED = 42
 PAIR_CAP = 32
-_BITS = (np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1
+BIT_OF = (np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1
 
 
 def words(text: str | None) -> list[bytes]:
@@ -43,7 +47,7 @@ def majority(hashes: list[int]) -> int:
     lanes = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)  # little-endian bytes
     out = 0
     for k in range(8):
-        ones = np.bincount(lanes[:, k], minlength=256) @ _BITS
+        ones = np.bincount(lanes[:, k], minlength=256) @ BIT_OF
         out |= int(((2 * ones > len(hashes)) << np.arange(8)).sum()) << (8 * k)
     return out - (1 << 64) if out >> 63 else out
 
@@ -58,11 +62,6 @@ def fingerprint(text: str | None, size: int = 3, seed: int = SEED) -> int:
     return majority([xxhash.xxh64_intdigest(s, seed) for s in shingles])
 
 
-def word_fingerprint(text: str | None, seed: int) -> int:
-    """Of the set of words: less moved by a changed word than shingles are."""
-    return majority([xxhash.xxh64_intdigest(s, seed) for s in set(words(text))])
-
-
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, fp of every row."""
     small_batches(docs.sparkSession)
@@ -74,55 +73,75 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _variants(nodes: DataFrame) -> DataFrame:
-    """id, fp, key: 64 a node. key holds the segment and wiped bit above the 32 bits of the wiped segment."""
-    low = F.lit((1 << 32) - 1)
-    i = F.explode(F.sequence(F.lit(0), F.lit(63)))
-    with_bit = nodes.select("id", "fp", i.alias("i"))
-    segment = F.when(F.col("i") < 32, F.col("fp").bitwiseAND(low)).otherwise(F.shiftrightunsigned("fp", 32))
-    wiped = segment.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, i % 32)")))
-    return with_bit.select("id", "fp", F.expr("shiftleft(cast(i as bigint), 32)").bitwiseOR(wiped).alias("key"))
+_LOW = (1 << 32) - 1
 
 
-def _open_bits():
-    """What a signature leaves open: the other segment, and the wiped bit above it."""
-    return F.expr("""CASE WHEN shiftright(key, 32) < 32
-        THEN shiftrightunsigned(fp, 32) | shiftleft(shiftrightunsigned(fp, cast(shiftright(key, 32) as int)) & 1L, 32)
-        ELSE (fp & 4294967295L) | shiftleft(shiftrightunsigned(fp, cast(shiftright(key, 32) as int)) & 1L, 32) END""")
+def _variants(nodes: DataFrame) -> DataFrame:
+    """id, fp, key, side: 66 a node. key holds the number of the signature above its 32 bits: 0 and 33 plain, the others wiped; side is the wiped bit."""
+    with_number = nodes.select("id", "fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("i"))
+    segment = F.when(F.col("i") < 33, F.col("fp").bitwiseAND(F.lit(_LOW))).otherwise(F.shiftrightunsigned("fp", 32))
+    rows = with_number.select("id", "fp", F.col("i").cast("bigint").alias("i"), (F.col("i") % 33 - 1).alias("bit"), segment.alias("segment"))
+    plain = F.col("bit") < 0
+    wiped = F.expr("segment & ~shiftleft(1L, bit)")
+    side = F.when(plain, F.lit(0)).otherwise(F.expr("cast(shiftright(segment, greatest(bit, 0)) & 1L as int)"))
+    return rows.select("id", "fp", F.expr("shiftleft(i, 32)").bitwiseOR(F.when(plain, F.col("segment")).otherwise(wiped)).alias("key"), side.alias("side"))
 
 
-def close_pairs(nodes: DataFrame, pair_cap: int = PAIR_CAP) -> DataFrame:
-    """nodes (id long, fp long; ids distinct) -> (a, b), a < b: links at two or fewer differing bits.
+def close_pairs(nodes: DataFrame, pair_cap: int = PAIR_CAP, bits: int = 2) -> DataFrame:
+    """nodes (id long, fp long; ids distinct) -> (a, b), a < b: links at `bits` (2 or 3) or fewer differing bits.
 
-    Every pair of a bucket up to `pair_cap`; in larger ones, links that connect the same nodes.
+    Every pair of a bucket up to `pair_cap`. In larger ones, with two bits, links that connect the same nodes; with three
+    bits, links at three bits or fewer of nodes that share a cell, which leaves out pairs whose three bits all lie in one segment.
     """
-    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= 2
-    nodes = materialize(nodes, "simhash-nodes")
-    buckets = _variants(nodes).groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp")).alias("x"), F.max(F.struct("id", "fp")).alias("y")).filter("n > 1")
-    buckets = materialize(buckets, "simhash-buckets")
-    twos = buckets.filter(F.col("n") == 2).filter(near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    many = buckets.filter("n > 2").select("key", "n")
-    entries = materialize(_variants(nodes).join(many, "key"), "simhash-entries")
-    few = entries.filter(F.col("n") <= pair_cap)
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).filter(near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    crowd = entries.filter(F.col("n") > pair_cap).select("id", "key", _open_bits().alias("open"))
-    flips = F.explode(F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(32)), lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k))))
-    cells = crowd.select("id", "key", "open", flips.alias("flip")).select("id", "key", F.col("open").bitwiseXOR(F.col("flip")).alias("cell"))
+    if bits not in (2, 3):
+        raise ValueError("two segments leave at most one differing bit in one of them for two or three bits")
+    spark = nodes.sparkSession
+    with temporary(spark):
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        nodes = materialize(nodes.repartition(parts, "id"), "simhash-nodes")
+        # n counts in the upper half, the nodes on side 1 in the lower.
+        sums = _variants(nodes).groupBy("key").agg(F.sum(F.lit(1 << 32) + F.col("side")).alias("s"), F.min("id").alias("a"), F.max("id").alias("b"))
+        n, ones = F.shiftrightunsigned("s", 32), F.col("s").bitwiseAND(F.lit(_LOW))
+        plain = F.shiftrightunsigned("key", 32) % 33 == 0
+        buckets = sums.select("key", n.alias("n"), ones.alias("ones"), "a", "b").filter((F.col("n") > 1) & (plain | ((F.col("ones") > 0) & (F.col("ones") < F.col("n")))))
+        buckets = materialize(buckets, "simhash-buckets")
+        twos = materialize(buckets.filter(F.col("n") == 2).select("a", "b").distinct(), "simhash-twos")
+        fp_of = lambda name: nodes.select(F.col("id").alias(name), F.col("fp").alias(f"fp_{name}"))
+        near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= bits
+        twos = twos.join(fp_of("a"), "a").join(fp_of("b"), "b").filter(near("fp_a", "fp_b")).select("a", "b")
+        many = materialize(buckets.filter("n > 2").select("key", "n", "ones"), "simhash-many")
+        entries = materialize(_variants(nodes).join(many, "key"), "simhash-entries")
+        few = entries.filter(F.col("n") <= pair_cap)
+        other = few.select("key", F.col("id").alias("b"), F.col("fp").alias("fp_b"), F.col("side").alias("side_b"))
+        across = (F.shiftrightunsigned("key", 32) % 33 == 0) | (F.col("side") != F.col("side_b"))
+        pairs = few.join(other, "key").filter((F.col("id") < F.col("b")) & across & near("fp", "fp_b")).select(F.col("id").alias("a"), "b")
+        stars = _crowds(entries.filter(F.col("n") > pair_cap), bits)
+        return materialize(twos.unionByName(pairs).unionByName(stars).distinct(), "simhash-pairs", outlive=True)
+
+
+def _crowds(entries: DataFrame, bits: int) -> DataFrame:
+    """(a, b): each node linked to the least of every cell of its bucket that it shares. Nodes of a cell are two bits apart at most in the other segment."""
+    number = F.shiftrightunsigned("key", 32)
+    rest = F.when(number < 33, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(_LOW)))
+    fewer = F.when(2 * F.col("ones") <= F.col("n"), F.lit(1)).otherwise(F.lit(0))
+    spread = F.lit(bits == 3) | (number % 33 == 0) | (F.col("side") == fewer)
+    zero = F.array(F.lit(0).cast("long"))
+    flips = F.concat(zero, F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)))
+    cells = entries.select("id", "key", rest.alias("rest"), F.explode(F.when(spread, flips).otherwise(zero)).alias("flip")).select("id", "key", F.col("rest").bitwiseXOR(F.col("flip")).alias("cell"))
     cells = materialize(cells, "simhash-cells")
     least = materialize(cells.groupBy("key", "cell").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n"), "simhash-least")
-    stars = cells.join(least, ["key", "cell"]).filter("a <> id").select("a", F.col("id").alias("b"))
-    return twos.unionByName(pairs).unionByName(stars).distinct()
+    return cells.join(least, ["key", "cell"]).filter("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, pair_cap: int = PAIR_CAP) -> DataFrame:
     """doc_id, fp, component_id of every row."""
     prints = materialize(fingerprints(docs, size), "simhash-prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = materialize(nodes, "simhash-distinct")
-    root = components(close_pairs(nodes.select(F.col("fp").alias("id"), "fp"), pair_cap)).withColumnRenamed("node", "fp")
-    rooted = materialize(nodes.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
-    named = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-named")
-    of_print = materialize(rooted.join(named, "root").select("fp", "component_id"), "simhash-named")
+    with temporary(docs.sparkSession):
+        nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+        root = components(close_pairs(nodes.select(F.col("fp").alias("id"), "fp"), pair_cap)).withColumnRenamed("node", "fp")
+        rooted = materialize(nodes.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+        named = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-named")
+        of_print = materialize(rooted.join(named, "root").select("fp", "component_id"), "simhash-of-print", outlive=True)
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
