@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm.common import documents, materialize, table
+from strataline.llm.common import documents, materialize, table, temporary
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -49,11 +49,18 @@ def _key(k: int, at: Column, w: Column) -> Column:
     return F.xxhash64(*(F.get(w, at + j) for j in range(k)))
 
 
+def _text(docs: DataFrame) -> tuple[Column, Column]:
+    """The text, and its hash: what is found depends on the text alone, so copies share their hits."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return text.alias("text"), F.unhex(F.md5(text)).alias("row")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, broadcast_keys: int = 500_000) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    rows = materialize(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")), "decon-docs")
-    hits = matched(rows, benchmark, window, shingle, broadcast_keys)
-    counted = rows.select("row", "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(hits, "row", "left")
+    text, row = _text(docs)
+    with temporary(docs.sparkSession):
+        hits = materialize(matched(docs.select(row, text), benchmark, window, shingle, broadcast_keys), "decon-hits", outlive=True)
+    counted = docs.select(row, "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(hits, "row", "left")
     none = F.sha2(F.lit(""), 256)
     return counted.select(
         "doc_id",
@@ -66,7 +73,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 
 
 def matched(rows: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, broadcast_keys: int = 500_000) -> DataFrame:
-    """rows: row (a distinct number), text. Per row with a hit: row, n_hit, n_items, items_sha256."""
+    """rows: row (equal for equal texts), text. Per distinct row with a hit: row, n_hit, n_items, items_sha256."""
     of_item = materialize(item_windows(benchmark, window).withColumn("window_id", F.xxhash64(F.concat_ws(" ", "win"))), "decon-items")
     windows = of_item.groupBy("win").agg(F.min("window_id").alias("window_id"))
     k_of = F.least(F.lit(shingle), F.size("win"))
@@ -92,7 +99,7 @@ def matched(rows: DataFrame, benchmark: DataFrame, window: int = 10, shingle: in
         one = at.join(F.broadcast(own) if n <= broadcast_keys else own, "key").select(F.lit(k).alias("k"), "key", "row", "pos", "n_words")
         found = one if found is None else found.unionByName(one)
     if found is None:
-        return rows.sparkSession.createDataFrame([], "row long, n_hit long, n_items long, items_sha256 string")
+        return rows.sparkSession.createDataFrame([], "row binary, n_hit long, n_items long, items_sha256 string")
     found = materialize(found, "decon-found")
 
     #: 2. The rarest shingle of each window; starts that leave room.
@@ -103,12 +110,15 @@ def matched(rows: DataFrame, benchmark: DataFrame, window: int = 10, shingle: in
     prefix = materialize(prefix, "decon-prefix")
     start = F.col("pos") - F.col("offset")
     proposed = found.join(prefix, ["k", "key"]).filter((start >= 0) & (start + F.size("win") <= F.col("n_words"))).select("row", start.alias("start"), "win")
-    per_row = materialize(proposed.groupBy("row").agg(F.collect_list(F.struct("start", "win")).alias("starts")), "decon-starts")
+    per_row = materialize(proposed.groupBy("row").agg(F.collect_set(F.struct("start", "win")).alias("starts")), "decon-starts")
 
     #: 3. Word by word.
     texts = rows.join(per_row, "row").select("row", "starts", words(F.col("text")).alias("w"))
-    true = texts.select("row", F.array_sort(F.filter("starts", lambda s: F.slice(F.col("w"), s["start"] + 1, F.size(s["win"])) == s["win"])).alias("starts")).filter(F.size("starts") > 0)
+    # The words stand in an array of one, so that they are bound once a row and not cut anew for each start.
+    right = F.get(F.transform(F.array("w"), lambda w: F.filter("starts", lambda s: F.slice(w, s["start"] + 1, F.size(s["win"])) == s["win"])), F.lit(0))
+    true = texts.select("row", F.array_sort(right).alias("starts")).filter(F.size("starts") > 0)
     true = materialize(true, "decon-verified")
+    true = materialize(true.groupBy("row").agg(F.first("starts").alias("starts")), "decon-verified")
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     cover = F.aggregate("starts", zero, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["start"] + F.size(s["win"]) - F.greatest(a["end"], s["start"]))).alias("n"), F.greatest(a["end"], s["start"] + F.size(s["win"])).alias("end")))
     covered = true.select("row", cover["n"].cast("long").alias("n_hit"))
@@ -118,15 +128,16 @@ def matched(rows: DataFrame, benchmark: DataFrame, window: int = 10, shingle: in
     return covered.join(named, "row")
 
 
-def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
-
-
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
     """The rows of docs, all columns, that hold no window of the benchmark."""
-    row = "sl_row"
-    while row in (c.lower() for c in docs.columns):
-        row += "_"
-    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decon-rows")
-    hits = materialize(matched(rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")), benchmark, window, shingle).select(F.col("row").alias(row)), "decon-drop")
-    return rows.join(hits, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    name = "sl_row"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    text, row = _text(docs)
+    with temporary(docs.sparkSession):
+        hits = materialize(matched(docs.select(row, text), benchmark, window, shingle).select(F.col("row").alias(name)), "decon-drop", outlive=True)
+    return docs.withColumn(name, row).join(hits, name, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
