@@ -196,7 +196,8 @@ def rank_sum(micro: DataFrame, macro: DataFrame, fraction: float = 1.0, keep: st
     return top_fraction(out, fraction, falling=keep != "best")
 
 
-def positional(micro: DataFrame, macro: DataFrame, n: int, similarity: float = 100.0) -> DataFrame:
-    """The first n rows of both sets by id, paired in order."""
+def positional(micro: DataFrame, macro: DataFrame, fraction: float, similarity: float = 100.0) -> DataFrame:
+    """The first trunc(n * fraction) rows of both sets by id, n the size of the smaller, paired in order."""
+    n = int(min(micro.count(), macro.count()) * fraction)
     nth = lambda d, name: d.orderBy("id").limit(n).select(F.col("id").alias(name), F.row_number().over(Window.orderBy("id")).alias("k"))
     return nth(micro, "micro_id").join(nth(macro, "macro_id"), "k").select("micro_id", "macro_id", F.lit(similarity).alias("similarity"))

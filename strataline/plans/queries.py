@@ -215,9 +215,9 @@ def fake_match(spark, sf):
 
 
 @query(f"""WITH {_HEAD3}, a AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM mi), b AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM ma)
-SELECT a.id AS micro_id, b.id AS macro_id, 100.0::DOUBLE AS similarity FROM a JOIN b USING (k) WHERE k <= 25""")
+SELECT a.id AS micro_id, b.id AS macro_id, 100.0::DOUBLE AS similarity FROM a JOIN b USING (k) WHERE k <= trunc(0.25 * least((SELECT count(*) FROM mi), (SELECT count(*) FROM ma)))""")
 def positional_match(spark, sf):
-    return matching.positional(*_vectors(spark, sf), 25)
+    return matching.positional(*_vectors(spark, sf), 0.25)
 
 
 @query("""SELECT label, round(avg(CAST(embedding[1] AS DOUBLE)), 9) AS cx, round(avg(CAST(embedding[2] AS DOUBLE)), 9) AS cy, round(avg(CAST(embedding[3] AS DOUBLE)), 9) AS cz,
