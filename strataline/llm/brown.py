@@ -2,19 +2,19 @@
 
 Words are bytes between ASCII white space with A-Z in lower case; each text ends in an end token. The model is
 
-    P(w | h) = P(class(w) | class of the token before) * P(w | class(w))
+    P(w | h) = P(class(w) | classes of the two tokens before) * P(w | class(w))
 
 * Every word belongs to a unit: the `heads` most frequent words are units of their own, all others share one of
   `affixes` units by a hash of their last three bytes. Exchange clustering moves units between classes as long as the
   class-bigram likelihood grows; its input, the unit-bigram counts of the whole training part, is at most
   (heads + affixes + 1)^2 numbers whatever the corpus.
-* Transitions: class bigrams and unigrams of the whole training part, interpolated by Witten-Bell.
+* Transitions: class trigrams, bigrams and unigrams of the whole training part, interpolated by Witten-Bell.
 * Emissions: exact counts of every training word, discounted by d (from the counts of counts); what is taken from a
   class's words is the probability of the class's unknown word. All sums over a history are 1, with one unknown word
   for each class.
 
-Counts are gathered over every training text: words by a hash aggregation of per-task sums, unit bigrams likewise
-(the class bigrams are sums of those). For scoring, the words most often seen (`lookup` at most, so the table sent out is bounded) are
+Counts are gathered over every training text: words by a hash aggregation of per-task sums, unit bigrams and class
+trigrams likewise. For scoring, the words most often seen (`lookup` at most, so the table sent out is bounded) are
 looked up in place; all others meet their counts in a join, and only their sums return to the document.
 
 Defined results: a null text is empty; an empty text is its end token; a null doc_id is scored and never trains;
@@ -40,7 +40,7 @@ from strataline.llm.common import documents, id_remainder, materialize, small_ba
 
 END = b"\n"  # no word holds white space
 HEADS, AFFIXES, CLASSES, LOOKUP = 2048, 512, 64, 1 << 17
-MERGE_AT = 1_000_000  # keys a task holds before it merges them
+MERGE_AT = 500_000  # keys a task holds before it merges them
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -59,7 +59,7 @@ class Units(dict):
 
     def __missing__(self, word: bytes) -> int:
         u = self.affix(word)
-        if len(self) < 400_000:
+        if len(self) < 200_000:
             self[word] = u
         return u
 
@@ -84,7 +84,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 counts.update(tokens(t))
-            if len(counts) > 250_000:
+            if len(counts) > 150_000:
                 yield out()
                 counts.clear()
         if counts:
@@ -145,11 +145,32 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return u, np.add.reduceat(c[by], first) if len(u) else c
 
 
-def bigram_keys(c: np.ndarray, first: np.ndarray, boundary: int) -> np.ndarray:
-    """(class before, class) as one number in base boundary + 1; before a text stands the boundary."""
-    before = np.concatenate([[boundary], c[:-1]])
-    before[first] = boundary
-    return before * (boundary + 1) + c
+def class_trigrams(docs: DataFrame, units: Units, classes: np.ndarray) -> DataFrame:
+    """key, c: class trigrams as `trigram_keys` numbers them."""
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((units, classes)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, cls = pickle.loads(sent.value)
+        boundary = int(cls[-1])
+        sums = np.zeros((boundary + 1) ** 3, np.int64)
+        for b in batches:
+            lists = [tokens(t) for t in b.column(0).to_pylist()]
+            c = cls[np.fromiter(map(own.__getitem__, chain.from_iterable(lists)), np.int64)]
+            sums += np.bincount(trigram_keys(c, np.cumsum([0, *map(len, lists[:-1])]), boundary), minlength=len(sums))
+        keys = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[keys])], ["key", "c"])
+
+    return _texts(docs).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def trigram_keys(c: np.ndarray, first: np.ndarray, boundary: int) -> np.ndarray:
+    """(class two before, class before, class) as one number in base boundary + 1; before a text stand boundaries."""
+    base = boundary + 1
+    one = np.concatenate([[boundary], c[:-1]])
+    one[first] = boundary
+    two = np.concatenate([[boundary], one[:-1]])
+    two[first] = boundary
+    return (two * base + one) * base + c
 
 
 # ------------------------------------------------------------------------------------------------------- clustering
@@ -217,7 +238,7 @@ def exchange(counts: np.ndarray, n_classes: int, passes: int = 8) -> np.ndarray:
 class Model:
     units: Units
     classes: np.ndarray  # of each unit; the boundary last
-    steps: np.ndarray  # log10 P(class | class before), flat in base CLASSES + 1
+    steps: np.ndarray  # log10 P(class | two before), flat in base CLASSES + 1
     discount: float
     log_class: np.ndarray  # log10 of the tokens in a class
     log_unknown: np.ndarray  # log10 of what the discount took from a class (at least a half)
@@ -228,13 +249,18 @@ class Model:
 
 
 def transitions(cells: np.ndarray) -> np.ndarray:
-    """cells[one, c] counts -> log10 of interpolated probabilities, flat; c ranges over all but the boundary."""
+    """cells[two, one, c] counts -> log10 of interpolated probabilities, flat; c ranges over all but the boundary."""
     n = len(cells) - 1
-    own = cells[:, :n].astype(float)
-    p1 = (own.sum(0) + 0.5) / (own.sum() + 0.5 * n)
-    kinds = np.maximum((own > 0).sum(1, keepdims=True), 1)
-    out = np.zeros((n + 1, n + 1))
-    out[:, :n] = np.log10((own + kinds * p1) / (own.sum(1, keepdims=True) + kinds))
+    own = cells[:, :, :n].astype(float)
+    uni = own.sum((0, 1))
+
+    def mixed(c: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        kinds = np.maximum((c > 0).sum(-1, keepdims=True), 1)
+        return (c + kinds * lower) / (c.sum(-1, keepdims=True) + kinds)
+
+    p2 = mixed(own.sum(0), (uni + 0.5) / (uni.sum() + 0.5 * n))
+    out = np.zeros(cells.shape)
+    out[:, :, :n] = np.log10(mixed(own, p2[None]))
     return out.reshape(-1)
 
 
@@ -252,9 +278,11 @@ def train(docs: DataFrame, heads: int = HEADS, affixes: int = AFFIXES, n_classes
     for keys, c in _packed(unit_bigrams(docs, units, n_units)):
         cells.reshape(-1)[keys] += c  # each key comes once
     classes = exchange(cells, n_classes)
-    one = np.eye(n_classes + 1)[classes]
-    table = one.T @ cells @ one
     del cells
+    base = n_classes + 1
+    three = np.zeros(base**3)
+    for keys, c in _packed(class_trigrams(docs, units, classes)):
+        three[keys] += c
 
     n1, n2 = dict(by_count).get(1, 0), dict(by_count).get(2, 0)
     discount = n1 / (n1 + 2 * n2) if n1 else 0.5
@@ -263,7 +291,7 @@ def train(docs: DataFrame, heads: int = HEADS, affixes: int = AFFIXES, n_classes
     # Unknown words of a class: what the discount took; of a class without words, all.
     log_unknown = np.log10(np.where(kinds_of > 0, discount * kinds_of, 1.0))
     known = {w: (k, int(classes[units[w]])) for k, (w, _) in enumerate(often)}
-    return Model(units, classes, transitions(table), discount, log_class, log_unknown, known, np.array([c for _, c in often], np.int64), total, distinct), counts
+    return Model(units, classes, transitions(three.reshape(base, base, base)), discount, log_class, log_unknown, known, np.array([c for _, c in often], np.int64), total, distinct), counts
 
 
 def _packed(sums: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -325,7 +353,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             at = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
             first = np.cumsum(n) - n
             cls = np.where(at >= 0, classes_of[np.maximum(at, 0)] if len(classes_of) else 0, -at - 1)
-            steps = m.steps[bigram_keys(cls, first, base - 1)] - m.log_class[cls]
+            steps = m.steps[trigram_keys(cls, first, base - 1)] - m.log_class[cls]
             head = at >= 0
             emit = steps + np.where(head, seen_emit[np.maximum(at, 0)] if len(seen_emit) else 0.0, 0.0)
             logs = np.where(head, seen_log[np.maximum(at, 0)] if len(seen_log) else 0.0, 0.0)
@@ -374,7 +402,7 @@ class Places(dict):
 
     def __init__(self, places: dict[bytes, int], units: Units, classes: np.ndarray):
         super().__init__(places)
-        self.units, self.classes, self.room = units, classes, len(places) + 300_000
+        self.units, self.classes, self.room = units, classes, len(places) + 100_000
 
     def __missing__(self, word: bytes) -> int:
         p = -1 - int(self.classes[self.units.affix(word)])
