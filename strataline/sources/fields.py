@@ -1,8 +1,9 @@
 """Scalar fields over a grid's box: analytic ones as column expressions, stored ones as voxel tables.
 
 A field gives its values to rows with x, y, z in two ways: `attach` adds a column by expressions and joins, for any size;
-`evaluator` gives a picklable numpy function for Arrow batches, which for a stored volume means shipping the volume,
-so it refuses volumes beyond `ship_limit` bytes.
+`evaluator` gives a picklable numpy function for Arrow batches. For a stored volume, that means a copy in every Python
+worker, so it refuses volumes beyond `ship_limit` bytes; or, with `raw_path`, a memory-mapped raw file (16 bits, x
+fastest) at a path that all executors mount, whose pages a machine's workers share.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.functions import exprs as E
+from strataline.runtime import ship
 from strataline.types import Geometry
 
 
@@ -50,7 +53,8 @@ class GridField:
 
     geometry: Geometry
     table: DataFrame
-    ship_limit: int = 2 << 30
+    ship_limit: int = 256 << 20
+    raw_path: str | None = None
 
     def attach(self, points: DataFrame, out: str = "value") -> DataFrame:
         """The eight corners meet the voxels in an equality join, so the volume may be of any size."""
@@ -73,15 +77,24 @@ class GridField:
 
     def evaluator(self) -> Callable[[np.ndarray], np.ndarray]:
         g = self.geometry
+        if self.raw_path:
+            return _Trilinear(None, g, self.raw_path)
         if 4 * g.count > self.ship_limit:
-            raise ValueError("the volume is too large to ship to every executor; use attach()")
+            raise ValueError("the volume is too large to ship to every executor; use attach() or a raw_path")
         spark = self.table.sparkSession
+        ship(spark)
         a, b, c = g.dims
-        flat = np.zeros(g.count, np.float32)
-        for r in self.table.select("x", "y", "z", "v").toPandas().itertuples(index=False):
-            flat[(r.z * b + r.y) * a + r.x] = r.v
-        sent = spark.sparkContext.broadcast(flat)
-        return _Trilinear(sent, g)
+
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            out = np.zeros(a * b, "<f4")
+            out[rows["at"].to_numpy()] = rows["v"].to_numpy()
+            return pd.DataFrame({"z": [int(key[0])], "payload": [out.tobytes()]})
+
+        slabs = self.table.select("z", (F.col("y") * a + F.col("x")).cast("int").alias("at"), F.col("v").cast("float").alias("v")).groupBy("z").applyInPandas(run, "z int, payload binary")
+        flat = np.zeros((c, a * b), np.float32)
+        for r in slabs.toLocalIterator():
+            flat[r.z] = np.frombuffer(r.payload, "<f4")
+        return _Trilinear(spark.sparkContext.broadcast(flat.reshape(-1)), g)
 
 
 def _product(factors: list[Column]) -> Column:
@@ -92,10 +105,12 @@ def _product(factors: list[Column]) -> Column:
 class _Trilinear:
     volume: object
     geometry: Geometry
+    raw_path: str | None = None
 
     def __call__(self, p: np.ndarray) -> np.ndarray:
         a, b, _ = self.geometry.dims
-        v, top = self.volume.value, np.array(self.geometry.dims) - 1
+        v = np.memmap(self.raw_path, "<u2", "r", shape=(self.geometry.count,)) if self.raw_path else self.volume.value
+        top = np.array(self.geometry.dims) - 1
         f = np.clip(p / np.array(self.geometry.spacing), 0, top)
         low = np.floor(f).astype(np.int64)
         high, s = np.minimum(low + 1, top), f - low

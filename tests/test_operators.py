@@ -181,6 +181,8 @@ def test_volume_round_trip_clamps(spark, tmp_path):
     g = Geometry((1.0,) * 3, (3, 2, 2))
     f = mocks.constant(g).voxels(spark).withColumn("value", F.col("x") * 40000 - 5)
     metaimage.write_volume(f, g, str(tmp_path / "out"))
+    mapped = GridField(g, f, raw_path=str(tmp_path / "out.raw")).evaluator()
+    assert mapped(np.array([[1.0, 0, 0], [0.5, 1, 1]])).tolist() == [39995, 39995 / 2]
     _, table = metaimage.read_volume(spark, str(tmp_path / "out.mhd"), str(tmp_path / "out.raw"))
     assert {(r.x, r.v) for r in table.collect()} == {(0, 0), (1, 39995), (2, 65535)}
     (tmp_path / "bad.mhd").write_text(metaimage.header_text(g, "out.raw", "MET_FLOAT"))
