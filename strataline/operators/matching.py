@@ -36,9 +36,7 @@ def _blocks(vectors: DataFrame, column: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([len(flat) // b.num_rows], pa.int32())], ["ids", "m", "dim"])
 
     spark = vectors.sparkSession
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    ship(spark, BLOCK)
     out = vectors.select(F.col("id").cast("long"), F.col(column).cast("array<double>")).mapInArrow(run, _BLOCK)
     return out
 

@@ -13,9 +13,14 @@ ROOT = Path(__file__).resolve().parent.parent
 _SHIPPED: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
-    """Once an application: by path in local mode, as a zip of the package on a cluster whose workers don't have the path."""
+def ship(spark: SparkSession, batch_rows: int = 10_000) -> None:
+    """Once an application: by path in local mode, as a zip of the package on a cluster whose workers don't have the path.
+
+    Also sets how many rows the Arrow batches of what is made next hold, at most, and bounds their bytes.
+    """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
