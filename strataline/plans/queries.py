@@ -535,17 +535,17 @@ def segmented_argmax(spark, sf):
     return sampling.best_per_cell(points, mocks.sphere(), 40).select("cell", "id", _r("variance").alias("variance"))
 
 
-@query(f"""WITH s AS (SELECT c_nationkey, x, y, z, x * 2 - y * 3 + 0.5 * z + sin(x) AS value FROM (SELECT c_nationkey, c_acctbal / 1000 AS x, (c_custkey * 7 % 101) / 10.0 AS y, (c_custkey * 3 % 89) / 10.0 AS z FROM customer) q),
-m AS (SELECT c_nationkey, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, covar_pop(x, value) AS xv, covar_pop(y, value) AS yv, covar_pop(z, value) AS zv FROM s GROUP BY 1),
+@query(f"""WITH s AS (SELECT c_mktsegment, x, y, z, x * 2 - y * 3 + 0.5 * z + sin(x) AS value FROM (SELECT c_mktsegment, c_acctbal / 1000 AS x, (c_custkey * 7 % 101) / 10.0 AS y, (c_custkey * 3 % 89) / 10.0 AS z FROM customer) q),
+m AS (SELECT c_mktsegment, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, covar_pop(x, value) AS xv, covar_pop(y, value) AS yv, covar_pop(z, value) AS zv FROM s GROUP BY 1),
 d AS (SELECT *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det FROM m)
-SELECT c_nationkey, round((xv * (yy * zz - yz * yz) - xy * (yv * zz - yz * zv) + xz * (yv * yz - yy * zv)) / det, 6) AS gx, round((xx * (yv * zz - yz * zv) - xv * (xy * zz - yz * xz) + xz * (xy * zv - yv * xz)) / det, 6) AS gy,
+SELECT c_mktsegment, round((xv * (yy * zz - yz * yz) - xy * (yv * zz - yz * zv) + xz * (yv * yz - yy * zv)) / det, 6) AS gx, round((xx * (yv * zz - yz * zv) - xv * (xy * zz - yz * xz) + xz * (xy * zv - yv * xz)) / det, 6) AS gy,
 round((xx * (yy * zv - yv * yz) - xy * (xy * zv - yv * xz) + xv * (xy * yz - yy * xz)) / det, 6) AS gz FROM d""")
 def linear_gradient_fit(spark, sf):
     k = F.col("c_custkey")
-    s = _t(spark, sf, "customer").select("c_nationkey", (F.col("c_acctbal") / 1000).alias("x"), ((k * 7 % 101) / 10.0).alias("y"), ((k * 3 % 89) / 10.0).alias("z"))
+    s = _t(spark, sf, "customer").select("c_mktsegment", (F.col("c_acctbal") / 1000).alias("x"), ((k * 7 % 101) / 10.0).alias("y"), ((k * 3 % 89) / 10.0).alias("z"))
     s = s.withColumn("value", F.col("x") * 2 - F.col("y") * 3 + 0.5 * F.col("z") + F.sin("x"))
-    out = features.linear_fit(s, ["c_nationkey"])
-    return out.select("c_nationkey", *(_r(c).alias(c) for c in ("gx", "gy", "gz")))
+    out = features.linear_fit(s, ["c_mktsegment"])
+    return out.select("c_mktsegment", *(_r(c).alias(c) for c in ("gx", "gy", "gz")))
 
 
 _QUAD = [f"(p_size % {m} + 1) * {w}" for m, w in ((7, 0.11), (5, 0.07), (3, 0.13), (4, 0.02), (6, 0.03), (8, 0.01), (9, 0.2), (10, 0.1), (11, 0.05))]
