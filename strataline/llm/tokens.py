@@ -21,7 +21,7 @@ from array import array
 
 import numpy as np
 
-ROOM = 600_000  # pieces remembered by a Python worker
+ROOM = 500_000  # pieces remembered by a Python worker
 _ODD = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0]")
 _STOP_APART = re.compile(r"[.,](?<![^\W_][.,])")
 _PROBES = ("a b", "A.\nB c", "l'a 12 3", "It's, it'll.'s", "É$a% &b", "' s 't", "a_.b __c", "x2y.. (z)", "don't!!\nno")
