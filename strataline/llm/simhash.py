@@ -32,6 +32,7 @@ from strataline.llm.components import components
 
 SEED = 42
 PAIR_CAP = 32
+SAME_CAP = 8
 BIT_OF = (np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1
 
 
@@ -90,15 +91,20 @@ def _variants(nodes: DataFrame) -> DataFrame:
 def close_pairs(nodes: DataFrame, pair_cap: int = PAIR_CAP, bits: int = 2) -> DataFrame:
     """nodes (id long, fp long; ids distinct) -> (a, b), a < b: links at `bits` (2 or 3) or fewer differing bits.
 
-    Every pair of a bucket up to `pair_cap`. In larger ones, with two bits, links that connect the same nodes; with three
-    bits, links at three bits or fewer of nodes that share a cell, which leaves out pairs whose three bits all lie in one segment.
+    Every pair of a bucket up to `pair_cap`. In larger ones, with two bits, links that connect the same nodes as all pairs
+    would. With three bits, where links are candidates for a better measure, each node of a large plain bucket is linked
+    to the one nearest to the bucket's majority of bits, most likely what the others were copied from, at any distance.
+    Nodes of a fingerprint that more than `SAME_CAP` share are linked to the least of them, which stands for them from there on.
     """
     if bits not in (2, 3):
         raise ValueError("two segments leave at most one differing bit in one of them for two or three bits")
     spark = nodes.sparkSession
     with temporary(spark):
         parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        nodes = materialize(nodes.repartition(parts, "id"), "simhash-nodes")
+        nodes = materialize(nodes, "simhash-all")
+        crowded = materialize(nodes.groupBy("fp").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter(F.col("n") > SAME_CAP).select("fp", "a"), "simhash-crowded")
+        same = materialize(nodes.join(crowded, "fp").filter("a <> id").select("a", F.col("id").alias("b")), "simhash-same")
+        nodes = materialize(nodes.join(same.select(F.col("b").alias("id")), "id", "left_anti").repartition(parts, "id"), "simhash-nodes")
         # n counts in the upper half, the nodes on side 1 in the lower.
         sums = _variants(nodes).groupBy("key").agg(F.sum(F.lit(1 << 32) + F.col("side")).alias("s"), F.min("id").alias("a"), F.max("id").alias("b"))
         n, ones = F.shiftrightunsigned("s", 32), F.col("s").bitwiseAND(F.lit(_LOW))
@@ -115,16 +121,17 @@ def close_pairs(nodes: DataFrame, pair_cap: int = PAIR_CAP, bits: int = 2) -> Da
         other = few.select("key", F.col("id").alias("b"), F.col("fp").alias("fp_b"), F.col("side").alias("side_b"))
         across = (F.shiftrightunsigned("key", 32) % 33 == 0) | (F.col("side") != F.col("side_b"))
         pairs = few.join(other, "key").filter((F.col("id") < F.col("b")) & across & near("fp", "fp_b")).select(F.col("id").alias("a"), "b")
-        stars = _crowds(entries.filter(F.col("n") > pair_cap), bits)
-        return materialize(twos.unionByName(pairs).unionByName(stars).distinct(), "simhash-pairs", outlive=True)
+        crowds = entries.filter(F.col("n") > pair_cap)
+        stars = _crowds(crowds) if bits == 2 else _hubs(crowds)
+        return materialize(same.unionByName(twos).unionByName(pairs).unionByName(stars).distinct(), "simhash-pairs", outlive=True)
 
 
-def _crowds(entries: DataFrame, bits: int) -> DataFrame:
-    """(a, b): each node linked to the least of every cell of its bucket that it shares. Nodes of a cell are two bits apart at most in the other segment."""
+def _crowds(entries: DataFrame) -> DataFrame:
+    """(a, b): each node linked to the least of every cell of its bucket that it shares."""
     number = F.shiftrightunsigned("key", 32)
     rest = F.when(number < 33, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(_LOW)))
     fewer = F.when(2 * F.col("ones") <= F.col("n"), F.lit(1)).otherwise(F.lit(0))
-    spread = F.lit(bits == 3) | (number % 33 == 0) | (F.col("side") == fewer)
+    spread = (number % 33 == 0) | (F.col("side") == fewer)
     zero = F.array(F.lit(0).cast("long"))
     flips = F.concat(zero, F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)))
     cells = entries.select("id", "key", rest.alias("rest"), F.explode(F.when(spread, flips).otherwise(zero)).alias("flip")).select("id", "key", F.col("rest").bitwiseXOR(F.col("flip")).alias("cell"))
@@ -133,6 +140,19 @@ def _crowds(entries: DataFrame, bits: int) -> DataFrame:
     return cells.join(least, ["key", "cell"]).filter("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
+def _hubs(entries: DataFrame) -> DataFrame:
+    """(a, b): each node of a plain bucket and the one nearest to its majority of bits (ties: the smaller id)."""
+    plain = entries.filter(F.shiftrightunsigned("key", 32) % 33 == 0).select("key", "id", "fp")
+    votes = plain.groupBy("key").agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1))).alias(f"v{k}") for k in range(64)))
+    middle = F.lit(0).cast("long")
+    for k in range(64):
+        middle = middle.bitwiseOR(F.when(2 * F.col(f"v{k}") > F.col("n"), F.lit((1 << k) - ((1 << 64) if k == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
+    votes = materialize(votes.select("key", middle.alias("middle")), "simhash-middles")
+    far = materialize(plain.join(votes, "key").select("key", "id", F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))).alias("far")), "simhash-far")
+    hubs = materialize(far.groupBy("key").agg(F.min(F.struct("far", "id")).alias("hub")).select("key", F.col("hub.id").alias("hub")), "simhash-hubs")
+    return far.join(hubs, "key").filter("hub <> id").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, pair_cap: int = PAIR_CAP) -> DataFrame:
     """doc_id, fp, component_id of every row."""
     prints = materialize(fingerprints(docs, size), "simhash-prints")
