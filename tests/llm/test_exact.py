@@ -364,3 +364,30 @@ def test_pipeline_dedup_finds_nearly_all_links_of_real_tables(spark):
     want = {names[g] for g in groups(len(names), lambda a, b: (a, b) in linked)}
     kept = {r.doc_id for r in neardedup.keep_one_of_each(docs).collect()}
     assert want <= kept and len(kept - want) <= 0.01 * len(kept)
+
+
+@pytest.mark.parametrize("cap", [3, 32])
+def test_nodes_that_share_fingerprints(spark, cap):
+    rng = np.random.default_rng(7)
+    base = [int(x) for x in rng.integers(-(2**62), 2**62, 3)]
+    fps = [b ^ (1 << int(rng.integers(0, 62))) if rng.random() < 0.3 else b for b in base for _ in range(30)]
+    nodes = spark.createDataFrame(list(enumerate(fps)), "id long, fp long")
+    for bits in (2, 3):
+        got = {r.node: r.root for r in components.components(simhash.close_pairs(nodes, cap, bits)).collect()}
+        assert [got.get(i, i) for i in range(len(fps))] == groups(len(fps), lambda a, b: ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 2)
+
+
+def test_a_crowd_of_near_copies_meets_its_original(spark, docs_of):
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 3000)}" for _ in range(150)]
+    texts = []
+    for k in range(120):
+        w = list(base)
+        for _ in range(2):
+            w[rng.randrange(150)] = f"new{k}x{rng.randint(0, 9999)}"
+        texts.append(" ".join(w))
+    texts.insert(60, " ".join(base))
+    sets = [neardedup.shingles(t) for t in texts]
+    near = {i for i in range(len(texts)) if neardedup.jaccard(sets[i], sets[60]) >= 0.8}
+    kept = {r.doc_id for r in neardedup.keep_one_of_each(docs_of(spark, texts)).collect()}
+    assert len(kept & near) == 1 and len(near) > 100
