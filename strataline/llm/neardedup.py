@@ -1,12 +1,19 @@
-"""Near-duplicate removal for the pipeline: SimHash candidates, 5-word shingles as the measure.
+"""Near-duplicate removal for the pipeline: SimHash first, then an exact join of 5-word shingles.
 
-Texts of the same words (case and white space aside) are one node. Four independent 64-bit fingerprints over a node's
-words, weighted by 1 + log of their count, each indexed by the deletion-variant signatures of `simhash`, propose pairs at three or fewer
-differing bits; a pair is a link if the Jaccard similarity of its sets of 5-word shingles is at least `similarity`. Of
-each component, the row with the smallest doc_id stays.
+Texts of the same words (case and white space aside) are one node. A pair of nodes is a link if the Jaccard similarity of
+their sets of 5-word shingles is at least `similarity`; of each component, the row with the smallest doc_id stays. Links
+are found in two passes:
 
-Words rather than shingles make the fingerprints because a changed word moves one of them but five of the shingles;
-plain counts would let the commonest words rule and crowd the buckets. A pair is lost only if all fingerprints miss it.
+    SimHash   Four independent 64-bit fingerprints over a node's words, weighted by 1 + log of their count, each indexed
+              by the deletion-variant signatures of `simhash`, propose pairs at three or fewer differing bits. This joins
+              most near copies at little cost, and misses some.
+    prefixes  All nodes again: of two sets that similar, the first n - ceil(similarity * n) + 1 shingles in any common
+              order share one. Nodes meet by these, and pairs that the first pass has not connected are kept by the bounds
+              of size, position and number of shared prefix shingles. None of these loses a link, so the components are
+              those of all pairs, whatever the first pass missed.
+
+The order of shingles puts those last that are common in a bounded sample of texts: it bears on the cost alone.
+Both passes verify their pairs on the texts.
 
 Defined results: null texts count as empty, and all texts without words are one group; a text of fewer words than a
 shingle is one shingle; repeated rows are copies; null doc_ids come last in choosing what stays; all columns are passed
@@ -15,6 +22,7 @@ on, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -25,11 +33,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import materialize, small_batches, temporary
+from strataline.llm.common import bounded_sample, materialize, small_batches, temporary
 from strataline.llm.components import components
 from strataline.llm.simhash import close_pairs, words
 
 PRINTS = 4  # an even number
+ORDER_SAMPLE, ORDER_SIZE = 10_000, 100_000  # texts that the order of shingles is taken from, shingles it places last
 
 
 def shingles(text: str | None, size: int = 5) -> set[bytes]:
@@ -95,6 +104,128 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int =
     return both.mapInArrow(run, "a long, b long")
 
 
+def _hashes(text: str | None) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(x) for x in shingles(text)], np.uint64).view(np.int64)
+
+
+def _common(docs: DataFrame) -> np.ndarray:
+    """Hashes of shingles that a sample of the texts repeats most, ascending in number."""
+    small_batches(docs.sparkSession, 500)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *map(_hashes, b.column(0).to_pylist())]))], ["key"])
+
+    few = bounded_sample(docs.select("doc_id", "text"), "doc_id", ORDER_SAMPLE).select(F.col("text").cast("string"))
+    counts = few.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "key").limit(ORDER_SIZE)
+    return np.array([r.key for r in counts.collect()][::-1], np.int64)
+
+
+def _least(similarity: float, n: int) -> int:
+    """The least number of shingles that a set of n shares with one that is similar."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def _prefixes(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, h, n, keys of every row with words: the number of its shingles, and the first of them in the common order."""
+    spark = docs.sparkSession
+    common = _common(docs)
+    by_hash = np.argsort(common)
+    sent = spark.sparkContext.broadcast((common[by_hash], by_hash + 1))
+    small_batches(spark, 500)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place = sent.value
+        for b in batches:
+            sizes, keys = [], []
+            for t in b.column(2).to_pylist():
+                own = _hashes(t)
+                rank = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, place[at], 0)
+                sizes.append(len(own))
+                keys.append(own[np.lexsort((own, rank))][: len(own) - _least(similarity, len(own)) + 1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "n", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select(*_keys(docs), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, h binary, n int, keys array<long>").filter("n > 0")
+
+
+def _meet(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, places: np.ndarray, similarity: float) -> Iterator[tuple]:
+    """(a, b, n_a, n_b) of the pairs of one bucket with different roots that may be similar, from each outside the largest root."""
+    names, inverse, counts = np.unique(roots, return_inverse=True, return_counts=True)
+    large = inverse == counts.argmax()
+    rank = np.where(large, len(ids), np.arange(len(ids)))  # whom each meets: those of higher rank
+    for i in np.flatnonzero(~large):
+        n, at = sizes[i], places[i]
+        able = (rank > i) & (roots != roots[i]) & (np.minimum(sizes, n) >= similarity * np.maximum(sizes, n) - 1e-9)
+        j = np.flatnonzero(able)
+        shared = np.minimum(places[j], at) + 1 + np.minimum(sizes[j] - places[j], n - at) - 1
+        j = j[shared >= similarity / (1 + similarity) * (sizes[j] + n) - 1e-9]
+        if len(j):
+            first = ids[j] > ids[i]
+            yield np.where(first, ids[i], ids[j]), np.where(first, ids[j], ids[i]), np.where(first, n, sizes[j]), np.where(first, sizes[j], n)
+
+
+def unconnected_pairs(entries: DataFrame, similarity: float) -> DataFrame:
+    """entries (key, id, root, n, place) -> (a, b): all pairs of different roots that may be similar."""
+    spark = entries.sparkSession
+    small_batches(spark, 10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows)], ["a", "b", "n_a", "n_b"])
+
+        def pairs(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.concatenate([[True], c[0][1:] != c[0][:-1]]))
+            ends = np.append(starts[1:], len(c[0]))
+            mixed = np.minimum.reduceat(c[2], starts) != np.maximum.reduceat(c[2], starts)
+            rows, held = [], 0
+            for x, y in zip(starts[mixed].tolist(), ends[mixed].tolist()):
+                for some in _meet(*(v[x:y] for v in c[1:]), similarity):
+                    rows.append(some)
+                    held += len(some[0])
+                    if held > 50_000:
+                        yield out(rows)
+                        rows, held = [], 0
+            if rows:
+                yield out(rows)
+
+        # The last bucket of a batch may go on in the next.
+        kept: list[list[np.ndarray]] = []
+        for b in batches:
+            c = [v.to_numpy().astype(np.int64) for v in b.columns]
+            last = int(np.searchsorted(c[0], c[0][-1])) if len(c[0]) else 0
+            if not len(c[0]):
+                continue
+            if kept and (last or kept[0][0][0] != c[0][0]):
+                whole = [np.concatenate(v) for v in zip(*kept, [v[:last] for v in c])]
+                kept = []
+                yield from pairs(whole)
+            elif last:
+                yield from pairs([v[:last] for v in c])
+            kept.append([v[last:] for v in c])
+        if kept:
+            yield from pairs([np.concatenate(v) for v in zip(*kept)])
+
+    sorted_entries = entries.select("key", "id", "root", "n", "place").repartition("key").sortWithinPartitions("key")
+    met = materialize(sorted_entries.mapInArrow(run, "a long, b long, n_a long, n_b long"), "dedup-met")
+    beyond = lambda n: F.ceil(F.lit(similarity) * F.col(n) - 1e-9) - 1  # noqa: E731  shingles outside the prefix
+    sums = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    enough = F.col("c") + F.greatest(beyond("n_a"), beyond("n_b")) >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    return sums.filter(enough).select("a", "b")
+
+
+def _links(docs: DataFrame, named: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The similar ones of pairs (a, b) of nodes (id, doc, h), verified on the texts of docs."""
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    ends = materialize(named.join(ends, "id", "left_semi"), "dedup-ends")
+    own = docs.select(F.col("doc_id").alias("own"), _keys(docs)[1].alias("own_h"), F.col("text").cast("string").alias("text"))
+    texts = own.join(ends, (F.col("own_h") == F.col("h")) & F.col("own").eqNullSafe(F.col("doc"))).select("id", "text").dropDuplicates(["id"])
+    return materialize(verified(pairs, materialize(texts, "dedup-texts"), similarity), "dedup-links")
+
+
 def stays(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, h, times of the row that stays of each group: its key, and how many rows have that key."""
     spark = docs.sparkSession
@@ -109,12 +240,19 @@ def stays(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
             found = close_pairs(nodes.select("id", F.col(f"fp{k}").alias("fp")), bits=3)
             pairs = found if pairs is None else pairs.unionByName(found)
         pairs = materialize(pairs.distinct(), "dedup-candidates")
-        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        ends = materialize(nodes.select("id", F.col("first.key.doc").alias("doc"), F.col("first.key.h").alias("h")).join(ends, "id", "left_semi"), "dedup-ends")
-        own = docs.select(F.col("doc_id").alias("own"), _keys(docs)[1], F.col("text").cast("string").alias("text"))
-        texts = own.join(ends, (own["h"] == ends["h"]) & own["own"].eqNullSafe(ends["doc"])).select("id", "text").dropDuplicates(["id"])
-        roots = components(materialize(verified(pairs, materialize(texts, "dedup-texts"), similarity), "dedup-links"))
-        of_node = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("first", F.coalesce("root", "id").alias("root"))
+        named = nodes.select("id", F.col("first.key.doc").alias("doc"), F.col("first.key.h").alias("h"))
+        roots = components(_links(docs, named, pairs, similarity))
+        rooted = named.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "doc", "h", F.coalesce("root", "id").alias("root"))
+        rooted = materialize(rooted, "dedup-rooted")
+        own = _prefixes(docs, similarity).withColumnRenamed("doc_id", "own").withColumnRenamed("h", "own_h")
+        met = own.join(rooted, (F.col("own_h") == F.col("h")) & F.col("own").eqNullSafe(F.col("doc")))
+        entries = materialize(met.select("id", "root", "n", F.posexplode("keys").alias("place", "key")), "dedup-entries")
+        pairs = materialize(unconnected_pairs(entries, similarity), "dedup-unconnected")
+        of = rooted.select("id", "root")
+        more = _links(docs, named, pairs, similarity).join(of.select(F.col("id").alias("a"), F.col("root").alias("u")), "a")
+        more = components(more.join(of.select(F.col("id").alias("b"), F.col("root").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b")))
+        final = of.join(more.select(F.col("node").alias("root"), F.col("root").alias("final")), "root", "left").select("id", F.coalesce("final", "root").alias("root"))
+        of_node = nodes.join(final, "id").select("first", "root")
         kept = of_node.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.key.doc").alias("doc"), F.col("f.key.h").alias("h"), F.col("f.times").alias("times"))
         return materialize(kept, "dedup-stay", outlive=True)
 

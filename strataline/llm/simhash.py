@@ -92,7 +92,7 @@ def close_pairs(nodes: DataFrame, pair_cap: int = PAIR_CAP, bits: int = 2) -> Da
     """nodes (id long, fp long; ids distinct) -> (a, b), a < b: links at `bits` (2 or 3) or fewer differing bits.
 
     Every pair of a bucket up to `pair_cap`. In larger ones, with two bits, links that connect the same nodes as all pairs
-    would. With three bits, where links are candidates for a better measure, each node of a large plain bucket is linked
+    would. With three bits, where links are a first pass before an exact join (`neardedup`), each node of a large plain bucket is linked
     to the one nearest to the bucket's majority of bits, most likely what the others were copied from, at any distance.
     Nodes of a fingerprint that more than `SAME_CAP` share are linked to the least of them, which stands for them from there on.
     """

@@ -391,3 +391,22 @@ def test_a_crowd_of_near_copies_meets_its_original(spark, docs_of):
     near = {i for i in range(len(texts)) if neardedup.jaccard(sets[i], sets[60]) >= 0.8}
     kept = {r.doc_id for r in neardedup.keep_one_of_each(docs_of(spark, texts)).collect()}
     assert len(kept & near) == 1 and len(near) > 100
+
+
+def stay_by_brute_force(texts):
+    """The first of each component of all pairs at 0.8 and more."""
+    sets = [neardedup.shingles(t) for t in texts]
+    return set(groups(len(texts), lambda a, b: neardedup.jaccard(sets[a], sets[b]) >= 0.8))
+
+
+def test_dedup_of_a_crowd_of_a_thousand(spark, docs_of):
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 3000)}" for _ in range(150)]
+    texts = []
+    for k in range(1200):
+        w = list(base)
+        for at in rng.sample(range(150), 3):
+            w[at] = f"new{k}x{at}"
+        texts.append(" ".join(w))
+    texts.append(" ".join(base))
+    assert {r.doc_id for r in neardedup.keep_one_of_each(docs_of(spark, texts)).collect()} == stay_by_brute_force(texts)
