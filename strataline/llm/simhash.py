@@ -94,7 +94,8 @@ def close_pairs(nodes: DataFrame, pair_cap: int = PAIR_CAP, bits: int = 2) -> Da
     Every pair of a bucket up to `pair_cap`. In larger ones, with two bits, links that connect the same nodes as all pairs
     would. With three bits, where links are a first pass before an exact join (`neardedup`), each node of a large plain bucket is linked
     to the one nearest to the bucket's majority of bits, most likely what the others were copied from, at any distance.
-    Nodes of a fingerprint that more than `SAME_CAP` share are linked to the least of them, which stands for them from there on.
+    Nodes of a fingerprint that more than `SAME_CAP` share are linked to the least of them, which stands for
+    them from there on: with two bits they are one component anyway, with three the exact join finds what this leaves out.
     """
     if bits not in (2, 3):
         raise ValueError("two segments leave at most one differing bit in one of them for two or three bits")

@@ -410,3 +410,18 @@ def test_dedup_of_a_crowd_of_a_thousand(spark, docs_of):
         texts.append(" ".join(w))
     texts.append(" ".join(base))
     assert {r.doc_id for r in neardedup.keep_one_of_each(docs_of(spark, texts)).collect()} == stay_by_brute_force(texts)
+
+
+def test_dedup_of_texts_of_the_same_words(spark, docs_of):
+    rng = random.Random(10)
+    lines = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(12)) for _ in range(20)]
+    texts = []
+    for k in range(20):
+        rng.shuffle(lines)
+        w = " ".join(lines).split()
+        texts.append(" ".join(w))
+        w[rng.randrange(len(w))] = f"new{k}"
+        texts.append(" ".join(w))
+    want = stay_by_brute_force(texts)
+    assert len(want) == 20
+    assert {r.doc_id for r in neardedup.keep_one_of_each(docs_of(spark, texts)).collect()} == want
