@@ -425,3 +425,16 @@ def test_dedup_of_texts_of_the_same_words(spark, docs_of):
     want = stay_by_brute_force(texts)
     assert len(want) == 20
     assert {r.doc_id for r in neardedup.keep_one_of_each(docs_of(spark, texts)).collect()} == want
+
+
+def test_dedup_of_short_texts(spark, docs_of):
+    rng = random.Random(11)
+    texts = []
+    for size in (12, 30, 60, 100, 150):
+        for _ in range(60):
+            w = [f"w{rng.randint(0, 3000)}" for _ in range(size)]
+            texts.append(" ".join(w))
+            for at in rng.sample(range(size), rng.randint(1, max(1, size // 40))):
+                w[at] = f"v{rng.randint(0, 3000)}"
+            texts.append(" ".join(w if rng.random() < 0.7 else w[: -max(1, size // 10)]))
+    assert {r.doc_id for r in neardedup.keep_one_of_each(docs_of(spark, texts)).collect()} == stay_by_brute_force(texts)
