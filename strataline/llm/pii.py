@@ -11,7 +11,8 @@ as it was, and the key restores them.
     ssn     within the valid numbers            iban   the account part, check digits computed anew
     date    within 1900-01-01 .. 2099-12-31     secret letters and digits of a token, key or long hex string
 
-A number that fails its check is left alone. Of overlapping finds the first in the order email, secret, iban, card, ip, ssn, date, phone stays.
+A number that fails its check is left alone; an IBAN has the length of its country, a phone number any groups up to 15
+digits, so letters and numbers that follow don't hide either. Of overlapping finds the first in the order email, secret, iban, card, ip, ssn, date, phone stays.
 
 Defined results: a null text stays null with no finds, an empty one empty; texts of any length are scanned whole in
 linear time; repeated rows are treated alike; columns besides text are passed on as they are, whatever their names.
@@ -38,12 +39,24 @@ _FIRST_DAY, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 _SECRET = re.compile(r"(?i)(?<![^\W_])(?:token|secret|api[_-]?key|access[_-]?key|password|passwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_\-./+]{8,256})")
 _HEX = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,128}(?![A-Za-z0-9])")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])")
+# Every start: what one swallows may hold another.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}))")
+_IBAN_LENGTHS = {
+    n: countries.split()
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+}
+_IBAN_LENGTH = {c: n for n, countries in _IBAN_LENGTHS.items() for c in countries}
 _CARD = re.compile(r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\w)")
 _IP = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w)(?!\.\d)")
 _SSN = re.compile(r"(?<![\w-])(\d{3})-(\d{2})-(\d{4})(?![\w-])")
 _DATE = re.compile(r"(?<![\w./-])(?:(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4}))(?![\w/-])(?!\.\d)")
-_PHONE = re.compile(r"(?<![\w+])(?:(\+\d{1,3})[ .-]?(?:\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{1,4}(?:[ -]?\d{2,4}){2,3})|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)")
+_PHONE = re.compile(r"(?<![\w+])(?:(\+\d{1,3})(?:[ .-]?(?:\(\d{1,4}\)|\d)){4,14}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)")
+_DECIMAL = re.compile(r"\+\d+\.\d+")
+_NATIONAL = {"1": 10, "7": 10, "30": 10, "33": 9, "34": 9, "41": 9, "45": 8, "47": 8, "48": 9, "61": 9, "351": 9, "420": 9}  # digits after the country code, where all numbers have as many
 
 Found = tuple[int, int, str]
 
@@ -92,9 +105,41 @@ def _ssn_ok(m: re.Match) -> bool:
     return m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000"
 
 
-def _iban_ok(m: re.Match) -> bool:
-    raw = m[0].replace(" ", "")
-    return 15 <= len(raw) <= 34 and _mod97(raw) == 1
+def _ends(text: str, start: int, end: int) -> Iterator[int]:
+    """Where text[start:end] may end, longest first: before a character that is no letter or digit."""
+    for e in range(end, start, -1):
+        if text[e - 1] not in " .-" and (e == len(text) or not (text[e].isalnum() or text[e] == "_")):
+            yield e
+
+
+def _ibans(text: str) -> Iterator[Found]:
+    """Of the length of the country; for a country without one here, the longest that passes."""
+    for m in _IBAN.finditer(text):
+        length = _IBAN_LENGTH.get(m[1][:2])
+        for e in _ends(text, *m.span(1)):
+            raw = text[m.start() : e].replace(" ", "")
+            if (len(raw) == length if length else 15 <= len(raw) <= 34) and _mod97(raw) == 1:
+                yield m.start(), e, "iban"
+                break
+
+
+def _phones(text: str) -> Iterator[Found]:
+    """7 to 15 digits: as many as the country's numbers have if a group ends there, else as many groups as fit."""
+    at = 0
+    while m := _PHONE.search(text, at):
+        at = m.end()
+        if m[1]:
+            ends = {}
+            for e in _ends(text, *m.span()):
+                value = text[m.start() : e]
+                n = sum(c.isdecimal() for c in value)
+                if 7 <= n <= 15 and value.count("(") == value.count(")") and not _DECIMAL.fullmatch(value):
+                    ends.setdefault(n - len(m[1]) + 1 - value.count("(0)"), e)
+            if not ends:
+                at = m.end(1)
+                continue
+            at = ends.get(_NATIONAL.get(m[1][1:]), max(ends.values()))
+        yield m.start(), at, "phone"
 
 
 def find(text: str) -> list[Found]:
@@ -104,12 +149,12 @@ def find(text: str) -> list[Found]:
     got: list[Found] = list(_emails(text))
     got += [(m.start(1), m.end(1), "secret") for m in _SECRET.finditer(text) if any(c.isdigit() for c in m[1])]
     got += [(m.start(), m.end(), "secret") for m in _HEX.finditer(text) if not m[0].isdigit() and any(c.isdigit() for c in m[0])]
-    got += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if _iban_ok(m)]
+    got += _ibans(text)
     got += [(m.start(), m.end(), "card") for m in _CARD.finditer(text) if luhn("".join(c for c in m[0] if c.isdecimal())) == 0]
     got += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(int(x) < 256 for x in m[0].split("."))]
     got += [(m.start(), m.end(), "ssn") for m in _SSN.finditer(text) if _ssn_ok(m)]
     got += [(m.start(), m.end(), "date") for m in _DATE.finditer(text) if _date_of(m)]
-    got += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text) if 7 <= sum(c.isdecimal() for c in m[0]) <= 15]
+    got += _phones(text)
     kept: list[Found] = []
     taken = bytearray(len(text)) if len(got) > 1 else None
     for a, b, kind in got:

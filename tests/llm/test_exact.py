@@ -438,3 +438,26 @@ def test_dedup_of_short_texts(spark, docs_of):
                 w[at] = f"v{rng.randint(0, 3000)}"
             texts.append(" ".join(w if rng.random() < 0.7 else w[: -max(1, size // 10)]))
     assert {r.doc_id for r in neardedup.keep_one_of_each(docs_of(spark, texts)).collect()} == stay_by_brute_force(texts)
+
+
+@pytest.mark.parametrize("value, kind", [
+    ("DE89 3704 0044 0532 0130 00", "iban"), ("GB82 WEST 1234 5698 7654 32", "iban"), ("DE89370400440532013000", "iban"), ("NO93 8601 1117 947", "iban"),
+    ("+33 1 23 45 67 89", "phone"), ("+49.30.1234567", "phone"), ("555 123 4567", "phone"), ("+1 (555) 123-4567", "phone"), ("+1-555-123-4567", "phone"), ("(555) 123 4567", "phone"),
+])
+@pytest.mark.parametrize("after", ["", ".", " BIC COBADEFF", " IN FULL", " EUR 50", " A1 B2 C3", ", 2024"])
+def test_what_follows_hides_no_personal_data(value, kind, after):
+    text = f"see {value}{after}"
+    (a, b, k), *_ = pii.find(text)
+    assert (text[a:b], k) == (value, kind)
+    new, _ = pii.pseudonymise_text(text)
+    assert new != text and new.startswith("see ") and new.endswith(after)
+    (a, b, _), *_ = pii.find(new)
+    assert pii.replace(new[a:b], kind, back=True) == value
+
+
+def test_numbers_after_a_phone_number():
+    for text, value in (("+33 1 23 45 67 89 50 EUR", "+33 1 23 45 67 89"), ("+1 555 123 4567 2024 12 31", "+1 555 123 4567"), ("+33 (0)1 23 45 67 89", "+33 (0)1 23 45 67 89")):
+        assert [text[a:b] for a, b, _ in pii.find(text)] == [value]
+    text = "AB12 CDEF 1234 5678 DE89 3704 0044 0532 0130 00"
+    assert [text[a:b] for a, b, k in pii.find(text) if k == "iban"] == ["DE89 3704 0044 0532 0130 00"]
+    assert pii.find("+0.12345678 and +1.2345678") == []
