@@ -395,7 +395,7 @@ def density_vote(spark, sf):
 
 @query()
 def density_vote_derived_spread(spark, sf):
-    """The spread from the exact median of pairwise distances."""
+    """The spread from the median of pairwise distances of up to 512 candidates chosen by hash: of all up to that many, of a sample beyond."""
     return _out(density.vote(_supplier_transforms(spark, sf), _G))
 
 
