@@ -5,8 +5,8 @@ are normalised. Each language has several centroids, from spherical k-means over
 language of the centroid with the largest cosine. A centroid's radius is the distance within which all but a small share
 of its training rows lie, with a margin: a text outside the radius of its nearest centroid is marked `rejected`.
 
-Training takes a bounded sample of labelled rows (`max_train` in all, dealt evenly among the languages; the only bound);
-the idf is the sample's. Scoring reads whole texts.
+The idf counts all training rows. The centroids take a bounded sample of labelled rows (`max_train` in all, dealt evenly
+among the languages; the only bound). Scoring reads whole texts.
 
 Defined results: a null text or one without a letter is `und` with score 0, and is rejected; a text longer than a
 chunk is counted chunk by chunk, whole; without training rows every text is `und`; repeated rows get their row each; a
@@ -88,8 +88,29 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> tuple[np.ndarr
     return c, (x @ c.T).argmax(1)
 
 
-def fit(counts: np.ndarray, langs: list[str], per_language: int = 4, outside: float = 0.01, margin: float = 0.1) -> Model:
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1
+def document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of rows, and of those that hold each gram, over all of them."""
+    small_batches(rows.sparkSession, 500)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, held = 0, np.zeros(DIM, np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                n += 1
+                held += grams(t) > 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIM + 1), pa.int32()), pa.array(np.append(held, n))], ["gram", "n"])
+
+    sums = rows.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(DIM + 1, np.int64)
+    for r in sums:
+        out[r.gram] = r.n
+    return int(out[DIM]), out[:DIM]
+
+
+def fit(counts: np.ndarray, langs: list[str], per_language: int = 4, outside: float = 0.01, margin: float = 0.1, frequencies: tuple[int, np.ndarray] | None = None) -> Model:
+    """With `frequencies` (document_frequencies), the idf is of those instead of counts."""
+    n, held = frequencies or (len(counts), (counts > 0).sum(0))
+    idf = np.log((1 + n) / (1 + held)) + 1
     x = unit(np.log1p(counts) * idf)
     cents, names, reach = [np.zeros((0, DIM))], [], []
     for k, lang in enumerate(sorted(set(langs))):
@@ -109,7 +130,7 @@ def train(docs: DataFrame, max_train: int = 4000, per_language: int = 4) -> Mode
     """docs: doc_id, text, lang; held-out rows are left out by the caller."""
     spark = docs.sparkSession
     small_batches(spark, 500)
-    rows = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    rows = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model(np.ones(DIM), np.zeros((0, DIM)), [], np.zeros(0))
@@ -123,7 +144,7 @@ def train(docs: DataFrame, max_train: int = 4000, per_language: int = 4) -> Mode
 
     got = sorted((r.lang, bytes(r.v)) for r in few.select("text", "lang").mapInArrow(run, "lang string, v binary").toLocalIterator())
     got = got or [(min(sizes), np.zeros(DIM, "<f4").tobytes())]
-    return fit(np.vstack([np.frombuffer(v, "<f4") for _, v in got]).astype(float), [x for x, _ in got], per_language)
+    return fit(np.vstack([np.frombuffer(v, "<f4") for _, v in got]).astype(float), [x for x, _ in got], per_language, frequencies=document_frequencies(rows))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -6,6 +6,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strataline.llm import brown, fm, langid, quality, toxicity
 
@@ -159,3 +160,10 @@ def test_grams_of_a_long_text_are_those_of_the_whole():
     t = "abc def " * 20_000
     short, long = langid.grams("abc def " * 10), langid.grams(t)
     assert set(np.flatnonzero(short)) <= set(np.flatnonzero(long)) and len(np.flatnonzero(long)) <= len(np.flatnonzero(short)) + 4 and abs(long.sum() / len(t) - 3) < 0.1
+
+
+def test_language_idf_counts_all_training_rows(spark, docs_of, corpus):
+    docs = docs_of(spark, [t for t, *_ in corpus]).withColumn("lang", F.lit("aa"))
+    held = sum((langid.grams(t) > 0).astype(int) for t, *_ in corpus)
+    want = np.log((1 + len(corpus)) / (1 + held)) + 1
+    assert np.allclose(langid.train(docs, max_train=40).idf, want)
