@@ -9,7 +9,8 @@ Segments lie in ascending doc_id order as the binary column of a Parquet table (
 part_offset, payload), so Spark's commit protocol covers retried tasks and any store that Spark reaches will do. A
 segment takes at most `segment_ids` ids, or one document if that alone has more. A document's ids begin in the corpus
 at its part's base (a prefix sum over one number for each writing task, the only thing the driver sees), plus the ids
-of the part before its segment, plus the offset that select gives.
+of the part before its segment, plus its offset in the segment: `Segment.bounds` takes one document's from select, while
+`read`, which lists every document, decodes a segment's whole sequence in order.
 
 Defined results: a null text is empty; an empty text has the end id alone; rows with the same doc_id all get written,
 next to each other in order of text; null doc_ids are refused, they have no place in an ascending order; an empty table gives
@@ -42,7 +43,7 @@ def pack_segment(doc_ids: list[int], lengths: list[int], ids: bytes, width: int)
 
 
 class Segment:
-    """Reads a payload; offsets come from select."""
+    """Reads a payload; the offsets of one document come from select."""
 
     def __init__(self, raw: bytes):
         magic, version, self.width, _, self.n_docs, self.n_ids = _HEAD.unpack_from(raw, 0)
