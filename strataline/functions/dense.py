@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -62,9 +63,9 @@ def curvatures(a: np.ndarray, d: np.ndarray) -> tuple[float, float]:
 
 
 def shape_index(k: float, h: float) -> tuple[float, float]:
+    """Shape index and curvedness; h is the mean and d half the difference of the principal curvatures."""
     d = math.sqrt(max(0.0, h * h - k)) if not math.isnan(k) else math.nan
-    a, b = h + d, h - d
-    return 2 / math.pi * math.atan2(a + b, a - b), math.sqrt((a * a + b * b) / 2)
+    return 2 / math.pi * math.atan2(h, d), math.hypot(h, d)
 
 
 def upper_half(values: np.ndarray) -> np.ndarray:
@@ -90,31 +91,23 @@ def linear_gradient(points: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def pca_bases(points: np.ndarray, values: np.ndarray) -> list[np.ndarray] | None:
-    """Two right-handed bases (columns) of the upper-half points, largest spread first.
+    """Two rotations whose columns are principal axes of the upper-half points, largest spread first.
 
-    The axis best aligned with the gradient takes its sign from it; the next one is given both signs; the third is their
-    cross product. None for constant values or no gradient.
+    Axes have no sign of their own, so four rotations have the same axes; two of them have the axis that is best aligned
+    with the gradient point its way. None for constant values or no gradient.
     """
     if len(values) < 4 or values.max() == values.min():
         return None
-    g = linear_gradient(points, values)
-    if np.sqrt(g @ g) < 1e-12:
-        return None
+    slope = linear_gradient(points, values)
     kept = points[upper_half(values)]
-    if len(kept) < 2:
+    if len(kept) < 2 or np.linalg.norm(slope) < 1e-12:
         return None
-    e, v = np.linalg.eigh(np.cov(kept.T))
-    v = v[:, np.argsort(-np.abs(e), kind="stable")]
-    f = int(np.abs(v.T @ g).argmax())
-    v[:, f] *= 1.0 if v[:, f] @ g >= 0 else -1.0
-    u, c = (0 if f == 1 else 1), (0 if f == 2 else 2)
-    out = []
-    for sign in (-1.0, 1.0):
-        b = v.copy()
-        b[:, u] *= sign
-        b[:, c] = np.cross(b[:, (c + 1) % 3], b[:, (c + 2) % 3])
-        out.append(b)
-    return out
+    spread, axes = np.linalg.eigh(np.cov(kept.T))
+    axes = axes[:, np.argsort(-np.abs(spread), kind="stable")]
+    turns = [axes * s for s in itertools.product((1.0, -1.0), repeat=3) if np.prod(s) * np.linalg.det(axes) > 0]
+    along = [slope @ t for t in turns]
+    best = int(np.abs(along[0]).argmax())
+    return [t for t, a in zip(turns, along) if a[best] >= 0]
 
 
 def kabsch(micro: np.ndarray, macro: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:

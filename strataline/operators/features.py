@@ -148,6 +148,7 @@ class Computer:
 
 #: Numbers of the kinds in configuration files, fixed by the format.
 KINDS = ("gradient", "curvature", "pca", "quantiles", "value", "harmonics", "shape")
+FITTED = ("gradient", "curvature", "shape")
 DEFAULT = (
     Computer("curvature"),
     Computer("pca"),
@@ -166,12 +167,13 @@ def weights(computers: Sequence[Computer]) -> list[float]:
 
 
 class Describer:
-    """All features of a point in one pass: one ball of values, one quadric for each weighting."""
+    """All features of a point in one pass: one ball of values, one quadric for each weighting and border."""
 
     def __init__(self, geometry, values: Callable, computers: Sequence[Computer], radius: float, border: float, ball_radius: float, ball_step: float, least_step: float):
         self.values, self.bounds, self.computers = values, np.array(geometry.bounds), computers
-        kinds = {c.params.get("weighting", "linear") for c in computers if c.kind in ("gradient", "curvature", "shape")}
-        self.fitters = {k: QuadricFitter(geometry, values, radius, border, k, least_step) for k in kinds}
+        self.border = border
+        kinds = {self.fit_of(c) for c in computers if c.kind in FITTED}
+        self.fitters = {k: QuadricFitter(geometry, values, radius, k[1], k[0], least_step) for k in kinds}
         self.ball = dense.ball_grid(ball_radius, ball_step) if any(c.kind in ("pca", "quantiles") for c in computers) else None
         self.waves = {}
         for c in computers:
@@ -181,6 +183,9 @@ class Describer:
                 around = r * np.stack([np.sin(theta) * np.cos(phi), np.sin(theta) * np.sin(phi), np.cos(theta)], -1)
                 self.waves[id(c)] = around, dense.harmonics(c.params["l_max"], theta, phi)
 
+    def fit_of(self, c: Computer) -> tuple[str, float]:
+        return c.params.get("weighting", "linear"), c.params.get("border", self.border)
+
     def describe(self, p: np.ndarray) -> list[float]:
         fits = {k: f.fit(p) for k, f in self.fitters.items()}
         if self.ball is not None:
@@ -189,8 +194,8 @@ class Describer:
             ball = self.values(at)
         out: list[float] = []
         for c in self.computers:
-            if c.kind in ("gradient", "curvature", "shape"):
-                a, centre = fits[c.params.get("weighting", "linear")]
+            if c.kind in FITTED:
+                a, centre = fits[self.fit_of(c)]
                 if c.kind == "gradient":
                     out.append(float(np.sqrt((dense.gradient(a, p - centre) ** 2).sum())))
                 else:
@@ -227,26 +232,25 @@ def feature_vectors(
     return points.select("id", "x", "y", "z").mapInPandas(run, "id long, x double, y double, z double, features array<double>")
 
 
+#: What each kind needs in a configuration file: parameter, its name there, its type. Fixed by the format.
+PARAMETERS = {k: {"border": ("BorderPercentage", float), "radius": ("Radius", int)} for k in FITTED} | {
+    "quantiles": {"quantiles": ("QuantileValues", lambda v: tuple(map(float, v)))},
+    "harmonics": {"l_max": ("lMax", int), "radius": ("radius", float), "samples": ("sampleCount", int)},
+}
+
+
 def computers_from_json(text: str) -> list[Computer]:
     """A configuration {configurations: [{FeatureComputerType, Parameters: {name: {Value}}}]}; numbers are taken as numbers
-    however they are written, entries with an unknown type or without what they need are left out."""
+    however they are written. Entries with an unknown type, or without all that their kind needs, are left out. The radius of
+    a fitted kind must be there but does not change the fit, whose radius is an argument of `feature_vectors`."""
     out = []
     for c in json.loads(text).get("configurations") or []:
-        kind, params = c.get("FeatureComputerType"), {k: v.get("Value") for k, v in (c.get("Parameters") or {}).items()}
+        kind, given = c.get("FeatureComputerType"), {k: (v or {}).get("Value") for k, v in (c.get("Parameters") or {}).items()}
         if not isinstance(kind, int) or not 0 <= kind < len(KINDS):
             continue
-        name = KINDS[kind]
-        if name == "quantiles":
-            q = params.get("QuantileValues")
-            if not isinstance(q, list) or not q:
-                continue
-            out.append(Computer(name, {"quantiles": tuple(float(x) for x in q)}))
-        elif name == "harmonics":
-            if params.get("LMax") is None:
-                continue
-            out.append(Computer(name, {"l_max": int(params["LMax"]), "radius": float(params.get("Radius") or BALL_RADIUS), "samples": int(params.get("Samples") or 200)}))
-        else:
-            out.append(Computer(name, {}))
+        wanted = PARAMETERS.get(KINDS[kind], {})
+        if all(given.get(name) not in (None, []) for name, _ in wanted.values()):
+            out.append(Computer(KINDS[kind], {k: read(given[name]) for k, (name, read) in wanted.items()}))
     return out
 
 

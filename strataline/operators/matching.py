@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions import exprs as E
 from strataline.operators import ranking
-from strataline.runtime import ship
+from strataline.runtime import mapped
 
 BLOCK = 2048
 _BLOCK = "ids binary, m binary, dim int"
@@ -35,10 +35,7 @@ def _blocks(vectors: DataFrame, column: str) -> DataFrame:
                 raise ValueError("feature vectors differ in length")
             yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([len(flat) // b.num_rows], pa.int32())], ["ids", "m", "dim"])
 
-    spark = vectors.sparkSession
-    ship(spark, BLOCK)
-    out = vectors.select(F.col("id").cast("long"), F.col(column).cast("array<double>")).mapInArrow(run, _BLOCK)
-    return out
+    return mapped(vectors.select(F.col("id").cast("long"), F.col(column).cast("array<double>")), run, _BLOCK, rows=BLOCK)
 
 
 def _open(ids: bytes, m: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +86,7 @@ def knn(micro: DataFrame, macro: DataFrame, k: int, kind: str = "euclid", column
                 ok = left != right if same_set else np.ones(len(s), bool)
                 yield pa.RecordBatch.from_arrays([pa.array(left[ok]), pa.array(right[ok]), pa.array(s[ok])], ["micro_id", "macro_id", "score"])
 
-    found = a.crossJoin(b).mapInArrow(run, "micro_id long, macro_id long, score double")
+    found = mapped(a.crossJoin(b), run, "micro_id long, macro_id long, score double", rows=8)
     best = F.col("score") if kind == "euclid" else F.desc("score")
     n = F.row_number().over(Window.partitionBy("micro_id").orderBy(best, "macro_id"))
     return found.withColumn("n", n).filter(F.col("n") <= k)
@@ -190,7 +187,7 @@ def rank_sum(micro: DataFrame, macro: DataFrame, fraction: float = 1.0, keep: st
     whole = parts.agg(F.collect_list(F.struct("ids", "m", "dim")).alias("p"))
     join = lambda name: F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x[name]))
     b = whole.filter(F.size("p") > 0).select(join("ids").alias("b_ids"), join("m").alias("b_m"), F.get("p", F.lit(0))["dim"].alias("b_dim"))
-    out = a.crossJoin(F.broadcast(b)).mapInArrow(run, "micro_id long, macro_id long, similarity double")
+    out = mapped(a.crossJoin(F.broadcast(b)), run, "micro_id long, macro_id long, similarity double", rows=8)
     return top_fraction(out, fraction, falling=keep != "best")
 
 

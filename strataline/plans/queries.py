@@ -558,7 +558,7 @@ c AS (SELECT id, gx * gx + gy * gy + gz * gz AS g2,
  2 * a0 * gx * gx + 2 * a1 * gy * gy + 2 * a2 * gz * gz + 2 * (a3 * gx * gy + a4 * gx * gz + a5 * gy * gz) AS hg, 2 * (a0 + a1 + a2) AS tr FROM g),
 k AS (SELECT id, ka / (g2 * g2) AS gauss, (hg - g2 * tr) / (2 * pow(g2, 1.5)) AS mean FROM c),
 s AS (SELECT *, sqrt(greatest(0, mean * mean - gauss)) AS d FROM k)
-SELECT id, round(gauss, 6) AS gauss, round(mean, 6) AS mean, round(2 / pi() * atan2(2 * mean, 2 * d), 5) AS shape, round(sqrt(((mean + d) ** 2 + (mean - d) ** 2) / 2), 6) AS curvedness FROM s""")
+SELECT id, round(gauss, 6) AS gauss, round(mean, 6) AS mean, round(2 / pi() * atan2(mean, d), 5) AS shape, round(sqrt(mean * mean + d * d), 6) AS curvedness FROM s""")
 def curvature_shape_index(spark, sf):
     k, s = F.col("p_partkey"), F.col("p_size")
     coef = [((s % m + 1) * w).alias(f"a{i}") for i, (m, w) in enumerate(((7, 0.11), (5, 0.07), (3, 0.13), (4, 0.02), (6, 0.03), (8, 0.01), (9, 0.2), (10, 0.1), (11, 0.05)))]

@@ -47,7 +47,7 @@ def read_volume(spark: SparkSession, header_path: str, raw_path: str, vol_id: st
     head = read_headers(spark, header_path).first()
     g, kind = geometry(head), KINDS[head.element_type.upper()]
     a, b, c = g.dims
-    ship(spark, 8)
+    ship(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x, y = np.tile(np.arange(a), b), np.repeat(np.arange(b), a)

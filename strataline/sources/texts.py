@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.operators.features import KINDS, Computer
+from strataline.operators.features import FITTED, KINDS, PARAMETERS, Computer
 
 _NUMBER = r"([-+]?\d+(?:[.,]\d+)?(?:[eE][-+]?\d+)?)"
 
@@ -86,8 +86,11 @@ def read_configs(spark: SparkSession, path: str) -> DataFrame:
     return text.select("path", "n", kind.alias("type"), F.when(kind >= 0, F.get(kinds, kind)).alias("kind"), F.transform_values("c.Parameters", lambda _, v: v["Value"]).alias("parameters"))
 
 
-def config_text(computers: Sequence[Computer]) -> str:
-    """JSON that `features.computers_from_json` reads."""
-    names = {"quantiles": "QuantileValues", "l_max": "LMax", "radius": "Radius", "samples": "Samples"}
-    rows = [{"FeatureComputerType": KINDS.index(c.kind), "Parameters": {names[k]: {"Value": list(v) if isinstance(v, tuple) else v} for k, v in c.params.items() if k in names}} for c in computers]
+def config_text(computers: Sequence[Computer], border: float = 0.15, radius: int = 0) -> str:
+    """JSON that `features.computers_from_json` reads; border and radius are written for fitted computers without their own."""
+    rows = []
+    for c in computers:
+        own = {"border": border, "radius": radius} | c.params if c.kind in FITTED else c.params
+        values = {name: own[k] for k, (name, _) in PARAMETERS.get(c.kind, {}).items()}
+        rows.append({"FeatureComputerType": KINDS.index(c.kind), "Parameters": {k: {"Value": list(v) if isinstance(v, tuple) else v} for k, v in values.items()}})
     return json.dumps({"configurations": rows}, indent=2)

@@ -206,11 +206,27 @@ def test_configurations(spark, tmp_path):
     c = [features.Computer("quantiles", {"quantiles": (0.0, 0.5)}), features.Computer("pca"), features.Computer("harmonics", {"l_max": 2, "radius": 1.5, "samples": 50})]
     assert features.computers_from_json(texts.config_text(c)) == c
     assert features.computers_from_json('{"configurations":[{"FeatureComputerType":3,"Parameters":{}},{"FeatureComputerType":99},{"FeatureComputerType":4}]}') == [features.Computer("value")]
+    literal = """{"configurations": [
+      {"FeatureComputerType": 1, "Parameters": {"BorderPercentage": {"Value": 0.001}, "Radius": {"Value": 3}, "Comment": {"Value": "Curvature"}}},
+      {"FeatureComputerType": 0, "Parameters": {"BorderPercentage": {"Value": "0.05"}, "Radius": {"Value": 3}}},
+      {"FeatureComputerType": 6, "Parameters": {"Radius": {"Value": 3}}},
+      {"FeatureComputerType": 5, "Parameters": {"lMax": {"Value": 2}, "radius": {"Value": 1.5}}},
+      {"FeatureComputerType": 5, "Parameters": {"lMax": {"Value": 2}, "radius": {"Value": 1.5}, "sampleCount": {"Value": 40}}}]}"""
+    assert features.computers_from_json(literal) == [
+        features.Computer("curvature", {"border": 0.001, "radius": 3}), features.Computer("gradient", {"border": 0.05, "radius": 3}), features.Computer("harmonics", {"l_max": 2, "radius": 1.5, "samples": 40}),
+    ]
+    assert features.computers_from_json(texts.config_text([features.Computer("shape")])) == [features.Computer("shape", {"border": 0.15, "radius": 0})]
     (tmp_path / "c.json").write_text(texts.config_text(c))
     rows = texts.read_configs(spark, str(tmp_path / "c.json")).orderBy("n").collect()
     assert [r.kind for r in rows] == ["quantiles", "pca", "harmonics"] and rows[0].parameters["QuantileValues"] == "[0.0,0.5]"
 
 
+def test_the_border_of_a_configuration_changes_its_features(spark):
+    points = spark.createDataFrame([(0, 1.0, 1.5, 2.0)], "id long, x double, y double, z double")
+    one = [features.feature_vectors(points, mocks.sphere(), [features.Computer("curvature", {"border": b})], radius=0.8, least_step=0.0).first().features for b in (0.001, 0.1)]
+    assert one[0] != one[1]
+
+
 def test_lines(spark):
     df = spark.createDataFrame([(2.0, 3.0), (1.0, 5.0)], "a double, b double")
     assert [r.line for r in texts.point_lines(df, ["a", "b"], ["a"]).orderBy("n").collect()] == ["a; b", "1.0; 5.0", "2.0; 3.0"]
