@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm.common import documents, id_remainder, materialize, small_batches
+from strataline.llm.common import documents, id_remainder, materialize, mapped
 
 END = b"\n"  # no word holds white space
 HEADS, AFFIXES, CLASSES, LOOKUP = 2048, 512, 64, 1 << 17
@@ -68,7 +68,6 @@ class Units(dict):
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession, 250)
     return docs.select(F.col("text").cast("string").alias("text"))
 
 
@@ -304,7 +303,6 @@ def _packed(sums: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     spark = sums.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     made = materialize(sums.mapInArrow(run, "k binary, c binary"), "brown-sums")
-    small_batches(spark, 500)
     for r in made.toLocalIterator():
         yield np.frombuffer(r.k, "<i4"), np.frombuffer(r.c, "<i8")
 
@@ -332,7 +330,6 @@ def _class_sizes(spark: SparkSession, counts: DataFrame, units: Units, classes:
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """Every column of docs but text, and n_tokens, n_known, base_score, score."""
     spark = docs.sparkSession
-    small_batches(spark, 250)
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
     keep = [f for f in docs.schema.fields if f.name != "text"]
     names = [f.name for f in keep]

@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.runtime import ship
+from strataline.runtime import mapped  # noqa: F401
 
 _OWN_DIR: dict[str, str] = {}
 _LOCAL = threading.local()
@@ -34,7 +34,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share; a folder of its own only in local mode without the setting."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
@@ -63,7 +63,8 @@ def materialize(df: DataFrame, tag: str, outlive: bool = False) -> DataFrame:
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables made within are deleted at the end, so what leaves it must have been written with outlive.
 
-    Shuffle files of steps that are over go when the driver's JVM drops their handles, so it is told to look.
+    Shuffle files of steps that are over go when the driver's JVM drops their handles; it is told to look where a step that
+    made much is over (`release`).
     """
     _scopes().append([])
     try:
@@ -72,8 +73,11 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         made = _scopes().pop()
         for path in made:
             drop_path(spark, path)
-        if made:
-            spark.sparkContext._jvm.System.gc()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffle files that nothing refers to any more, after a step with large ones."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -82,13 +86,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of texts holds, in rows and in bytes; every step that runs Python starts here."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo; -1 for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))

@@ -6,6 +6,7 @@ the permutation used is x -> F^-1(F(x) + 1 mod n): a bijection that moves every
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from hashlib import blake2b
 
 ROUNDS = 8
@@ -47,15 +48,19 @@ class Permutation:
         return self._step(x, -1)
 
 
-def permute_digits(key: bytes, tweak: bytes, radices: list[int], values: list[int], back: bool = False) -> list[int]:
-    """A number in mixed radix, permuted; same radices out as in."""
+def permute_digits(key: bytes, tweak: bytes, radices: list[int], values: list[int], back: bool = False, within: Callable[[list[int]], bool] | None = None) -> list[int]:
+    """A number in mixed radix, permuted; same radices out as in. With `within`, walked on until that holds: a permutation
+    of the numbers for which it does."""
     n, x = 1, 0
     for r, v in zip(radices, values, strict=True):
         n, x = n * r, x * r + v
     p = Permutation(key, tweak + b"|" + b",".join(b"%d" % r for r in radices), n)
-    x = p.back(x) if back else p.forward(x)
-    out = []
-    for r in reversed(radices):
-        x, d = divmod(x, r)
-        out.append(d)
-    return out[::-1]
+    while True:
+        x = rest = p.back(x) if back else p.forward(x)
+        out = []
+        for r in reversed(radices):
+            rest, d = divmod(rest, r)
+            out.append(d)
+        out.reverse()
+        if within is None or within(out):
+            return out

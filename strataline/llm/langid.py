@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm.common import documents, id_remainder, small_batches
+from strataline.llm.common import documents, id_remainder, mapped
 
 BITS = 12
 DIM = 1 << BITS
@@ -90,7 +90,6 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> tuple[np.ndarr
 
 def document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
     """The number of rows, and of those that hold each gram, over all of them."""
-    small_batches(rows.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, held = 0, np.zeros(DIM, np.int64)
@@ -100,7 +99,7 @@ def document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
                 held += grams(t) > 0
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIM + 1), pa.int32()), pa.array(np.append(held, n))], ["gram", "n"])
 
-    sums = rows.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    sums = mapped(rows.select("text"), run, "gram int, n long", 500).groupBy("gram").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(DIM + 1, np.int64)
     for r in sums:
         out[r.gram] = r.n
@@ -129,7 +128,6 @@ def fit(counts: np.ndarray, langs: list[str], per_language: int = 4, outside: fl
 def train(docs: DataFrame, max_train: int = 4000, per_language: int = 4) -> Model:
     """docs: doc_id, text, lang; held-out rows are left out by the caller."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
     rows = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -142,7 +140,7 @@ def train(docs: DataFrame, max_train: int = 4000, per_language: int = 4) -> Mode
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([grams(t).astype("<f4").tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["lang", "v"])
 
-    got = sorted((r.lang, bytes(r.v)) for r in few.select("text", "lang").mapInArrow(run, "lang string, v binary").toLocalIterator())
+    got = sorted((r.lang, bytes(r.v)) for r in mapped(few.select("text", "lang"), run, "lang string, v binary", 500).toLocalIterator())
     got = got or [(min(sizes), np.zeros(DIM, "<f4").tobytes())]
     return fit(np.vstack([np.frombuffer(v, "<f4") for _, v in got]).astype(float), [x for x, _ in got], per_language, frequencies=document_frequencies(rows))
 
@@ -150,7 +148,6 @@ def train(docs: DataFrame, max_train: int = 4000, per_language: int = 4) -> Mode
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected of every row."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +163,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     langs[i], scores[i], out[i] = m.lang[k], min(1.0, max(0.0, c)), c < m.reach[k]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(out)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    return mapped(docs.select("doc_id", F.col("text").cast("string")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean", 500)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

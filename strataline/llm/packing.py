@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm.common import documents, materialize, small_batches
+from strataline.llm.common import documents, materialize, mapped
 from strataline.llm.tokens import encoder, vocabulary_path
 
 PIECE_SCHEMA = "doc_id {id}, piece int, start long, length long, ids_crc32 long, slot long"
@@ -62,7 +62,6 @@ def sum_of_squares(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarr
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, room: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and slot: a number of the row that makes its pieces distinct."""
-    small_batches(docs.sparkSession, 500)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +82,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, room: int) -> DataFram
                     slot += 1
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crcs, slots))], ["doc_id", "piece", "start", "length", "ids_crc32", "slot"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, PIECE_SCHEMA.format(id=kind))
+    return mapped(docs.select("doc_id", F.col("text").cast("string")), run, PIECE_SCHEMA.format(id=kind), 500)
 
 
 def pack(made: DataFrame, room: int = 1024, group_size: int = 8192) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.llm import fm
-from strataline.llm.common import bounded_sample, documents, id_remainder, small_batches, table
+from strataline.llm.common import bounded_sample, documents, id_remainder, mapped, table
 
 WORD_BITS = 15
 BINS = 16
@@ -108,7 +108,6 @@ def with_chars(docs: DataFrame, *keep: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000) -> fm.FM:
     """docs: doc_id, text, n_chars. labels: doc_id, label (0 or 1). The caller leaves held-out rows out of labels."""
     spark = docs.sparkSession
-    small_batches(spark)
     few = bounded_sample(labels.filter("doc_id IS NOT NULL AND label IN (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")).distinct(), "doc_id", max_train)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000) -> fm.FM:
             yield pa.RecordBatch.from_arrays([pa.array([i.astype("<i4").tobytes() for i, _ in rows], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in rows], pa.binary()), b.column("label"), b.column("doc_id")], ["i", "v", "label", "doc_id"])
 
     own = with_chars(docs, "doc_id").join(F.broadcast(few), "doc_id").select("text", "n_chars", "label", F.col("doc_id").cast("string").alias("doc_id"))
-    got = own.mapInArrow(vectors, "i binary, v binary, label int, doc_id string").collect()
+    made = mapped(own, vectors, "i binary, v binary, label int, doc_id string")
+    got = made.groupBy("doc_id", "label").agg(F.min(F.struct("i", "v")).alias("x")).select("doc_id", "label", "x.*").collect()  # of rows that repeat an id, one
     got.sort(key=lambda r: (r.doc_id, r.label, r.i, r.v))  # the same model at every run
     rows = [(np.frombuffer(r.i, "<i4"), np.frombuffer(r.v, "<f4")) for r in got]
     return fm.fit(*compress(rows), np.array([r.label for r in got], float), DIM)
@@ -126,7 +126,6 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000) -> fm.FM:
 def score(docs: DataFrame, model: fm.FM, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted of every row."""
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,13 +134,12 @@ def score(docs: DataFrame, model: fm.FM, threshold: float = THRESHOLD) -> DataFr
             s = scores(m, b.column("text").to_pylist(), b.column("n_chars").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return with_chars(docs, "doc_id").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return mapped(with_chars(docs, "doc_id"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: fm.FM, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, whose score reaches the threshold."""
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
     has = "n_chars" in docs.columns
 
@@ -151,7 +149,7 @@ def keep_good(docs: DataFrame, model: fm.FM, threshold: float = THRESHOLD) -> Da
             s = scores(m, b.column("text").to_pylist(), b.column("n_chars").to_pylist() if has else [None] * b.num_rows)
             yield b.filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def query_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> fm.FM:

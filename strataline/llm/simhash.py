@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm.common import documents, materialize, small_batches, temporary
+from strataline.llm.common import documents, materialize, mapped, temporary
 from strataline.llm.components import components
 
 SEED = 42
@@ -65,13 +65,12 @@ def fingerprint(text: str | None, size: int = 3, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, fp of every row."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, size) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return mapped(docs.select("doc_id", F.col("text").cast("string")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 _LOW = (1 << 32) - 1

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm.common import documents, new_path, small_batches
+from strataline.llm.common import documents, new_path, mapped
 from strataline.llm.eliasfano import EliasFano, encode
 from strataline.llm.tokens import encoder, vocabulary_path
 
@@ -64,7 +64,6 @@ class Segment:
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, width: int = 2, segment_ids: int = 1 << 20, partitions: int | None = None) -> None:
     """Encode every text, append end_id, write segments in ascending doc_id order below `path`."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.expr("coalesce(doc_id, cast(raise_error('doc_id is null') as bigint))").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -106,7 +105,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         bases.append((r.part, base))
         base += r.n
     of_part = spark.createDataFrame(bases, "part int, part_base long")
-    small_batches(spark, 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

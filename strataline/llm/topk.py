@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataline.llm.common import materialize, small_batches, table
+from strataline.llm.common import materialize, mapped, table
 
 BLOCK, QUERY_BLOCK, CHUNK = 2048, 256, 16
 EXACT = 1 << 20  # components up to this stay exact in doubles at up to 2**12 dimensions
@@ -41,7 +41,6 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) ->
 
 def packed(rows: DataFrame, size: int) -> DataFrame:
     """Blocks of up to `size` vectors of one dimension, as they come in a partition."""
-    small_batches(rows.sparkSession, 4096)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -118,7 +117,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     queries = materialize(packed(asked.repartition(n_blocks), QUERY_BLOCK), "topk-queries").withColumn("block", F.monotonically_increasing_id())
     blocks = materialize(packed(rows, BLOCK), "topk-blocks")
     queries = materialize(queries, "topk-numbered")
-    small_batches(spark, 4)
     dealt = max(1, -(-blocks.count() // 4))
     pairs = blocks.select("dim", "ids", "matrix").repartition(dealt).crossJoin(queries.select("block", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")).repartition(n_blocks))
 

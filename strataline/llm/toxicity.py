@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm.common import bounded_sample, documents, id_remainder, small_batches, table
+from strataline.llm.common import bounded_sample, documents, id_remainder, mapped, table
 from strataline.llm.fm import sigmoid
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -141,7 +141,6 @@ class Vocabulary(dict):
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, seeds: dict[str, tuple[str, ...]] = SEEDS) -> Chain:
     """labels: doc_id, toxic. Whole texts of the sample come to the driver as sets of words, there as numbers."""
-    small_batches(docs.sparkSession)
     few = bounded_sample(labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct(), "doc_id", max_train, seed=5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, seeds: di
 
     own = docs.join(F.broadcast(few), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", F.col("text").cast("string").alias("text"))
     vocabulary, rows = Vocabulary(), []
-    for r in own.mapInArrow(run, "doc_id string, toxic int, words string").toLocalIterator():
+    for r in mapped(own, run, "doc_id string, toxic int, words string").toLocalIterator():
         rows.append((r.doc_id, r.toxic, vocabulary.places(r.words.split(" ") if r.words else [])))
     rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
     sets, verdict = [w for *_, w in rows], np.array([t for _, t, _ in rows], float)
@@ -163,7 +162,6 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, seeds: di
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id, score and toxic of the verdict, and p_<category> of each category before it."""
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(chain))
     names = [f"p_{link.name}" for link in chain.links[:-1]]
 
@@ -174,7 +172,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p[:, -1]), pa.array(p[:, -1] >= c.threshold), *(pa.array(p[:, k]) for k in range(len(names)))], ["doc_id", "score", "toxic", *names])
 
     fields = "".join(f", {n} double" for n in names)
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, toxic boolean{fields}")
+    return mapped(docs.select("doc_id", F.col("text").cast("string")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, toxic boolean{fields}")
 
 
 def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

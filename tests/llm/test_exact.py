@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from datetime import date, timedelta
 from zlib import crc32
 
 import numpy as np
@@ -191,6 +192,7 @@ def test_permutations_move_everything_and_go_back(n):
     assert sorted(v) == list(range(n)) and [p.back(x) for x in v] == list(range(n)) and (n == 1 or all(i != x for i, x in enumerate(v)))
 
 
+KEY = b"a key for tests"
 FOUND = {
     "mail a.b+c@mail.example.com now": ("a.b+c", "email"),
     "call +1 (017) 555-7713, ok": ("+1 (017) 555-7713", "phone"),
@@ -211,20 +213,105 @@ def test_finds_keep_their_format_and_go_back(text):
     value, kind = FOUND[text]
     (a, b, k), *more = pii.find(text)
     assert (text[a:b], k, more) == (value, kind, [])
-    new, _ = pii.pseudonymise_text(text)
+    new, _ = pii.pseudonymise_text(text, KEY)
     assert value not in new
     (a, b, k), *_ = pii.find(new)
-    assert k == kind and pii.replace(new[a:b], kind, back=True) == value
-    if kind not in ("ip",):
-        shape = lambda s: re.sub(r"[A-Za-z]", "a", re.sub(r"\d", "9", s))
-        assert kind == "secret" or shape(new[a:b]) == shape(value)
+    assert k == kind and pii.replace(new[a:b], kind, KEY, back=True) == value
+    shape = lambda s: re.sub(r"[A-Za-z]", "a", re.sub(r"\d", "9", s))
+    assert kind == "secret" or shape(new[a:b]) == shape(value)
     other, _ = pii.pseudonymise_text(text, key=b"another")
     assert other != new
 
 
 def test_what_fails_its_check_stays():
     for t in ("4845168114407328", "999.1.1.1", "000-12-3456", "1987-02-30", "GB82 WEST 1234 5698 7654 33", "version 2.0.", "CC BY-NC 4.0.", "1.2.3.4.5", "a@b", "plain words", ""):
-        assert pii.pseudonymise_text(t) == (t, [])
+        assert pii.pseudonymise_text(t, KEY) == (t, [])
+
+
+def written_dates(form, year):
+    """By brute force: all strings of a form (d, m, Y; dd and mm with a leading zero) that a calendar has."""
+    days = [date(year, 1, 1) + timedelta(k) for k in range(366 if year % 4 == 0 and year % 100 or year % 400 == 0 else 365)]
+    parts = lambda d: {"d": str(d.day), "dd": f"{d.day:02d}", "m": str(d.month), "mm": f"{d.month:02d}", "Y": str(d.year)}
+    return ["".join(parts(d).get(x, x) for x in re.findall(r"[a-zY]+|[-/.]", form)) for d in days]
+
+
+@pytest.mark.parametrize("form", ["Y-mm-dd", "Y/m/d", "Y-m-dd", "dd.mm.Y", "dd/mm/Y", "mm/dd/Y", "d/m/Y", "m/d/Y", "d-mm-Y"])
+def test_dates_are_permuted_within_their_shape(form):
+    shape = lambda s: re.sub(r"\d", "9", s)
+    all_of = {x for y in (1999, 2000) for f in {form, form.replace("d", "#").replace("m", "d").replace("#", "m")} for x in written_dates(f, y)} if form[0] != "Y" else {x for y in (1999, 2000) for x in written_dates(form, y)}
+    new = {}
+    for value in all_of:
+        assert pii.find(value) == [(0, len(value), "date")]
+        out = pii.replace(value, "date", KEY)
+        assert out != value and shape(out) == shape(value) and pii.find(out) == [(0, len(out), "date")]
+        assert pii.replace(out, "date", KEY, back=True) == value
+        new[out] = value
+    assert len(new) == len(all_of)
+
+
+def test_a_shape_of_dates_is_one_set():
+    """Every rank of a shape is a written date of it, each once, and nothing else is."""
+    for shape in ((True, 2, 2, ""), (False, 2, 2, ""), (False, 1, 2, "1"), (False, 2, 1, "0"), (True, 1, 1, "")):
+        _, _, before = pii._written(shape)
+        texts = [pii._date_text(shape, "-", r) for r in (*range(before[101]), before[-1] - 1)]
+        assert len(set(texts)) == len(texts)
+        assert all(pii._date_rank(pii._DATE.fullmatch(t)) == r for t, r in zip(texts, (*range(before[101]), before[-1] - 1)))
+
+
+@pytest.mark.parametrize("value", ["9.8.7.6", "10.20.30.40", "001.002.003.004", "192.168.001.9", "255.255.255.255"])
+def test_addresses_keep_their_digits(value):
+    new = pii.replace(value, "ip", KEY)
+    assert new != value and [len(x) for x in new.split(".")] == [len(x) for x in value.split(".")] and all(int(x) < 256 for x in new.split("."))
+    assert [x[0] == "0" and len(x) > 1 for x in new.split(".")] == [x[0] == "0" and len(x) > 1 for x in value.split(".")]
+    assert pii.replace(new, "ip", KEY, back=True) == value
+
+
+@pytest.mark.parametrize("value", ["İ", "ж.Юрий", "jos\u00e9", "STRASSE.ß", "名前", "\u212a9", "Ÿ1", "a_b"])
+def test_local_parts_of_any_letters(value):
+    text = f"to {value}@example.com"
+    (a, b, kind), *_ = pii.find(text)
+    new = pii.replace(text[a:b], kind, KEY)
+    assert (kind, text[a:b]) == ("email", value) and new != value and len(new) == len(value)
+    assert pii.replace(new, kind, KEY, back=True) == value
+
+
+def test_secrets_that_read_as_hex_stay_so():
+    for k in range(200):
+        value = "1234567890" * 3 + "12" + "abcdefz"[k % 7] + str(k)
+        new = pii.replace(value, "secret", KEY)
+        assert pii.hex_like(new) == pii.hex_like(value) and new != value and pii.replace(new, "secret", KEY, back=True) == value
+
+
+def test_only_plain_digits_count():
+    for t in ("0\u0660\u0660-12-3456", "\u0661\u0662\u0663-45-6789", "2020-0\u0661-02", "4845168114407\u0663\u0662\u0669", "1.2.3.\u0664", "+1 (\u0660\u0661\u0667) 555-7713"):
+        for a, b, _ in pii.find(t):
+            assert t[a:b].isascii()
+        pii.pseudonymise_text(t, KEY)
+
+
+def test_any_string_passes():
+    rng = random.Random(3)
+    alphabet = "0123456789" * 4 + "--//..+() @=:ABCGDEFabcdef" + "\u0660\u0663\u00b2\u2460\u0130\u017f\u212a\u00e9\u4e2d\U0001f44d\u0000\n" + "tokensecret"
+    for _ in range(20_000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40)))
+        new, found = pii.pseudonymise_text(t, KEY)
+        assert len(new) == len(t) and all(a < b for a, b, _ in found)
+        for a, b, kind in found:
+            assert pii.replace(new[a:b], kind, KEY, back=True) == t[a:b]
+
+
+def test_the_key_comes_from_outside(spark, docs_of):
+    docs = docs_of(spark, ["at 97.51.17.173"])
+    text = lambda **k: pii.pseudonymise(docs, **k).first().text
+    assert text() == text() == pii.pseudonymise_text("at 97.51.17.173", pii.key_of(spark))[0]
+    spark.conf.set(pii.KEY_SETTING, "of the session")
+    try:
+        assert text() == text(key=b"of the session") != text(key=b"another")
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    clash = docs.withColumn("n_pii", F.lit("x")).withColumn("PII_kinds", F.lit(1))
+    row = pii.pseudonymise(clash, report=True).first()
+    assert (row.n_pii, row.pii_kinds) == (1, "ip")
 
 
 def test_equal_values_stay_linked(spark, docs_of):
@@ -240,7 +327,7 @@ def test_equal_values_stay_linked(spark, docs_of):
 
 def test_personal_data_in_long_texts():
     t = "1" * 100_000 + " " + "a" * 100_000 + "@x.com " + "9" * 50_000 + " 97.51.17.173 " + "@" * 20_000 + "1-" * 20_000
-    assert "97.51.17.173" not in pii.pseudonymise_text(t)[0]
+    assert "97.51.17.173" not in pii.pseudonymise_text(t, KEY)[0]
 
 
 # ---------------------------------------------------------------------------------------------------- ids, packing
@@ -449,10 +536,10 @@ def test_what_follows_hides_no_personal_data(value, kind, after):
     text = f"see {value}{after}"
     (a, b, k), *_ = pii.find(text)
     assert (text[a:b], k) == (value, kind)
-    new, _ = pii.pseudonymise_text(text)
+    new, _ = pii.pseudonymise_text(text, KEY)
     assert new != text and new.startswith("see ") and new.endswith(after)
     (a, b, _), *_ = pii.find(new)
-    assert pii.replace(new[a:b], kind, back=True) == value
+    assert pii.replace(new[a:b], kind, KEY, back=True) == value
 
 
 def test_numbers_after_a_phone_number():
