@@ -1,7 +1,8 @@
 """Elias-Fano coding of a non-decreasing sequence, with select.
 
 n values up to u take n * floor(log2(u / n)) low bits and at most 2n + 1 high bits: each value's high part in unary,
-value k at bit high(k) + k. select(k) jumps to a stored sample of every 256th one and counts bits from there.
+value k at bit high(k) + k. select(k) jumps to a stored sample of every 256th one and counts bits from there; select_many
+does so for a run of ascending places, each sample's bits once.
 """
 
 from __future__ import annotations
@@ -60,6 +61,26 @@ class EliasFano:
             low |= ((int(self.lower[at >> 3]) >> (at & 7)) & 1) << b
         return ((pos - k) << self.low_bits) | low
 
+    def select_many(self, places: np.ndarray) -> np.ndarray:
+        """The values at ascending places."""
+        k = np.asarray(places, np.int64)
+        if len(k) and not (0 <= k[0] and k[-1] < self.n):
+            raise IndexError(k)
+        ends = np.append(self.samples[1:], np.uint64(8 * len(self.upper))).astype(np.int64)
+        pos = np.zeros(len(k), np.int64)
+        cuts = np.flatnonzero(np.diff(k // STEP, prepend=-1))
+        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(k)]):
+            j = int(k[x]) // STEP
+            first = int(self.samples[j]) // 8
+            ones = np.flatnonzero(np.unpackbits(self.upper[first : int(ends[j]) // 8 + 1], bitorder="little"))
+            ones = ones[np.searchsorted(ones, int(self.samples[j]) - 8 * first) :]
+            pos[x:y] = 8 * first + ones[k[x:y] - j * STEP]
+        low = np.zeros(len(k), np.uint64)
+        for b in range(self.low_bits):
+            at = k * self.low_bits + b
+            low |= ((self.lower[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(b)
+        return ((pos - k).astype(np.uint64) << np.uint64(self.low_bits)) | low
+
     def all(self) -> np.ndarray:
         """Every value."""
         pos = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n]

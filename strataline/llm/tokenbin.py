@@ -2,19 +2,22 @@
 
 A segment is self-contained bytes:
 
-    b"SLTB" | version u8 | id width u8 (2 or 4) | pad u16 | documents u64 | ids u64
-    | doc ids i64[documents] | Elias-Fano of the documents' end offsets | ids, little-endian, concatenated
+    b"SLTB" | version u8 | id width u8 (2 or 4) | flags u16 (1: doc ids are null) | documents u64 | ids u64 | first doc id i64
+    | Elias-Fano of doc id - first doc id (not if null) | Elias-Fano of the documents' end offsets | ids, little-endian, concatenated
 
 Segments lie in ascending doc_id order as the binary column of a Parquet table (part, segment, first_id, n_docs, n_ids,
 part_offset, payload), so Spark's commit protocol covers retried tasks and any store that Spark reaches will do. A
 segment takes at most `segment_ids` ids, or one document if that alone has more. A document's ids begin in the corpus
 at its part's base (a prefix sum over one number for each writing task, the only thing the driver sees), plus the ids
-of the part before its segment, plus its offset in the segment: `Segment.bounds` takes one document's from select, while
-`read`, which lists every document, decodes a segment's whole sequence in order.
+of the part before its segment, plus its offset in the segment, which select returns: `bounds` for one document,
+`select_many` for all that `read` lists.
 
-Defined results: a null text is empty; an empty text has the end id alone; rows with the same doc_id all get written,
-next to each other in order of text; null doc_ids are refused, they have no place in an ascending order; an empty table gives
-no segment; columns besides doc_id and text are not looked at.
+Texts are encoded where they lie and only their ids are sorted. Parts follow the number of ids; rows that share a doc_id
+may be dealt to several parts, by a hash of their ids and their place.
+
+Defined results: a null text is empty; an empty text has the end id alone; rows with the same doc_id all get written, next
+to each other; rows with a null doc_id come first, in segments of their own; an empty table gives no segment; columns
+besides doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -28,30 +31,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm.common import documents, new_path, mapped
+from strataline.llm.common import documents, mapped, materialize, new_path, temporary
 from strataline.llm.eliasfano import EliasFano, encode
 from strataline.llm.tokens import encoder, vocabulary_path
 
-MAGIC, VERSION = b"SLTB", 1
-_HEAD = struct.Struct("<4sBBHQQ")
+MAGIC, VERSION, NULL_IDS = b"SLTB", 2, 1
+PART_IDS = 1 << 24  # ids of a part, about
+_HEAD = struct.Struct("<4sBBHQQq")
 SEGMENT_SCHEMA = "part int, segment int, first_id long, n_docs long, n_ids long, part_offset long, payload binary"
 
 
-def pack_segment(doc_ids: list[int], lengths: list[int], ids: bytes, width: int) -> bytes:
-    ends = np.cumsum(np.asarray(lengths, np.uint64))
-    return _HEAD.pack(MAGIC, VERSION, width, 0, len(doc_ids), len(ids) // width) + np.asarray(doc_ids, "<i8").tobytes() + encode(ends) + ids
+def pack_segment(doc_ids: list[int | None], lengths: list[int], ids: bytes, width: int) -> bytes:
+    """doc_ids ascending, or all null."""
+    first, flags = (0, NULL_IDS) if doc_ids[0] is None else (doc_ids[0], 0)
+    own = b"" if flags else encode(np.array([i - first for i in doc_ids], np.uint64))
+    return _HEAD.pack(MAGIC, VERSION, width, flags, len(doc_ids), len(ids) // width, first) + own + encode(np.cumsum(np.asarray(lengths, np.uint64))) + ids
 
 
 class Segment:
-    """Reads a payload; the offsets of one document come from select."""
+    """Reads a payload; offsets come from select."""
 
     def __init__(self, raw: bytes):
-        magic, version, self.width, _, self.n_docs, self.n_ids = _HEAD.unpack_from(raw, 0)
+        magic, version, self.width, flags, self.n_docs, self.n_ids, self.first = _HEAD.unpack_from(raw, 0)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token segment")
-        self.doc_ids = np.frombuffer(raw, "<i8", self.n_docs, _HEAD.size)
-        self.ends = EliasFano(raw, _HEAD.size + 8 * self.n_docs)
-        self.ids = np.frombuffer(raw, f"<u{self.width}", self.n_ids, _HEAD.size + 8 * self.n_docs + self.ends.size)
+        self.own = None if flags & NULL_IDS else EliasFano(raw, _HEAD.size)
+        at = _HEAD.size + (self.own.size if self.own else 0)
+        self.ends = EliasFano(raw, at)
+        self.ids = np.frombuffer(raw, f"<u{self.width}", self.n_ids, at + self.ends.size)
+
+    def doc_id(self, k: int) -> int | None:
+        return None if self.own is None else self.first + self.own.select(k)
+
+    def doc_ids(self) -> pa.Array:
+        if self.own is None:
+            return pa.nulls(self.n_docs, pa.int64())
+        return pa.array(self.own.select_many(np.arange(self.n_docs)).astype(np.int64) + self.first)
 
     def bounds(self, k: int) -> tuple[int, int]:
         return (self.ends.select(k - 1) if k else 0), self.ends.select(k)
@@ -61,17 +76,27 @@ class Segment:
         return self.ids[a:b]
 
 
+def encoded(docs: DataFrame, vocabulary: str, end_id: int, width: int = 2) -> DataFrame:
+    """doc_id, ids (packed, with end_id), n (their number), mark: a number that tells rows of a doc_id apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, end = encoder(vocabulary, width), end_id.to_bytes(width, "little")
+        for b in batches:
+            ids = [packed + end for packed in enc.encode(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // width for x in ids], pa.int64())], ["doc_id", "ids", "n"])
+
+    rows = mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids binary, n long", 500)
+    return rows.withColumn("mark", F.xxhash64("ids", F.monotonically_increasing_id()))
+
+
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, width: int = 2, segment_ids: int = 1 << 20, partitions: int | None = None) -> None:
     """Encode every text, append end_id, write segments in ascending doc_id order below `path`."""
     spark = docs.sparkSession
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.expr("coalesce(doc_id, cast(raise_error('doc_id is null') as bigint))").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end, part = encoder(vocabulary, width), end_id.to_bytes(width, "little"), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         held, lengths, ids, size, segment, before = [], [], [], 0, 0, 0
 
         def flush():
@@ -82,18 +107,24 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, width: int =
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["part", "segment", "first_id", "n_docs", "n_ids", "part_offset", "payload"])
 
         for b in batches:
-            for i, packed in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                k = len(packed) // width + 1
-                if held and size + k > segment_ids:
+            for i, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                k = len(packed) // width
+                if held and (size + k > segment_ids or (held[0] is None) != (i is None)):
                     yield flush()
                 held.append(i)
                 lengths.append(k)
-                ids.append(packed + end)
+                ids.append(packed)
                 size += k
         if held:
             yield flush()
 
-    ordered.mapInArrow(run, SEGMENT_SCHEMA).write.parquet(path)
+    with temporary(spark):
+        rows = materialize(encoded(docs, vocabulary, end_id, width), "token-ids")
+        total = rows.agg(F.sum("n")).first()[0] or 0
+        few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // segment_ids))
+        n = partitions or max(1, few, -(-total // PART_IDS))
+        ordered = rows.repartitionByRange(n, "doc_id", "mark").sortWithinPartitions("doc_id", "mark")
+        mapped(ordered.select("doc_id", "ids"), run, SEGMENT_SCHEMA, 500).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -110,14 +141,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for base, payload in zip(b.column(0).to_pylist(), b.column(1)):
                 s = Segment(memoryview(payload.as_buffer()))
-                ends = s.ends.all().astype(np.int64)
+                ends = s.ends.select_many(np.arange(s.n_docs)).astype(np.int64)
                 begins = np.concatenate([[0], ends[:-1]])
                 wide = s.ids.astype("<u4")
                 crcs = [crc32(wide[x:y]) for x, y in zip(begins.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids), pa.array(begins + base), pa.array(ends - begins), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([s.doc_ids(), pa.array(begins + base), pa.array(ends - begins), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = segments.join(F.broadcast(of_part), "part").select((F.col("part_base") + F.col("part_offset")).alias("base"), "payload")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(placed, run, "doc_id long, start long, n_tokens long, ids_crc32 long", 8)
 
 
 def op9_token_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,11 @@ library once, and ids are remembered up to a bound. Two manners of cutting are k
 * `blind`: case and white space don't matter; cuts at white space.
 * `exact`: byte-level, a word takes the one space before it; cuts before spaces and around line feeds.
 
-Both also cut before full stops and commas where all of a text's follow a letter or digit, so that a word is not a new
-piece with each.
+Texts of Latin-1 are also cut before full stops and commas where all of a text's follow a letter or digit, so that a word
+is not a new piece with each, and `blind` pieces are put in lower case at once; others are cut at spaces and line feeds alone.
 
-Texts with anything that could make a cut matter (characters outside Latin-1, unusual or repeated white space, special
-tokens' brackets), and vocabularies that fail the probes, are encoded whole.
+Texts with anything that could make a cut matter (unusual or repeated white space, special tokens' brackets), and
+vocabularies that fail the probes, are encoded whole.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ import numpy as np
 
 ROOM = 500_000  # pieces remembered by a Python worker
 _ODD = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0]")
+_WIDE_SPACE = re.compile("[\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _STOP_APART = re.compile(r"[.,](?<![^\W_][.,])")
-_PROBES = ("a b", "A.\nB c", "l'a 12 3", "It's, it'll.'s", "É$a% &b", "' s 't", "a_.b __c", "x2y.. (z)", "don't!!\nno")
+_PROBES = ("a b", "A.\nB c", "l'a 12 3", "It's, it'll.'s", "É$a% &b", "' s 't", "a_.b __c", "x2y.. (z)", "don't!!\nno", "\u201cIt\u2019s\u201d \u0416\u0443 \u03a3.\n\u4e2d\u6587 \u0301e")
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
@@ -34,21 +35,27 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def plain(text: str) -> bool:
-    """Whether a cut can't matter."""
+def is_latin(text: str) -> bool:
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
         return False
-    return not (_ODD.search(text) or "<|" in text or "  " in text or "\n\n" in text or " \n " in text or "\n \n" in text)
+    return True
+
+
+def plain(text: str) -> bool:
+    """Whether a cut at white space can't matter."""
+    return not (_ODD.search(text) or "<|" in text or "  " in text or "\n\n" in text or " \n " in text or "\n \n" in text or _WIDE_SPACE.search(text))
 
 
 def cut_exact(text: str) -> list[str]:
     out = text.replace("\n", "\0\n\0").replace(" ", "\0 ")
-    return (out if _STOP_APART.search(text) else out.replace(".", "\0.").replace(",", "\0,")).split("\0")
+    return (out if not is_latin(text) or _STOP_APART.search(text) else out.replace(".", "\0.").replace(",", "\0,")).split("\0")
 
 
 def cut_blind(text: str) -> list[str]:
+    if not is_latin(text):
+        return text.replace("\n", " ").split(" ")
     out = text.lower()
     return (out if _STOP_APART.search(text) else out.replace(".", " .").replace(",", " ,")).split()
 

@@ -344,6 +344,17 @@ def test_elias_fano_selects_everything():
     assert len(eliasfano.encode(np.cumsum(rng.integers(100, 900, n)))) * 8 / n < 13
 
 
+def test_select_many_is_select():
+    rng = np.random.default_rng(1)
+    for n, most in ((1, 5), (255, 1), (257, 3), (5000, 1000), (3000, 0)):
+        v = np.cumsum(rng.integers(0, most + 1, n))
+        f = eliasfano.EliasFano(eliasfano.encode(v))
+        some = np.flatnonzero(rng.random(n) < 0.3)
+        assert f.select_many(np.arange(n)).tolist() == v.tolist() and f.select_many(some).tolist() == v[some].tolist() == [f.select(k) for k in some.tolist()]
+    with pytest.raises(IndexError):
+        f.select_many(np.array([n]))
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_pieces_encode_like_whole_texts(name):
     public = pytest.importorskip("public_tokenizers")
@@ -351,7 +362,7 @@ def test_pieces_encode_like_whole_texts(name):
 
     path = public.path(name)
     whole, enc, rng = Tokenizer.from_file(path), tokens.Encoder(path), random.Random(1)
-    alphabet = [*" \n\t abcdÉéß.,'$!1239_-()\"@²½ªµ", "中", "👍", "<|endoftext|>", "İ", "Σ", "\x01", "\x1c", "'s", "'ll", " the", "The", " ", ".\n", "\r\n"]
+    alphabet = [*" \n\t abcdÉéß.,'$!1239_-()\"@²½ªµ", "中", "👍", "<|endoftext|>", "İ", "Σ", "\x01", "\x1c", "'s", "'ll", " the", "The", " ", ".\n", "\r\n", "\u201c", "\u2019", "\u0416", "\u0443", "\u0301", "\u0308", "\u0928\u094d", "\uac00", "\u1100\u1161", "\u2003", "\u3000", "\u200b", "\u0130", "\u03c2", "\u1e9b"]
     texts = ["".join(rng.choice(alphabet[: rng.choice([20, 30, len(alphabet)])]) for _ in range(rng.randrange(40))) for _ in range(4000)]
     for t, b in zip(texts, enc.encode(texts)):
         assert np.frombuffer(b, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
@@ -362,22 +373,37 @@ def test_token_segments_read_back(spark, docs_of, tmp_path, vocabulary):
 
     whole = Tokenizer.from_file(vocabulary)
     texts = [*EDGES[:-1], *(f"text number {k} " * (k % 7) for k in range(60))]
-    ids = [5, 3, 9, 1, 40, 2, 8, 7, 1, *range(100, 160)]
+    ids = [5, 3, -9, 1, 40, 2, 8, 7, 1, *range(100, 158), None, None]
     path = str(tmp_path / "segments")
     tokenbin.write(docs_of(spark, texts, ids), path, vocabulary, end_id=2, segment_ids=500, partitions=3)
     want, start = [], 0
-    for i, t in sorted(zip(ids, texts), key=lambda p: (p[0], p[1] or "")):
+    got = tokenbin.read(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, *sorted(i for i in ids if i is not None)]
+    rank = {(r.doc_id, r.ids_crc32): k for k, r in enumerate(got)}
+    crc = lambda t: crc32(np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    for i, t in sorted(zip(ids, texts), key=lambda p: rank[p[0], crc(p[1])]):
         own = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         want.append((i, start, len(own), crc32(own.tobytes())))
         start += len(own)
-    assert sorted(map(tuple, tokenbin.read(spark, path).collect())) == sorted(want)
-    s = tokenbin.Segment(spark.read.parquet(path).orderBy("part", "segment").first().payload)
-    assert s.document(0).tolist()[-1] == 2 and s.bounds(0)[0] == 0
+    assert list(map(tuple, got)) == want
+    segments = [tokenbin.Segment(r.payload) for r in spark.read.parquet(path).orderBy("part", "segment").collect()]
+    assert [s.doc_id(k) for s in segments for k in range(s.n_docs)] == [r.doc_id for r in got]
+    assert [crc32(s.document(k).astype("<u4").tobytes()) for s in segments for k in range(s.n_docs)] == [r.ids_crc32 for r in got]
     empty = str(tmp_path / "none")
     tokenbin.write(docs_of(spark, []), empty, vocabulary, end_id=2)
     assert tokenbin.read(spark, empty).count() == 0
-    with pytest.raises(Exception, match="doc_id is null"):
-        tokenbin.write(docs_of(spark, ["a"], [None]), str(tmp_path / "bad"), vocabulary, end_id=2)
+
+
+def test_equal_doc_ids_are_dealt_out(spark, docs_of, tmp_path, vocabulary):
+    """A third of all rows with one id, and copies of one text: still whole, in order, over several parts."""
+    texts = [f"text {k % 40}" for k in range(300)]
+    ids = [7 if k % 3 == 0 else k for k in range(300)]
+    path = str(tmp_path / "segments")
+    tokenbin.write(docs_of(spark, texts, ids), path, vocabulary, end_id=2, segment_ids=64, partitions=6)
+    got = tokenbin.read(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(ids)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert spark.read.parquet(path).filter("first_id <= 7").select("part").distinct().count() > 1
 
 
 def test_sum_of_squares_choice_by_brute_force():
