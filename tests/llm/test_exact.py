@@ -59,10 +59,35 @@ def test_topk_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [2.0, 1.0]), (None, [1.0, 1.0]), (6, [1.0, 1.0, 1.0]), (5, [2.0, 1.0]), (50, [0.5, 0.5]), (50, [0.5, 0.5])]
     df = spark.createDataFrame([(*r, 1.0, 2, 3) for r in rows], "vec_id long, embedding array<float>, score double, rank int, block int")
     got = topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
-    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == sorted([(0, 1, 5), (0, 2, 5), (0, 3, 50), (0, 4, 50)] + 2 * [(50, 1, 5), (50, 2, 5), (50, 3, 0)])
+    # A query with a repeated id meets the other row of it.
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == sorted([(0, 1, 5), (0, 2, 5), (0, 3, 50), (0, 4, 50)] + 2 * [(50, 1, 5), (50, 2, 5), (50, 3, 0), (50, 4, 50)])
     assert topk.top_k(df.filter("false"), F.lit(True)).count() == 0
 
 
+def test_topk_with_bars_from_other_blocks(spark, monkeypatch):
+    """Many small blocks, so that bars, skipped blocks and merged query blocks count; repeated ids and equal vectors among them."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(400, 20)) * rng.choice([0.01, 1, 1, 5], size=(400, 1))
+    v[100:180] = v[100]
+    ids = [int(x) for x in rng.integers(0, 300, 400)]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in zip(ids, v)], "vec_id long, embedding array<double>").repartition(3)
+    q, ids = np.floor(256 * v).astype(np.int64), np.array(ids)
+    want = []
+    for j in np.flatnonzero(ids % 10 == 0):
+        s = q @ q[j]
+        best = [x for x in np.lexsort((ids, -s)) if x != j][:5]
+        want += [(int(ids[j]), n + 1, int(ids[x]), int(s[x])) for n, x in enumerate(best)]
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 10 == 0).collect())) == sorted(want)
+
+
+def test_scores_beyond_64_bits():
+    big = np.array([[1 << 62, 3], [1 << 62, 5]], np.int64)
+    (j, at, s), *_ = topk.search_block(np.array([9]), big[:, :1], np.arange(2), np.arange(2), np.column_stack([big[:, 0], -big[:, 0]]), 5)
+    assert (j, at.tolist(), s.tolist()) == (0, [0, 1], [(1 << 63) - 1, -(1 << 63)])
+
+
 # ----------------------------------------------------------------------------------------------------------- windows
 
 
