@@ -4,15 +4,16 @@ Each benchmark item gives its windows of `window` consecutive words (an item of
 contains a window exactly when all of the window's word shingles stand in it in sequence, so at a containment of 1 the
 prefix of a window is its rarest shingle. The steps:
 
-1. The shingles of all windows meet those of all documents in an equality join; the matches say how rare each shingle is
-   over the whole corpus.
-2. Each window keeps its rarest shingle, its prefix (ties: the smaller hash, then the smaller offset). A match of a
-   prefix proposes one start for each window that has it; starts that would not leave room for the window in the
-   document are dropped (positional and length bounds).
-3. What is left is verified word by word in the document.
+1. Rarity: how often each shingle of the benchmark stands in the corpus, a count with no positions.
+2. Prefixes: each window keeps its rarest shingle (ties: the smaller hash, then the smaller offset). A window one of whose
+   shingles is nowhere is in no document and keeps none. Only prefixes meet the documents' shingles: a match proposes one
+   start, which must leave room for the window (positional and length bounds).
+3. What is left is verified word by word: where the prefixes are few (`broadcast_keys`, `broadcast_bytes`; both counted
+   first) in the pass that finds it, with no text leaving its place; else proposals meet their texts in a join, one of
+   each group of equal texts.
 
-The benchmark's shingles are broadcast only if they are few (`broadcast_keys`, counted first); else the join shuffles.
-Shingles have `shingle` words, fewer for windows that have fewer.
+Shingles have `shingle` words, fewer for windows that have fewer. What is found depends on the text alone, so hits of equal
+texts are one.
 
 Defined results: null texts have no words; a document or an item without words meets nothing; repeated items count by
 their item_id, repeated rows get their row each; null item_ids are left out; extra columns are not looked at. A null
@@ -27,13 +28,15 @@ from pyspark.sql import functions as F
 from strataline.llm.common import documents, materialize, table, temporary
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
-    """The words of WORD, A-Z in lower case."""
-    return F.filter(F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), _NOT_WORD), lambda w: w != "")
+    """The words of WORD, A-Z in lower case: ASCII that is no letter or digit becomes a space to cut at."""
+    spaced = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER + _BETWEEN, _LOWER + " " * len(_BETWEEN))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -72,60 +75,102 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     )
 
 
-def matched(rows: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, broadcast_keys: int = 500_000) -> DataFrame:
+def _nothing(rows: DataFrame, **columns: str) -> DataFrame:
+    return rows.sparkSession.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in columns.items()))
+
+
+def _positions(split: DataFrame, k: int, *more: str) -> DataFrame:
+    """row, n_words, pos, key of each shingle of k words, and columns of split."""
+    at = split.select("row", "w", F.posexplode("w").alias("pos", "word")).select("row", F.size("w").alias("n_words"), "pos", _key(k, F.col("pos"), F.col("w")).alias("key"), *more)
+    return at.filter(F.col("pos") <= F.col("n_words") - k) if k > 1 else at
+
+
+def _rarity(split: DataFrame, keys: DataFrame, per_k: dict[int, int], broadcast_keys: int) -> DataFrame:
+    """k, key, seen of the keys that stand in the corpus."""
+    out = None
+    for k, n in sorted(per_k.items()):
+        own = keys.filter(F.col("k") == k).select("key")
+        seen = _positions(split, k).select("key").join(F.broadcast(own) if n <= broadcast_keys else own, "key")
+        seen = seen.groupBy("key").agg(F.count("*").alias("seen")).select(F.lit(k).alias("k"), "key", "seen")
+        out = seen if out is None else out.unionByName(seen)
+    return out
+
+
+def _in_place(split: DataFrame, prefix: DataFrame, sizes: list[int]) -> DataFrame:
+    """row, start, size, window of the windows that stand in a text, all in one pass over it."""
+    out = None
+    for k in sizes:
+        own = prefix.filter(F.col("k") == k).select("key", "offset", "win", "window")
+        start = F.col("pos") - F.col("offset")
+        room = (start >= 0) & (start + F.size("win") <= F.col("n_words"))
+        met = _positions(split, k, "w").join(F.broadcast(own), "key").filter(room & (F.slice("w", F.greatest(F.lit(1), start + 1), F.size("win")) == F.col("win")))
+        met = met.select("row", start.alias("start"), F.size("win").alias("size"), "window")
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def _by_join(rows: DataFrame, split: DataFrame, prefix: DataFrame, sizes: list[int]) -> DataFrame:
+    """The same for any number of windows: proposals, then one text of each group of equal ones."""
+    proposed = None
+    for k in sizes:
+        own = prefix.filter(F.col("k") == k).select("key", "offset", "win", "window")
+        start = F.col("pos") - F.col("offset")
+        met = _positions(split, k).join(own, "key").filter((start >= 0) & (start + F.size("win") <= F.col("n_words")))
+        met = met.select("row", F.struct(start.alias("start"), "win", "window").alias("s"))
+        proposed = met if proposed is None else proposed.unionByName(met)
+    per_row = materialize(proposed.groupBy("row").agg(F.collect_set("s").alias("starts")), "decon-starts")
+    texts = rows.join(per_row.select("row"), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
+    own = texts.join(per_row, "row").select("row", "starts", words(F.col("text")).alias("w"))
+    # The words stand in an array of one, so that they are bound once a row and not cut anew for each start.
+    right = F.get(F.transform(F.array("w"), lambda w: F.filter("starts", lambda s: F.slice(w, s["start"] + 1, F.size(s["win"])) == s["win"])), F.lit(0))
+    return own.select("row", F.explode(right).alias("s")).select("row", F.col("s.start").alias("start"), F.size("s.win").alias("size"), F.col("s.window").alias("window"))
+
+
+def matched(rows: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, broadcast_keys: int = 500_000, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """rows: row (equal for equal texts), text. Per distinct row with a hit: row, n_hit, n_items, items_sha256."""
-    of_item = materialize(item_windows(benchmark, window).withColumn("window_id", F.xxhash64(F.concat_ws(" ", "win"))), "decon-items")
-    windows = of_item.groupBy("win").agg(F.min("window_id").alias("window_id"))
+    of_item = materialize(item_windows(benchmark, window), "decon-items")
+    windows = materialize(of_item.groupBy("win").agg(F.count("*").alias("n")).select("win", F.monotonically_increasing_id().alias("window")), "decon-windows")
     k_of = F.least(F.lit(shingle), F.size("win"))
-    keyed = [
-        windows.filter(k_of == k).select("win", F.lit(k).alias("k"), F.explode(F.sequence(F.lit(0), F.size("win") - k)).alias("offset")).select("win", "k", "offset", _key(k, F.col("offset"), F.col("win")).alias("key"))
-        for k in range(1, shingle + 1)
-    ]
-    entries = keyed[0]
-    for more in keyed[1:]:
-        entries = entries.unionByName(more)
+    entries = None
+    for k in range(1, shingle + 1):
+        one = windows.filter(k_of == k).select("win", "window", F.lit(k).alias("k"), F.explode(F.sequence(F.lit(0), F.size("win") - k)).alias("offset"))
+        one = one.select("window", F.size("win").alias("size"), "k", "offset", _key(k, F.col("offset"), F.col("win")).alias("key"))
+        entries = one if entries is None else entries.unionByName(one)
     entries = materialize(entries, "decon-entries")
     keys = entries.select("k", "key").distinct()
     per_k = {r.k: r.n for r in keys.groupBy("k").agg(F.count("*").alias("n")).collect()}
+    if not per_k:
+        return _nothing(rows, row="binary", n_hit="long", n_items="long", items_sha256="string")
 
-    #: 1. Where a shingle of the benchmark stands in a document.
+    #: 1. How rare each shingle is.
     split = rows.select("row", words(F.col("text")).alias("w"))
-    found = None
-    for k, n in sorted(per_k.items()):
-        own = keys.filter(F.col("k") == k).select("key")
-        at = split.select("row", "w", F.posexplode("w").alias("pos", "word")).select("row", F.size("w").alias("n_words"), "pos", _key(k, F.col("pos"), F.col("w")).alias("key"))
-        if k > 1:
-            at = at.filter(F.col("pos") <= F.col("n_words") - k)
-        one = at.join(F.broadcast(own) if n <= broadcast_keys else own, "key").select(F.lit(k).alias("k"), "key", "row", "pos", "n_words")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return rows.sparkSession.createDataFrame([], "row binary, n_hit long, n_items long, items_sha256 string")
-    found = materialize(found, "decon-found")
-
-    #: 2. The rarest shingle of each window; starts that leave room.
-    rarity = found.groupBy("k", "key").agg(F.count("*").alias("seen"))
-    prefix = entries.join(rarity, ["k", "key"]).groupBy("win").agg(F.min(F.struct("seen", "key", "offset")).alias("p"), F.min("k").alias("k"), F.count_distinct("offset").alias("present"))
-    # A window one of whose shingles is nowhere in the corpus is in no document.
-    prefix = prefix.filter(F.col("present") == F.size("win") - F.col("k") + 1).select("win", "k", F.col("p.key").alias("key"), F.col("p.offset").alias("offset"))
-    prefix = materialize(prefix, "decon-prefix")
-    start = F.col("pos") - F.col("offset")
-    proposed = found.join(prefix, ["k", "key"]).filter((start >= 0) & (start + F.size("win") <= F.col("n_words"))).select("row", start.alias("start"), "win")
-    per_row = materialize(proposed.groupBy("row").agg(F.collect_set(F.struct("start", "win")).alias("starts")), "decon-starts")
+    rarity = materialize(_rarity(split, keys, per_k, broadcast_keys), "decon-rarity")
+
+    #: 2. The rarest shingle of each window.
+    least = entries.join(rarity, ["k", "key"]).groupBy("window").agg(
+        F.min(F.struct("seen", "key", "offset")).alias("p"), F.first("k").alias("k"), F.count_distinct("offset").alias("present"), F.first("size").alias("size")
+    )
+    least = least.filter(F.col("present") == F.col("size") - F.col("k") + 1).select("window", "k", F.col("p.key").alias("key"), F.col("p.offset").alias("offset"))
+    prefix = materialize(least.join(windows, "window"), "decon-prefix")
+    size = prefix.agg(F.count("*").alias("n"), F.sum(F.length(F.concat_ws(" ", "win")) * 4 + F.size("win") * 16).alias("bytes"), F.collect_set("k").alias("k")).first()
 
     #: 3. Word by word.
-    texts = rows.join(per_row, "row").select("row", "starts", words(F.col("text")).alias("w"))
-    # The words stand in an array of one, so that they are bound once a row and not cut anew for each start.
-    right = F.get(F.transform(F.array("w"), lambda w: F.filter("starts", lambda s: F.slice(w, s["start"] + 1, F.size(s["win"])) == s["win"])), F.lit(0))
-    true = texts.select("row", F.array_sort(right).alias("starts")).filter(F.size("starts") > 0)
-    true = materialize(true, "decon-verified")
-    true = materialize(true.groupBy("row").agg(F.first("starts").alias("starts")), "decon-verified")
+    if not size.n:
+        true = _nothing(rows, row="binary", start="int", size="int", window="long")
+    elif size.n <= broadcast_keys and size.bytes <= broadcast_bytes:
+        true = _in_place(split, prefix, sorted(size.k))
+    else:
+        true = _by_join(rows, split, prefix, sorted(size.k))
+    true = materialize(true.distinct(), "decon-verified")
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    cover = F.aggregate("starts", zero, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["start"] + F.size(s["win"]) - F.greatest(a["end"], s["start"]))).alias("n"), F.greatest(a["end"], s["start"] + F.size(s["win"])).alias("end")))
-    covered = true.select("row", cover["n"].cast("long").alias("n_hit"))
-    seen = true.select("row", F.explode(F.array_distinct(F.col("starts.win"))).alias("win"))
-    items = seen.join(of_item.select("win", "item_id"), "win").groupBy("row").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    named = items.select("row", F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("ids")), 256).alias("items_sha256"))
-    return covered.join(named, "row")
+    cover = F.aggregate(
+        "starts", zero, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["start"] + s["size"] - F.greatest(a["end"], s["start"]))).alias("n"), F.greatest(a["end"], s["start"] + s["size"]).alias("end"))
+    )
+    covered = true.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("starts")).select("row", cover["n"].cast("long").alias("n_hit"))
+    named = of_item.join(windows, "win").select("window", F.col("item_id").cast("string").alias("item_id"))
+    items = true.select("row", "window").distinct().join(named, "window").groupBy("row").agg(F.collect_set("item_id").alias("ids"))
+    items = items.select("row", F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("ids")), 256).alias("items_sha256"))
+    return covered.join(items, "row")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
@@ -141,3 +186,31 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+_SQL_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORD}')"
+OP4_SQL = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents
+), i AS (
+  SELECT item_id, {_SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL
+), win AS MATERIALIZED (
+  SELECT DISTINCT item_id, w[s : s + 9] AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM i WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT len(win) AS n FROM win
+), placed AS (
+  SELECT r, s, n, w[s : s + n - 1] AS win
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)
+), hit AS MATERIALIZED (
+  SELECT r, s, n, item_id FROM placed JOIN win USING (win)
+), words AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hit) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS items_sha256
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from strataline.llm.brown import op2_brown_lm
-from strataline.llm.decontaminate import op4_decontaminate
+from strataline.llm.decontaminate import OP4_SQL, op4_decontaminate
 from strataline.llm.langid import op7_langid
 from strataline.llm.packing import op10_sum_of_squares_packing
 from strataline.llm.pii import op8_pii_feistel
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_token_segments": op9_token_segments,
     "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_decontaminate": OP4_SQL}
