@@ -6,9 +6,11 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from strataline.llm import brown, fm, langid, quality, toxicity
+from strataline.llm.common import materialize
 
 EDGES = [None, "", " \n\t ", "a", "!!! ??? 123", "word " * 30_000, "é́ 中文 👍", "x" * 200_000, "a", None]
 
@@ -66,25 +68,70 @@ def test_language_model_against_plain_sums(spark, folder, corpus):
 @pytest.mark.parametrize("lookup", [0, 5, 1 << 17])
 def test_language_model_is_a_distribution_and_joins_as_it_looks_up(spark, docs_of, lookup):
     """Over every word of a class and its unknown word, emissions sum to 1; so do transitions; the score is their plain sum."""
-    texts = ["a b a c", "b a", "c c d e", None, "", "a z z"]
+    texts = ["a b a c", "b a", "c c d e", None, "", "a z z", "d b d e f f"]
     docs = docs_of(spark, texts).select("doc_id", "text")
-    model, table = brown.train(docs.filter("doc_id < 5"), heads=3, affixes=2, n_classes=3, lookup=lookup)
-    counts = {bytes(r.word): r.c for r in table.collect()}
-    of = {w: int(model.classes[model.units[w]]) for w in counts}
+    words, by_count = brown.vocabulary(docs.filter("doc_id <> 5"), heads=3, affixes=2, lookup=lookup)
+    codes = brown.coded(docs, words)
+    model, tail = brown.fit(codes.filter("doc_id <> 5"), words, by_count, n_classes=3)
+    counts = Counter(w for k, t in enumerate(texts) if k != 5 for w in brown.tokens(t))
+    rare = {r.word: (r["class"], r.c) for r in tail.collect()}
+    name = lambda w: int(np.uint64(xxhash.xxh64_intdigest(w, 42)).view(np.int64))
+    places = {w: k for k, w in enumerate(words.known)}
+    assert {w: c for w, c in counts.items() if w not in places} == {w: rare[name(w)][1] for w in counts if w not in places}
+    assert all(model.words.counts[k] == counts[w] for w, k in places.items()) and len(rare) == len(counts) - len(places)
+    of = {w: int(model.word_class[places[w]]) if w in places else rare[name(w)][0] for w in counts}
+    group = lambda w: int(model.classes[words.affix(w)])
+    before = lambda w: of[w] if w in places else group(w)
     for c in range(3):
         own = [n for w, n in counts.items() if of[w] == c]
         total = sum(10 ** (math.log10(n - model.discount) - model.log_class[c]) for n in own) + 10 ** (model.log_unknown[c] - model.log_class[c])
         assert total == pytest.approx(1)
     steps = 10 ** model.steps.reshape(4, 4, 4)[:, :, :3]
     assert np.allclose(steps.sum(-1), 1)
-    for r in brown.score(docs, model, table).collect():
-        want, one, two = 0.0, 3, 3
+    for r in brown.score(codes, model, tail).collect():
+        want, known, one, two = 0.0, 0.0, 3, 3
         for w in brown.tokens(texts[r.doc_id]):
-            c = of[w] if w in of else int(model.classes[model.units[w]])
-            emit = math.log10(counts[w] - model.discount) if w in counts else model.log_unknown[c]
-            want += model.steps[(two * 4 + one) * 4 + c] + emit - model.log_class[c]
-            two, one = one, c
-        assert r.score == pytest.approx(want)
+            c = of[w] if w in of else group(w)
+            p = model.steps[(two * 4 + one) * 4 + c] + (math.log10(counts[w] - model.discount) if w in counts else model.log_unknown[c]) - model.log_class[c]
+            want, known = want + p, known + (p if w in counts else 0)
+            two, one = one, before(w)
+        assert r.score == pytest.approx(want) and r.known_score == pytest.approx(known)
+
+
+def test_gains_are_differences_of_likelihood():
+    """Taking a word out of its class and putting it into each other one, by brute force."""
+    rng = np.random.default_rng(8)
+    own = rng.poisson(rng.choice([0.3, 3, 30], (9, 8)), (9, 8))
+    now = rng.integers(0, 3, 9)
+
+    def table(cls):
+        t = np.zeros((8, 3))
+        for w, c in enumerate(cls):
+            t[:, c] += own[w]
+        return t
+
+    word, context = np.nonzero(own)
+    got = brown.gains(table(now), table(now).sum(0), word, context, own[word, context], now, 1)
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    for w in range(9):
+        all_of = [f(table(c)) - f(table(c).sum(0)) for c in ([*now[:w], b, *now[w + 1 :]] for b in range(3))]
+        assert np.allclose(got[w] - got[w].max(), np.array(all_of) - max(all_of))
+
+
+def test_every_word_seen_twice_is_clustered(spark, docs_of):
+    """Two kinds of words that no ending tells apart, in two kinds of contexts, beyond the heads and beyond the table."""
+    rng = np.random.default_rng(0)
+    kinds = [[f"w{k}{a}{3 * 'abcdefgh'[k % 8]}" for k in range(60)] for a in "xy"]
+    texts = [" ".join(x for _ in range(8) for x in (("der", "die")[k], str(rng.choice(kinds[k])), ("oben", "unten")[k])) for k in rng.integers(0, 2, 300)]
+    docs = docs_of(spark, texts).select("doc_id", "text")
+    for lookup in (5, 40, 1000):
+        words, by_count = brown.vocabulary(docs, heads=5, affixes=16, lookup=lookup)
+        model, tail = brown.fit(materialize(brown.coded(docs, words), "t"), words, by_count, n_classes=6)
+        name = lambda w: int(np.uint64(xxhash.xxh64_intdigest(w, 42)).view(np.int64))
+        of = {r.word: r["class"] for r in tail.collect()} | {name(w): int(c) for w, c in zip(words.known, model.word_class)}
+        seen = [Counter(of[name(w.encode())] for w in k if name(w.encode()) in of) for k in kinds]
+        assert sum(max(c.values()) for c in seen) >= 0.9 * sum(sum(c.values()) for c in seen)
+        assert seen[0].most_common(1)[0][0] != seen[1].most_common(1)[0][0]
 
 
 def test_exchange_never_lowers_the_likelihood():
@@ -106,12 +153,12 @@ def test_exchange_never_lowers_the_likelihood():
 
 def test_language_model_edges(spark, docs_of):
     docs = docs_of(spark, EDGES, [0, 1, 2, 3, 4, 5, 6, 7, 3, None]).select("doc_id", "text")
-    model, table = brown.train(docs.filter("false"))
-    got = brown.score(docs, model, table).collect()
+    model, tail = brown.train(docs.filter("false"))
+    got = brown.score(brown.coded(docs, model.words), model, tail).collect()
     assert len(got) == len(EDGES) and all(r.n_known == 0 and math.isfinite(r.score) for r in got)
-    model, table = brown.train(docs)
-    assert brown.score(docs, model, table).count() == len(EDGES)
-    assert brown.score(docs.filter("false"), model, table).count() == 0
+    model, tail = brown.train(docs)
+    assert brown.score(brown.coded(docs, model.words), model, tail).count() == len(EDGES)
+    assert brown.score(brown.coded(docs.filter("false"), model.words), model, tail).count() == 0
 
 
 def test_toxicity_on_held_out_rows(spark, folder, corpus):
