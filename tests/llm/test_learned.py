@@ -165,7 +165,7 @@ def test_toxicity_on_held_out_rows(spark, folder, corpus):
     rows = toxicity.op5_toxicity_chain(spark, folder).collect()
     held = [r for r in rows if r.held_out]
     assert held and all(r.toxic == bool(corpus[r.doc_id][3]) for r in held)
-    assert {"p_insult", "p_contempt", "score"} <= set(rows[0].asDict())
+    assert {"p_kind_1", "p_kind_2", "score"} <= set(rows[0].asDict())
 
 
 def test_later_links_use_earlier_ones():
@@ -177,9 +177,29 @@ def test_later_links_use_earlier_ones():
     assert chain.links[1].before[0] > 0.5
 
 
+def test_kinds_are_found_without_a_list():
+    """Two sets of words that never stand together in a toxic row become two kinds, each learned by its own model."""
+    rng = np.random.default_rng(1)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    docs, y = [], []
+    for k in range(600):
+        own = set(rng.integers(20, 60, 8).tolist())
+        bad = k % 3 == 0
+        if bad:
+            own |= set(rng.choice(np.arange(0, 10) + 10 * (k % 2), 3, replace=False).tolist())
+        docs.append(np.array(sorted(own)))
+        y.append(float(bad))
+    groups = toxicity.word_groups(docs, np.array(y), 60, 2)
+    assert {len(set(groups[:10])), len(set(groups[10:20]))} == {1} and {groups[0], groups[10]} == {0, 1} and (groups[20:] == -1).all()
+    chain = toxicity.fit_kinds(docs, words, np.array(y))
+    one, other = (chain.proba(" ".join(words[k] for k in ks)) for ks in ((1, 2, 30), (11, 12, 30)))
+    assert (one[0] > 0.5) != (other[0] > 0.5) and min(one[2], other[2]) > 0.5 > chain.proba(f"{words[30]} {words[31]}")[2]
+
+
 def test_toxicity_edges(spark, docs_of):
     docs = docs_of(spark, EDGES, [0, 1, 2, 3, 4, 5, 6, 7, 3, None])
     labels = spark.createDataFrame([(0, 1), (3, 0), (None, 1)], "doc_id long, toxic int")
+    docs = docs.withColumn("toxic", F.lit(1)).withColumn("words", F.lit("x"))
     for some in (labels, labels.filter("toxic = 0"), labels.filter("false")):
         got = toxicity.score(docs, toxicity.train(docs, some)).collect()
         assert len(got) == len(EDGES) and all(0 <= r.score <= 1 for r in got)
