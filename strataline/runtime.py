@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 ROOT = Path(__file__).resolve().parent.parent
 _SHIPPED: set[str] = set()
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
