@@ -43,7 +43,7 @@ PRINTS = 4  # an even number
 ORDER_SIZE = 1 << 20  # shingles that the order places last
 SKETCH = 8  # words of 64 parities
 _SKETCH = [f"s{k}" for k in range(SKETCH)]
-HELD = 1 << 22  # shingles a task holds before it counts them
+HELD = 1 << 20  # shingles a task holds before it counts them
 
 
 def shingles(text: str | None, size: int = 5) -> set[bytes]:
