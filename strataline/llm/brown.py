@@ -371,20 +371,27 @@ def exchange(counts: np.ndarray, n_classes: int, passes: int = 8) -> np.ndarray:
     return cls
 
 
-def gains(table: np.ndarray, sizes: np.ndarray, word: np.ndarray, context: np.ndarray, n: np.ndarray, now: np.ndarray, sides: int) -> np.ndarray:
+FEW = 16  # counts up to which differences are looked up
+
+
+def differences(table: np.ndarray) -> np.ndarray:
+    """[count, context, class]: what f(x) = x log x grows by if a cell of table grows by a small count."""
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    return np.stack([f(table + k) - f(table) for k in range(FEW)])
+
+
+def gains(table: np.ndarray, small: np.ndarray, sizes: np.ndarray, word: np.ndarray, context: np.ndarray, n: np.ndarray, now: np.ndarray, sides: int) -> np.ndarray:
     """[word, class]: the change of likelihood if a word, taken out of its class now, joins each class, all others as they are.
 
-    table[context, class] and sizes[class] hold the words where they are now; word (ascending), context and n are the cells of
+    table[context, class] (small: its `differences`) and sizes[class] hold the words where they are now; word (ascending), context and n are the cells of
     the words' own counts, whose contexts of each of the `sides` sum to the same.
     """
     f = lambda x: x * np.log(np.maximum(x, 1))
-    kinds, few = table.shape[1], 16
-    small = np.stack([f(table + k) - f(table) for k in range(few)])
-    out, total = np.zeros((len(now), kinds)), np.bincount(word, n, minlength=len(now)) / sides
+    out, total = np.zeros((len(now), table.shape[1])), np.bincount(word, n, minlength=len(now)) / sides
     for x in range(0, len(word), 1 << 16):
         w, c, k = word[x : x + (1 << 16)], context[x : x + (1 << 16)], n[x : x + (1 << 16)]
-        step = small[np.minimum(k, few - 1), c]
-        large = np.flatnonzero(k >= few)
+        step = small[np.minimum(k, FEW - 1), c]
+        large = np.flatnonzero(k >= FEW)
         step[large] = f(table[c[large]] + k[large, None]) - f(table[c[large]])
         own = table[c, now[w]]
         step[np.arange(len(w)), now[w]] = f(own) - f(own - k)
@@ -409,23 +416,26 @@ def sweep_known(chunks: DataFrame, words: Words, table: np.ndarray, word_class:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, classes = sent.value
-        sizes, change = t[: len(t) // 2].sum(0), np.zeros_like(t)
+        small, sizes, change = differences(t), t[: len(t) // 2].sum(0), np.zeros_like(t)
         for b in batches:
-            for chunk, cells, n in zip(*(v.to_pylist() for v in b.columns)):
-                cells, n = np.frombuffer(cells, "<u2").astype(np.int64), np.frombuffer(n, "<i8")
-                now = classes[chunk * CHUNK : (chunk + 1) * CHUNK]
-                word, context = cells // width, cells % width
-                g = gains(t, sizes, word, context, n, now, 2)
-                best = g.argmax(1)
-                move = (np.arange(len(now)) % 2 == half) & (g[np.arange(len(now)), best] > g[np.arange(len(now)), now] + 1e-9)
-                new = np.where(move, best, now)
-                np.add.at(change, (context, new[word]), n)
-                np.add.at(change, (context, now[word]), -n)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([new.astype("<i2").tobytes()], pa.binary())], ["chunk", "v"])
+            chunks = b.column(0).to_pylist()
+            raw = [np.frombuffer(x, "<u2") for x in b.column(1).to_pylist()]
+            cells = np.concatenate(raw).astype(np.int64)
+            n = np.concatenate([np.frombuffer(x, "<i8") for x in b.column(2).to_pylist()])
+            each = [classes[c * CHUNK : (c + 1) * CHUNK] for c in chunks]
+            now, first = np.concatenate(each), np.cumsum([0, *map(len, each)])
+            word, context = np.repeat(first[:-1], [len(x) for x in raw]) + cells // width, cells % width
+            g = gains(t, small, sizes, word, context, n, now, 2)
+            best, rows = g.argmax(1), np.arange(len(now))
+            move = (rows % 2 == half) & (g[rows, best] > g[rows, now] + 1e-9)
+            new = np.where(move, best, now)
+            np.add.at(change, (context, new[word]), n)
+            np.add.at(change, (context, now[word]), -n)
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([new[x:y].astype("<i2").tobytes() for x, y in zip(first, first[1:])], pa.binary())], ["chunk", "v"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([change.astype("<f8").tobytes()], pa.binary())], ["chunk", "v"])
 
     out, new = word_class.copy(), table.copy()
-    for r in mapped(chunks, run, "chunk long, v binary", 64).toLocalIterator():
+    for r in mapped(chunks, run, "chunk long, v binary", 64).collect():  # two bytes a word looked up, and a table a task
         if r.chunk < 0:
             new += np.frombuffer(r.v, "<f8").reshape(-1, kinds)
         else:
@@ -434,19 +444,49 @@ def sweep_known(chunks: DataFrame, words: Words, table: np.ndarray, word_class:
     return out, new
 
 
+def _by_word(rows: DataFrame, base: int) -> DataFrame:
+    """word, class, c, keys, n of `tail_contexts`: a row for each word, its counts summed; the class is that of its group."""
+
+    def summed(w: np.ndarray, k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        by = np.lexsort((k, w))
+        w, k, n = w[by], k[by], n[by]
+        cuts = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (k[1:] != k[:-1])]))
+        return w[cuts], k[cuts], np.add.reduceat(n, cuts)
+
+    def out(w: np.ndarray, k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        w, k, n = summed(w, k, n)
+        cuts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        ends = pa.array(np.append(cuts, len(w)).astype(np.int32))
+        lists = pa.ListArray.from_arrays(ends, pa.array((k % (base * base)).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(n))
+        return pa.RecordBatch.from_arrays([pa.array(w[cuts]), pa.array((k[cuts] // (base * base)).astype(np.int32)), pa.array(np.add.reduceat(n, cuts)), *lists], ["word", "class", "c", "keys", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.int64)] * 3  # the last word may go on in the next batch
+        for b in batches:
+            w, k, n = (np.concatenate([x, c.to_numpy().astype(np.int64)]) for x, c in zip(kept, b.columns))
+            last = int(np.searchsorted(w, w[-1]))
+            if last:
+                yield out(w[:last], k[:last], n[:last])
+            kept = list(summed(w[last:], k[last:], n[last:]))
+        if len(kept[0]):
+            yield out(*kept)
+
+    return mapped(rows.repartition("word").sortWithinPartitions("word"), run, "word long, class int, c long, keys array<int>, n array<long>", 10_000)
+
+
 def sweep_tail(tail: DataFrame, table: np.ndarray, base: int, half: int, least: int) -> DataFrame:
     """tail (word, class, c, keys, n) after every second word seen at least `least` times took its best class."""
     sent = tail.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = sent.value
-        sizes = t.sum(0)
+        small, sizes = differences(t), t.sum(0)
         for b in batches:
             now, seen = b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy()
             size = np.array([len(k) for k in b.column(3)])
             word = np.repeat(np.arange(len(now)), size)
             context = b.column(3).flatten().to_numpy().astype(np.int64) % base
-            g = gains(t, sizes, word, context, b.column(4).flatten().to_numpy(), now, 1)
+            g = gains(t, small, sizes, word, context, b.column(4).flatten().to_numpy(), now, 1)
             best, rows = g.argmax(1), np.arange(len(now))
             move = (b.column(0).to_numpy() % 2 == half) & (seen >= least) & (g[rows, best] > g[rows, now] + 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.where(move, best, now).astype(np.int32)), *b.columns[2:]], b.schema.names)
@@ -532,9 +572,7 @@ def fit(codes: DataFrame, words: Words, by_count: dict[int, int], n_classes: int
 
     made = materialize(tail_contexts(codes, words, classes, word_class), "brown-tail-contexts")
     known = _dense(made.filter("word IS NULL").groupBy(F.col("key").cast("long").alias("key")).agg(F.sum("n").alias("c")), base**3).reshape(base, base, base)
-    one_word = made.filter("word IS NOT NULL").repartition("word").groupBy("word", "key").agg(F.sum("n").alias("n"))
-    one_word = one_word.groupBy("word").agg(F.sum("n").alias("c"), F.collect_list(F.struct((F.col("key") % (base * base)).alias("key"), "n")).alias("k"), F.min(F.floor(F.col("key") / (base * base))).cast("int").alias("class"))
-    tail = materialize(one_word.select("word", "class", "c", F.col("k.key").alias("keys"), F.col("k.n").alias("n")), "brown-tail")
+    tail = materialize(_by_word(made.filter("word IS NOT NULL"), base), "brown-tail")
     three = known + tail_trigrams(tail, base)
     for k in range(2):
         moved = materialize(sweep_tail(tail, three.sum(0)[:, :n_classes], base, k % 2, least), "brown-tail")

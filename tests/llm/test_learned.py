@@ -111,7 +111,7 @@ def test_gains_are_differences_of_likelihood():
         return t
 
     word, context = np.nonzero(own)
-    got = brown.gains(table(now), table(now).sum(0), word, context, own[word, context], now, 1)
+    got = brown.gains(table(now), brown.differences(table(now)), table(now).sum(0), word, context, own[word, context], now, 1)
     f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
     for w in range(9):
         all_of = [f(table(c)) - f(table(c).sum(0)) for c in ([*now[:w], b, *now[w + 1 :]] for b in range(3))]
