@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 from zlib import crc32
@@ -183,90 +183,74 @@ def _codes(coded_docs: DataFrame) -> DataFrame:
     return coded_docs.select("lm_codes", "lm_tail")
 
 
-def unit_bigrams(codes: DataFrame, words: Words) -> DataFrame:
-    """key, c: unit bigrams u * n_units + v; before a text stands the boundary, the last unit."""
-    n_units, sent = words.n_units, codes.sparkSession.sparkContext.broadcast(words.units())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, every = sent.value, np.arange(n_units)
-        held, size = [], 0
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["key", "c"])
-
-        for x in _batches(batches):
-            u = x.of(known, every)
-            before = np.concatenate([[n_units - 1], u[:-1]])
-            before[x.first] = n_units - 1
-            held.append(np.unique(before * n_units + u, return_counts=True))
-            size += len(held[-1][0])
-            if size > MERGE_AT:
-                held = [merge(held)]
-                size = len(held[0][0])
-                if size > MERGE_AT // 2:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            held = [merge(held)]
-            yield out()
+def dense_counts(codes: DataFrame, keys_of: Callable[[Batch], np.ndarray], chunks: int, width: int) -> DataFrame:
+    """chunk, cells, n: how often keys_of gives each key chunk * width + cell; cells that have a count, and counts, packed.
+    There are at most chunks * width, fixed by the model; a task sends what it has seen of a chunk as one row."""
 
-    return mapped(_codes(codes), run, "key long, c long", 500).groupBy("key").agg(F.sum("c").alias("c"))
-
-
-def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
-    by = np.argsort(k, kind="stable")
-    u, first = np.unique(k[by], return_index=True)
-    return u, np.add.reduceat(c[by], first) if len(u) else c
-
-
-def contexts(codes: DataFrame, words: Words, classes: np.ndarray) -> DataFrame:
-    """chunk, cells, n: of each CHUNK words looked up that are no heads, how often each class stood before (first) and after
-    a word; cells (word in the chunk * width + class) and counts are packed."""
-    rest = len(words.known) - words.heads
-    sent = codes.sparkSession.sparkContext.broadcast((words.units(), classes))
-    heads, base = words.heads, int(classes[-1]) + 1
-    width = 2 * base
+    def rows(chunk: int, sums: np.ndarray) -> pa.RecordBatch:
+        cells = np.flatnonzero(sums)
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([cells.astype("<u4").tobytes()], pa.binary()), pa.array([sums[cells].astype("<i8").tobytes()], pa.binary())], ["chunk", "cells", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cls = sent.value
-        sums = np.zeros(-(-rest // CHUNK) * CHUNK * width, np.int32)
+        sums = np.zeros(chunks * width, np.int32)
         for x in _batches(batches):
-            g = cls[x.of(known, np.arange(len(cls)))]
-            before = np.concatenate([[base - 1], g[:-1]])
-            before[x.first] = base - 1
-            after = np.concatenate([g[1:], [base - 1]])
-            after[x.first[1:] - 1] = base - 1
-            at = np.flatnonzero((x.codes >= heads) & (x.codes < TAIL))
-            row = (x.codes[at].astype(np.int64) - heads) * width
-            np.add.at(sums, row + before[at], 1)
-            np.add.at(sums, row + base + after[at], 1)
-        sums = sums.reshape(-1, CHUNK * width)
+            np.add.at(sums, keys_of(x), 1)
+        sums = sums.reshape(chunks, width)
         for chunk in np.flatnonzero(sums.any(1)).tolist():
-            cells = np.flatnonzero(sums[chunk])
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([cells.astype("<u2").tobytes()], pa.binary()), pa.array([sums[chunk][cells].astype("<i8").tobytes()], pa.binary())], ["chunk", "cells", "n"])
+            yield rows(chunk, sums[chunk])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sums = None, np.zeros(CHUNK * width, np.int64)
-
-        def out():
-            cells = np.flatnonzero(sums)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([cells.astype("<u2").tobytes()], pa.binary()), pa.array([sums[cells].astype("<i8").tobytes()], pa.binary())], ["chunk", "cells", "n"])
-
+        now, sums = None, np.zeros(width, np.int64)
         for b in batches:
             for chunk, cells, n in zip(*(v.to_pylist() for v in b.columns)):
                 if now not in (None, chunk):
-                    yield out()
+                    yield rows(now, sums)
                     sums[:] = 0
                 now = chunk
-                sums[np.frombuffer(cells, "<u2")] += np.frombuffer(n, "<i8")
+                sums[np.frombuffer(cells, "<u4")] += np.frombuffer(n, "<i8")
         if now is not None:
-            yield out()
+            yield rows(now, sums)
 
     schema = "chunk long, cells binary, n binary"
     return mapped(mapped(_codes(codes), count, schema, 500).repartition("chunk").sortWithinPartitions("chunk"), add, schema, 200)
 
 
+def unit_bigrams(codes: DataFrame, words: Words) -> np.ndarray:
+    """[unit, unit after it]; before a text stands the boundary, the last unit."""
+    n_units, sent = words.n_units, codes.sparkSession.sparkContext.broadcast(words.units())
+
+    def keys_of(x: Batch) -> np.ndarray:
+        u = x.of(sent.value, np.arange(n_units))
+        before = np.concatenate([[n_units - 1], u[:-1]])
+        before[x.first] = n_units - 1
+        return before * n_units + u
+
+    out = np.zeros((n_units, n_units))
+    for r in materialize(dense_counts(codes, keys_of, n_units, n_units), "brown-bigrams").toLocalIterator():
+        out[r.chunk, np.frombuffer(r.cells, "<u4")] = np.frombuffer(r.n, "<i8")
+    return out
+
+
+def contexts(codes: DataFrame, words: Words, classes: np.ndarray) -> DataFrame:
+    """chunk, cells, n: of each CHUNK words looked up that are no heads, how often each class stood before (first) and after
+    a word; cells are word in the chunk * width + class."""
+    rest, heads, base = len(words.known) - words.heads, words.heads, int(classes[-1]) + 1
+    sent = codes.sparkSession.sparkContext.broadcast((words.units(), classes))
+
+    def keys_of(x: Batch) -> np.ndarray:
+        known, cls = sent.value
+        g = cls[x.of(known, np.arange(len(cls)))]
+        before = np.concatenate([[base - 1], g[:-1]])
+        before[x.first] = base - 1
+        after = np.concatenate([g[1:], [base - 1]])
+        after[x.first[1:] - 1] = base - 1
+        at = np.flatnonzero((x.codes >= heads) & (x.codes < TAIL))
+        row = (x.codes[at].astype(np.int64) - heads) * 2 * base
+        return np.concatenate([row + before[at], row + base + after[at]])
+
+    return dense_counts(codes, keys_of, -(-rest // CHUNK), CHUNK * 2 * base)
+
+
 def tail_contexts(codes: DataFrame, words: Words, classes: np.ndarray, word_class: np.ndarray) -> DataFrame:
     """word (hash), key, n: of the words not looked up, how often each pair of classes stood before; key is that pair after the class of
     the word's group. Rows with a null word: class trigrams of the words looked up, as `trigram_keys` numbers them."""
@@ -419,7 +403,7 @@ def sweep_known(chunks: DataFrame, words: Words, table: np.ndarray, word_class:
         small, sizes, change = differences(t), t[: len(t) // 2].sum(0), np.zeros_like(t)
         for b in batches:
             chunks = b.column(0).to_pylist()
-            raw = [np.frombuffer(x, "<u2") for x in b.column(1).to_pylist()]
+            raw = [np.frombuffer(x, "<u4") for x in b.column(1).to_pylist()]
             cells = np.concatenate(raw).astype(np.int64)
             n = np.concatenate([np.frombuffer(x, "<i8") for x in b.column(2).to_pylist()])
             each = [classes[c * CHUNK : (c + 1) * CHUNK] for c in chunks]
@@ -552,7 +536,7 @@ def vocabulary(docs: DataFrame, heads: int = HEADS, affixes: int = AFFIXES, look
 def fit(codes: DataFrame, words: Words, by_count: dict[int, int], n_classes: int = CLASSES, least: int = LEAST, sweeps: int = 4) -> tuple[Model, DataFrame]:
     """codes: `coded` texts to learn from. The model, and the words that are not looked up: word (hash), class, c."""
     base = n_classes + 1
-    cells = _dense(unit_bigrams(codes, words), words.n_units**2).reshape(words.n_units, words.n_units)
+    cells = unit_bigrams(codes, words)
     classes = exchange(cells, n_classes)
     one = np.eye(base)[classes]
     bigrams = one.T @ cells @ one  # [class, class after it], the boundary last
