@@ -36,9 +36,10 @@ def spread_for(radius_median: float) -> float:
     return -math.log(0.5) / radius_median**2
 
 
-def median_distance(candidates: DataFrame, g: Geometry, sample: int = 512) -> float:
-    """Exact median of the pairwise delta among at most `sample` candidates, chosen by a hash of the id."""
-    few = candidates.orderBy(F.xxhash64("id"), "id").limit(sample)
+def median_distance(candidates: DataFrame, g: Geometry, sample: int | None = 512) -> float:
+    """Exact median of the pairwise delta among `sample` candidates at most, chosen by a hash of the id; None: among all, in
+    time by the square of their number."""
+    few = candidates if sample is None else candidates.orderBy(F.xxhash64("id"), "id").limit(sample)
     pairs = _flat(few, "a").crossJoin(_flat(few, "b")).filter("a_id < b_id")
     out = pairs.agg(F.median(F.sqrt(F.abs(pair_distance(g, "a", "b")))).alias("m")).first().m
     return float(out) if out is not None else 0.0
@@ -67,12 +68,12 @@ def densities(candidates: DataFrame, g: Geometry, spread: float, threshold: floa
     return near.groupBy(F.col("a_id").alias("id")).agg(F.sum(F.exp(F.lit(-spread) * F.col("delta") * F.col("delta"))).alias("density"))
 
 
-def vote(candidates: DataFrame, g: Geometry, spread: float | None = None, threshold: float = 0.1, floor: float = 1e-6, relative: bool = False, median_share: float = 1.0) -> DataFrame:
+def vote(candidates: DataFrame, g: Geometry, spread: float | None = None, threshold: float = 0.1, floor: float = 1e-6, relative: bool = False, median_share: float = 1.0, median_sample: int | None = 512) -> DataFrame:
     """The candidate (id, r, t, density) of largest density; ties go to the smaller id. No candidate, no row.
 
-    Without a spread, a distance of `median_share` medians counts half.
+    Without a spread, a distance of `median_share` medians counts half; the median is that of `median_sample` candidates at most (None: of all).
     """
     if spread is None:
-        spread = spread_for(max(median_share * median_distance(candidates, g), floor * g.diagonal * math.sqrt(g.count)))
+        spread = spread_for(max(median_share * median_distance(candidates, g, median_sample), floor * g.diagonal * math.sqrt(g.count)))
     rho = densities(candidates, g, spread, threshold, relative)
     return candidates.join(rho.orderBy(F.desc("density"), "id").limit(1), "id").select("id", "r", "t", "density")

@@ -393,10 +393,13 @@ def density_vote(spark, sf):
     return _out(won).join(won.select("id", _r("density").alias("density")), "id")
 
 
-@query()
+@query(f"""WITH {_TRANSFORMS}, ab AS (SELECT a.id, b.id AS other, sqrt(abs({_closed_sql(_G)})) AS delta FROM tr a, tr b),
+m AS (SELECT ln(2) / greatest(median(delta), {1e-6 * _G.diagonal * math.sqrt(_G.count)!r}) ** 2 AS spread FROM ab WHERE id < other),
+rho AS (SELECT id, sum(exp(-spread * delta * delta)) AS density FROM ab, m WHERE id = other OR delta < sqrt(ln(0.1) / -spread) GROUP BY 1)
+SELECT id, {", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in (*(f"r{i}" for i in range(9)), "t0", "t1", "t2"))} FROM rho JOIN tr USING (id) ORDER BY rho.density DESC, id LIMIT 1""")
 def density_vote_derived_spread(spark, sf):
-    """The spread from the median of pairwise distances of up to 512 candidates chosen by hash: of all up to that many, of a sample beyond."""
-    return _out(density.vote(_supplier_transforms(spark, sf), _G))
+    """The spread from the median of the pairwise distances of all candidates."""
+    return _out(density.vote(_supplier_transforms(spark, sf), _G, median_sample=None))
 
 
 # -------------------------------------------------------------------------------------------------- synthetic volumes
@@ -569,6 +572,25 @@ def curvature_shape_index(spark, sf):
     return rows.select("id", _r("gauss").alias("gauss"), _r("mean").alias("mean"), _r(shape, 5).alias("shape"), _r(curved).alias("curvedness"))
 
 
+_STEPS = (0.5, 0.7, 0.3)
+
+
+@query(f"""WITH l AS (SELECT id, x, y, z, {", ".join(f"floor({c} / {s}) * {s} AS l{c}" for c, s in zip("xyz", _STEPS))} FROM {_PART} q)
+SELECT id, {", ".join(f"round(CASE WHEN {c} - l{c} < l{c} + {s} - {c} THEN l{c} ELSE l{c} + {s} END, 9) AS at_{c}" for c, s in zip("xyz", _STEPS))},
+{", ".join(f"CAST(trunc(least({c} / {s}, 4.0)) AS INT) AS below_{c}, CAST(trunc(least((4.8 - {c}) / {s}, 4.0)) AS INT) AS above_{c}" for c, s in zip("xyz", _STEPS))},
+round(exp({" + ".join(f"ln(0.4) / 2 / {s} * {c} * {c}" for c, s in zip("xyz", _STEPS))}), 9) AS gauss FROM l""")
+def lattice_kernels(spark, sf):
+    """The nearest lattice point, the steps that fit on both sides of a point, and the kernel of unequal axes."""
+    around = [E.extents(F.col(c), 4.8, s, 4) for c, s in zip("xyz", _STEPS)]
+    fits = [v.alias(f"{side}_{c}") for c, two in zip("xyz", around) for side, v in zip(("below", "above"), two)]
+    return _part_points(spark, sf).select("id", *(_r(E.to_lattice(F.col(c), s), 9).alias(f"at_{c}") for c, s in zip("xyz", _STEPS)), *fits, _r(E.gaussian_by_axis(E.xyz(), _STEPS), 9).alias("gauss"))
+
+
+@query(f"""WITH p AS (SELECT id, x * 330 AS x FROM {_PART} q) SELECT id, CASE {" ".join(f"WHEN x BETWEEN {cx - r!r} AND {cx + r!r} THEN {i}" for i, (cx, _, _, r) in enumerate(mocks.sphere_row()))} END AS sphere FROM p""")
+def sphere_of_place(spark, sf):
+    return _part_points(spark, sf).select("id", mocks.sphere_index(F.col("x") * 330).alias("sphere"))
+
+
 @query(f"""WITH p AS (SELECT id, x, y, z, abs(x) + abs(y) + abs(z) AS s FROM {_PART} q)
 SELECT id, round(exp(ln(0.15) / 25 * (x * x + y * y + z * z)), 9) AS gauss, round(CASE WHEN s < 1e-3 THEN 1 ELSE (0.5 / 0.8 * abs(x) + 0.8 / 0.8 * abs(y) + 0.3 / 0.8 * abs(z)) / s END, 9) AS linear,
 round(CASE WHEN s = 0 THEN 1 ELSE sqrt(x * x + y * y + z * z) / sqrt((x / 0.5) ** 2 + (y / 0.8) ** 2 + (z / 0.3) ** 2) / 0.8 END, 9) AS elliptical FROM p""")

@@ -110,11 +110,6 @@ def resampled(spark: SparkSession, fld, target: Geometry, r: Sequence[float], t:
     return fld.attach(placed, "value").select("i", "j", "k", E.clamp(F.col("value"), 0.0, 65535.0).alias("value"))
 
 
-def numbers_in(text: str) -> list[float]:
-    """Decimal numbers with point or comma."""
-    return [float(x.replace(",", ".")) for x in re.findall(_NUMBER, text)]
-
-
 def is_rotation(r: Sequence[float], tolerance: float = 1e-6) -> bool:
     m = np.array(r, float).reshape(3, 3)
     return bool(np.abs(m @ m.T - np.eye(3)).max() < tolerance and math.isclose(np.linalg.det(m), 1, abs_tol=tolerance))

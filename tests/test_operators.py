@@ -227,6 +227,12 @@ def test_the_border_of_a_configuration_changes_its_features(spark):
     assert one[0] != one[1]
 
 
+def test_an_oriented_cloud_has_its_spreads(spark):
+    p = np.array([r[1:] for r in mocks.oriented_cloud(spark, 4000, 3, centre=(1.0, 2.0, 3.0)).collect()])
+    sizes = np.sqrt(np.linalg.eigvalsh(np.cov(p.T)))[::-1]
+    assert np.allclose(sizes, np.array([500, 50, 5]) / math.sqrt(3), rtol=0.1) and np.allclose(p.mean(0), [1, 2, 3], atol=25)
+
+
 def test_lines(spark):
     df = spark.createDataFrame([(2.0, 3.0), (1.0, 5.0)], "a double, b double")
     assert [r.line for r in texts.point_lines(df, ["a", "b"], ["a"]).orderBy("n").collect()] == ["a; b", "1.0; 5.0", "2.0; 3.0"]
