@@ -23,6 +23,7 @@ import numpy as np
 
 ROOM = 500_000  # pieces remembered by a Python worker
 _ODD = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0]")
+_ODD_BYTES = bytes(c for c in range(256) if _ODD.match(chr(c)))
 _WIDE_SPACE = re.compile("[\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _STOP_APART = re.compile(r"[.,](?<![^\W_][.,])")
 _PROBES = ("a b", "A.\nB c", "l'a 12 3", "It's, it'll.'s", "É$a% &b", "' s 't", "a_.b __c", "x2y.. (z)", "don't!!\nno", "\u201cIt\u2019s\u201d \u0416\u0443 \u03a3.\n\u4e2d\u6587 \u0301e")
@@ -36,16 +37,21 @@ def vocabulary_path(name: str) -> str:
 
 
 def is_latin(text: str) -> bool:
+    return _latin(text) is not None
+
+
+def _latin(text: str) -> bytes | None:
     try:
-        text.encode("latin-1")
+        return text.encode("latin-1")
     except UnicodeEncodeError:
-        return False
-    return True
+        return None
 
 
 def plain(text: str) -> bool:
     """Whether a cut at white space can't matter."""
-    return not (_ODD.search(text) or "<|" in text or "  " in text or "\n\n" in text or " \n " in text or "\n \n" in text or _WIDE_SPACE.search(text))
+    raw = _latin(text)
+    odd = (_ODD.search(text) or _WIDE_SPACE.search(text)) if raw is None else len(raw.translate(None, _ODD_BYTES)) < len(raw)
+    return not (odd or "<|" in text or "  " in text or "\n\n" in text or " \n " in text or "\n \n" in text)
 
 
 def cut_exact(text: str) -> list[str]:
