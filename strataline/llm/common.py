@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import threading
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.runtime import mapped  # noqa: F401
-
-_OWN_DIR: dict[str, str] = {}
-_LOCAL = threading.local()
-
-
-def _scopes() -> list[list[str]]:
-    if not hasattr(_LOCAL, "scopes"):
-        _LOCAL.scopes = []
-    return _LOCAL.scopes
+from strataline.shared import drop_path, materialize, new_path, shared_dir, temporary  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,61 +17,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; a folder of its own only in local mode without the setting."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _OWN_DIR.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="strataline-"))
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str, outlive: bool = False) -> DataFrame:
-    """Write the frame to the shared folder and read it back: lineage ends there, and a lost executor costs no rework.
-
-    Within `temporary`, the table goes when that ends; with outlive, when the scope around it does (or stays, without one).
-    """
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    if len(_scopes()) > outlive:
-        _scopes()[-1 - outlive].append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables made within are deleted at the end, so what leaves it must have been written with outlive.
-
-    Shuffle files of steps that are over go when the driver's JVM drops their handles; it is told to look where a step that
-    made much is over (`release`).
-    """
-    _scopes().append([])
-    try:
-        yield
-    finally:
-        made = _scopes().pop()
-        for path in made:
-            drop_path(spark, path)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner find the shuffle files that nothing refers to any more, after a step with large ones."""
     spark.sparkContext._jvm.System.gc()
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo; -1 for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))

@@ -7,6 +7,7 @@ from strataline.llm.decontaminate import OP4_SQL, op4_decontaminate
 from strataline.llm.langid import op7_langid
 from strataline.llm.packing import op10_sum_of_squares_packing
 from strataline.llm.pii import op8_pii_feistel
+from strataline.llm.prefixtrie import op13_prefix_trie
 from strataline.llm.quality import op1_quality_fm
 from strataline.llm.simhash import op6_simhash
 from strataline.llm.tokenbin import op9_token_segments
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_pii_feistel": op8_pii_feistel,
     "op9_token_segments": op9_token_segments,
     "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_decontaminate": OP4_SQL}

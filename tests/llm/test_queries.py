@@ -17,6 +17,7 @@ COLUMNS = {
     "op8_pii_feistel": {"doc_id": "bigint", "text": "string"},
     "op9_token_segments": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
     "op10_sum_of_squares_packing": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op13_prefix_trie": {"conv_id": "bigint", "depth": "bigint", "parent_conv_id": "bigint", "n_convs": "bigint", "n_children": "bigint", "n_leaves": "bigint", "saved_tokens": "bigint", "ends_sha256": "string"},
 }
 
 
@@ -28,6 +29,7 @@ def folders(spark, docs_of, tmp_path_factory):
         "labels": spark.createDataFrame([(1, 1, 0, "x"), (3, 0, 1, "y"), (3, 0, 1, "y"), (None, 1, 1, None), (5, None, None, "z"), (99, 1, 0, "w")], "doc_id long, quality int, toxic int, text string"),
         "benchmark": spark.createDataFrame([(1, "ONE two three four five six seven eight nine ten", 4), (1, None, 5), (None, "a", 6)], "item_id long, text string, doc_id int"),
         "embeddings": spark.createDataFrame([(0, [0.5, 0.25], 1), (0, [0.5, 0.25], 1), (50, None, 2), (51, [1.0, float("nan")], 3), (None, [1.0, 1.0], 4)], "vec_id long, embedding array<float>, score int"),
+        "conversations": spark.createDataFrame([(0, 0, "user", None, 1), (0, 0, "user", None, 1), (0, None, None, "a b", 2), (None, 1, "user", "x", 3), (7, 2, "user", "y", 4)], "conv_id int, turn int, role string, text string, depth int"),
     }
     for name, df in tables.items():
         df.write.parquet(f"{full}/{name}.parquet")
@@ -45,6 +47,8 @@ def test_query_through_a_folder(spark, folders, name):
     rows = out.collect()
     if name == "op3_topk":
         assert sorted((r.query_id, r["rank"], r.vec_id) for r in rows) == [(0, 1, 0), (0, 1, 0)]
+    elif name == "op13_prefix_trie":
+        assert {r.conv_id for r in rows} == {0, 7} and sum(r.parent_conv_id is None for r in rows) == 1
     elif name == "op10_sum_of_squares_packing":
         assert sorted({r.doc_id for r in rows}, key=str) == sorted(set(IDS), key=str)
     else:
