@@ -5,6 +5,7 @@ from __future__ import annotations
 from strataline.llm.brown import op2_brown_lm
 from strataline.llm.decontaminate import OP4_SQL, op4_decontaminate
 from strataline.llm.langid import op7_langid
+from strataline.llm.mixing import op12_mix_sources
 from strataline.llm.packing import op10_sum_of_squares_packing
 from strataline.llm.pii import op8_pii_feistel
 from strataline.llm.prefixtrie import op13_prefix_trie
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_pii_feistel": op8_pii_feistel,
     "op9_token_segments": op9_token_segments,
     "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
+    "op12_mix_sources": op12_mix_sources,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_decontaminate": OP4_SQL}
