@@ -14,6 +14,7 @@ from strataline.llm.simhash import op6_simhash
 from strataline.llm.tokenbin import op9_token_segments
 from strataline.llm.topk import OP3_SQL, op3_topk
 from strataline.llm.toxicity import op5_toxicity_chain
+from strataline.llm.whitening import op11_whiten
 
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_pii_feistel": op8_pii_feistel,
     "op9_token_segments": op9_token_segments,
     "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
+    "op11_whiten": op11_whiten,
     "op12_mix_sources": op12_mix_sources,
     "op13_prefix_trie": op13_prefix_trie,
 }
