@@ -63,7 +63,8 @@ def rebuilt(conversations: DataFrame) -> DataFrame:
 
     A conversation without any turns has one row without place and unit.
     """
-    turns = numbered(turn_units(conversations), ["conv_id", F.asc_nulls_first("turn"), "unit"], ["conv_id"], "place")
+    units = materialize(turn_units(conversations), "trie-units")  # the range partitioning looks at its input twice
+    turns = numbered(units, ["conv_id", F.asc_nulls_first("turn"), "unit"], ["conv_id"], "place")
     leader = F.col("conv_id") - F.col("conv_id") % 20
     all_ids = turns.filter("place = 0").select("conv_id", borrowed_turns(F.col("conv_id")).alias("h"), leader.alias("leader"))
     heads = turns.filter((F.col("place") < 3) & (F.col("conv_id") % 20 == 0)).select(F.col("conv_id").alias("leader"), "place", "unit")
@@ -328,3 +329,48 @@ def prefix_trie(turns: DataFrame, size: int = BLOCK, part_bytes: int = PART_BYTE
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     with temporary(spark):
         return materialize(prefix_trie(rebuilt(table(spark, sf_dir, "conversations"))), "op13", outlive=True)
+
+
+OP13_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, '') || ':' || coalesce(text, ''))) - 1 AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), bits AS (  -- crc32 of the decimal id: each byte, then eight shifts (-1)
+    SELECT conv_id, CAST(conv_id AS VARCHAR) AS s FROM turns WHERE place = 0
+), crc AS (
+    SELECT conv_id, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length(s) + 1),
+            lambda i: list_prepend(CAST(ascii(substr(s, i, 1)) AS BIGINT), [CAST(-1 AS BIGINT), -1, -1, -1, -1, -1, -1, -1])))),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) AS c
+    FROM bits
+), ids AS (
+    SELECT conv_id, 3 - (c & 3) AS h, conv_id - conv_id % 20 AS leader FROM crc
+), rebuilt AS (
+    SELECT i.conv_id, 0 AS own, t.place, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.leader AND t.place < i.h
+    UNION ALL
+    SELECT i.conv_id, 1, t.place, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.place >= i.h
+), paths AS (
+    SELECT conv_id, row_number() OVER w AS depth, string_agg(md5(length(role) || ':' || role || text), '') OVER w AS path,
+        len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+    FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY own, place)
+    UNION ALL
+    SELECT conv_id, 0, '', 0 FROM ids
+), lasts AS (
+    SELECT conv_id, max(depth) AS length FROM paths GROUP BY conv_id
+), nodes AS (
+    SELECT path, depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+        coalesce(string_agg(CASE WHEN depth = length THEN CAST(p.conv_id AS VARCHAR) END, ',' ORDER BY p.conv_id), '') AS ends
+    FROM paths p JOIN lasts l ON l.conv_id = p.conv_id GROUP BY path, depth
+), children AS (
+    SELECT left(path, 32 * (CAST(depth AS INTEGER) - 1)) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), below AS (
+    SELECT DISTINCT a.path AS above, d.path FROM paths a JOIN paths d ON a.conv_id = d.conv_id AND a.depth <= d.depth
+), sums AS (
+    SELECT b.above AS path, count(*) FILTER (WHERE c.n IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved
+    FROM below b JOIN nodes n ON n.path = b.path LEFT JOIN children c ON c.path = b.path GROUP BY b.above
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves,
+    CAST(s.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums s ON s.path = n.path LEFT JOIN children c ON c.path = n.path
+    LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, 32 * (CAST(n.depth AS INTEGER) - 1))
+"""

@@ -8,7 +8,7 @@ from strataline.llm.langid import op7_langid
 from strataline.llm.mixing import op12_mix_sources
 from strataline.llm.packing import op10_sum_of_squares_packing
 from strataline.llm.pii import op8_pii_feistel
-from strataline.llm.prefixtrie import op13_prefix_trie
+from strataline.llm.prefixtrie import OP13_SQL, op13_prefix_trie
 from strataline.llm.quality import op1_quality_fm
 from strataline.llm.simhash import op6_simhash
 from strataline.llm.tokenbin import op9_token_segments
@@ -31,4 +31,4 @@ QUERIES = {
     "op12_mix_sources": op12_mix_sources,
     "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_decontaminate": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_decontaminate": OP4_SQL, "op13_prefix_trie": OP13_SQL}

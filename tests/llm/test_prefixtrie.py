@@ -83,3 +83,12 @@ def test_merging_compares_only_from_the_known_prefix():
     assert [r for _, r in got] == sorted(rows)
     for (_, a), (n, b) in zip(got, got[1:]):
         assert n == T.common_units(a[0], b[0], 0)
+
+
+def test_sql_gives_the_same_nodes():
+    duckdb = pytest.importorskip("duckdb")
+    rows = made(3)
+    c = duckdb.connect()
+    c.execute("CREATE TABLE conversations (conv_id BIGINT, turn INTEGER, role VARCHAR, text VARCHAR)")
+    c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted(c.execute(T.OP13_SQL).fetchall()) == brute(rows)
