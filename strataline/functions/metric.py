@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,3 +49,33 @@ def from_moments(n: Column, q: Sequence[Column], qq: Sequence[Column], r1, t1, r
     m = [d[i] * d[j] + d[3 + i] * d[3 + j] + d[6 + i] * d[6 + j] for i, j in ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2))]
     quad = m[0] * qq[0] + m[1] * qq[1] + m[2] * qq[2] + 2 * (m[3] * qq[3] + m[4] * qq[4] + m[5] * qq[5])
     return quad + 2 * E.dot(E.rotate(d, q), e) + n * E.dot(e, e)
+
+
+def coordinates(g: Geometry, r: Sequence[Column], t: Sequence[Column]) -> list[Column]:
+    """Twelve numbers whose Euclidean distance is the root of closed_form: the moved middle and the turned axes, weighed."""
+    mid = E.add(E.rotate(r, [F.lit(b / 2) for b in g.bounds]), t)
+    return [math.sqrt(g.count) * v for v in mid] + [math.sqrt(s) * r[3 * j + i] for i, s in enumerate(axis_sums(g)) for j in range(3)]
+
+
+Pair = Callable[[Geometry, Sequence[Column], Sequence[Column], Sequence[Column], Sequence[Column]], Column]
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A distance of rigid transforms for joins and votes.
+
+    delta(g, r1, t1, r2, t2) is the distance; coordinates(g, r, t) are numbers whose Euclidean distance is never above it, the
+    first three of them the moved middle, so that cells of them may cut a join. `tight` says that it is equal to it.
+    inclusive: whether a search radius includes its end.
+    """
+
+    delta: Pair
+    coordinates: Callable[[Geometry, Sequence[Column], Sequence[Column]], list[Column]]
+    tight: bool
+    inclusive: bool = False
+
+
+#: The root of the sum over vertices; its root mean square over the diagonal; how far the middle moves (turns do not count).
+PLAIN = Metric(lambda g, *p: F.sqrt(F.abs(closed_form(g, *p))), coordinates, True)
+RELATIVE = Metric(lambda g, *p: root_relative(g, closed_form(g, *p)), lambda g, r, t: [v / (math.sqrt(g.count) * g.diagonal) for v in coordinates(g, r, t)], True, True)
+MIDDLE = Metric(lambda g, r1, t1, r2, t2: E.norm(E.sub(coordinates(g, r1, t1)[:3], coordinates(g, r2, t2)[:3])), lambda g, r, t: coordinates(g, r, t)[:3], True)

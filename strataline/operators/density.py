@@ -1,23 +1,37 @@
 """The candidate transform with the densest support.
 
-Two transforms are delta = sqrt(distance) apart; a candidate's density is the sum of exp(-s delta^2) over those within the
-search radius. As delta is at least sqrt(n) times how far the two move the middle of the box apart, candidates whose
-middles lie in the same or in neighbouring cells of a grid, a radius / sqrt(n) wide, are the only ones that can meet:
-the self-join is an equality join on cells. Cells are only as full as the candidates are close, which is what is asked for.
+A candidate's density is the sum of exp(-s delta^2) over those within the search radius, under a metric that brings numbers
+whose Euclidean distance is never above delta (`metric.Metric`). Candidates whose moved middles lie in the same or in
+neighbouring cells of a grid one radius wide are the only ones that can meet: self-joins are equality joins on cells.
+
+`densities` makes all those pairs. `vote` asks for the largest density only and works by bounds: within the cells of the
+middle, candidates are summed up in fine cells of all coordinates (count, centre, mean square, reach), in two
+resolutions; pairs of fine cells bound the densities of their members from below and above; cells whose upper bound stays under
+the best lower bound are closed, members of open ones get bounds of their own, and what is left is computed exactly,
+most promising first, until no bound beats the best. Equal candidates are one with a weight, so a crowd of copies is a point.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataline.functions import exprs as E
 from strataline.functions import metric
+from strataline.functions.metric import PLAIN, RELATIVE, Metric
+from strataline.runtime import mapped
+from strataline.shared import materialize, temporary
 from strataline.types import Geometry
 
+FINE, FIRST, MOST, BLOCK, BINS = (4, 24), 64, 4096, 512, 4096
+_NEIGHBOURS = tuple(itertools.product((-1, 0, 1), repeat=3))
+
 
 def _flat(df: DataFrame, s: str) -> DataFrame:
     return df.select(F.col("id").alias(f"{s}_id"), *(F.get("r", F.lit(i)).alias(f"{s}_r{i}") for i in range(9)), *(F.get("t", F.lit(i)).alias(f"{s}_t{i}") for i in range(3)))
@@ -36,44 +50,316 @@ def spread_for(radius_median: float) -> float:
     return -math.log(0.5) / radius_median**2
 
 
-def median_distance(candidates: DataFrame, g: Geometry, sample: int | None = 512) -> float:
-    """Exact median of the pairwise delta among `sample` candidates at most, chosen by a hash of the id; None: among all, in
-    time by the square of their number."""
+# --------------------------------------------------------------------------------------------------------- median
+
+
+def _order_blocks(candidates: DataFrame, g: Geometry, m: Metric) -> DataFrame:
+    """b (number), x (bytes): blocks of up to BLOCK candidates' coordinates, near ones together."""
+    points = candidates.select(F.array(*m.coordinates(g, E.elements(F.col("r"), 9), E.elements(F.col("t"), 3))).alias("x"))
+    width = len(m.coordinates(g, [F.lit(0.0)] * 9, [F.lit(0.0)] * 3))
+    ends = points.agg(*(f(F.get("x", F.lit(k))) for k in range(3) for f in (F.min, F.max))).head()
+    spans = [max((ends[2 * k + 1] or 0) - (ends[2 * k] or 0), 1e-300) for k in range(3)]
+    cells = [F.least(F.lit(1023), F.floor((F.get("x", F.lit(k)) - (ends[2 * k] or 0)) / spans[k] * 1024)).cast("long") for k in range(3)]
+    spread = lambda c: sum((F.shiftleft(F.shiftright(c, b).bitwiseAND(1), 3 * b) for b in range(10)), F.lit(0).cast("long"))
+    morton = F.shiftleft(spread(cells[0]), 2) + F.shiftleft(spread(cells[1]), 1) + spread(cells[2])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 32
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([x.tobytes()], pa.binary()), pa.array([len(x)])], ["b", "x", "n"])
+            at += 1
+
+    ordered = points.withColumn("c", morton).repartitionByRange("c", "x").sortWithinPartitions("c", "x").select("x")
+    return mapped(ordered, run, "b long, x binary, n long", BLOCK)
+
+
+def _block_pairs(blocks: DataFrame) -> DataFrame:
+    """Every unordered pair of blocks once: each block goes to a row and a column of a square of groups, and blocks meet by group."""
+    groups = max(1, math.isqrt(blocks.count() // 8))
+    own = F.pmod(F.xxhash64("b"), F.lit(groups)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    left = blocks.select(F.col("b").alias("b1"), F.col("x").alias("x1"), own.alias("g1")).withColumn("g2", every)
+    right = blocks.select(F.col("b").alias("b2"), F.col("x").alias("x2"), own.alias("g2")).withColumn("g1", every)
+    return left.join(right.hint("shuffle_hash"), ["g1", "g2"]).filter("b1 <= b2").select("b1", "x1", "b2", "x2")
+
+
+def _deltas(x: np.ndarray, y: np.ndarray, same: bool) -> np.ndarray:
+    """Distances of all pairs of two blocks (within one: each pair once), from differences, so that near ones stay exact."""
+    out = np.empty((len(x), len(y)))
+    for i in range(len(x)):
+        d = y - x[i]
+        out[i] = np.einsum("ij,ij->i", d, d)
+    return np.sqrt(out[np.triu_indices(len(x), 1)] if same else out.ravel())
+
+
+def _reach(x: np.ndarray) -> tuple[np.ndarray, float]:
+    c = (x.min(0) + x.max(0)) / 2
+    return c, float(np.sqrt(((x - c) ** 2).sum(1).max(initial=0.0)))
+
+
+def _histogram(pairs: DataFrame, width: int, lo: float, hi: float) -> np.ndarray:
+    """Counts of distances below lo, in BINS equal bins up to hi, and from hi on. Blocks all of one bin are not opened."""
+    edges = np.linspace(lo, hi, BINS + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BINS + 2, np.int64)
+        for b in batches:
+            for b1, x1, b2, x2 in zip(*(c.to_pylist() for c in b.columns)):
+                x, y = (np.frombuffer(v).reshape(-1, width) for v in (x1, x2))
+                (cx, rx), (cy, ry) = _reach(x), _reach(y)
+                gap = float(np.linalg.norm(cx - cy))
+                slack = 1e-9 * (gap + rx + ry)
+                first, last = np.searchsorted(edges, [max(0.0, gap - rx - ry - slack) if b1 != b2 else 0.0, gap + rx + ry + slack], side="right")
+                if first == last:
+                    counts[first] += len(x) * (len(x) - 1) // 2 if b1 == b2 else len(x) * len(y)
+                else:
+                    counts += np.bincount(np.searchsorted(edges, _deltas(x, y, b1 == b2), side="right"), minlength=BINS + 2)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bin", "n"])
+
+    out = np.zeros(BINS + 2, np.int64)
+    for r in mapped(pairs, run, "bin long, n long", 4).groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        out[r["bin"]] = r["n"]
+    return out
+
+
+def _between(pairs: DataFrame, width: int, lo: float, hi: float) -> DataFrame:
+    """d, n: the distances from lo to below hi, with how often they occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for b1, x1, b2, x2 in zip(*(c.to_pylist() for c in b.columns)):
+                x, y = (np.frombuffer(v).reshape(-1, width) for v in (x1, x2))
+                (cx, rx), (cy, ry) = _reach(x), _reach(y)
+                gap = float(np.linalg.norm(cx - cy))
+                if gap + rx + ry >= lo * (1 - 1e-9) and (b1 == b2 or gap - rx - ry <= hi * (1 + 1e-9)):
+                    d = _deltas(x, y, b1 == b2)
+                    values, n = np.unique(d[(d >= lo) & (d < hi)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["d", "n"])
+
+    return mapped(pairs, run, "d double, n long", 4).groupBy("d").agg(F.sum("n").alias("n"))
+
+
+def median_distance(candidates: DataFrame, g: Geometry, sample: int | None = None, m: Metric = PLAIN, enough: int = 1 << 16) -> float:
+    """Exact median of the pairwise distances, without a row for each pair; with `sample`, of so many candidates chosen by a hash of the id.
+
+    Selection over the implicit set of pairs: blocks of near candidates meet, distances are counted in bins in the tasks, and
+    the window narrows to the bin that holds the middle until it has `enough` pairs or cannot narrow further; those alone are made.
+    Time is by the square of the number of blocks that the window does not decide; memory is a block pair. The metric must be tight.
+    """
     few = candidates if sample is None else candidates.orderBy(F.xxhash64("id"), "id").limit(sample)
-    pairs = _flat(few, "a").crossJoin(_flat(few, "b")).filter("a_id < b_id")
-    out = pairs.agg(F.median(F.sqrt(F.abs(pair_distance(g, "a", "b")))).alias("m")).first().m
-    return float(out) if out is not None else 0.0
+    with temporary(candidates.sparkSession):
+        blocks = materialize(_order_blocks(few, g, m), "median-blocks")
+        n = int(blocks.agg(F.sum("n")).head()[0] or 0)
+        total = n * (n - 1) // 2
+        if not total:
+            return 0.0
+        width = len(m.coordinates(g, [F.lit(0.0)] * 9, [F.lit(0.0)] * 3))
+        pairs = materialize(_block_pairs(blocks.select("b", "x")), "median-pairs") if n <= 64 * BLOCK else _block_pairs(blocks.select("b", "x"))
+
+        def select(k: int) -> float:
+            """The k-th smallest distance, from 0."""
+            lo, hi, before = 0.0, _diameter(blocks, width), 0
+            while True:
+                counts = _histogram(pairs, width, lo, hi)
+                edges, upto = np.linspace(lo, hi, BINS + 1), np.cumsum(counts)
+                at = int(np.searchsorted(upto, k, side="right"))
+                if not 1 <= at <= BINS:
+                    raise ArithmeticError("the window lost the middle")
+                before, now = int(upto[at - 1]), int(counts[at])
+                lo, hi = float(edges[at - 1]), float(edges[at])
+                if now <= enough or hi - lo <= 1e-12 * hi:
+                    break
+            held = _between(pairs, width, lo, hi).orderBy("d")
+            for r in held.toLocalIterator():
+                if before + r["n"] > k:
+                    return r["d"]
+                before += r["n"]
+            raise ArithmeticError("the window lost the middle")
 
+        low = select((total - 1) // 2)
+        return low if total % 2 else (low + select(total // 2)) / 2
 
-def densities(candidates: DataFrame, g: Geometry, spread: float, threshold: float = 0.1, relative: bool = False) -> DataFrame:
-    """id, density: each candidate counts 1 for itself. With `relative`, distances are root_relative and the radius is included."""
-    radius = math.sqrt(math.log(threshold) / -spread)
-    wide = radius if not relative else radius * g.diagonal * math.sqrt(g.count)
-    size = max(wide / math.sqrt(g.count), 1e-9)
-    mid = [F.lit(b / 2) for b in g.bounds]
 
-    def celled(s: str) -> DataFrame:
-        flat = _flat(candidates, s)
-        at = E.apply_rigid(*_parts(s), mid)
-        return flat.select("*", *(F.floor(v / size).alias(f"c{c}") for v, c in zip(at, "xyz")))
+def _diameter(blocks: DataFrame, width: int) -> float:
+    """Above every distance: the diagonal of the box of all coordinates."""
 
-    around = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"o{c}") for v, c in zip(o, "xyz"))) for o in itertools.product((-1, 0, 1), repeat=3))))
-    left = celled("a").withColumn("o", around)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for v in b.column(0).to_pylist():
+                x = np.frombuffer(v).reshape(-1, width)
+                yield pa.RecordBatch.from_arrays([pa.array(range(width)), pa.array(x.min(0)), pa.array(x.max(0))], ["k", "lo", "hi"])
+
+    rows = mapped(blocks.select("x"), run, "k long, lo double, hi double", 4).groupBy("k").agg((F.max("hi") - F.min("lo")).alias("d")).collect()
+    return math.sqrt(sum(r["d"] ** 2 for r in rows)) * (1 + 1e-9) + 1e-300
+
+
+# -------------------------------------------------------------------------------------------------------- density
+
+
+def _radius(spread: float, threshold: float) -> float:
+    return math.sqrt(math.log(threshold) / -spread)
+
+
+def _cells(x: Sequence[Column], size: float) -> list[Column]:
+    return [F.floor(v / size).alias(f"c{c}") for v, c in zip(x, "xyz")]
+
+
+def _around(df: DataFrame) -> DataFrame:
+    """The rows once for each cell next to theirs, their own included."""
+    o = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"o{c}") for v, c in zip(o, "xyz"))) for o in _NEIGHBOURS)))
+    out = df.withColumn("o", o)
     for c in "xyz":
-        left = left.withColumn(f"c{c}", F.col(f"c{c}") + F.col(f"o.o{c}"))
-    pairs = left.drop("o").join(celled("b"), ["cx", "cy", "cz"])
-    d = F.abs(pair_distance(g, "a", "b"))
-    delta = metric.root_relative(g, d) if relative else F.sqrt(d)
-    near = pairs.select("a_id", "b_id", delta.alias("delta")).filter((F.col("delta") <= radius) if relative else (F.col("delta") < radius) | (F.col("a_id") == F.col("b_id")))
+        out = out.withColumn(f"c{c}", F.col(f"c{c}") + F.col(f"o.o{c}"))
+    return out.drop("o")
+
+
+def densities(candidates: DataFrame, g: Geometry, spread: float, threshold: float = 0.1, relative: bool = False, m: Metric | None = None) -> DataFrame:
+    """id, density: each candidate counts 1 for itself. The metric is `m`, else RELATIVE or PLAIN."""
+    m = m or (RELATIVE if relative else PLAIN)
+    radius = _radius(spread, threshold)
+    celled = lambda s: _flat(candidates, s).select("*", *_cells(m.coordinates(g, *_parts(s)), max(radius, 1e-9)))
+    pairs = _around(celled("a")).join(celled("b"), ["cx", "cy", "cz"])
+    near = pairs.select("a_id", "b_id", m.delta(g, *_parts("a"), *_parts("b")).alias("delta")).filter(_meets(m, radius) | (F.col("a_id") == F.col("b_id")))
     return near.groupBy(F.col("a_id").alias("id")).agg(F.sum(F.exp(F.lit(-spread) * F.col("delta") * F.col("delta"))).alias("density"))
 
 
-def vote(candidates: DataFrame, g: Geometry, spread: float | None = None, threshold: float = 0.1, floor: float = 1e-6, relative: bool = False, median_share: float = 1.0, median_sample: int | None = 512) -> DataFrame:
+def _meets(m: Metric, radius: float) -> Column:
+    return (F.col("delta") <= radius) if m.inclusive else (F.col("delta") < radius)
+
+
+def _bounds(u: Column, spread: float, radius: float, reach: Column | None = None) -> tuple[Column, Column]:
+    """What a fine cell (b_n, b_ms, b_r) adds at least and at most to a density at distance u from its centre; with `reach`, to
+    the density of anything within that of there."""
+    n, ms, r, s = F.col("b_n"), F.col("b_ms"), F.col("b_r"), spread
+    far, near = (u, u) if reach is None else (u + reach, F.greatest(u - reach, F.lit(0.0)))
+    # The exponential is convex, so the mean is no less than that of the mean exponent; and within radius + reach it is no
+    # more than its second-order expansion about the exponent at the centre.
+    low = F.when(far + r < radius * (1 - 1e-9), n * F.exp(-s * (far * far + ms))).otherwise(F.lit(0.0))
+    z = s * (2 * near * r + r * r)
+    close = F.when(F.lit(reach is None) & (z < 1), F.exp(-s * near * near) * (1 - s * ms + z * z / 2 * F.exp(z))).otherwise(F.lit(math.inf))
+    gap = F.greatest(near - r, F.lit(0.0))
+    high = F.when(near - r > radius * (1 + 1e-9), F.lit(0.0)).otherwise(n * F.least(F.exp(-s * gap * gap), close))
+    return low, high
+
+
+class _Votes:
+    """One vote by bounds: weighted points, and what it took (pairs of cells, of candidates with cells, of candidates)."""
+
+    def __init__(self, candidates: DataFrame, g: Geometry, spread: float, threshold: float, m: Metric):
+        self.g, self.spread, self.m, self.radius = g, spread, m, _radius(spread, threshold)
+        self.work = {"cells": 0, "bounds": 0, "pairs": 0}
+        one = candidates.groupBy("r", "t").agg(F.min("id").alias("id"), F.count("*").cast("double").alias("w"))
+        x = m.coordinates(g, E.elements(F.col("r"), 9), E.elements(F.col("t"), 3))
+        self.dims = len(x)
+        self.size = max(self.radius, 1e-9)
+        self.points = materialize(one.select("id", "r", "t", "w", F.array(*x).alias("x")).select("*", *_cells(E.elements(F.col("x"), 3), self.size)), "vote-points")
+        self.count = float(candidates.count())
+
+    def fine(self, points: DataFrame, parts: int) -> DataFrame:
+        """The points with `fine`, their cell in all coordinates: `parts` cells to a radius, so that cells of the middle are whole numbers of them."""
+        width = self.size / parts
+        shift = [0.0 if k < 3 else 0.382 * width for k in range(self.dims)]  # turned axes have zeros: not on an edge
+        return points.withColumn("fine", F.array(*(F.floor((F.get("x", F.lit(k)) + shift[k]) / width) for k in range(self.dims))))
+
+    def summary(self, parts: int) -> DataFrame:
+        """b_n, b_x (centre), b_ms (mean square about it), b_r (reach) of each fine cell, and the cells of the middle."""
+        width, k = self.size / parts, range(self.dims)
+        corner = lambda i: F.get("fine", F.lit(i)) * width
+        y = [F.get("x", F.lit(i)) - corner(i) for i in k]
+        sums = [f(v).alias(f"{name}{i}") for i, v in enumerate(y) for name, f in (("s", lambda v: F.sum(F.col("w") * v)), ("lo", F.min), ("hi", F.max))]
+        square = F.sum(F.col("w") * sum((v * v for v in y), F.lit(0.0)))
+        made = self.fine(self.points, parts).groupBy("cx", "cy", "cz", "fine").agg(F.sum("w").alias("b_n"), square.alias("sq"), *sums)
+        mean = [F.col(f"s{i}") / F.col("b_n") for i in k]
+        reach = F.sqrt(sum((F.greatest(F.col(f"hi{i}") - mean[i], mean[i] - F.col(f"lo{i}")) * F.greatest(F.col(f"hi{i}") - mean[i], mean[i] - F.col(f"lo{i}")) for i in k), F.lit(0.0)))
+        ms = F.greatest(F.lit(0.0), F.col("sq") / F.col("b_n") - sum((v * v for v in mean), F.lit(0.0)))
+        centre = F.array(*(corner(i) + v for i, v in enumerate(mean)))
+        slim = made.select("cx", "cy", "cz", F.col("fine").alias("b_fine"), "b_n", centre.alias("b_x"), ms.alias("b_ms"), (reach * (1 + 1e-9)).alias("b_r"))
+        return materialize(slim, "vote-cells")
+
+    def slack(self) -> float:
+        """What rounding can do to a density."""
+        scale = self.g.count * sum(b * b for b in self.g.bounds) if self.m is PLAIN else 1.0
+        return self.count * (1e-9 + 1e-13 * self.spread * scale)
+
+    def cut(self, bounded: DataFrame) -> DataFrame:
+        best = bounded.agg(F.max("low")).head()[0] or 0.0
+        return bounded.filter(F.col("high") >= best * (1 - 1e-9) - self.slack())
+
+    def open(self, points: DataFrame, cells: DataFrame) -> DataFrame:
+        """The points (of `self.points`) that may be the best, with high."""
+        size = cells.count()
+        between = E.l2(F.col("a_x"), F.col("b_x"))
+        a = cells.select(F.col("b_fine").alias("fine"), F.col("b_x").alias("a_x"), F.col("b_r").alias("a_r"), "cx", "cy", "cz")
+        low, high = _bounds(between, self.spread, self.radius, F.col("a_r"))
+        met = _around(cells)
+        by_cell = a.join(met, ["cx", "cy", "cz"]).groupBy("fine").agg(F.sum(low).alias("low"), F.sum(high).alias("high"), F.count("*").alias("met"))
+        by_cell = materialize(by_cell, "vote-cell-bounds")
+        kept = self.cut(by_cell).select("fine")
+        left = materialize(points.join(kept, "fine", "left_semi"), "vote-open")
+        low, high = _bounds(E.l2(F.col("x"), F.col("b_x")), self.spread, self.radius)
+        met = F.broadcast(met) if size <= 5_000 else met
+        by_point = left.join(met, ["cx", "cy", "cz"]).groupBy("id").agg(F.sum(low).alias("low"), F.sum(high).alias("high"), F.count("*").alias("met"))
+        by_point = materialize(by_point, "vote-bounds")
+        self.work["cells"] += by_cell.agg(F.sum("met")).head()[0] or 0
+        self.work["bounds"] += by_point.agg(F.sum("met")).head()[0] or 0
+        return materialize(self.cut(by_point).select("id", "high"), "vote-left")
+
+    def exact(self, ids: DataFrame) -> DataFrame:
+        """id, density of a few (their number is bounded by the caller): every point meets them in its cell, without a shuffle of points."""
+        flat = lambda df, s, *more: df.select(*more, F.col("id").alias(f"{s}_id"), *(F.get("r", F.lit(i)).alias(f"{s}_r{i}") for i in range(9)), *(F.get("t", F.lit(i)).alias(f"{s}_t{i}") for i in range(3)), "cx", "cy", "cz")
+        few = flat(self.points.join(F.broadcast(ids), "id", "left_semi"), "a")
+        pairs = flat(self.points, "b", "w").join(F.broadcast(_around(few)), ["cx", "cy", "cz"])
+        near = pairs.select("a_id", "b_id", "w", self.m.delta(self.g, *_parts("a"), *_parts("b")).alias("delta"))
+        same = F.col("a_id") == F.col("b_id")
+        kernel = F.when(same, F.lit(1.0)).when(_meets(self.m, self.radius), F.exp(F.lit(-self.spread) * F.col("delta") * F.col("delta"))).otherwise(F.lit(0.0))
+        return near.groupBy(F.col("a_id").alias("id")).agg(F.sum(F.col("w") * kernel).alias("density"), F.count("*").alias("met"))
+
+    def best(self) -> tuple[int, float] | None:
+        points, left = self.points, None
+        for parts in FINE:
+            left = self.open(self.fine(points, parts), self.summary(parts))
+            if left.count() <= FIRST:
+                break
+            points = materialize(self.points.join(left, "id", "left_semi"), "vote-next")
+        won, batch, after = None, FIRST, None
+        while True:
+            rest = left if won is None else left.filter(F.col("high") >= won[1] * (1 - 1e-9) - self.slack())
+            if after:
+                rest = rest.filter((F.col("high") < after[0]) | ((F.col("high") == after[0]) & (F.col("id") > after[1])))
+            some = rest.orderBy(F.desc("high"), "id").limit(batch).collect()
+            if not some:
+                return won
+            after, batch = (some[-1]["high"], some[-1]["id"]), min(4 * batch, MOST)
+            ids = self.points.sparkSession.createDataFrame([(r["id"],) for r in some], "id long")
+            for r in self.exact(ids).collect():
+                self.work["pairs"] += r["met"]
+                if won is None or (-r["density"], r["id"]) < (-won[1], won[0]):
+                    won = r["id"], r["density"]
+
+
+def vote(candidates: DataFrame, g: Geometry, spread: float | None = None, threshold: float = 0.1, floor: float = 1e-6, relative: bool = False, median_share: float = 1.0, median_sample: int | None = None, m: Metric | None = None, work: dict | None = None) -> DataFrame:
     """The candidate (id, r, t, density) of largest density; ties go to the smaller id. No candidate, no row.
 
-    Without a spread, a distance of `median_share` medians counts half; the median is that of `median_sample` candidates at most (None: of all).
+    Without a spread, a distance of `median_share` medians counts half; the median is that of all pairs, or of those of
+    `median_sample` candidates. A tight metric is voted by bounds, another one by all densities. `work` gets the counts of
+    bounds and pairs.
     """
+    m = m or (RELATIVE if relative else PLAIN)
     if spread is None:
-        spread = spread_for(max(median_share * median_distance(candidates, g, median_sample), floor * g.diagonal * math.sqrt(g.count)))
-    rho = densities(candidates, g, spread, threshold, relative)
-    return candidates.join(rho.orderBy(F.desc("density"), "id").limit(1), "id").select("id", "r", "t", "density")
+        scale = g.diagonal * math.sqrt(g.count) if m is not RELATIVE else 1.0
+        spread = spread_for(max(median_share * median_distance(candidates, g, median_sample, m), floor * scale))
+    if not m.tight:
+        rho = densities(candidates, g, spread, threshold, m=m)
+        return candidates.join(rho.orderBy(F.desc("density"), "id").limit(1), "id").select("id", "r", "t", "density")
+    with temporary(candidates.sparkSession):
+        votes = _Votes(candidates, g, spread, threshold, m)
+        won = votes.best()
+    if work is not None:
+        work |= votes.work
+    if won is None:
+        return candidates.select("id", "r", "t", F.lit(None).cast("double").alias("density")).limit(0)
+    return candidates.filter(F.col("id") == won[0]).select("id", "r", "t", F.lit(won[1]).alias("density"))

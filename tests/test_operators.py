@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataline.functions import exprs as E
+from strataline.functions import metric
 from strataline.operators import density, diagnostics, experiment, features, histogram, matching, normalize, ranking, sampling, slices, transforms
 from strataline.plans.align import STAGES, Config, align, corner_error, identity, rotation_error
 from strataline.plans.queries import headless_pair
@@ -145,6 +146,46 @@ def test_density_against_all_pairs(spark, relative):
     assert density.vote(df, g, spread, relative=relative).first().id == int(np.argmax(want))
 
 
+def test_vote_of_a_crowd_opens_few_pairs(spark):
+    g = Geometry((0.5, 0.4, 0.25), (9, 11, 13))
+    n, some = 20_000, [E.uniform(3, k, F.col("id")) for k in range(6)]
+    crowd = F.col("id") % 10 < 9
+    angle = [F.when(crowd, 0.02 * (u - 0.5)).otherwise(6 * u) for u in some[:3]]
+    shift = [F.when(crowd, 1 + 0.05 * (u - 0.5)).otherwise(40 * u) for u in some[3:]]
+    df = spark.range(n).select("id", F.array(*E.euler(*angle)).alias("r"), F.array(*shift).alias("t")).persist()
+    work = {}
+    won = density.vote(df, g, 0.002, work=work).first()
+    assert sum(work.values()) < 0.01 * n * n
+    whole = density.densities(df, g, 0.002).orderBy(F.desc("density"), "id").first()
+    assert won.id == whole.id and won.density == pytest.approx(whole.density)
+    df.unpersist()
+
+
+def test_votes_under_other_metrics(spark):
+    g = Geometry((0.5, 0.4, 0.25), (9, 11, 13))
+    df = transforms.random_transforms(spark, 120, 4, 6.0).persist()
+    loose = metric.Metric(metric.PLAIN.delta, metric.MIDDLE.coordinates, False)
+    for m, spread in ((metric.MIDDLE, 0.001), (loose, 0.0005), (metric.PLAIN, 0.0005)):
+        best = density.densities(df, g, spread, m=m).orderBy(F.desc("density"), "id").first()
+        won = density.vote(df, g, spread, m=m).first()
+        assert won.id == best.id and won.density == pytest.approx(best.density)
+    same = density.densities(df, g, 0.0005, m=loose).orderBy("id").collect()
+    assert [r.density for r in same] == pytest.approx([r.density for r in density.densities(df, g, 0.0005).orderBy("id").collect()])
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 60, 700])
+def test_median_of_all_pairs(spark, n, monkeypatch):
+    monkeypatch.setattr(density, "BLOCK", 64)
+    monkeypatch.setattr(density, "BINS", 16)
+    g = Geometry((0.5, 0.4, 0.25), (9, 11, 13))
+    rows = transforms.random_transforms(spark, n, 8, 3.0).collect()
+    rows += rows[: n // 3]
+    df = spark.createDataFrame(rows, "id long, r array<double>, t array<double>")
+    v = np.array([[math.sqrt(g.count) * c for c in np.array(x.r).reshape(3, 3) @ (np.array(g.bounds) / 2) + x.t] + [math.sqrt(s) * x.r[3 * j + i] for i, s in enumerate(metric.axis_sums(g)) for j in range(3)] for x in rows])
+    want = [float(np.linalg.norm(v[i] - v[j])) for i in range(len(v)) for j in range(i)]
+    assert density.median_distance(df, g, enough=10) == pytest.approx(float(np.median(want)) if want else 0.0)
+
+
 def test_vote_of_one_of_none_and_of_equals(spark):
     g = Geometry((1.0,) * 3, (4, 4, 4))
     one = transforms.table(spark, [(np.eye(3).reshape(-1), [1, 2, 3])])
