@@ -1,9 +1,7 @@
 """Similarity joins between two sets of feature vectors.
 
-All of them build on `knn`: exact nearest neighbours by blocks. Macro vectors are packed into blocks in place; each task
-meets blocks with blocks through matrix products, recomputes the distances of the few candidates directly, and passes on
-k rows for each micro vector and macro block; a window merges those. Nothing is sent to the driver, and a block pair is
-the unit of work and of recovery. Sets are (id, features); ids are distinct within a set.
+All but the ranks and the order build on `neighbours.knn`: exact nearest neighbours by pivots. Sets are (id, features); ids are
+distinct within a set.
 """
 
 from __future__ import annotations
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions import exprs as E
 from strataline.operators import ranking
+from strataline.operators.neighbours import knn
 from strataline.runtime import mapped
 
 BLOCK = 2048
@@ -43,55 +42,6 @@ def _open(ids: bytes, m: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return i, np.frombuffer(m, "<f8").reshape(len(i), dim)
 
 
-def nearest(q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, kind: str = "euclid") -> tuple[np.ndarray, np.ndarray]:
-    """Places in c and scores of the k best for each row of q. euclid: least distances; cosine: largest 100 cos, at least 0. Ties: smaller id."""
-    rough = q @ c.T
-    if kind == "euclid":
-        rough = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * rough
-    else:
-        norms = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((c * c).sum(1))[None, :]
-        rough = -np.divide(rough, norms, out=np.full_like(rough, -np.inf), where=norms > 0)
-    k = min(k, len(c))
-    # Candidates: all that rounding could bring among the k best.
-    bar = np.partition(rough, k - 1, axis=1)[:, k - 1]
-    slack = 1e-9 * (1 + np.abs(bar) + (np.abs(q).max(initial=0) ** 2 if kind == "euclid" else 0))
-    at, scores = np.zeros((len(q), k), np.int64), np.zeros((len(q), k))
-    for i in range(len(q)):
-        cand = np.flatnonzero(rough[i] <= bar[i] + slack[i])
-        if kind == "euclid":
-            d = np.sqrt(((c[cand] - q[i]) ** 2).sum(1))
-            order = np.lexsort((c_ids[cand], d))[:k]
-        else:
-            d = -rough[i][cand]
-            d = np.maximum(0, 100 * d)
-            order = np.lexsort((c_ids[cand], -d))[:k]
-        at[i], scores[i] = cand[order], d[order]
-    return at, scores
-
-
-def knn(micro: DataFrame, macro: DataFrame, k: int, kind: str = "euclid", column: str = "features", same_set: bool = False) -> DataFrame:
-    """micro_id, macro_id, score, n (1 the best): for euclid score is the distance. same_set leaves out a row's own id."""
-    more = 1 if same_set else 0
-    a = _blocks(micro, column).select(F.col("ids").alias("a_ids"), F.col("m").alias("a_m"), F.col("dim").alias("a_dim"))
-    b = _blocks(macro, column).select(F.col("ids").alias("b_ids"), F.col("m").alias("b_m"), F.col("dim").alias("b_dim"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a_ids, a_m, a_dim, b_ids, b_m, b_dim in zip(*(c.to_pylist() for c in batch.columns)):
-                if a_dim != b_dim:
-                    raise ValueError("feature vectors differ in length")
-                (qi, q), (ci, c) = _open(a_ids, a_m, a_dim), _open(b_ids, b_m, b_dim)
-                at, s = nearest(q, c, ci, k + more, kind)
-                left, right, s = np.repeat(qi, at.shape[1]), ci[at].reshape(-1), s.reshape(-1)
-                ok = left != right if same_set else np.ones(len(s), bool)
-                yield pa.RecordBatch.from_arrays([pa.array(left[ok]), pa.array(right[ok]), pa.array(s[ok])], ["micro_id", "macro_id", "score"])
-
-    found = mapped(a.crossJoin(b), run, "micro_id long, macro_id long, score double", rows=8)
-    best = F.col("score") if kind == "euclid" else F.desc("score")
-    n = F.row_number().over(Window.partitionBy("micro_id").orderBy(best, "macro_id"))
-    return found.withColumn("n", n).filter(F.col("n") <= k)
-
-
 def top_fraction(matches: DataFrame, fraction: float, best: str = "similarity", falling: bool = True, ids: tuple[str, ...] = ("micro_id",), up: bool = False, heap: int = 100_000) -> DataFrame:
     """The best trunc(n * fraction) rows (ceil with up), ties to the smaller ids.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions import exprs as E
 from strataline.functions import metric
-from strataline.operators import density, diagnostics, experiment, features, histogram, matching, normalize, ranking, sampling, slices, transforms
+from strataline.operators import density, diagnostics, experiment, features, histogram, matching, neighbours, normalize, ranking, sampling, slices, transforms
 from strataline.plans.align import STAGES, Config, align, corner_error, identity, rotation_error
 from strataline.plans.queries import headless_pair
 from strataline.sources import metaimage, mocks, texts
@@ -146,6 +146,36 @@ def test_density_against_all_pairs(spark, relative):
     assert density.vote(df, g, spread, relative=relative).first().id == int(np.argmax(want))
 
 
+@pytest.mark.parametrize("kind", ["euclid", "cosine"])
+@pytest.mark.parametrize("shape", ["clusters", "spread", "copies"])
+def test_neighbours_by_pivots(spark, kind, shape, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAST_BLOCK", 16)
+    rng = np.random.default_rng(7)
+    n, d, k = 1500, 6, 3
+    centres = rng.normal(size=(30, d)) * 10
+    v = {"clusters": centres[rng.integers(0, 30, n)] + 0.1 * rng.normal(size=(n, d)), "spread": rng.normal(size=(n, d)), "copies": np.round(rng.normal(size=(n, d)))}[shape]
+    v[: n // 3] = v[0] if shape == "copies" else v[: n // 3]
+    q = v[::5] + (0.01 if shape == "clusters" else 0.0)
+    sets = [spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)] + [(-1, None), (-2, [float("nan")] * d), (-3, [])], "id long, features array<double>") for m in (q, v)]
+    work = {}
+    got = {}
+    for r in neighbours.knn(*sets, k, kind, work=work).collect():
+        got.setdefault(r.micro_id, {})[r.n] = (r.macro_id, r.score)
+    for i, x in enumerate(q):
+        d2 = np.sqrt(((v - x) ** 2).sum(1))
+        norms = np.linalg.norm(v, axis=1) * np.linalg.norm(x)
+        cos = np.maximum(0, 100 * np.divide(v @ x, norms, out=np.zeros(n), where=norms > 0))
+        s = d2 if kind == "euclid" else cos
+        want = np.sort(s)[:k] if kind == "euclid" else -np.sort(-s)[:k]
+        assert [got[i][j + 1][1] for j in range(k)] == pytest.approx(want, abs=1e-6)
+        if kind == "euclid":
+            order = np.lexsort((np.arange(n), d2))[:k]
+            assert [got[i][j + 1][0] for j in range(k)] == order.tolist()
+    if shape == "clusters":
+        assert work["met"] <= work["all"] / 5
+    assert neighbours.knn(sets[0], sets[1].filter("false"), k, kind).count() == 0
+
+
 def test_vote_of_a_crowd_opens_few_pairs(spark):
     g = Geometry((0.5, 0.4, 0.25), (9, 11, 13))
     n, some = 20_000, [E.uniform(3, k, F.col("id")) for k in range(6)]
