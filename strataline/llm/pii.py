@@ -11,12 +11,14 @@ in every document, different ones of a shape different ones, and the key restore
     date    1900 .. 2099, the same order of year, parts of as many digits; dd/mm and mm/dd are one set of written dates
     secret  letters and digits of a token, key or long hex string; what reads as hex stays hex, nothing else becomes it
 
-Letters of an email or secret keep their case; a-z, digits and the accented letters of Latin-1 are permuted whatever
+Letters of an email or secret keep their case; in secrets of 32 characters or more, a piece that reads as hex stays so. a-z, digits and the accented letters of Latin-1 are permuted whatever
 their case, any other letter or digit among those of its category in its 64 code points. A value none of whose characters
 has another to become stays as it was; all others change.
 
 A number that fails its check is left alone; an IBAN has the length of its country and check digits 02 to 98, a phone
-number any groups up to 15 digits, so letters and numbers that follow don't hide either. Only the digits 0-9 count as digits. Of
+number any groups up to 15 digits, so letters and numbers that follow don't hide either; secrets, hex strings and local parts
+have no longest length (they are permuted in pieces of PIECE characters); a date may have a time after it. Not found: keys and
+bearer tokens without a word before them that says so, unless they read as hex, and addresses of version 6. Only the digits 0-9 count as digits. Of
 overlapping finds the first in the order email, secret, iban, card, ip, ssn, date, phone stays.
 
 The key is an argument, or the session's setting `spark.strataline.pii.key`. Without either, each application draws a
@@ -36,6 +38,7 @@ from bisect import bisect_right
 from calendar import monthrange
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +47,7 @@ from pyspark.sql import functions as F
 from strataline.llm.common import documents, mapped
 from strataline.llm.feistel import Permutation, permute_digits
 
+PIECE = 64
 KEY_SETTING = "spark.strataline.pii.key"
 _DRAWN: dict[str, bytes] = {}
 _ANY = re.compile(r"[0-9@=:]")
@@ -51,8 +55,8 @@ _LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _YEARS = range(1900, 2100)
 
-_SECRET = re.compile(r"(?<![^\W_])(?ai:(?:token|secret|api[_-]?key|access[_-]?key|password|passwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)([A-Za-z0-9_\-./+]{8,256})")
-_HEX = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,128}(?![A-Za-z0-9])")
+_SECRET = re.compile(r"(?<![^\W_])(?ai:(?:token|secret|api[_-]?key|access[_-]?key|password|passwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)([A-Za-z0-9_\-./+]{8,})")
+_HEX = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}(?![A-Za-z0-9])")
 # Every start: what one swallows may hold another.
 _IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}))")
 _IBAN_LENGTHS = {
@@ -67,7 +71,7 @@ _IBAN_LENGTH = {c: n for n, countries in _IBAN_LENGTHS.items() for c in countrie
 _CARD = re.compile(r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?!\w)")
 _IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w)(?!\.[0-9])")
 _SSN = re.compile(r"(?<![\w-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![\w-])")
-_DATE = re.compile(r"(?<![\w./-])(?:([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?![\w/-])(?!\.[0-9])")
+_DATE = re.compile(r"(?<![\w./-])(?:([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?:(?![\w/-])|(?=[Tt][0-9]{2}:))(?!\.[0-9])")
 _PHONE = re.compile(r"(?<![\w+])(?:(\+[0-9]{1,3})(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9])){4,14}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?!\w)")
 _DECIMAL = re.compile(r"\+[0-9]+\.[0-9]+")
 _NATIONAL = {"1": 10, "7": 10, "30": 10, "33": 9, "34": 9, "41": 9, "45": 8, "47": 8, "48": 9, "61": 9, "351": 9, "420": 9}  # digits after the country code, where all numbers have as many
@@ -89,9 +93,9 @@ def _emails(text: str) -> Iterator[Found]:
     at = text.find("@")
     while at >= 0:
         a, b = at, at + 1
-        while a > max(0, at - 64) and (text[a - 1].isalnum() or text[a - 1] in "._%+-"):
+        while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "._%+-"):
             a -= 1
-        while b < min(len(text), at + 256) and (text[b].isalnum() or text[b] in ".-"):
+        while b < len(text) and (text[b].isalnum() or text[b] in ".-"):
             b += 1
         end = at + 1 + len(text[at + 1 : b].rstrip(".-"))
         host, _, top = text[at + 1 : end].rpartition(".")
@@ -235,13 +239,21 @@ def _alphabet(c: str) -> str:
     return "".join(x for x in map(chr, range(first, first + 64)) if unicodedata.category(x) == kind and x.isalnum() and not (x.lower() in _LOWER + _LATIN and x in (x.lower(), x.lower().upper())))
 
 
-def _characters(key: bytes, kind: str, value: str, back: bool) -> str:
-    """Letters and digits permuted within their alphabets; case and all else stay, and whether it all reads as hex."""
-    hexadecimal = kind == "secret" and hex_like(value)
-    alphabets = ["0123456789abcdef" if hexadecimal else _alphabet(c) for c in value]
+def _hex_class(block: str) -> str:
+    """How a piece of a hex string reads: d digits only; l, u with letters of one case; n none."""
+    if not set(block) <= set("0123456789abcdefABCDEF"):
+        return "n"
+    return "d" if block.isdigit() else "l" if block.islower() else "u" if block.isupper() else "n"
+
+
+def _block(key: bytes, tweak: bytes, value: str, back: bool, may_be_hex: bool) -> str:
+    """Letters and digits of up to PIECE characters permuted within their alphabets; case and all else stay, and the hex class."""
+    of = _hex_class(value) if may_be_hex else ""
+    both = of in ("l", "u") and any(c.isdigit() for c in value)
+    alphabets = ["0123456789abcdef" if both else "abcdef" if of in ("l", "u") else _alphabet(c) for c in value]
     where = [i for i, a in enumerate(alphabets) if len(a) > 1]
-    blind = [value[i] not in alphabets[i] or hexadecimal for i in where]  # its lower case stands in the alphabet
-    upper = [value.isupper() if hexadecimal else b for b in blind]
+    blind = [value[i] not in alphabets[i] or of in ("l", "u") for i in where]  # its lower case stands in the alphabet
+    upper = [of == "u" if of in ("l", "u") else b for b in blind]
 
     def text(digits: list[int]) -> str:
         out = list(value)
@@ -251,10 +263,22 @@ def _characters(key: bytes, kind: str, value: str, back: bool) -> str:
 
     def same_kind(digits: list[int]) -> bool:
         new = text(digits)
-        return hex_like(new) == hexadecimal and any(c in "0123456789" for c in new)
+        return _hex_class(new) == of and (not both or any(c.isdigit() for c in new))
 
     own = [alphabets[i].index(value[i].lower() if b else value[i]) for i, b in zip(where, blind)]
-    return text(permute_digits(key, kind.encode(), [len(alphabets[i]) for i in where], own, back, same_kind if kind == "secret" else None))
+    return text(permute_digits(key, tweak, [len(alphabets[i]) for i in where], own, back, same_kind if of else None))
+
+
+def _characters(key: bytes, kind: str, value: str, back: bool) -> str:
+    """Pieces of PIECE characters, each under a tweak of its place and of what comes before it: no character stays by its place."""
+    out, plain = [], b""
+    for at in range(0, len(value), PIECE):
+        piece = value[at : at + PIECE]
+        tweak = kind.encode() + (b"" if not at else b"+%d" % at + plain)
+        new = _block(key, tweak, piece, back, kind == "secret" and len(value) >= 32)
+        out.append(new)
+        plain = blake2b(plain + (new if back else piece).encode(), digest_size=16).digest()
+    return "".join(out)
 
 
 def _octets(value: str) -> list[range]:
