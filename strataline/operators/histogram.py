@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataline.operators import scan
+
 
 def histogram(df: DataFrame, value: str) -> DataFrame:
     """value int, cnt."""
@@ -15,16 +17,18 @@ def cdf(hist: DataFrame) -> DataFrame:
     """Every integer from the least to the largest value: value, cnt, cdf.
 
     An empty bin between two filled ones lies on the line between the running count before it and the one after; the
-    table has as many rows as the value range, not as the data.
+    table has as many rows as the value range, not as the data. Filled bins are numbered and summed up by one ordered
+    scan; each then meets the next one and fills the gap between them.
     """
-    ends = hist.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).filter("lo IS NOT NULL")
-    dense = ends.select(F.explode(F.sequence("lo", "hi")).alias("value")).join(hist, "value", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0).cast("long")))
-    order = Window.orderBy("value")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    filled = F.when(F.col("cnt") > 0, F.struct("value", "cnt"))
-    rows = dense.select("value", "cnt", F.sum("cnt").over(back).alias("cum"), F.last(filled, True).over(back).alias("prev"), F.first(filled, True).over(ahead).alias("next"), F.sum("cnt").over(Window.partitionBy()).alias("n"))
-    share = (F.col("value") - F.col("prev.value")) / F.nullif(F.col("next.value") - F.col("prev.value"), F.lit(0))
-    return rows.select("value", "cnt", F.when(F.col("cnt") > 0, F.col("cum") / F.col("n")).otherwise((F.col("cum") + share * F.col("next.cnt")) / F.col("n")).alias("cdf"))
+    counted = hist.filter("cnt > 0").select("value", "cnt", F.array(F.lit(1).cast("long"), F.col("cnt").cast("long")).alias("sum"))
+    bins = scan.scanned(counted, ["value"], "sum", scan.sums(2)).select("value", "cnt", F.col("sum")[0].alias("k"), F.col("sum")[1].alias("cum"))
+    ahead = bins.select((F.col("k") - 1).alias("k"), F.col("value").alias("next"), F.col("cnt").alias("more"))
+    total = bins.agg(F.max("cum").alias("n"))
+    both = bins.join(ahead, "k", "left").crossJoin(F.broadcast(total))
+    filled = both.withColumn("at", F.explode(F.sequence("value", F.coalesce(F.col("next") - 1, F.col("value")))))
+    own, share = F.col("at") == F.col("value"), (F.col("at") - F.col("value")) / F.nullif(F.col("next") - F.col("value"), F.lit(0))
+    share = F.when(own, F.col("cum") / F.col("n")).otherwise((F.col("cum") + share * F.col("more")) / F.col("n"))
+    return filled.select(F.col("at").alias("value"), F.when(own, F.col("cnt")).otherwise(F.lit(0).cast("long")).alias("cnt"), share.alias("cdf"))
 
 
 def lookup(df: DataFrame, value: str, table: DataFrame, out: str = "percentile") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions import exprs as E
-from strataline.operators import ranking
+from strataline.operators import ranking, scan
 from strataline.operators.neighbours import knn
 from strataline.runtime import mapped
 
@@ -144,5 +144,5 @@ def rank_sum(micro: DataFrame, macro: DataFrame, fraction: float = 1.0, keep: st
 def positional(micro: DataFrame, macro: DataFrame, fraction: float, similarity: float = 100.0) -> DataFrame:
     """The first trunc(n * fraction) rows of both sets by id, n the size of the smaller, paired in order."""
     n = int(min(micro.count(), macro.count()) * fraction)
-    nth = lambda d, name: d.orderBy("id").limit(n).select(F.col("id").alias(name), F.row_number().over(Window.orderBy("id")).alias("k"))
+    nth = lambda d, name: scan.numbered(d.select(F.col("id").alias(name)), [name], out="k").filter(F.col("k") < n)
     return nth(micro, "micro_id").join(nth(macro, "macro_id"), "k").select("micro_id", "macro_id", F.lit(similarity).alias("similarity"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions import dense
 from strataline.functions import exprs as E
+from strataline.operators import scan
 from strataline.operators.features import BALL_RADIUS, BALL_STEP
 from strataline.runtime import ship
 
@@ -28,17 +29,13 @@ def inverted(df: DataFrame) -> DataFrame:
 
 
 def chained(df: DataFrame) -> DataFrame:
-    """One transform r, t from rows (n, r, t): n orders the steps, the first is applied first."""
-    steps = df.agg(F.array_sort(F.collect_list(F.struct("n", "r", "t"))).alias("s"))
-    pair = lambda a: (E.elements(a["r"], 9), E.elements(a["t"], 3))
-
-    def merge(done, step):
-        r, t = E.compose(pair(done), pair(step))
-        return F.struct(F.array(*r).alias("r"), F.array(*t).alias("t"))
-
-    start = F.struct(F.array(*(F.lit(float(i % 4 == 0)) for i in range(9))).alias("r"), F.array(*(F.lit(0.0) for _ in range(3))).alias("t"))
-    ended = F.when(F.size("s") == 0, F.raise_error(F.lit("no transform to chain")).cast("struct<r:array<double>,t:array<double>>")).otherwise(F.aggregate("s", start, merge))
-    return steps.select(ended.alias("x")).select("x.r", "x.t")
+    """One transform r, t from rows (n, r, t): n orders the steps, the first is applied first. Steps are folded where they lie
+    (`scan.folded`), so a chain may be of any length."""
+    steps = df.select("n", F.concat("r", "t").alias("step"))
+    done = scan.folded(steps, ["n"], "step", scan.RIGID)
+    if done is None:
+        raise ValueError("no transform to chain")
+    return df.sparkSession.createDataFrame([(done[:9], done[9:])], "r array<double>, t array<double>")
 
 
 def random_transforms(spark: SparkSession, n: int, seed: int, reach: float = 40.0) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataline.operators import scan
 from strataline.operators.features import FITTED, KINDS, PARAMETERS, Computer
 
 _NUMBER = r"([-+]?\d+(?:[.,]\d+)?(?:[eE][-+]?\d+)?)"
@@ -55,10 +56,10 @@ def cell_lines(df: DataFrame, columns: Sequence[str], order: Sequence[str], head
 
 
 def _numbered(df: DataFrame, order: Sequence[str], line: Column) -> DataFrame:
-    """Lines of a report in order: one task's work."""
-    from pyspark.sql import Window
-
-    return df.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("n"), line.alias("line"))
+    """Lines of a report, numbered from 1 in order."""
+    keys = [f"sl_{i}" for i in range(len(order))]
+    rows = df.select(*(F.col(c).alias(k) for c, k in zip(order, keys)), line.alias("line"))
+    return scan.numbered(rows, keys, out="n").select((F.col("n") + 1).alias("n"), "line")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

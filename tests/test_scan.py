@@ -54,3 +54,18 @@ def test_segments_within_one_array():
         total = x if s else total + x
         want.append(total)
     assert scan.running(v, starts, np.add)[:, 0].tolist() == want
+
+
+@pytest.mark.parametrize("name", ["transform_chain", "positional_match", "cell_lines", "histogram_cdf", "cdf_gap_interpolated"])
+def test_no_window_over_a_whole_set(spark, name):
+    from strataline.plans import queries
+
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "Window" not in df._jdf.queryExecution().toString()
+
+
+def test_an_empty_chain_is_an_error(spark):
+    from strataline.operators import transforms
+
+    with pytest.raises(ValueError):
+        transforms.chained(spark.createDataFrame([], "n int, r array<double>, t array<double>"))
