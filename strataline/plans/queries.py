@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from strataline.functions import dense, metric
 from strataline.functions import exprs as E
 from strataline.operators import density, diagnostics, experiment, features, histogram, matching, normalize, ranking, sampling, slices, transforms
-from strataline.sources import mocks, texts
+from strataline.sources import metaimage, mocks, texts, volumes
 from strataline.sources.fields import GridField, lattice
+from strataline.shared import new_path
 from strataline.types import Geometry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -508,6 +510,63 @@ def trilinear_sample(spark, sf):
     return _grid(spark).attach(_part_points(spark, sf), "value").select("id", _r("value").alias("value"))
 
 
+_BY_PART = "c AS (SELECT CAST(floor(max(p_partkey) / 80.0) AS INT) + 1 AS nz FROM part), spot AS (SELECT CAST(i AS INT) AS x, CAST(j AS INT) AS y, CAST(k AS INT) AS z FROM c, generate_series(0, 9) a(i), generate_series(0, 7) b(j), generate_series(0, nz - 1) d(k))"
+
+
+def _part_volume(spark, sf, kind: str, value) -> tuple[Geometry, DataFrame]:
+    """A volume of 10 x 8 samples a slab, one for each part, written by the data source and read back by it."""
+    n = F.col("p_partkey")
+    part = _t(spark, sf, "part")
+    slabs = (part.agg(F.max("p_partkey")).head()[0] or 0) // 80 + 1
+    g = Geometry((0.5, 0.25, 1.0), (10, 8, slabs))
+    voxels = part.select((n % 10).alias("x"), (F.floor(n / 10) % 8).alias("y"), F.floor(n / 80).alias("z"), value.alias("v"))
+    folder = new_path(spark, "volume")
+    os.makedirs(volumes.local_path(folder))
+    volumes.save(voxels, g, f"{folder}/part.mhd", kind)
+    return volumes.load(spark, f"{folder}/part.mhd")
+
+
+@query(f"""WITH {_BY_PART} SELECT x, y, z, CAST(coalesce(trunc(least(p_retailprice * 40, 65535)), 0) AS INT) AS v FROM spot LEFT JOIN part ON p_partkey = x + 10 * y + 80 * z""")
+def volume_16_bit(spark, sf):
+    return _part_volume(spark, sf, "MET_USHORT", F.col("p_retailprice") * 40)[1].drop("vol_id")
+
+
+@query(f"""WITH {_BY_PART} SELECT x, y, z, CAST(coalesce(least(p_size * 7, 255), 0) AS INT) AS v FROM spot LEFT JOIN part ON p_partkey = x + 10 * y + 80 * z""")
+def volume_8_bit(spark, sf):
+    return _part_volume(spark, sf, "MET_UCHAR", F.col("p_size") * 7)[1].drop("vol_id")
+
+
+def _part_grid(spark, sf) -> GridField:
+    g, table = _part_volume(spark, sf, "MET_UCHAR", F.col("p_size") * 7)
+    return GridField(g, table)
+
+
+_PLACES = "(SELECT s_suppkey AS id, (s_suppkey * 37 % 1000) / 1000.0 * 6 - 0.5 AS x, (s_suppkey * 91 % 1009) / 1009.0 * 2 AS y, (s_suppkey * 53 % 997) / 997.0 * (nz - 1) AS z FROM supplier, c)"
+_MIXED = """c8 AS (SELECT id, fx, fy, fz, a.o AS ox, b.o AS oy, d.o AS oz FROM f, (VALUES (0), (1)) a(o), (VALUES (0), (1)) b(o), (VALUES (0), (1)) d(o)),
+w AS (SELECT id, CAST(least(floor(fx) + ox, 9) AS INT) AS x, CAST(least(floor(fy) + oy, 7) AS INT) AS y, CAST(least(floor(fz) + oz, (SELECT nz FROM c) - 1) AS INT) AS z,
+ (CASE WHEN ox = 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) * (CASE WHEN oy = 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) * (CASE WHEN oz = 1 THEN fz - floor(fz) ELSE 1 - fz + floor(fz) END) AS w FROM c8)
+SELECT id, round(sum(w * v), 6) AS value FROM w JOIN vox USING (x, y, z) GROUP BY 1"""
+
+
+@query(f"""WITH {_BY_PART}, vox AS (SELECT x, y, z, coalesce(least(p_size * 7, 255), 0) AS v FROM spot LEFT JOIN part ON p_partkey = x + 10 * y + 80 * z),
+f AS (SELECT id, least(greatest(x / 0.5, 0), 9) AS fx, least(greatest(y / 0.25, 0), 7) AS fy, least(greatest(z, 0), (SELECT nz FROM c) - 1) AS fz FROM {_PLACES} p), {_MIXED}""")
+def volume_samples(spark, sf):
+    """Places between the samples of a stored volume that a table filled."""
+    fld, k = _part_grid(spark, sf), F.col("s_suppkey")
+    top = float(fld.geometry.dims[2] - 1)
+    places = _t(spark, sf, "supplier").select(k.alias("id"), ((k * 37 % 1000) / 1000.0 * 6 - 0.5).alias("x"), ((k * 91 % 1009) / 1009.0 * 2).alias("y"), ((k * 53 % 997) / 997.0 * top).alias("z"))
+    return fld.attach(places, "value").select("id", _r("value").alias("value"))
+
+
+@query(f"""WITH {_BY_PART}, vox AS (SELECT x, y, z, coalesce(least(p_size * 7, 255), 0) AS v FROM spot LEFT JOIN part ON p_partkey = x + 10 * y + 80 * z),
+t AS (SELECT i + 20 * j + 300 * k AS id, i * 0.3 + 0.4 AS x, j * 0.1 + 0.05 AS y, k * 0.7 - 0.2 AS z FROM generate_series(0, 19) a(i), generate_series(0, 14) b(j), generate_series(0, 9) d(k)),
+f AS (SELECT id, least(greatest(x, 0), 4.5) / 0.5 AS fx, least(greatest(y, 0), 1.75) / 0.25 AS fy, least(greatest(z, 0), (SELECT nz FROM c) - 1) AS fz FROM t), {_MIXED}""")
+def volume_resampled(spark, sf):
+    """A stored volume on a finer grid, moved."""
+    out = metaimage.resampled(spark, _part_grid(spark, sf), Geometry((0.3, 0.1, 0.7), (20, 15, 10)), [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0], [0.4, 0.05, -0.2])
+    return out.select((F.col("i") + 20 * F.col("j") + 300 * F.col("k")).cast("long").alias("id"), _r("value").alias("value"))
+
+
 _OFF = "(VALUES (-0.2), (0.0), (0.2))"
 _VAR27 = f"""n AS (SELECT id, px, py, pz, least(greatest(px + a.o, 0), {_BOX[0]!r}) AS x, least(greatest(py + b.o, 0), {_BOX[1]!r}) AS y, least(greatest(pz + c.o, 0), {_BOX[2]!r}) AS z
  FROM (SELECT id, x AS px, y AS py, z AS pz FROM {_PART} q) p, {_OFF} a(o), {_OFF} b(o), {_OFF} c(o)),
@@ -730,8 +789,6 @@ def pca_rotation(spark, sf):
 
 @query(f"""WITH g AS (SELECT i, j, k, {", ".join(f"least(greatest({v}, 0), {b!r}) AS {c}" for v, b, c in zip(_SEG_AT, _BOX, "xyz"))} FROM {_grid_sql(_SEG)} q) SELECT i, j, k, round(least(greatest({_SPHERE}, 0), 65535), 6) AS value FROM g""")
 def resample_volume(spark, sf):
-    from strataline.sources import metaimage
-
     return metaimage.resampled(spark, mocks.sphere(), _SEG, _TURN, _SEG_T).select("i", "j", "k", _r("value").alias("value"))
 
 

@@ -2,8 +2,8 @@
 
 A field gives its values to rows with x, y, z in two ways: `attach` adds a column by expressions and joins, for any size;
 `evaluator` gives a picklable numpy function for Arrow batches. For a stored volume, that means a copy in every Python
-worker, so it refuses volumes beyond `ship_limit` bytes; or, with `raw_path`, a memory-mapped raw file (16 bits, x
-fastest) at a path that all executors mount, whose pages a machine's workers share.
+worker, so it refuses volumes beyond `ship_limit` bytes; or, with `raw_path`, a memory-mapped raw file (of `element_type`,
+which also decides the order of its axes) at a path that all executors mount, whose pages a machine's workers share.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions import exprs as E
 from strataline.runtime import ship
-from strataline.types import Geometry
+from strataline.types import KINDS, Geometry
 
 
 def lattice(spark: SparkSession, g: Geometry) -> DataFrame:
@@ -55,6 +55,7 @@ class GridField:
     table: DataFrame
     ship_limit: int = 256 << 20
     raw_path: str | None = None
+    element_type: str = "MET_USHORT"
 
     def attach(self, points: DataFrame, out: str = "value") -> DataFrame:
         """The eight corners meet the voxels in an equality join, so the volume may be of any size."""
@@ -78,7 +79,7 @@ class GridField:
     def evaluator(self) -> Callable[[np.ndarray], np.ndarray]:
         g = self.geometry
         if self.raw_path:
-            return _Trilinear(None, g, self.raw_path)
+            return _Trilinear(None, g, self.raw_path, self.element_type)
         if 4 * g.count > self.ship_limit:
             raise ValueError("the volume is too large to ship to every executor; use attach() or a raw_path")
         spark = self.table.sparkSession
@@ -106,10 +107,13 @@ class _Trilinear:
     volume: object
     geometry: Geometry
     raw_path: str | None = None
+    element_type: str = "MET_USHORT"
 
     def __call__(self, p: np.ndarray) -> np.ndarray:
         a, b, _ = self.geometry.dims
-        v = np.memmap(self.raw_path, "<u2", "r", shape=(self.geometry.count,)) if self.raw_path else self.volume.value
+        kind = KINDS[self.element_type]
+        v = np.memmap(self.raw_path, kind, "r", shape=(self.geometry.count,)) if self.raw_path else self.volume.value
+        y_first = bool(self.raw_path) and kind.itemsize == 1
         top = np.array(self.geometry.dims) - 1
         f = np.clip(p / np.array(self.geometry.spacing), 0, top)
         low = np.floor(f).astype(np.int64)
@@ -118,5 +122,5 @@ class _Trilinear:
         for bits in range(8):
             at = [(high if bits >> k & 1 else low)[..., k] for k in range(3)]
             w = np.prod([s[..., k] if bits >> k & 1 else 1 - s[..., k] for k in range(3)], axis=0)
-            out += w * v[(at[2] * b + at[1]) * a + at[0]]
+            out += w * v[at[2] * (a * b) + (at[0] * b + at[1] if y_first else at[1] * a + at[0])]
         return out

@@ -1,9 +1,8 @@
 """Volumes as a text header and a raw file of samples.
 
 The header is read by Spark; the raw file as records of one slab (the samples of one z), which Spark splits among tasks
-at any size and from any store it reaches. 16-bit samples run x fastest; 8-bit samples run y fastest. Writing goes slab
-by slab as well: each slab is a row of a table (`slab`, `payload`), and `save_raw` joins slabs in order into one file on
-a shared path.
+at any size and from any store it reaches. 16-bit samples run x fastest; 8-bit samples run y fastest. Writing, and reading
+from a path that all machines mount, are the data source in `volumes`.
 """
 
 from __future__ import annotations
@@ -11,7 +10,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator, Sequence
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -20,9 +18,8 @@ from pyspark.sql import functions as F
 
 from strataline.functions import exprs as E
 from strataline.runtime import ship
-from strataline.types import VOXEL, Geometry
+from strataline.types import KINDS, VOXEL, Geometry, header_text  # noqa: F401
 
-KINDS = {"MET_USHORT": np.dtype("<u2"), "MET_UCHAR": np.dtype("u1")}
 _NUMBER = r"([-+]?\d+(?:[.,]\d+)?(?:[eE][-+]?\d+)?)"
 
 
@@ -64,43 +61,6 @@ def read_volume(spark: SparkSession, header_path: str, raw_path: str, vol_id: st
     return g, spark.createDataFrame(records, "k long, payload binary").filter(F.col("k") < c).mapInPandas(run, VOXEL)
 
 
-def header_text(g: Geometry, raw_name: str, element_type: str = "MET_USHORT") -> str:
-    lines = [
-        "ObjectType = Image", "NDims = 3", "BinaryData = True", "BinaryDataByteOrderMSB = False", "CompressedData = False",
-        "TransformMatrix = 1 0 0 0 1 0 0 0 1", "Offset = 0 0 0", "CenterOfRotation = 0 0 0", "AnatomicalOrientation = RAI",
-        "ElementSpacing = " + " ".join(repr(float(s)) for s in g.spacing), "DimSize = " + " ".join(map(str, g.dims)),
-        f"ElementType = {element_type}", f"ElementDataFile = {raw_name}",
-    ]
-    return "\n".join(lines) + "\n"
-
-
-def slabs(voxels: DataFrame, g: Geometry, value: str = "value") -> DataFrame:
-    """slab, payload: 16-bit samples of each z, x fastest, from i, j, k and a value, which is clamped to 0 .. 65535 and truncated."""
-    a, b, _ = g.dims
-    ship(voxels.sparkSession)
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(a * b, "<u2")
-        out[rows["at"].to_numpy()] = rows["v"].to_numpy()
-        return pd.DataFrame({"slab": [int(key[0])], "payload": [out.tobytes()]})
-
-    flat = voxels.select("k", (F.col("j") * a + F.col("i")).cast("int").alias("at"), E.clamp(F.col(value), 0.0, 65535.0).cast("int").alias("v"))
-    return flat.groupBy("k").applyInPandas(run, "slab int, payload binary")
-
-
-def save_raw(parts: DataFrame, raw_path: str) -> None:
-    """Slabs in order into one file, one slab in memory at a time."""
-    with open(raw_path, "wb", buffering=1 << 20) as f:
-        for r in parts.orderBy("slab").toLocalIterator():
-            f.write(r.payload)
-
-
-def write_volume(voxels: DataFrame, g: Geometry, base: str, value: str = "value") -> None:
-    """base.mhd and base.raw."""
-    save_raw(slabs(voxels, g, value), f"{base}.raw")
-    Path(f"{base}.mhd").write_text(header_text(g, Path(base).name + ".raw"))
-
-
 def resampled(spark: SparkSession, fld, target: Geometry, r: Sequence[float], t: Sequence[float]) -> DataFrame:
     """i, j, k, value of a new grid: the field at R p + t, places outside moved to its border, values clamped to 16 bits."""
     from strataline.sources.fields import lattice

@@ -10,7 +10,7 @@ from strataline.functions import metric
 from strataline.operators import density, diagnostics, experiment, features, histogram, matching, neighbours, normalize, ranking, sampling, slices, transforms
 from strataline.plans.align import STAGES, Config, align, corner_error, identity, rotation_error
 from strataline.plans.queries import headless_pair
-from strataline.sources import metaimage, mocks, texts
+from strataline.sources import metaimage, mocks, texts, volumes
 from strataline.sources.fields import GridField
 from strataline.types import Geometry
 
@@ -251,7 +251,7 @@ def test_volume_files(spark, tmp_path, kind, order):
 def test_volume_round_trip_clamps(spark, tmp_path):
     g = Geometry((1.0,) * 3, (3, 2, 2))
     f = mocks.constant(g).voxels(spark).withColumn("value", F.col("x") * 40000 - 5)
-    metaimage.write_volume(f, g, str(tmp_path / "out"))
+    volumes.save(f.select(F.col("i").alias("x"), F.col("j").alias("y"), F.col("k").alias("z"), "value"), g, str(tmp_path / "out.mhd"), value="value")
     mapped = GridField(g, f, raw_path=str(tmp_path / "out.raw")).evaluator()
     assert mapped(np.array([[1.0, 0, 0], [0.5, 1, 1]])).tolist() == [39995, 39995 / 2]
     _, table = metaimage.read_volume(spark, str(tmp_path / "out.mhd"), str(tmp_path / "out.raw"))
@@ -261,6 +261,33 @@ def test_volume_round_trip_clamps(spark, tmp_path):
         metaimage.read_volume(spark, str(tmp_path / "bad.mhd"), str(tmp_path / "out.raw"))
 
 
+@pytest.mark.parametrize("kind", ["MET_USHORT", "MET_UCHAR"])
+def test_volume_source_both_ways(spark, tmp_path, kind):
+    g = Geometry((0.5, 0.25, 1.0), (7, 5, 11))
+    rng = np.random.default_rng(2)
+    v = rng.integers(-20, 70_000 if kind == "MET_USHORT" else 300, (7, 5, 11))
+    rows = [(x, y, z, float(v[x, y, z]) + 0.5) for x, y, z in itertools.product(range(7), range(5), range(11)) if (x, y, z) != (3, 2, 1)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "x int, y int, z int, v double").repartition(6)
+    path = str(tmp_path / "v.mhd")
+    volumes.save(df, g, path, kind)
+    top = 65535 if kind == "MET_USHORT" else 255
+    want = {(x, y, z): min(max(int(w), 0), top) for x, y, z, w in rows} | {(3, 2, 1): 0}
+    got_g, table = volumes.load(spark, path, group_bytes=100)
+    assert got_g == g and {(r.x, r.y, r.z): r.v for r in table.collect()} == want
+    assert {(r.x, r.y, r.z): r.v for r in metaimage.read_volume(spark, path, str(tmp_path / "v.raw"))[1].collect()} == want
+    some = volumes.load(spark, path, group_bytes=100, from_z=3, to_z=5)[1].filter("x > 1")
+    assert some.rdd.getNumPartitions() < table.rdd.getNumPartitions()
+    assert {(r.x, r.y, r.z): r.v for r in some.collect()} == {k: w for k, w in want.items() if 3 <= k[2] < 5 and k[0] > 1}
+    shipped = GridField(g, table).evaluator()
+    there = GridField(g, table, raw_path=str(tmp_path / "v.raw"), element_type=kind).evaluator()
+    p = rng.uniform(-1, 6, (50, 3))
+    assert np.allclose(shipped(p), there(p))
+    before = (tmp_path / "v.raw").read_bytes()
+    with pytest.raises(Exception):
+        volumes.save(df.withColumn("x", F.when(F.col("z") == 9, 70).otherwise(F.col("x"))), g, path, kind)
+    assert (tmp_path / "v.raw").read_bytes() == before and len(list(tmp_path.iterdir())) == 2
+
+
 def test_transform_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("R 3x3\n 0  1  0  -1  0  0  0  0  1 \nt 3\n 1,5 -2e-1 3 \n")
     (tmp_path / "b.txt").write_text("R 3x3\n 0 1 0 \n")
