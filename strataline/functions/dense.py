@@ -30,42 +30,39 @@ def quadric_terms(p: np.ndarray) -> np.ndarray:
     return np.stack([x * x, y * y, z * z, x * y, x * z, y * z, x, y, z, np.ones_like(x)], -1)
 
 
-def fit_quadric(offsets: np.ndarray, values: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weighted least squares by the normal equations; zeros where the values are flat or the system has no finite solution."""
-    if not len(values) or values.max() - values.min() < 1:
-        return np.zeros(10)
-    q = quadric_terms(offsets)
-    wq = q * weights[:, None]
+def solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solutions of stacked systems [n, k, k], [n, k]; zeros for a system without a finite one."""
     try:
-        a = np.linalg.solve(q.T @ wq, wq.T @ values)
+        x = np.linalg.solve(a, b[:, :, None])[:, :, 0]
     except np.linalg.LinAlgError:
-        return np.zeros(10)
-    return np.where(np.isfinite(a), a, 0.0)
+        if len(a) == 1:
+            return np.zeros_like(b)
+        x = np.concatenate([solved(a[i : i + 1], b[i : i + 1]) for i in range(len(a))])
+    return np.where(np.isfinite(x), x, 0.0)
 
 
-def gradient(a: np.ndarray, d: np.ndarray) -> np.ndarray:
-    h = hessian(a)
-    return h @ d + a[6:9]
+def gradients(a: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Of quadrics [n, 10] at [n, 3]."""
+    return np.einsum("nij,nj->ni", hessians(a), d) + a[:, 6:9]
 
 
-def hessian(a: np.ndarray) -> np.ndarray:
-    return np.array([[2 * a[0], a[3], a[4]], [a[3], 2 * a[1], a[5]], [a[4], a[5], 2 * a[2]]])
+def hessians(a: np.ndarray) -> np.ndarray:
+    return np.stack([2 * a[:, 0], a[:, 3], a[:, 4], a[:, 3], 2 * a[:, 1], a[:, 5], a[:, 4], a[:, 5], 2 * a[:, 2]], -1).reshape(-1, 3, 3)
 
 
-def curvatures(a: np.ndarray, d: np.ndarray) -> tuple[float, float]:
+def curvatures(a: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gaussian and mean curvature; NaN without a gradient."""
-    g, h = gradient(a, d), hessian(a)
-    n2 = float(g @ g)
-    if n2 == 0:
-        return math.nan, math.nan
-    cof = np.array([np.cross(h[1], h[2]), np.cross(h[2], h[0]), np.cross(h[0], h[1])])
-    return float(g @ cof @ g) / n2**2, float(g @ h @ g - n2 * np.trace(h)) / (2 * n2**1.5)
+    g, h = gradients(a, d), hessians(a)
+    n2 = np.where((g * g).sum(1) == 0, np.nan, (g * g).sum(1))
+    cof = np.stack([np.cross(h[:, 1], h[:, 2]), np.cross(h[:, 2], h[:, 0]), np.cross(h[:, 0], h[:, 1])], 1)
+    form = lambda m: np.einsum("ni,nij,nj->n", g, m, g)
+    return form(cof) / n2**2, (form(h) - n2 * np.trace(h, axis1=1, axis2=2)) / (2 * n2**1.5)
 
 
-def shape_index(k: float, h: float) -> tuple[float, float]:
+def shape_index(k: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shape index and curvedness; h is the mean and d half the difference of the principal curvatures."""
-    d = math.sqrt(max(0.0, h * h - k)) if not math.isnan(k) else math.nan
-    return 2 / math.pi * math.atan2(h, d), math.hypot(h, d)
+    d = np.sqrt(np.maximum(0.0, h * h - k))
+    return 2 / math.pi * np.arctan2(h, d), np.hypot(h, d)
 
 
 def upper_half(values: np.ndarray) -> np.ndarray:
@@ -73,15 +70,19 @@ def upper_half(values: np.ndarray) -> np.ndarray:
     return values >= np.partition(values, len(values) // 2)[len(values) // 2]
 
 
-def pca_lengths(points: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Normalised absolute eigenvalues, ascending, of the covariance of the points with upper-half values; NaN for constant values."""
-    if len(values) < 2 or values.max() == values.min():
-        return np.full(3, np.nan)
-    kept = points[upper_half(values)]
-    if len(kept) < 2:
-        return np.full(3, np.nan)
-    e = np.linalg.eigvalsh(np.cov(kept.T))
-    return np.sort(np.abs(e / np.sqrt((e * e).sum())))
+def pca_lengths(offsets: np.ndarray, values: np.ndarray, inside: np.ndarray, ordered: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Normalised absolute eigenvalues, ascending, of the covariance of the places (those inside) with upper-half values; NaN
+    for constant values. values, inside, ordered: [points, places]; n: places inside."""
+    bar = np.take_along_axis(ordered, np.minimum(n // 2, ordered.shape[1] - 1)[:, None], 1)
+    top = np.take_along_axis(ordered, np.maximum(n - 1, 0)[:, None], 1)
+    w = (inside & (values >= bar)).astype(float)
+    k = w.sum(1)
+    ok = (n > 1) & (k > 1) & (ordered[:, 0] < top[:, 0])
+    mean = w @ offsets / np.maximum(k, 1)[:, None]
+    second = (w @ (offsets[:, :, None] * offsets[:, None, :]).reshape(-1, 9)).reshape(-1, 3, 3)
+    cov = (second - k[:, None, None] * mean[:, :, None] * mean[:, None, :]) / np.maximum(k - 1, 1)[:, None, None]
+    e = np.linalg.eigvalsh(np.where(ok[:, None, None], cov, np.eye(3)))
+    return np.where(ok[:, None], np.sort(np.abs(e), axis=1) / np.sqrt((e * e).sum(1))[:, None], np.nan)
 
 
 def linear_gradient(points: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -149,9 +150,9 @@ def harmonics(l_max: int, theta: np.ndarray, phi: np.ndarray) -> dict[tuple[int,
 
 
 def harmonic_power(values: np.ndarray, table: dict[tuple[int, int], np.ndarray], l_max: int) -> np.ndarray:
-    """Power of each band l of a real field sampled at the points of the table."""
-    out = np.zeros(l_max + 1)
+    """Power of each band l of real fields [n, samples] at the points of the table."""
+    out = np.zeros((len(values), l_max + 1))
     for (l, m), y in table.items():
-        c = 4 * math.pi / len(values) * (values * np.conj(y)).sum()
-        out[l] += (1 if m == 0 else 2) * abs(c) ** 2
+        c = 4 * math.pi / values.shape[1] * (values @ np.conj(y))
+        out[:, l] += (1 if m == 0 else 2) * np.abs(c) ** 2
     return out

@@ -149,13 +149,7 @@ def weighted(a: Column, weights: Sequence[float]) -> Column:
 
 def to_lattice(v: Column, s: float) -> Column:
     """Nearest multiple of s, a tie upwards."""
-    low = F.floor(v / s) * s
-    return F.when(v - low < low + s - v, low).otherwise(low + s)
-
-
-def extents(c: Column, top: float, s: float, shift: int) -> tuple[Column, Column]:
-    """Steps of s that fit below and above c within [0, top], at most shift."""
-    return F.least(c / s, F.lit(float(shift))).cast("int"), F.least((F.lit(top) - c) / s, F.lit(float(shift))).cast("int")
+    return F.floor(v / s + 0.5) * s
 
 
 def lattice_step(spacing: float, least: float = 0.5) -> float:

@@ -90,24 +90,72 @@ def sampling_weights(offsets: np.ndarray, spacing: Sequence[float], kind: str) -
     return np.where(total < 1e-3, 1.0, (np.abs(offsets) * s).sum(1) / s.max() / np.where(total < 1e-3, 1, total))
 
 
+_TERMS = ((2, 0, 0), (0, 2, 0), (0, 0, 2), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 0))
+CHUNK = 1 << 17
+
+
 class QuadricFitter:
-    """Fits the quadric around a point; offsets, base weights and terms are made once a task."""
+    """Fits quadrics around points, many at once.
+
+    The lattice is a box with a ball in it. The Gaussian and the box of the volume are products over the axes, so
+    the normal equations are moments of the box contracted axis by axis, and all points share the base weights; solves
+    are stacked. Only as many points at a time as their samples fit CHUNK numbers.
+    """
 
     def __init__(self, geometry, values: Callable, radius: float, border: float, weighting: str, least_step: float):
         self.values, self.bounds = values, np.array(geometry.bounds)
-        self.step, self.offsets = quadric_lattice(geometry, radius, least_step)
-        self.base = sampling_weights(self.offsets, geometry.spacing, weighting)
+        self.step, offsets = quadric_lattice(geometry, radius, least_step)
+        self.reach = np.ceil(radius / self.step).astype(int)
+        self.base = np.zeros(2 * self.reach + 1)
+        at = np.rint(offsets / self.step).astype(int) + self.reach
+        self.base[tuple(at.T)] = sampling_weights(offsets, geometry.spacing, weighting)
+        self.ball = np.zeros(self.base.shape, bool)
+        self.ball[tuple(at.T)] = True
         self.rate = -math.log(border) / radius**2
 
     def fit(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Coefficients about the lattice point nearest to p, and that point."""
-        low = np.floor(p / self.step) * self.step
-        centre = np.where(p - low < low + self.step - p, low, low + self.step)
-        at = centre + self.offsets
-        inside = ((at >= 0) & (at <= self.bounds)).all(1)
-        u = self.offsets[inside]
-        w = np.exp(-self.rate * ((u - (p - centre)) ** 2).sum(1)) * self.base[inside]
-        return dense.fit_quadric(u, self.values(at[inside]), w), centre
+        """Coefficients [n, 10] about the lattice points nearest to the points [n, 3], and those lattice points."""
+        centre = np.floor(p / self.step + 0.5) * self.step
+        coef, at = np.zeros((len(p), 10)), 0
+        while at < len(p):
+            span = self._span(centre[at : at + 1])
+            n = max(1, CHUNK // int(np.prod([hi - lo for lo, hi in span])))
+            coef[at : at + n] = self._fit(p[at : at + n], centre[at : at + n])
+            at += n
+        return coef, centre
+
+    def _span(self, centre: np.ndarray) -> list[tuple[int, int]]:
+        """Along each axis, the part of the lattice that lies in the volume for any of the centres."""
+        low = np.maximum(np.ceil(-centre.max(0) / self.step - 1e-9), -self.reach).astype(int)
+        high = np.minimum(np.floor((self.bounds - centre.min(0)) / self.step + 1e-9), self.reach).astype(int)
+        return [(int(lo + r), int(max(hi, lo) + r + 1)) for lo, hi, r in zip(low, high, self.reach)]
+
+    def _fit(self, p: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        m, cut = len(p), tuple(slice(lo, hi) for lo, hi in self._span(centre))
+        base, ball = self.base[cut], self.ball[cut]
+        u = [(np.arange(s.start, s.stop) - r) * h for s, r, h in zip(cut, self.reach, self.step)]
+        inside, powers = [], []
+        for k in range(3):
+            at = centre[:, k, None] + u[k]
+            ok = (at >= 0) & (at <= self.bounds[k])
+            g = np.where(ok, np.exp(-self.rate * (u[k] - (p[:, k] - centre[:, k])[:, None]) ** 2), 0.0)
+            inside.append(ok)
+            powers.append(g[:, :, None] * u[k][None, :, None] ** np.arange(5))
+        where = np.nonzero(ball)
+        ok = inside[0][:, where[0]] & inside[1][:, where[1]] & inside[2][:, where[2]]
+        places = centre[:, None, :] + np.stack([x[i] for x, i in zip(u, where)], -1)
+        v = np.zeros(ok.shape)
+        v[ok] = self.values(places[ok])
+        flat = np.where(ok, v, -np.inf).max(1) - np.where(ok, v, np.inf).min(1)
+        field = np.zeros((m, *base.shape))
+        field[(slice(None), *where)] = v * base[where]
+        left = np.einsum("xyz,mzc->mxyc", base, powers[2], optimize=True)
+        right = np.einsum("mxyz,mzc->mxyc", field, powers[2][:, :, :3], optimize=True)
+        left, right = (np.einsum("mxbc,mxa->mabc", np.einsum("mxyc,myb->mxbc", t, powers[1][:, :, :d], optimize=True), powers[0][:, :, :d], optimize=True) for t, d in ((left, 5), (right, 3)))
+        of = lambda t, *e: t[(slice(None), *(sum(x) for x in zip(*e)))]
+        normal = np.stack([np.stack([of(left, e, f) for f in _TERMS], -1) for e in _TERMS], -2)
+        sums = np.stack([of(right, e) for e in _TERMS], -1)
+        return np.where((flat >= 1)[:, None], dense.solved(normal, sums), 0.0)
 
 
 def _fitter(fld, radius: float, border: float, weighting: str, least_step: float) -> Callable[[], QuadricFitter]:
@@ -123,8 +171,8 @@ def quadrics(points: DataFrame, fld, radius: float = QUADRIC_RADIUS, border: flo
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = make()
         for b in batches:
-            done = [f.fit(p) for p in b[["x", "y", "z"]].to_numpy(float)]
-            yield b.assign(coef=[a.tolist() for a, _ in done], centre=[c.tolist() for _, c in done])
+            coef, centre = f.fit(b[["x", "y", "z"]].to_numpy(float))
+            yield b.assign(coef=coef.tolist(), centre=centre.tolist())
 
     schema = points.select("*", F.array(F.lit(0.0)).alias("coef"), F.array(F.lit(0.0)).alias("centre")).schema
     return points.mapInPandas(run, schema)
@@ -186,34 +234,43 @@ class Describer:
     def fit_of(self, c: Computer) -> tuple[str, float]:
         return c.params.get("weighting", "linear"), c.params.get("border", self.border)
 
-    def describe(self, p: np.ndarray) -> list[float]:
+    def describe(self, p: np.ndarray) -> np.ndarray:
+        """[n, 3] -> [n, features]."""
         fits = {k: f.fit(p) for k, f in self.fitters.items()}
-        if self.ball is not None:
-            at = p + self.ball
-            at = at[((at >= 0) & (at <= self.bounds)).all(1)]
-            ball = self.values(at)
-        out: list[float] = []
+        out: list[np.ndarray] = []
+        balls = self._balls(p) if self.ball is not None else None
         for c in self.computers:
             if c.kind in FITTED:
                 a, centre = fits[self.fit_of(c)]
                 if c.kind == "gradient":
-                    out.append(float(np.sqrt((dense.gradient(a, p - centre) ** 2).sum())))
+                    out.append(np.sqrt((dense.gradients(a, p - centre) ** 2).sum(1))[:, None])
                 else:
-                    k = dense.curvatures(a, p - centre)
-                    out += k if c.kind == "curvature" else dense.shape_index(*k)
+                    k, h = dense.curvatures(a, p - centre)
+                    out.append(np.stack((k, h) if c.kind == "curvature" else dense.shape_index(k, h), -1))
             elif c.kind == "value":
-                out.append(float(self.values(p[None])[0]))
+                out.append(self.values(p)[:, None])
             elif c.kind == "position":
-                out += p.tolist()
+                out.append(p)
             elif c.kind == "pca":
-                out += dense.pca_lengths(at, ball).tolist()
+                out.append(balls[0])
             elif c.kind == "quantiles":
-                v = np.sort(ball)
-                out += [math.nan] * c.size if not len(v) or v[0] == v[-1] else [float(v[int(q * (len(v) - 1))]) for q in c.params["quantiles"]]
+                n, v = balls[1], balls[2]
+                at = [np.take_along_axis(v, np.maximum((q * (n - 1)).astype(int), 0)[:, None], 1) for q in c.params["quantiles"]]
+                last = np.take_along_axis(v, np.maximum(n - 1, 0)[:, None], 1)
+                out.append(np.where((n > 0)[:, None] & (v[:, :1] < last), np.concatenate(at, 1), np.nan))
             else:
                 around, table = self.waves[id(c)]
-                out += dense.harmonic_power(self.values(np.clip(p + around, 0, self.bounds)), table, c.params["l_max"]).tolist()
-        return out
+                out.append(dense.harmonic_power(self.values(np.clip(p[:, None] + around, 0, self.bounds)), table, c.params["l_max"]))
+        return np.concatenate(out, 1)
+
+    def _balls(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the ball's places in the box around each point: axis lengths, how many, and the values in order (the others last)."""
+        at = p[:, None] + self.ball
+        ok = ((at >= 0) & (at <= self.bounds)).all(2)
+        v = np.full(ok.shape, np.inf)
+        v[ok] = self.values(at[ok])
+        n, ordered = ok.sum(1), np.sort(v, axis=1)
+        return dense.pca_lengths(self.ball, v, ok, ordered, n), n, ordered
 
 
 def feature_vectors(
@@ -227,7 +284,9 @@ def feature_vectors(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d = Describer(geometry, values, computers, radius, border, ball_radius, ball_step, least_step)
         for b in batches:
-            yield b.assign(features=[d.describe(p) for p in b[["x", "y", "z"]].to_numpy(float)])
+            p = b[["x", "y", "z"]].to_numpy(float)
+            size = max(1, CHUNK // (1 if d.ball is None else len(d.ball)))
+            yield b.assign(features=[r for at in range(0, len(p), size) for r in d.describe(p[at : at + size]).tolist()])
 
     return points.select("id", "x", "y", "z").mapInPandas(run, "id long, x double, y double, z double, features array<double>")
 

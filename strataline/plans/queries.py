@@ -6,6 +6,7 @@ import math
 import os
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from strataline.functions import dense, metric
 from strataline.functions import exprs as E
 from strataline.operators import density, diagnostics, experiment, features, histogram, matching, normalize, ranking, sampling, slices, transforms
 from strataline.sources import metaimage, mocks, texts, volumes
-from strataline.sources.fields import GridField, lattice
+from strataline.sources.fields import AnalyticField, GridField, lattice
 from strataline.shared import new_path
 from strataline.types import Geometry
 
@@ -634,15 +635,11 @@ def curvature_shape_index(spark, sf):
 _STEPS = (0.5, 0.7, 0.3)
 
 
-@query(f"""WITH l AS (SELECT id, x, y, z, {", ".join(f"floor({c} / {s}) * {s} AS l{c}" for c, s in zip("xyz", _STEPS))} FROM {_PART} q)
-SELECT id, {", ".join(f"round(CASE WHEN {c} - l{c} < l{c} + {s} - {c} THEN l{c} ELSE l{c} + {s} END, 9) AS at_{c}" for c, s in zip("xyz", _STEPS))},
-{", ".join(f"CAST(trunc(least({c} / {s}, 4.0)) AS INT) AS below_{c}, CAST(trunc(least((4.8 - {c}) / {s}, 4.0)) AS INT) AS above_{c}" for c, s in zip("xyz", _STEPS))},
-round(exp({" + ".join(f"ln(0.4) / 2 / {s} * {c} * {c}" for c, s in zip("xyz", _STEPS))}), 9) AS gauss FROM l""")
+@query(f"""SELECT id, {", ".join(f"round(floor({c} / {s} + 0.5) * {s}, 9) AS at_{c}" for c, s in zip("xyz", _STEPS))},
+round(exp({" + ".join(f"ln(0.4) / 2 / {s} * {c} * {c}" for c, s in zip("xyz", _STEPS))}), 9) AS gauss FROM {_PART} q""")
 def lattice_kernels(spark, sf):
-    """The nearest lattice point, the steps that fit on both sides of a point, and the kernel of unequal axes."""
-    around = [E.extents(F.col(c), 4.8, s, 4) for c, s in zip("xyz", _STEPS)]
-    fits = [v.alias(f"{side}_{c}") for c, two in zip("xyz", around) for side, v in zip(("below", "above"), two)]
-    return _part_points(spark, sf).select("id", *(_r(E.to_lattice(F.col(c), s), 9).alias(f"at_{c}") for c, s in zip("xyz", _STEPS)), *fits, _r(E.gaussian_by_axis(E.xyz(), _STEPS), 9).alias("gauss"))
+    """The nearest lattice point, and the kernel of unequal axes."""
+    return _part_points(spark, sf).select("id", *(_r(E.to_lattice(F.col(c), s), 9).alias(f"at_{c}") for c, s in zip("xyz", _STEPS)), _r(E.gaussian_by_axis(E.xyz(), _STEPS), 9).alias("gauss"))
 
 
 @query(f"""WITH p AS (SELECT id, x * 330 AS x FROM {_PART} q) SELECT id, CASE {" ".join(f"WHEN x BETWEEN {cx - r!r} AND {cx + r!r} THEN {i}" for i, (cx, _, _, r) in enumerate(mocks.sphere_row()))} END AS sphere FROM p""")
@@ -775,6 +772,44 @@ def feature_vectors(spark, sf):
     return out.select("id", *(_r(F.get("features", F.lit(i))).alias(f"f{i}") for i in range(features.n_features(_COMPUTERS))))
 
 
+#: Coefficients of a quadric: x2 y2 z2 xy xz yz x y z 1.
+_QUADRIC = (30.0, 20.0, -10.0, 5.0, -7.0, 3.0, 40.0, -20.0, 10.0, 100.0)
+
+
+def _quadric_field() -> AnalyticField:
+    a = _QUADRIC
+    return AnalyticField(Geometry((0.2,) * 3, (25, 25, 25)), lambda x, y, z: a[0] * x * x + a[1] * y * y + a[2] * z * z + a[3] * x * y + a[4] * x * z + a[5] * y * z + a[6] * x + a[7] * y + a[8] * z + a[9], lambda p: dense.quadric_terms(p) @ np.array(a))
+
+
+def _slope_sql(x: str, y: str, z: str) -> list[str]:
+    a = _QUADRIC
+    return [f"(2 * {a[0]} * {x} + {a[3]} * {y} + ({a[4]}) * {z} + {a[6]})", f"(2 * {a[1]} * {y} + {a[3]} * {x} + {a[5]} * {z} + ({a[7]}))", f"(2 * ({a[2]}) * {z} + ({a[4]}) * {x} + {a[5]} * {y} + {a[8]})"]
+
+
+@query(f"""WITH c AS (SELECT id, {", ".join(f"floor({c} / 0.2 + 0.5) * 0.2 AS {c}" for c in "xyz")} FROM {_PART} p)
+SELECT id, {", ".join(f"round({v}::DOUBLE, 3) AS a{i}" for i, v in enumerate(_QUADRIC[:6]))}, {", ".join(f"round({v}, 3) AS a{6 + i}" for i, v in enumerate(_slope_sql("x", "y", "z")))},
+round({" + ".join(f"({v}) * {t}" for v, t in zip(_QUADRIC, ("x * x", "y * y", "z * z", "x * y", "x * z", "y * z", "x", "y", "z", "1")))}, 3) AS a9 FROM c""")
+def quadric_recovered(spark, sf):
+    """Fits to a field that is a quadric: its own coefficients about each lattice point."""
+    out = features.quadrics(_part_points(spark, sf), _quadric_field(), radius=0.8, least_step=0.0)
+    return out.select("id", *(_r(F.get("coef", F.lit(i)), 3).alias(f"a{i}") for i in range(10)))
+
+
+_ADJ = ("(b * c - f * f)", "(a * c - e * e)", "(a * b - d * d)", "(e * f - d * c)", "(d * f - e * b)", "(d * e - a * f)")
+
+
+@query(f"""WITH g AS (SELECT id, {", ".join(f"{v} AS g{c}" for v, c in zip(_slope_sql("x", "y", "z"), "xyz"))}, {", ".join(f"{v}::DOUBLE AS {n}" for v, n in zip((2 * _QUADRIC[0], 2 * _QUADRIC[1], 2 * _QUADRIC[2], *_QUADRIC[3:6]), "abcdef"))} FROM {_PART} p),
+n AS (SELECT *, gx * gx + gy * gy + gz * gz AS nn FROM g),
+k AS (SELECT id, nn, ({" + ".join(f"{m} * {t}" for m, t in zip(_ADJ, ("gx * gx", "gy * gy", "gz * gz", "2 * gx * gy", "2 * gx * gz", "2 * gy * gz")))}) / (nn * nn) AS gauss,
+(a * gx * gx + b * gy * gy + c * gz * gz + 2 * (d * gx * gy + e * gx * gz + f * gy * gz) - nn * (a + b + c)) / (2 * nn * sqrt(nn)) AS mean FROM n)
+SELECT id, round(sqrt(nn), 3) AS f0, round(gauss, 4) AS f1, round(mean, 4) AS f2, round(2 / pi() * atan2(mean, sqrt(greatest(0, mean * mean - gauss))), 4) AS f3, round(sqrt(mean * mean + greatest(0, mean * mean - gauss)), 4) AS f4 FROM k""")
+def fitted_features(spark, sf):
+    """Gradient, curvature and shape of fits to a field that is a quadric, where all of them are known."""
+    kinds = tuple(features.Computer(k) for k in features.FITTED)
+    out = features.feature_vectors(_part_points(spark, sf), _quadric_field(), kinds, radius=0.8, least_step=0.0)
+    return out.select("id", *(_r(F.get("features", F.lit(i)), 3 if i == 0 else 4).alias(f"f{i}") for i in range(5)))
+
+
 @query()
 def quadric_fit(spark, sf):
     out = features.quadrics(_part_points(spark, sf), mocks.sphere(), radius=0.8, least_step=0.0)

@@ -17,18 +17,44 @@ def test_ball_grid_size():
 def test_quadric_is_recovered():
     rng = np.random.default_rng(0)
     a = rng.normal(size=10) * 10
-    p = rng.uniform(-3, 3, (200, 3))
-    assert np.allclose(dense.fit_quadric(p, dense.quadric_terms(p) @ a, rng.uniform(0.1, 1, 200)), a)
-    assert not dense.fit_quadric(p, np.full(200, 5.0), np.ones(200)).any()
+    g = Geometry((0.5, 0.4, 0.25), (17, 21, 33))
+    field = lambda p: dense.quadric_terms(p - 4.0) @ a
+    p = rng.uniform(0, 8, (40, 3))
+    fitter = features.QuadricFitter(g, field, 2.0, 0.15, "linear", 0.5)
+    coef, centre = fitter.fit(p)
+    for c, at, place in zip(coef, centre, p):
+        d = rng.uniform(-1, 1, (20, 3))
+        assert np.allclose(dense.quadric_terms(d) @ c, field(at + d)) and np.abs(at - place).max() <= 0.25 + 1e-9
+    assert np.allclose(features.QuadricFitter(g, field, 2.0, 0.15, "linear", 0.5).fit(p[7:8])[0][0], coef[7])
+    assert not features.QuadricFitter(g, lambda q: np.full(len(q), 5.0), 2.0, 0.15, "linear", 0.5).fit(p)[0].any()
+
+
+def test_fits_are_the_weighted_least_squares_of_single_points():
+    g = Geometry((0.5, 0.4, 0.25), (9, 11, 13))
+    field = lambda p: np.sin(p[:, 0]) * 50 + p[:, 1] ** 3 * 9 - np.cos(3 * p[:, 2]) * 20
+    p = np.random.default_rng(3).uniform(-0.2, 4, (30, 3))
+    step, offsets = features.quadric_lattice(g, 1.6, 0.5)
+    base = features.sampling_weights(offsets, g.spacing, "elliptical")
+    coef, centre = features.QuadricFitter(g, field, 1.6, 0.2, "elliptical", 0.5).fit(p)
+    for place, c, at in zip(p, coef, centre):
+        q = at + offsets
+        ok = ((q >= 0) & (q <= np.array(g.bounds))).all(1)
+        if ok.sum() < 12:
+            continue
+        w = np.sqrt(base[ok] * np.exp(math.log(0.2) / 1.6**2 * ((q[ok] - place) ** 2).sum(1)))
+        terms = dense.quadric_terms(offsets[ok])
+        if np.linalg.cond(terms * w[:, None]) < 1e5:
+            want = np.linalg.lstsq(terms * w[:, None], field(q[ok]) * w, rcond=None)[0]
+            assert np.allclose(c, want, rtol=1e-5, atol=1e-5)
 
 
 def test_curvature_of_a_sphere():
     a = np.array([1.0, 1, 1, 0, 0, 0, 0, 0, 0, 0])
-    k, h = dense.curvatures(a, np.array([2.0, 0, 0]))
-    assert (k, h) == pytest.approx((0.25, -0.5))
+    k, h = dense.curvatures(np.stack([a, a]), np.array([[2.0, 0, 0], [0, 0, 0]]))
+    assert (k[0], h[0]) == pytest.approx((0.25, -0.5))
     s, c = dense.shape_index(k, h)
-    assert s == pytest.approx(-1, abs=1e-6) and c == pytest.approx(0.5)
-    assert all(map(math.isnan, dense.curvatures(a, np.zeros(3))))
+    assert s[0] == pytest.approx(-1, abs=1e-6) and c[0] == pytest.approx(0.5)
+    assert np.isnan([k[1], h[1]]).all()
 
 
 def test_kabsch_is_exact_without_noise():
@@ -46,8 +72,7 @@ def test_harmonic_power_does_not_change_with_rotation():
     d = np.stack([np.sin(theta) * np.cos(phi), np.sin(theta) * np.sin(phi), np.cos(theta)], -1)
     table = dense.harmonics(4, theta, phi)
     f = lambda p: p[:, 0] + 2 * p[:, 1] * p[:, 2] + 0.5 * p[:, 2] ** 3
-    a = dense.harmonic_power(f(d), table, 4)
-    b = dense.harmonic_power(f(d @ mocks.turn(0.4, 1.0, -0.6).T), table, 4)
+    a, b = dense.harmonic_power(np.stack([f(d), f(d @ mocks.turn(0.4, 1.0, -0.6).T)]), table, 4)
     assert np.allclose(a, b, atol=0.01 * a.max())
 
 
@@ -69,9 +94,14 @@ def test_pca_bases_find_a_planted_rotation():
 def test_pca_lengths():
     rng = np.random.default_rng(2)
     p = rng.normal(size=(4000, 3)) * [5, 2, 1]
-    e = dense.pca_lengths(p, rng.random(4000))
-    assert (np.diff(e) > 0).all() and (e * e).sum() == pytest.approx(1)
-    assert np.isnan(dense.pca_lengths(p, np.ones(4000))).all()
+    v, inside = np.stack([rng.random(4000), np.ones(4000), rng.random(4000)]), np.ones((3, 4000), bool)
+    inside[2, 100:] = False
+    v = np.where(inside, v, np.inf)
+    e = dense.pca_lengths(p, v, inside, np.sort(v, axis=1), inside.sum(1))
+    assert (np.diff(e[0]) > 0).all() and (e[0] * e[0]).sum() == pytest.approx(1) and np.isnan(e[1]).all()
+    kept = p[:100][v[2, :100] >= np.sort(v[2, :100])[50]]
+    want = np.abs(np.linalg.eigvalsh(np.cov(kept.T)))
+    assert np.allclose(e[2], want / np.sqrt((want**2).sum()))
 
 
 def test_weights_at_the_origin():
