@@ -292,17 +292,18 @@ class _Votes:
     def open(self, points: DataFrame, cells: DataFrame) -> DataFrame:
         """The points (of `self.points`) that may be the best, with high."""
         size = cells.count()
-        between = E.l2(F.col("a_x"), F.col("b_x"))
         a = cells.select(F.col("b_fine").alias("fine"), F.col("b_x").alias("a_x"), F.col("b_r").alias("a_r"), "cx", "cy", "cz")
-        low, high = _bounds(between, self.spread, self.radius, F.col("a_r"))
+        low, high = _bounds(F.col("u"), self.spread, self.radius, F.col("a_r"))
         met = _around(cells)
-        by_cell = a.join(met, ["cx", "cy", "cz"]).groupBy("fine").agg(F.sum(low).alias("low"), F.sum(high).alias("high"), F.count("*").alias("met"))
+        apart = a.join(met, ["cx", "cy", "cz"]).select("fine", "a_r", "b_n", "b_ms", "b_r", E.l2(F.col("a_x"), F.col("b_x")).alias("u"))
+        by_cell = apart.groupBy("fine").agg(F.sum(low).alias("low"), F.sum(high).alias("high"), F.count("*").alias("met"))
         by_cell = materialize(by_cell, "vote-cell-bounds")
         kept = self.cut(by_cell).select("fine")
         left = materialize(points.join(kept, "fine", "left_semi"), "vote-open")
-        low, high = _bounds(E.l2(F.col("x"), F.col("b_x")), self.spread, self.radius)
+        low, high = _bounds(F.col("u"), self.spread, self.radius)
         met = F.broadcast(met) if size <= 5_000 else met
-        by_point = left.join(met, ["cx", "cy", "cz"]).groupBy("id").agg(F.sum(low).alias("low"), F.sum(high).alias("high"), F.count("*").alias("met"))
+        apart = left.join(met, ["cx", "cy", "cz"]).select("id", "b_n", "b_ms", "b_r", E.l2(F.col("x"), F.col("b_x")).alias("u"))
+        by_point = apart.groupBy("id").agg(F.sum(low).alias("low"), F.sum(high).alias("high"), F.count("*").alias("met"))
         by_point = materialize(by_point, "vote-bounds")
         self.work["cells"] += by_cell.agg(F.sum("met")).head()[0] or 0
         self.work["bounds"] += by_point.agg(F.sum("met")).head()[0] or 0

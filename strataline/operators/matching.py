@@ -1,45 +1,19 @@
 """Similarity joins between two sets of feature vectors.
 
-All but the ranks and the order build on `neighbours.knn`: exact nearest neighbours by pivots. Sets are (id, features); ids are
+Nearest neighbours come from `neighbours.knn`, exact by pivots, and least sums of ranks from `rank_sums`. Sets are (id, features); ids are
 distinct within a set.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions import exprs as E
-from strataline.operators import ranking, scan
+from strataline.operators import rank_sums, ranking, scan
 from strataline.operators.neighbours import knn
-from strataline.runtime import mapped
-
-BLOCK = 2048
-_BLOCK = "ids binary, m binary, dim int"
-
-
-def _blocks(vectors: DataFrame, column: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = b.column(1)
-            flat = v.flatten().to_numpy(zero_copy_only=False).astype("<f8")
-            if len(flat) % b.num_rows or len({len(x) for x in v}) > 1:
-                raise ValueError("feature vectors differ in length")
-            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([len(flat) // b.num_rows], pa.int32())], ["ids", "m", "dim"])
-
-    return mapped(vectors.select(F.col("id").cast("long"), F.col(column).cast("array<double>")), run, _BLOCK, rows=BLOCK)
-
-
-def _open(ids: bytes, m: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, "<i8")
-    return i, np.frombuffer(m, "<f8").reshape(len(i), dim)
 
 
 def top_fraction(matches: DataFrame, fraction: float, best: str = "similarity", falling: bool = True, ids: tuple[str, ...] = ("micro_id",), up: bool = False, heap: int = 100_000) -> DataFrame:
@@ -115,30 +89,8 @@ def rank_sum(micro: DataFrame, macro: DataFrame, fraction: float = 1.0, keep: st
     """Per dimension, macro vectors ranked by absolute difference (ties: smaller id); the least sum of ranks wins.
 
     similarity is the sum of ranks, from 0. keep `best` takes the lowest sums, `worst` the highest, as an older form did.
-    Every pair is ranked in every dimension, so this is for small sets; a block of micro rows is one task's work.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a_ids, a_m, a_dim, b_ids, b_m, b_dim in zip(*(c.to_pylist() for c in batch.columns)):
-                (qi, q), (ci, c) = _open(a_ids, a_m, a_dim), _open(b_ids, b_m, b_dim)
-                order = np.argsort(ci, kind="stable")
-                ci, c = ci[order], c[order]
-                won, sums = np.zeros(len(q), np.int64), np.zeros(len(q))
-                for i in range(len(q)):
-                    ranks = np.argsort(np.argsort(np.abs(c - q[i]), axis=0, kind="stable"), axis=0, kind="stable").sum(1)
-                    won[i], sums[i] = ranks.argmin(), ranks.min()
-                yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(ci[won]), pa.array(sums)], ["micro_id", "macro_id", "similarity"])
-
-    if macro.count() > 1 << 20:
-        raise ValueError("rank_sum needs the whole macro set in one block: at most 2**20 vectors")
-    a = _blocks(micro, "features").select(F.col("ids").alias("a_ids"), F.col("m").alias("a_m"), F.col("dim").alias("a_dim"))
-    parts = _blocks(macro, "features")
-    whole = parts.agg(F.collect_list(F.struct("ids", "m", "dim")).alias("p"))
-    join = lambda name: F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x[name]))
-    b = whole.filter(F.size("p") > 0).select(join("ids").alias("b_ids"), join("m").alias("b_m"), F.get("p", F.lit(0))["dim"].alias("b_dim"))
-    out = mapped(a.crossJoin(F.broadcast(b)), run, "micro_id long, macro_id long, similarity double", rows=8)
-    return top_fraction(out, fraction, falling=keep != "best")
+    return top_fraction(rank_sums.least_rank_sums(micro, macro), fraction, falling=keep != "best")
 
 
 def positional(micro: DataFrame, macro: DataFrame, fraction: float, similarity: float = 100.0) -> DataFrame:

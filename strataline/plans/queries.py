@@ -198,12 +198,11 @@ def naive_cosine_match(spark, sf):
 _HEAD3 = "e AS (SELECT vec_id AS id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), mi AS (SELECT * FROM e WHERE label < 5), ma AS (SELECT * FROM e WHERE label >= 5)"
 
 
-@query(f"""WITH {_HEAD3}, r AS (SELECT mi.id AS micro_id, ma.id AS macro_id,
-row_number() OVER (PARTITION BY mi.id ORDER BY abs(ma.x - mi.x), ma.id) + row_number() OVER (PARTITION BY mi.id ORDER BY abs(ma.y - mi.y), ma.id) + row_number() OVER (PARTITION BY mi.id ORDER BY abs(ma.z - mi.z), ma.id) - 3 AS s FROM mi, ma)
-SELECT micro_id, macro_id, CAST(s AS DOUBLE) AS similarity FROM r QUALIFY row_number() OVER (PARTITION BY micro_id ORDER BY s, macro_id) = 1""")
+@query(f"""WITH {_SETS}, x AS (SELECT micro_id, macro_id, unnest(range(1, len(a) + 1)) AS d, unnest(list_transform(list_zip(a, b), lambda z: abs(z[2] - z[1]))) AS gap FROM p),
+w AS (SELECT micro_id, macro_id, row_number() OVER (PARTITION BY micro_id, d ORDER BY gap, macro_id) - 1 AS rank FROM x), s AS (SELECT micro_id, macro_id, sum(rank) AS s FROM w GROUP BY 1, 2)
+SELECT micro_id, macro_id, CAST(s AS DOUBLE) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY micro_id ORDER BY s, macro_id) = 1""")
 def relative_rank_match(spark, sf):
-    micro, macro = (d.withColumn("features", F.array("x", "y", "z")) for d in _vectors(spark, sf))
-    return matching.rank_sum(micro, macro)
+    return matching.rank_sum(*_vectors(spark, sf))
 
 
 _TURN = mocks.turn(math.radians(12), math.radians(8), math.radians(20)).reshape(-1).tolist()

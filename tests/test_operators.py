@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions import exprs as E
 from strataline.functions import metric
-from strataline.operators import density, diagnostics, experiment, features, histogram, matching, neighbours, normalize, ranking, sampling, slices, transforms
+from strataline.operators import density, diagnostics, experiment, features, histogram, matching, neighbours, normalize, rank_sums, ranking, sampling, slices, transforms
 from strataline.plans.align import STAGES, Config, align, corner_error, identity, rotation_error
 from strataline.plans.queries import headless_pair
 from strataline.sources import metaimage, mocks, texts, volumes
@@ -176,6 +176,38 @@ def test_neighbours_by_pivots(spark, kind, shape, monkeypatch):
     assert neighbours.knn(sets[0], sets[1].filter("false"), k, kind).count() == 0
 
 
+@pytest.mark.parametrize("shape, fences", [("spread", 4096), ("copies", 4096), ("spread", 40), ("copies", 40), ("clusters", 64)])
+def test_least_rank_sums(spark, shape, fences, monkeypatch):
+    monkeypatch.setattr(rank_sums, "FENCES", fences)
+    monkeypatch.setattr(rank_sums, "BLOCK", 32)
+    rng = np.random.default_rng(11)
+    n, d = 800, 3
+    v = {"spread": rng.normal(size=(n, d)), "copies": np.round(rng.normal(size=(n, d)) * 2), "clusters": rng.normal(size=(20, d))[rng.integers(0, 20, n)] * 50 + rng.normal(size=(n, d))}[shape]
+    q = np.concatenate([v[::40], v[:20] + 0.3])
+    ids = rng.permutation(n)
+    sets = [spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(k, m)] + [(-1, None)], "id long, features array<double>") for k, m in ((range(len(q)), q), (ids, v))]
+    work = {}
+    got = {r.micro_id: (r.macro_id, r.similarity) for r in rank_sums.least_rank_sums(*sets, work=work).collect()}
+    for i, x in enumerate(q):
+        sums = sum(np.argsort(np.lexsort((ids, np.abs(v[:, k] - x[k])))) for k in range(d))
+        best = min(zip(sums.tolist(), ids.tolist()))
+        assert got[i] == (best[1], float(best[0]))
+    if shape == "clusters":
+        assert work["met"] <= work["all"] / 2
+    assert rank_sums.least_rank_sums(sets[0], sets[1].filter("false")).count() == 0
+
+
+def test_rank_sums_beyond_one_block(spark):
+    n = (1 << 20) + 5000
+    macro = spark.range(n).select("id", F.array(*((F.col("id") * k % 1_000_003).cast("double") for k in (7, 11))).alias("features"))
+    micro = spark.createDataFrame([(1, [500.5, 900_000.2]), (2, [0.0, 0.0])], "id long, features array<double>")
+    got = {r.micro_id: (r.macro_id, r.similarity) for r in matching.rank_sum(micro, macro).collect()}
+    i = np.arange(n)
+    for k, q in ((1, (500.5, 900_000.2)), (2, (0.0, 0.0))):
+        sums = sum(np.argsort(np.lexsort((i, np.abs((i * m % 1_000_003).astype(float) - x)))) for m, x in zip((7, 11), q))
+        assert got[k] == (int(sums.argmin()), float(sums.min()))
+
+
 def test_vote_of_a_crowd_opens_few_pairs(spark):
     g = Geometry((0.5, 0.4, 0.25), (9, 11, 13))
     n, some = 20_000, [E.uniform(3, k, F.col("id")) for k in range(6)]
