@@ -29,7 +29,7 @@ from strataline.runtime import mapped
 from strataline.shared import materialize, temporary
 from strataline.types import Geometry
 
-FINE, FIRST, MOST, BLOCK, BINS = (4, 24), 64, 4096, 512, 4096
+FINE, FIRST, MOST, BLOCK, BINS = (4, 24), 256, 4096, 512, 4096
 _NEIGHBOURS = tuple(itertools.product((-1, 0, 1), repeat=3))
 
 
@@ -249,15 +249,20 @@ def _bounds(u: Column, spread: float, radius: float, reach: Column | None = None
 class _Votes:
     """One vote by bounds: weighted points, and what it took (pairs of cells, of candidates with cells, of candidates)."""
 
-    def __init__(self, candidates: DataFrame, g: Geometry, spread: float, threshold: float, m: Metric):
+    def __init__(self, candidates: DataFrame, g: Geometry, spread: float, threshold: float, m: Metric, counting: bool = False):
         self.g, self.spread, self.m, self.radius = g, spread, m, _radius(spread, threshold)
+        self.counting = counting
         self.work = {"cells": 0, "bounds": 0, "pairs": 0}
         one = candidates.groupBy("r", "t").agg(F.min("id").alias("id"), F.count("*").cast("double").alias("w"))
         x = m.coordinates(g, E.elements(F.col("r"), 9), E.elements(F.col("t"), 3))
         self.dims = len(x)
         self.size = max(self.radius, 1e-9)
         self.points = materialize(one.select("id", "r", "t", "w", F.array(*x).alias("x")).select("*", *_cells(E.elements(F.col("x"), 3), self.size)), "vote-points")
-        self.count = float(candidates.count())
+        self.count = float(self.points.agg(F.sum("w")).head()[0] or 0)
+
+    def gap(self, a: str, b: str) -> Column:
+        d = [F.get(a, F.lit(k)) - F.get(b, F.lit(k)) for k in range(self.dims)]
+        return F.sqrt(sum((v * v for v in d), F.lit(0.0)))
 
     def fine(self, points: DataFrame, parts: int) -> DataFrame:
         """The points with `fine`, their cell in all coordinates: `parts` cells to a radius, so that cells of the middle are whole numbers of them."""
@@ -291,22 +296,22 @@ class _Votes:
 
     def open(self, points: DataFrame, cells: DataFrame) -> DataFrame:
         """The points (of `self.points`) that may be the best, with high."""
-        size = cells.count()
-        a = cells.select(F.col("b_fine").alias("fine"), F.col("b_x").alias("a_x"), F.col("b_r").alias("a_r"), "cx", "cy", "cz")
+        a = cells.select(F.col("b_fine").alias("fine"), F.col("b_x").alias("a_x"), F.col("b_r").alias("a_r"), "cx", "cy", "cz").join(points.select("fine").distinct(), "fine", "left_semi")
         low, high = _bounds(F.col("u"), self.spread, self.radius, F.col("a_r"))
         met = _around(cells)
-        apart = a.join(met, ["cx", "cy", "cz"]).select("fine", "a_r", "b_n", "b_ms", "b_r", E.l2(F.col("a_x"), F.col("b_x")).alias("u"))
+        apart = a.join(met, ["cx", "cy", "cz"]).select("fine", "a_r", "b_n", "b_ms", "b_r", self.gap("a_x", "b_x").alias("u"))
         by_cell = apart.groupBy("fine").agg(F.sum(low).alias("low"), F.sum(high).alias("high"), F.count("*").alias("met"))
         by_cell = materialize(by_cell, "vote-cell-bounds")
         kept = self.cut(by_cell).select("fine")
         left = materialize(points.join(kept, "fine", "left_semi"), "vote-open")
         low, high = _bounds(F.col("u"), self.spread, self.radius)
-        met = F.broadcast(met) if size <= 5_000 else met
-        apart = left.join(met, ["cx", "cy", "cz"]).select("id", "b_n", "b_ms", "b_r", E.l2(F.col("x"), F.col("b_x")).alias("u"))
+        met = F.broadcast(met) if cells.count() <= 5_000 else met
+        apart = left.join(met, ["cx", "cy", "cz"]).select("id", "b_n", "b_ms", "b_r", self.gap("x", "b_x").alias("u"))
         by_point = apart.groupBy("id").agg(F.sum(low).alias("low"), F.sum(high).alias("high"), F.count("*").alias("met"))
         by_point = materialize(by_point, "vote-bounds")
-        self.work["cells"] += by_cell.agg(F.sum("met")).head()[0] or 0
-        self.work["bounds"] += by_point.agg(F.sum("met")).head()[0] or 0
+        if self.counting:
+            self.work["cells"] += by_cell.agg(F.sum("met")).head()[0] or 0
+            self.work["bounds"] += by_point.agg(F.sum("met")).head()[0] or 0
         return materialize(self.cut(by_point).select("id", "high"), "vote-left")
 
     def exact(self, ids: DataFrame) -> DataFrame:
@@ -357,7 +362,7 @@ def vote(candidates: DataFrame, g: Geometry, spread: float | None = None, thresh
         rho = densities(candidates, g, spread, threshold, m=m)
         return candidates.join(rho.orderBy(F.desc("density"), "id").limit(1), "id").select("id", "r", "t", "density")
     with temporary(candidates.sparkSession):
-        votes = _Votes(candidates, g, spread, threshold, m)
+        votes = _Votes(candidates, g, spread, threshold, m, work is not None)
         won = votes.best()
     if work is not None:
         work |= votes.work
