@@ -526,12 +526,12 @@ def _part_volume(spark, sf, kind: str, value) -> tuple[Geometry, DataFrame]:
     return volumes.load(spark, f"{folder}/part.mhd")
 
 
-@query(f"""WITH {_BY_PART} SELECT x, y, z, CAST(coalesce(trunc(least(p_retailprice * 40, 65535)), 0) AS INT) AS v FROM spot LEFT JOIN part ON p_partkey = x + 10 * y + 80 * z""")
+@query(f"""WITH {_BY_PART} SELECT x, y, z, CAST(trunc(least(coalesce(p_retailprice * 40, 0), 65535)) AS INT) AS v FROM spot LEFT JOIN part ON p_partkey = x + 10 * y + 80 * z""")
 def volume_16_bit(spark, sf):
     return _part_volume(spark, sf, "MET_USHORT", F.col("p_retailprice") * 40)[1].drop("vol_id")
 
 
-@query(f"""WITH {_BY_PART} SELECT x, y, z, CAST(coalesce(least(p_size * 7, 255), 0) AS INT) AS v FROM spot LEFT JOIN part ON p_partkey = x + 10 * y + 80 * z""")
+@query(f"""WITH {_BY_PART} SELECT x, y, z, CAST(least(coalesce(p_size * 7, 0), 255) AS INT) AS v FROM spot LEFT JOIN part ON p_partkey = x + 10 * y + 80 * z""")
 def volume_8_bit(spark, sf):
     return _part_volume(spark, sf, "MET_UCHAR", F.col("p_size") * 7)[1].drop("vol_id")
 
@@ -548,7 +548,7 @@ w AS (SELECT id, CAST(least(floor(fx) + ox, 9) AS INT) AS x, CAST(least(floor(fy
 SELECT id, round(sum(w * v), 6) AS value FROM w JOIN vox USING (x, y, z) GROUP BY 1"""
 
 
-@query(f"""WITH {_BY_PART}, vox AS (SELECT x, y, z, coalesce(least(p_size * 7, 255), 0) AS v FROM spot LEFT JOIN part ON p_partkey = x + 10 * y + 80 * z),
+@query(f"""WITH {_BY_PART}, vox AS (SELECT x, y, z, least(coalesce(p_size * 7, 0), 255) AS v FROM spot LEFT JOIN part ON p_partkey = x + 10 * y + 80 * z),
 f AS (SELECT id, least(greatest(x / 0.5, 0), 9) AS fx, least(greatest(y / 0.25, 0), 7) AS fy, least(greatest(z, 0), (SELECT nz FROM c) - 1) AS fz FROM {_PLACES} p), {_MIXED}""")
 def volume_samples(spark, sf):
     """Places between the samples of a stored volume that a table filled."""
@@ -558,7 +558,7 @@ def volume_samples(spark, sf):
     return fld.attach(places, "value").select("id", _r("value").alias("value"))
 
 
-@query(f"""WITH {_BY_PART}, vox AS (SELECT x, y, z, coalesce(least(p_size * 7, 255), 0) AS v FROM spot LEFT JOIN part ON p_partkey = x + 10 * y + 80 * z),
+@query(f"""WITH {_BY_PART}, vox AS (SELECT x, y, z, least(coalesce(p_size * 7, 0), 255) AS v FROM spot LEFT JOIN part ON p_partkey = x + 10 * y + 80 * z),
 t AS (SELECT i + 20 * j + 300 * k AS id, i * 0.3 + 0.4 AS x, j * 0.1 + 0.05 AS y, k * 0.7 - 0.2 AS z FROM generate_series(0, 19) a(i), generate_series(0, 14) b(j), generate_series(0, 9) d(k)),
 f AS (SELECT id, least(greatest(x, 0), 4.5) / 0.5 AS fx, least(greatest(y, 0), 1.75) / 0.25 AS fy, least(greatest(z, 0), (SELECT nz FROM c) - 1) AS fz FROM t), {_MIXED}""")
 def volume_resampled(spark, sf):
