@@ -36,7 +36,10 @@ def box27(spacing: Sequence[float]) -> list[tuple[float, float, float]]:
 
 
 def with_variance(points: DataFrame, field, out: str = "variance") -> DataFrame:
-    """Population variance of the 27 values around each point, a spacing apart, clipped to the box. `id` is distinct."""
+    """Population variance of the 27 values around each point, a spacing apart, clipped to the box. `id` is distinct. A field
+    that has these values together (bricks) is met once for each point, not once for each value."""
+    if hasattr(field, "box_variance"):
+        return field.box_variance(points, out)
     around = neighbourhood(points.select("id", "x", "y", "z"), box27(field.geometry.spacing), field.geometry.bounds, clip=True)
     var = field.attach(around, "value").groupBy("id").agg(F.var_pop("value").alias(out))
     return points.join(var, "id")

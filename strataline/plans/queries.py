@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 from collections.abc import Callable
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from strataline.functions import dense, metric
 from strataline.functions import exprs as E
 from strataline.operators import density, diagnostics, experiment, features, histogram, matching, normalize, ranking, sampling, slices, transforms
-from strataline.sources import metaimage, mocks, texts, volumes
+from strataline.sources import bricks, metaimage, mocks, texts, volumes
 from strataline.sources.fields import AnalyticField, GridField, lattice
 from strataline.shared import new_path
 from strataline.types import Geometry
@@ -567,6 +568,54 @@ def volume_resampled(spark, sf):
     return out.select((F.col("i") + 20 * F.col("j") + 300 * F.col("k")).cast("long").alias("id"), _r("value").alias("value"))
 
 
+_FILLED = "vox AS (SELECT x, y, z, least(coalesce(p_size * 7, 0), 255) AS v FROM spot LEFT JOIN part ON p_partkey = x + 10 * y + 80 * z)"
+
+
+def _bricks(spark, sf) -> bricks.BrickField:
+    grid = _part_grid(spark, sf)
+    return bricks.BrickField.of(grid.geometry, grid.table, side=4)
+
+
+def _supplier_places(spark, sf, top: float) -> DataFrame:
+    k = F.col("s_suppkey")
+    return _t(spark, sf, "supplier").select(k.alias("id"), ((k * 37 % 1000) / 1000.0 * 6 - 0.5).alias("x"), ((k * 91 % 1009) / 1009.0 * 2).alias("y"), ((k * 53 % 997) / 997.0 * top).alias("z"))
+
+
+@query(f"""WITH {_BY_PART}, {_FILLED}, f AS (SELECT id, least(greatest(x / 0.5, 0), 9) AS fx, least(greatest(y / 0.25, 0), 7) AS fy, least(greatest(z, 0), (SELECT nz FROM c) - 1) AS fz FROM {_PLACES} p), {_MIXED}""")
+def brick_samples(spark, sf):
+    """Places between the samples of a stored volume, each met by one join with its brick."""
+    fld = _bricks(spark, sf)
+    return fld.attach(_supplier_places(spark, sf, fld.geometry.bounds[2])).select("id", _r("value").alias("value"))
+
+
+_NINE = ", ".join(f"(VALUES (-1), (0), (1)) {n}(o)" for n in ("a", "b", "e"))
+
+
+@query(f"""WITH {_BY_PART}, {_FILLED}, f AS (SELECT id * 27 + a.o * 9 + b.o * 3 + e.o + 13 AS id, least(greatest(x / 0.5 + a.o, 0), 9) AS fx, least(greatest(y / 0.25 + b.o, 0), 7) AS fy, least(greatest(z + e.o, 0), (SELECT nz FROM c) - 1) AS fz FROM {_PLACES} p, {_NINE}),
+s AS (WITH {_MIXED.replace("round(sum(w * v), 6)", "sum(w * v)")}) SELECT id // 27 AS id, round(var_pop(value), 6) AS variance FROM s GROUP BY 1""")
+def brick_variance(spark, sf):
+    """The variance of the 27 values around each place, out of one brick."""
+    fld = _bricks(spark, sf)
+    return sampling.with_variance(_supplier_places(spark, sf, fld.geometry.bounds[2]), fld).select("id", _r("variance").alias("variance"))
+
+
+def _slope_sum(axis: int) -> str:
+    of = lambda n, k, a: f"{n}.p{k} * {n}.{'s' if a == axis else 'q'}{k}"
+    return " + ".join(f"{of('a', i, 0)} * {of('b', j, 1)} * {of('e', k, 2)}" for i, j, k in itertools.product(range(3), repeat=3) if i + j + k <= 2 and (i, j, k)[axis])
+
+
+@query(f"""WITH {_BY_PART}, {_FILLED}, ax AS (SELECT 0 AS axis, 0.5::DOUBLE AS s, 10 AS d UNION ALL SELECT 1, 0.25, 8 UNION ALL SELECT 2, 1.0, nz FROM c),
+l AS (SELECT axis, CAST(n AS INT) AS n, CAST(o AS INT) AS o, o * s AS u, exp(ln(0.4) / 2 / s * (o * s) ** 2) AS w FROM ax, generate_series(0, d - 1) t(n), generate_series(-3, 3) r(o) WHERE n + o BETWEEN 0 AND d - 1),
+m AS (SELECT axis, n, sum(w) AS m0, sum(w * u) AS m1, sum(w * u ** 2) AS m2, sum(w * u ** 3) AS m3, sum(w * u ** 4) AS m4 FROM l GROUP BY 1, 2),
+h AS (SELECT *, m1 / m0 AS mid, sqrt(m2 - m1 * m1 / m0) AS n1, (m3 - m1 * m2 / m0) / (m2 - m1 * m1 / m0) AS tilt, sqrt(m4 - m2 * m2 / m0 - (m3 - m1 * m2 / m0) ** 2 / (m2 - m1 * m1 / m0)) AS n2 FROM m),
+k AS (SELECT axis, n, o, w / sqrt(m0) AS p0, w * (u - mid) / n1 AS p1, w * (u * u - m2 / m0 - tilt * (u - mid)) / n2 AS p2, 1 / sqrt(m0) AS q0, -mid / n1 AS q1, (tilt * mid - m2 / m0) / n2 AS q2, 1 / n1 AS s1, -tilt / n2 AS s2 FROM l JOIN h USING (axis, n))
+SELECT a.n AS x, b.n AS y, e.n AS z, {", ".join(f"round(sum(v * ({_slope_sum(i)})), 4) AS g{c}" for i, c in enumerate("xyz"))}
+FROM vox JOIN k a ON a.axis = 0 AND vox.x = a.n + a.o JOIN k b ON b.axis = 1 AND vox.y = b.n + b.o JOIN k e ON e.axis = 2 AND vox.z = e.n + e.o GROUP BY 1, 2, 3""")
+def local_slopes(spark, sf):
+    """The gradient at every sample of a stored volume, of a quadric fitted to the box around it."""
+    return _bricks(spark, sf).slopes().select("x", "y", "z", *(_r(f"g{c}", 4).alias(f"g{c}") for c in "xyz"))
+
+
 _OFF = "(VALUES (-0.2), (0.0), (0.2))"
 _VAR27 = f"""n AS (SELECT id, px, py, pz, least(greatest(px + a.o, 0), {_BOX[0]!r}) AS x, least(greatest(py + b.o, 0), {_BOX[1]!r}) AS y, least(greatest(pz + c.o, 0), {_BOX[2]!r}) AS z
  FROM (SELECT id, x AS px, y AS py, z AS pz FROM {_PART} q) p, {_OFF} a(o), {_OFF} b(o), {_OFF} c(o)),
