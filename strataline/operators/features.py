@@ -313,20 +313,65 @@ def computers_from_json(text: str) -> list[Computer]:
     return out
 
 
-def descend(p: np.ndarray, target: np.ndarray, describe: Callable[[np.ndarray], np.ndarray], bounds: np.ndarray, rate: float = 0.1, delta: float = 0.05, largest: float = 0.5, steps: int = 50, enough: float = 1e-6) -> np.ndarray:
-    """Moves p towards features `target` by finite-difference steps on the squared feature distance, each clamped; stops
-    when steps get small, when the distance grows along every axis, or at the border."""
-    cost = lambda q: float(((np.asarray(describe(q)) - target) ** 2).sum())
+ENDS = ("limit", "converged", "diverged", "border")  # why a descent ended
+
+
+def descend(p: np.ndarray, target: np.ndarray, describe: Callable[[np.ndarray], np.ndarray], bounds: np.ndarray, rate: float = 0.1, delta: float = 0.05, largest: float = 0.5, steps: int = 200, enough: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Moves points p [n, 3] towards features `target` [n, f], all at once: each round makes one forward difference by axis of the
+    squared feature distance, clamps the step, and leaves out the points that have ended, so later rounds are smaller.
+
+    A point ends where it stands when its step is below `enough` on every axis, when its step has grown on every axis, when its
+    next place or the places it must look at lie outside, or features there are not finite ("border"); and after `steps` rounds.
+    Gives the places, the rounds each moved, and why it ended (an index of ENDS).
+    """
     p = np.array(p, float)
+    moved, why = np.zeros(len(p), int), np.zeros(len(p), int)
+    active, last = np.arange(len(p)), np.full(p.shape, np.inf)
     for _ in range(steps):
-        here = cost(p)
-        ahead = np.array([cost(p + delta * e) for e in np.eye(3)])
-        behind = np.array([cost(p - delta * e) for e in np.eye(3)])
-        move = np.clip(-rate * (ahead - behind) / (2 * delta), -largest, largest)
-        if np.abs(move).max() < enough or ((ahead > here) & (behind > here)).all():
+        ahead = p[active] + delta
+        inside = ((ahead >= 0) & (ahead <= bounds)).all(1)
+        why[active[~inside]] = 3
+        active, last = active[inside], last[inside]
+        if not len(active):
             break
-        q = p + move
-        if ((q < 0) | (q > bounds)).any():
-            break
-        p = q
-    return p
+        places = p[active][:, None] + delta * np.concatenate([np.zeros((1, 3)), np.eye(3)])
+        found = describe(places.reshape(-1, 3)).reshape(len(active), 4, -1)
+        cost = ((found - target[active][:, None]) ** 2).sum(2)
+        step = np.clip(rate * (cost[:, 1:] - cost[:, :1]) / delta, -largest, largest)
+        to = p[active] - step
+        small, grown = (np.abs(step) < enough).all(1), (np.abs(step) > np.abs(last)).all(1)
+        out = ~((to >= 0) & (to <= bounds)).all(1)
+        ended = np.select([small, grown, out], [1, 2, 3], 0)
+        why[active] = ended
+        active, last = active[ended == 0], step[ended == 0]
+        p[active] = to[ended == 0]
+        moved[active] += 1
+    return p, moved, why
+
+
+def descended(
+    points: DataFrame, fld, computers: Sequence[Computer] = DEFAULT, rate: float = 0.1, delta: float = 0.05, largest: float = 0.5, steps: int = 200, enough: float = 1e-6,
+    radius: float = QUADRIC_RADIUS, border: float = 0.15, ball_radius: float = BALL_RADIUS, ball_step: float = BALL_STEP, least_step: float = QUADRIC_STEP,
+) -> DataFrame:
+    """Points (id, x, y, z, and `target`: the features wanted) moved to places near them whose features are closest to these:
+    id, x, y, z, distance (of the features at the end), steps, ended. Weights are not applied. The points of a batch advance together, each as it would alone. A null or non-finite place or target, or one of another length, stays and has ended at the "border", distance null."""
+    geometry, values, computers = fld.geometry, fld.evaluator(), tuple(computers)
+    ship(points.sparkSession)
+    size = n_features(computers)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d = Describer(geometry, values, computers, radius, border, ball_radius, ball_step, least_step)
+        each = max(1, CHUNK // (4 if d.ball is None else 4 * len(d.ball)))
+        for b in batches:
+            p = b[["x", "y", "z"]].to_numpy(float)
+            wanted = np.array([np.asarray(t, float) if t is not None and len(t) == size else np.full(size, np.nan) for t in b["target"]]).reshape(-1, size)
+            ok = np.flatnonzero(np.isfinite(p).all(1) & np.isfinite(wanted).all(1))
+            moved, why, far = np.zeros(len(p), int), np.full(len(p), 3), np.full(len(p), np.nan)
+            for part in (ok[at : at + each] for at in range(0, len(ok), each)):
+                p[part], moved[part], why[part] = descend(p[part], wanted[part], d.describe, d.bounds, rate, delta, largest, steps, enough)
+                far[part] = np.sqrt(((d.describe(p[part]) - wanted[part]) ** 2).sum(1))
+            yield pd.DataFrame({"id": b["id"], "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "distance": far, "steps": moved, "ended": np.array(ENDS)[why]})
+
+    out = points.select("id", "x", "y", "z", "target").mapInPandas(run, "id long, x double, y double, z double, distance double, steps int, ended string")
+    plain = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return out.select("id", *(plain(c) for c in ("x", "y", "z", "distance")), "steps", "ended")

@@ -858,6 +858,22 @@ def fitted_features(spark, sf):
     return out.select("id", *(_r(F.get("features", F.lit(i)), 3 if i == 0 else 4).alias(f"f{i}") for i in range(5)))
 
 
+_RISE = np.array([2.0, -1.0, 0.5])
+_HESSIAN = np.eye(3) + np.outer(_RISE, _RISE)
+_SHORT = (-0.05 / 2 * np.linalg.solve(_HESSIAN, np.diag(_HESSIAN))).tolist()  # where forward differences of 0.05 vanish
+_WANTED = [f"1 + 0.58 * {c} + {v}" for c, v in zip("xyz", ("(id % 7 - 3) * 0.1", "(id % 5 - 2) * 0.1", "(id % 3 - 1) * 0.2"))]
+
+
+@query(f"""SELECT id, {", ".join(f"round({v} + ({d!r}), 5) AS {c}" for c, v, d in zip("xyz", _WANTED, _SHORT))}, round({float(np.sqrt(_SHORT @ _HESSIAN @ np.array(_SHORT)))!r}::DOUBLE, 6) AS distance, 'converged' AS ended FROM {_PART} p""")
+def descended_points(spark, sf):
+    """Points moved to the features of other places: the place itself and the value of a linear field."""
+    fld = AnalyticField(Geometry((0.2,) * 3, (25, 25, 25)), lambda x, y, z: 2.0 * x - y + 0.5 * z, lambda p: p @ _RISE)
+    x, y, z = (F.expr(v) for v in _WANTED)
+    points = _part_points(spark, sf).withColumn("target", F.array(x, y, z, fld.column(x, y, z))).select("id", *((1 + 0.58 * F.col(c)).alias(c) for c in "xyz"), "target")
+    out = features.descended(points, fld, (features.Computer("position"), features.Computer("value")), enough=1e-13, steps=400)
+    return out.select("id", *(_r(c, 5).alias(c) for c in "xyz"), _r("distance").alias("distance"), "ended")
+
+
 @query()
 def quadric_fit(spark, sf):
     out = features.quadrics(_part_points(spark, sf), mocks.sphere(), radius=0.8, least_step=0.0)

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strataline.functions import dense
 from strataline.operators import features
@@ -111,10 +112,33 @@ def test_weights_at_the_origin():
 
 
 def test_descent_finds_the_features():
-    describe = lambda p: np.array([p[0], 2 * p[1], p[2] ** 2])
-    target = describe(np.array([2.0, 3.0, 1.5]))
-    p = features.descend(np.array([1.5, 2.5, 1.2]), target, describe, np.full(3, 10.0), steps=300)
-    assert np.abs(p - [2.0, 3.0, 1.5]).max() < 0.05
+    describe = lambda p: np.stack([p[:, 0], 2 * p[:, 1], p[:, 2] ** 2], 1)
+    target = describe(np.array([[2.0, 3.0, 1.5]]))
+    p, moved, why = features.descend(np.array([[1.5, 2.5, 1.2]]), target, describe, np.full(3, 10.0), steps=300)
+    assert np.abs(p - [2.0, 3.0, 1.5]).max() < 0.05 and features.ENDS[why[0]] == "converged" and 5 < moved[0] < 300
+
+
+def test_descents_end_apart():
+    describe = lambda p: p * [1.0, 1.0, 1.0]
+    start = np.array([[2.0, 2, 2], [0.1, 2, 2], [9.99, 2, 2], [2.0, 2, 2]])
+    target = np.array([[2.5, 2.5, 1.5], [-3.0, 2, 2], [5.0, 5, 5], [2.5, 2.5, 1.5]])
+    p, moved, why = features.descend(start, target, describe, np.full(3, 10.0))
+    assert [features.ENDS[k] for k in why] == ["converged", "border", "border", "converged"] and moved[2] == 0
+    for k in range(4):
+        alone = features.descend(start[k : k + 1], target[k : k + 1], describe, np.full(3, 10.0))
+        assert np.array_equal(alone[0][0], p[k]) and (alone[1][0], alone[2][0]) == (moved[k], why[k])
+    assert features.ENDS[features.descend(start[:1], target[:1], describe, np.full(3, 10.0), steps=2)[2][0]] == "limit"
+    wild = features.descend(start[:1], target[:1] + [0, 0, 2.0], describe, np.full(3, 10.0), rate=1.05, largest=50.0)
+    assert features.ENDS[wild[2][0]] == "diverged" and wild[1][0] == 1
+
+
+def test_descended_points_without_a_target(spark):
+    rows = [(1, 1.0, 1.0, 1.0, [1.2, 1.1, 1.0]), (2, None, 1.0, 1.0, [1.0, 1.0, 1.0]), (3, 1.0, 1.0, 1.0, None), (4, 1.0, 1.0, 1.0, [1.0]), (5, 1.0, 1.0, 1.0, [1.0, None, 1.0])]
+    points = spark.createDataFrame(rows, "id long, x double, y double, z double, target array<double>").withColumn("steps", F.lit("kept out"))
+    got = {r.id: r for r in features.descended(points, mocks.constant(Geometry((1.0,) * 3, (5, 5, 5))), (features.Computer("position"),)).collect()}
+    assert got[1].ended == "converged" and got[1].distance < 0.05 and got[1].steps > 1
+    assert all(got[k].ended == "border" and got[k].distance is None and got[k].steps == 0 for k in (2, 3, 4, 5)) and got[2].x is None and got[3].x == 1.0
+    assert features.descended(points.limit(0), mocks.constant(Geometry((1.0,) * 3, (5, 5, 5))), (features.Computer("position"),)).count() == 0
 
 
 def test_numpy_and_column_fields_agree(spark):
