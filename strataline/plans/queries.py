@@ -419,18 +419,33 @@ _ELL = f"CASE WHEN {_ELL_Q} <= 1 THEN 4000 * {_ELL_Q} ELSE 5000.0 END"
 _SHRINK = 10
 
 
-def _voxels(fld, spark) -> DataFrame:
-    return fld.voxels(spark).select("i", "j", "k", _r("value").alias("value"))
+_BOX = mocks.sphere().geometry.bounds
+_PART = "(SELECT p_partkey AS id, (p_partkey * 37 % 1000) / 1000.0 * 4.8 AS x, (p_partkey * 91 % 1009) / 1009.0 * 4.8 AS y, (p_partkey * 53 % 997) / 997.0 * 4.8 AS z FROM part)"
+
+
+def _part_points(spark, sf) -> DataFrame:
+    k = F.col("p_partkey")
+    return _t(spark, sf, "part").select(k.alias("id"), *(((k * m % n) / float(n) * 4.8).alias(c) for c, m, n in (("x", 37, 1000), ("y", 91, 1009), ("z", 53, 997))))
+
+
+def _spots_sql(g: Geometry) -> str:
+    """A place in the box for each part."""
+    return f"(SELECT id, {', '.join(f'{c} * {b / 4.8!r} AS {c}' for b, c in zip(g.bounds, 'xyz'))} FROM {_PART} p)"
 
 
-@query(f"SELECT i, j, k, round({_SPHERE}, 6) AS value FROM {_grid_sql(mocks.sphere().geometry)} g")
+def _at_parts(fld, spark, sf) -> DataFrame:
+    spots = _part_points(spark, sf).select("id", *((F.col(c) * (b / 4.8)).alias(c) for b, c in zip(fld.geometry.bounds, "xyz")))
+    return fld.attach(spots, "value").select("id", _r("value").alias("value"))
+
+
+@query(f"SELECT id, round({_SPHERE}, 6) AS value FROM {_spots_sql(mocks.sphere().geometry)} g")
 def mock_sphere(spark, sf):
-    return _voxels(mocks.sphere(), spark)
+    return _at_parts(mocks.sphere(), spark, sf)
 
 
-@query(f"SELECT i, j, k, round({_ELL}, 6) AS value FROM {_grid_sql(Geometry((1.0,) * 3, (35, 25, 17)))} g")
+@query(f"SELECT id, round({_ELL}, 6) AS value FROM {_spots_sql(Geometry((1.0,) * 3, (35, 25, 17)))} g")
 def mock_ellipsoid(spark, sf):
-    return _voxels(mocks.ellipsoid(30, 20, 15, (35, 25, 17)), spark)
+    return _at_parts(mocks.ellipsoid(30, 20, 15, (35, 25, 17)), spark, sf)
 
 
 def _spheres_sql() -> str:
@@ -441,22 +456,22 @@ def _spheres_sql() -> str:
     return f"coalesce({', '.join(each)}, 0.0) * 1000"
 
 
-@query(f"SELECT i, j, k, round({_spheres_sql()}, 6) AS value FROM {_grid_sql(mocks.spheres(_SHRINK).geometry)} g")
+@query(f"SELECT id, round({_spheres_sql()}, 6) AS value FROM {_spots_sql(mocks.spheres(_SHRINK).geometry)} g")
 def mock_spheres8(spark, sf):
-    return _voxels(mocks.spheres(_SHRINK), spark)
+    return _at_parts(mocks.spheres(_SHRINK), spark, sf)
 
 
-@query(f"SELECT i, j, k, x + 2 * y + 4 * z AS value FROM {_grid_sql(mocks.small().geometry)} g")
+@query(f"SELECT id, round(x + 2 * y + 4 * z, 6) AS value FROM {_spots_sql(mocks.small().geometry)} g")
 def mock_small(spark, sf):
-    return _voxels(mocks.small(), spark)
+    return _at_parts(mocks.small(), spark, sf)
 
 
 _CYL = Geometry((2.5,) * 3, (40, 40, 20))
 
 
-@query(f"SELECT i, j, k, CASE WHEN sqrt((x - 50.0) ** 2 + (y - 50.0) ** 2) < 50 THEN 0.0 ELSE 127.0 END AS value FROM {_grid_sql(_CYL)} g")
+@query(f"SELECT id, CASE WHEN sqrt((x - 50.0) ** 2 + (y - 50.0) ** 2) < 50 THEN 0.0 ELSE 127.0 END AS value FROM {_spots_sql(_CYL)} g")
 def mock_cylinder(spark, sf):
-    return _voxels(mocks.cylinder("z", g=_CYL), spark)
+    return _at_parts(mocks.cylinder("z", g=_CYL), spark, sf)
 
 
 _SEG = Geometry((0.25,) * 3, (14, 14, 14))
@@ -468,29 +483,23 @@ def _segment():
     return mocks.segment(mocks.sphere(), _TURN, _SEG_T, _SEG)
 
 
-@query(f"""WITH g AS (SELECT i, j, k, {_SEG_AT[0]} AS x, {_SEG_AT[1]} AS y, {_SEG_AT[2]} AS z FROM {_grid_sql(_SEG)} q)
-SELECT i, j, k, round(CASE WHEN x BETWEEN 0 AND {mocks.sphere().geometry.bounds[0]!r} AND y BETWEEN 0 AND {mocks.sphere().geometry.bounds[1]!r} AND z BETWEEN 0 AND {mocks.sphere().geometry.bounds[2]!r} THEN {_SPHERE} ELSE 5000.0 END, 6) AS value FROM g""")
+@query(f"""WITH g AS (SELECT id, {_SEG_AT[0]} AS x, {_SEG_AT[1]} AS y, {_SEG_AT[2]} AS z FROM {_spots_sql(_SEG)} q)
+SELECT id, round(CASE WHEN x BETWEEN 0 AND {mocks.sphere().geometry.bounds[0]!r} AND y BETWEEN 0 AND {mocks.sphere().geometry.bounds[1]!r} AND z BETWEEN 0 AND {mocks.sphere().geometry.bounds[2]!r} THEN {_SPHERE} ELSE 5000.0 END, 6) AS value FROM g""")
 def mock_segment(spark, sf):
-    return _voxels(_segment(), spark)
+    return _at_parts(_segment(), spark, sf)
 
 
 _PD = Geometry((0.5,) * 3, (12, 10, 8))
-_PD_POINTS = mocks.anchors(_PD.dims, _PD.bounds, seed=4)
-_PD_RAW = " + ".join(f"sqrt((x - {a!r}) ** 2 + (y - {b!r}) ** 2 + (z - {c!r}) ** 2)" for a, b, c in _PD_POINTS)
+_PD_SQL = "(SELECT r_regionkey * 1.1 AS a, (r_regionkey * 7 % 5) * 0.9 AS b, (r_regionkey * 3 % 4) * 0.8 AS e FROM region)"
 
 
-@query(f"WITH g AS (SELECT i, j, k, {_PD_RAW} AS raw FROM {_grid_sql(_PD)} q) SELECT i, j, k, round((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()), 6) AS value FROM g")
+@query(f"""WITH g AS (SELECT i, j, k, sum(sqrt((x - a) ** 2 + (y - b) ** 2 + (z - e) ** 2)) AS raw FROM {_grid_sql(_PD)} q, {_PD_SQL} r GROUP BY 1, 2, 3)
+SELECT i, j, k, round((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()), 6) AS value FROM g""")
 def mock_point_distance(spark, sf):
-    return mocks.point_distances(spark, _PD, _PD_POINTS).select("i", "j", "k", _r("value").alias("value"))
-
-
-_BOX = mocks.sphere().geometry.bounds
-_PART = "(SELECT p_partkey AS id, (p_partkey * 37 % 1000) / 1000.0 * 4.8 AS x, (p_partkey * 91 % 1009) / 1009.0 * 4.8 AS y, (p_partkey * 53 % 997) / 997.0 * 4.8 AS z FROM part)"
-
-
-def _part_points(spark, sf) -> DataFrame:
-    k = F.col("p_partkey")
-    return _t(spark, sf, "part").select(k.alias("id"), *(((k * m % n) / float(n) * 4.8).alias(c) for c, m, n in (("x", 37, 1000), ("y", 91, 1009), ("z", 53, 997))))
+    """Distances to a point for each region (a table of a handful of rows)."""
+    k = F.col("r_regionkey")
+    points = _t(spark, sf, "region").select((k * 1.1).alias("a"), ((k * 7 % 5) * 0.9).alias("b"), ((k * 3 % 4) * 0.8).alias("e")).collect()
+    return mocks.point_distances(spark, _PD, [tuple(p) for p in points]).select("i", "j", "k", _r("value").alias("value"))
 
 
 def _grid(spark) -> GridField:
@@ -718,10 +727,26 @@ def _cut(spark) -> DataFrame:
     return slices.plane(spark, mocks.sphere().geometry, 0.4, 2, _W, _H)
 
 
-@query(f"WITH {_CUT}, {_ENDS}, g AS (SELECT row, col, {_grey_sql(_SPHERE)} AS v FROM cut, e) SELECT row, col, 255 AS a, v AS r, v AS g, v AS b FROM g")
+_SHARE = 0.3719
+_STORED_CUT = f"""{_BY_PART}, {_FILLED}, q AS (SELECT n AS id, (n % {_W}) / {_W - 1}.0 * 4.5 AS x, (n // {_W}) / {_H - 1}.0 * 1.75 AS y, {_SHARE}::DOUBLE * (nz - 1) AS z FROM c, generate_series(0, {_W * _H - 1}) s(n)),
+f AS (SELECT id, x / 0.5 AS fx, y / 0.25 AS fy, z AS fz FROM q), met AS (WITH {_MIXED.replace("round(sum(w * v), 6)", "sum(w * v)")}),
+cut AS (SELECT CAST(id // {_W} AS INT) AS row, CAST(id % {_W} AS INT) AS col, x, y, z, value FROM q JOIN met USING (id)), e AS (SELECT min(v) AS lo, max(v) AS hi FROM vox)"""
+
+
+def _stored_cut(spark, sf) -> tuple[GridField, DataFrame]:
+    fld = _part_grid(spark, sf)
+    return fld, slices.plane(spark, fld.geometry, _SHARE, 2, _W, _H)
+
+
+def _stored_values(fld: GridField) -> DataFrame:
+    return fld.table.select(F.col("v").alias("value"))
+
+
+@query(f"WITH {_STORED_CUT}, g AS (SELECT row, col, {_grey_sql('value')} AS v FROM cut, e) SELECT row, col, 255 AS a, v AS r, v AS g, v AS b FROM g")
 def slice_gray(spark, sf):
-    fld = mocks.sphere()
-    return slices.grey_slice(_cut(spark), fld, fld.voxels(spark))
+    """A cut through a stored volume."""
+    fld, cut = _stored_cut(spark, sf)
+    return slices.grey_slice(cut, fld, _stored_values(fld))
 
 
 _BACK_R = [_TURN[3 * j + i] for i in range(3) for j in range(3)]
@@ -729,16 +754,15 @@ _BACK_T = [-sum(_BACK_R[3 * i + k] * _SEG_T[k] for k in range(3)) for i in range
 _BACK = _rigid_sql(_BACK_R, _BACK_T)
 
 
-@query(f"""WITH {_CUT}, {_ENDS}, m AS (SELECT row, col, {_SPHERE} AS mv, {_BACK[0]} AS x, {_BACK[1]} AS y, {_BACK[2]} AS z FROM cut),
+@query(f"""WITH {_STORED_CUT}, m AS (SELECT row, col, value AS mv, {_BACK[0]} AS x, {_BACK[1]} AS y, {_BACK[2]} AS z FROM cut),
 s AS (SELECT row, col, mv, x BETWEEN 0 AND 3 AND y BETWEEN 0 AND 2 AND z BETWEEN 0 AND 2.5 AS seen, x + 10 * y + 100 * z AS uv FROM m),
 g AS (SELECT row, col, seen, {_grey_sql("mv")} AS own, {_grey_sql("uv")} AS other FROM s, e)
 SELECT row, col, 255 AS a, CASE WHEN seen THEN 0 ELSE own END AS r, CASE WHEN seen THEN other ELSE own END AS g, CASE WHEN seen THEN 0 ELSE own END AS b FROM g""")
 def slice_overlay(spark, sf):
-    from strataline.sources.fields import AnalyticField
-
-    macro = mocks.sphere()
+    """A field seen through a transform, over a cut through a stored volume."""
+    macro, cut = _stored_cut(spark, sf)
     micro = AnalyticField(Geometry((0.5,) * 3, (7, 5, 6)), lambda x, y, z: x + 10 * y + 100 * z, lambda p: p @ [1.0, 10.0, 100.0])
-    return slices.overlay_slice(_cut(spark), macro, micro, _TURN, _SEG_T, macro.voxels(spark))
+    return slices.overlay_slice(cut, macro, micro, _TURN, _SEG_T, _stored_values(macro))
 
 
 @query(f"""WITH {_CUT}, {_ENDS}, g AS (SELECT row, col, x, y, z, {_grey_sql(_SPHERE)} AS v FROM cut, e),
@@ -749,11 +773,12 @@ def slice_mark(spark, sf):
     return slices.marked_slice(slices.grey_slice(cut, fld, fld.voxels(spark)), cut, _part_points(spark, sf), 0.03)
 
 
-@query(f"""WITH {_CUT}, v AS (SELECT row, col, {_SPHERE} AS value FROM cut), s AS (SELECT list_sort(list(value)) AS v FROM v),
-e AS (SELECT v[CAST(trunc(len(v) * 0.05) AS INT) + 1] AS lo, v[CAST(trunc(len(v) * 0.70) AS INT) + 1] AS hi FROM s),
-g AS (SELECT row, col, CAST(trunc(least(greatest((value - lo) / (hi - lo), 0), 1) * 255) AS INT) AS x FROM v, e) SELECT row, col, 255 AS a, x AS r, x AS g, x AS b FROM g""")
+@query(f"""WITH {_STORED_CUT}, s AS (SELECT list_sort(list(value)) AS v FROM cut),
+h AS (SELECT v[CAST(trunc(len(v) * 0.05) AS INT) + 1] AS lo, v[CAST(trunc(len(v) * 0.70) AS INT) + 1] AS hi FROM s),
+g AS (SELECT row, col, CAST(trunc(least(greatest((value - lo) / (hi - lo), 0), 1) * 255) AS INT) AS x FROM cut, h) SELECT row, col, 255 AS a, x AS r, x AS g, x AS b FROM g""")
 def slice_stretched(spark, sf):
-    return slices.feature_slice(mocks.sphere().attach(_cut(spark), "value"), "value")
+    fld, cut = _stored_cut(spark, sf)
+    return slices.feature_slice(fld.attach(cut, "value"), "value")
 
 
 # ------------------------------------------------------------------------------------------ experiments, files, UDFs
@@ -886,34 +911,39 @@ def pca_rotation(spark, sf):
     return out.select("id", *(_r(F.get(F.get("bases", F.lit(k)), F.lit(i))).alias(f"b{k}{i}") for k in range(2) for i in range(9)))
 
 
-@query(f"""WITH g AS (SELECT i, j, k, {", ".join(f"least(greatest({v}, 0), {b!r}) AS {c}" for v, b, c in zip(_SEG_AT, _BOX, "xyz"))} FROM {_grid_sql(_SEG)} q) SELECT i, j, k, round(least(greatest({_SPHERE}, 0), 65535), 6) AS value FROM g""")
+_FINE = Geometry((0.4, 0.15, 0.6), (10, 9, 12))
+
+
+@query(f"""WITH {_BY_PART}, {_FILLED}, t AS (SELECT i + 10 * j + 90 * k AS id, {", ".join(f"{v} AS {c}" for v, c in zip(_SEG_AT, "xyz"))} FROM {_grid_sql(_FINE)} q),
+f AS (SELECT id, least(greatest(x, 0), 4.5) / 0.5 AS fx, least(greatest(y, 0), 1.75) / 0.25 AS fy, least(greatest(z, 0), (SELECT nz FROM c) - 1) AS fz FROM t), {_MIXED}""")
 def resample_volume(spark, sf):
-    return metaimage.resampled(spark, mocks.sphere(), _SEG, _TURN, _SEG_T).select("i", "j", "k", _r("value").alias("value"))
+    """A stored volume on another grid, turned."""
+    out = metaimage.resampled(spark, _part_grid(spark, sf), _FINE, _TURN, _SEG_T)
+    return out.select((F.col("i") + 10 * F.col("j") + 90 * F.col("k")).cast("long").alias("id"), _r("value").alias("value"))
 
 
-@query(f"SELECT {_G.count} AS n, {', '.join(f'{b!r}::DOUBLE AS {c}' for b, c in zip(_G.bounds, 'xyz'))}")
+@query(f"WITH {_BY_PART} SELECT CAST(count(*) AS INT) AS n, max(x) * 0.5::DOUBLE AS x, max(y) * 0.25::DOUBLE AS y, max(z) * 1.0::DOUBLE AS z FROM spot")
 def grid_bounds(spark, sf):
-    return lattice(spark, _G).agg(F.count("*").cast("int").alias("n"), *(F.max(c).alias(c) for c in "xyz"))
+    """The grid that the header of a volume written from a table describes."""
+    return lattice(spark, _part_grid(spark, sf).geometry).agg(F.count("*").cast("int").alias("n"), *(F.max(c).alias(c) for c in "xyz"))
 
 
 @query()
 def align_volumes(spark, sf):
-    """The whole pipeline on a pair of volumes with a known transform."""
+    """The whole pipeline on a pair of volumes with a known transform: a bump for each nation (a table of fixed size)."""
     from strataline.plans.align import Config, align
 
-    macro, micro = headless_pair()
+    k = F.col("n_nationkey")
+    rows = _t(spark, sf, "nation").select(*((2 + (k * m % 25) * 0.32).alias(c) for c, m in (("x", 7), ("y", 11), ("z", 3))), (0.8 + (k * 5 % 17) / 10).alias("s"), (300.0 + (k * 13 % 25) * 70).alias("h")).collect()
+    macro, micro = headless_pair([((r.x, r.y, r.z), r.s, r.h) for r in rows])
     c = Config(micro_points=200, macro_points=400, quadric_radius=2.0, quadric_step=0.5, ball_radius=1.5, ball_step=0.3, median_share=0.2)
     return _out(align(spark, micro, macro, c).withColumn("id", F.lit(0)))
 
 
-def headless_pair():
+def headless_pair(bumps: list | None = None):
     """Bumps of different sizes and heights in a box, and the same seen through a rotation and shift."""
-    import numpy as np
-
-    from strataline.sources.fields import AnalyticField
-
     rng = np.random.default_rng(3)
-    bumps = [(tuple(rng.uniform(2, 10, 3)), float(rng.uniform(0.8, 2.5)), float(rng.uniform(300, 2000))) for _ in range(14)]
+    bumps = bumps or [(tuple(rng.uniform(2, 10, 3)), float(rng.uniform(0.8, 2.5)), float(rng.uniform(300, 2000))) for _ in range(14)]
 
     def column(x, y, z):
         return sum((h * F.exp(-E.dot(d, d) / (2 * s * s)) for c, s, h in bumps for d in [E.sub((x, y, z), E.lit3(c))]), F.lit(0.0))
