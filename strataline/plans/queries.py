@@ -469,7 +469,7 @@ def mock_small(spark, sf):
 _CYL = Geometry((2.5,) * 3, (40, 40, 20))
 
 
-@query(f"SELECT id, CASE WHEN sqrt((x - 50.0) ** 2 + (y - 50.0) ** 2) < 50 THEN 0.0 ELSE 127.0 END AS value FROM {_spots_sql(_CYL)} g")
+@query(f"SELECT id, CASE WHEN sqrt((x - 50.0) ** 2 + (y - 50.0) ** 2) < 50 THEN 0.0 ELSE 127.0 END::DOUBLE AS value FROM {_spots_sql(_CYL)} g")
 def mock_cylinder(spark, sf):
     return _at_parts(mocks.cylinder("z", g=_CYL), spark, sf)
 
@@ -914,7 +914,7 @@ def pca_rotation(spark, sf):
 _FINE = Geometry((0.4, 0.15, 0.6), (10, 9, 12))
 
 
-@query(f"""WITH {_BY_PART}, {_FILLED}, t AS (SELECT i + 10 * j + 90 * k AS id, {", ".join(f"{v} AS {c}" for v, c in zip(_SEG_AT, "xyz"))} FROM {_grid_sql(_FINE)} q),
+@query(f"""WITH {_BY_PART}, {_FILLED}, t AS (SELECT CAST(i + 10 * j + 90 * k AS BIGINT) AS id, {", ".join(f"{v} AS {c}" for v, c in zip(_SEG_AT, "xyz"))} FROM {_grid_sql(_FINE)} q),
 f AS (SELECT id, least(greatest(x, 0), 4.5) / 0.5 AS fx, least(greatest(y, 0), 1.75) / 0.25 AS fy, least(greatest(z, 0), (SELECT nz FROM c) - 1) AS fz FROM t), {_MIXED}""")
 def resample_volume(spark, sf):
     """A stored volume on another grid, turned."""
