@@ -9,7 +9,7 @@ from strataline.functions import exprs as E
 from strataline.functions import metric
 from strataline.operators import density, diagnostics, experiment, features, histogram, matching, neighbours, normalize, rank_sums, ranking, sampling, slices, transforms
 from strataline.plans.align import STAGES, Config, align, corner_error, identity, rotation_error
-from strataline.plans.queries import headless_pair
+from strataline.plans.queries import QUERIES, headless_pair
 from strataline.sources import metaimage, mocks, texts, volumes
 from strataline.sources.fields import GridField
 from strataline.types import Geometry
@@ -428,3 +428,11 @@ def test_alignment_of_a_known_pair(spark):
     assert metaimage.is_rotation(got.r)
     assert rotation_error(got.r, r) < 15 and corner_error(micro.geometry.bounds, (got.r, got.t), (r, t)) < 0.25 * micro.geometry.diagonal
     assert identity(spark).first().t == [0.0, 0.0, 0.0]
+
+
+def test_lattice_kernels_keep_the_steps_that_fit(spark):
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["lattice_kernels"](spark, sf).select("id", *(f"{side}_{c}" for side in ("below", "above") for c in "xyz")).collect()
+    for r in got:
+        place = [(r.id * m % n) / n * 4.8 for m, n in ((37, 1000), (91, 1009), (53, 997))]
+        assert list(r)[1:] == [int(min(x / s, 4)) for x, s in zip(place, (0.5, 0.7, 0.3))] + [int(min((4.8 - x) / s, 4)) for x, s in zip(place, (0.5, 0.7, 0.3))]
