@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from strataline.functions import dense
 from strataline.functions import exprs as E
 from strataline.operators.sampling import neighbourhood
-from strataline.runtime import ship
+from strataline.runtime import dealt, ship
 
 #: Fixed values of the model: ball of samples, radius and spacing of the quadric's samples.
 BALL_RADIUS, BALL_STEP, QUADRIC_RADIUS, QUADRIC_STEP = 3.0, 0.225, 18.0, 0.5
@@ -30,10 +30,11 @@ BALL_RADIUS, BALL_STEP, QUADRIC_RADIUS, QUADRIC_STEP = 3.0, 0.225, 18.0, 0.5
 
 
 def ball_values(points: DataFrame, fld, radius: float = BALL_RADIUS, step: float = BALL_STEP) -> DataFrame:
-    """id, px, py, pz, x, y, z, value of the ball's places in the box around each point."""
+    """id, px, py, pz, x, y, z, value of the ball's places in the box around each point. Points are dealt by id before they become
+    many rows, so that what an analytic field gives is grouped by id where it is made, without a shuffle."""
     spark = points.sparkSession
     offsets = spark.createDataFrame(pd.DataFrame(dense.ball_grid(radius, step), columns=["dx", "dy", "dz"]))
-    around = neighbourhood(points.select("id", "x", "y", "z"), offsets, fld.geometry.bounds, clip=False)
+    around = neighbourhood(dealt(points.select("id", "x", "y", "z")), offsets, fld.geometry.bounds, clip=False)
     return fld.attach(around, "value")
 
 
@@ -64,9 +65,10 @@ def linear_fit(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def pca_moments(points: DataFrame, fld, radius: float = BALL_RADIUS, step: float = BALL_STEP) -> DataFrame:
     """id and the covariance of the ball's places whose value reaches the median order statistic."""
-    values = ball_values(points, fld, radius, step)
-    sets = values.groupBy("id").agg(F.sort_array(F.collect_list("value")).alias("v")).select("id", F.element_at("v", F.floor(F.size("v") / 2).cast("int") + 1).alias("bar"), (F.element_at("v", 1) < F.element_at("v", -1)).alias("varied"))
-    kept = values.join(sets.filter("varied"), "id").filter("value >= bar")
+    balls = ball_values(points, fld, radius, step).groupBy("id").agg(F.collect_list(F.struct("value", "x", "y", "z")).alias("ball"))
+    sets = balls.withColumn("v", F.sort_array(F.col("ball.value"))).filter(F.element_at("v", 1) < F.element_at("v", -1))
+    bar = F.element_at("v", F.floor(F.size("v") / 2).cast("int") + 1)
+    kept = sets.withColumn("bar", bar).select("id", F.explode(F.filter("ball", lambda p: p["value"] >= F.col("bar"))).alias("p")).select("id", "p.*")
     return covariance3(kept, ["id"])
 
 

@@ -46,3 +46,8 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         return run(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
 
     return df.mapInArrow(bounded, schema)
+
+
+def dealt(df: DataFrame, by: str = "id") -> DataFrame:
+    """Few bytes, much work for each row: over all cores by a key, where a small file would be one partition and one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, by)

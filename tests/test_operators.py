@@ -197,6 +197,17 @@ def test_least_rank_sums(spark, shape, fences, monkeypatch):
     assert rank_sums.least_rank_sums(sets[0], sets[1].filter("false")).count() == 0
 
 
+def test_rank_sums_of_a_crowd_keep_few(spark):
+    rng = np.random.default_rng(3)
+    q, v = rng.normal(size=(40, 4)), np.concatenate([np.tile(rng.normal(size=(1, 4)), (600, 1)), rng.normal(size=(200, 4))])
+    work = {}
+    got = {r.micro_id: (r.macro_id, r.similarity) for r in rank_sums.least_rank_sums(vectors(spark, q), vectors(spark, v), work=work).collect()}
+    for i, x in enumerate(q):
+        sums = sum(np.argsort(np.lexsort((np.arange(800), np.abs(v[:, k] - x[k])))) for k in range(4))
+        assert got[i] == (int(sums.argmin()), float(sums.min()))
+    assert work["kept"] < 2 * 800
+
+
 def test_rank_sums_beyond_one_block(spark):
     n = (1 << 20) + 5000
     macro = spark.range(n).select("id", F.array(*((F.col("id") * k % 1_000_003).cast("double") for k in (7, 11))).alias("features"))
@@ -436,3 +447,19 @@ def test_lattice_kernels_keep_the_steps_that_fit(spark):
     for r in got:
         place = [(r.id * m % n) / n * 4.8 for m, n in ((37, 1000), (91, 1009), (53, 997))]
         assert list(r)[1:] == [int(min(x / s, 4)) for x, s in zip(place, (0.5, 0.7, 0.3))] + [int(min((4.8 - x) / s, 4)) for x, s in zip(place, (0.5, 0.7, 0.3))]
+
+
+def test_points_of_one_partition_go_to_all_cores(spark):
+    points = spark.range(64).coalesce(1).select("id", *((F.col("id") % m / m * 2 + 1).alias(c) for c, m in (("x", 7.0), ("y", 5.0), ("z", 3.0))))
+    fld, value = mocks.sphere(), (features.Computer("value"),)
+    target = points.withColumn("target", F.array(F.lit(1.0)))
+    ball = {"radius": 0.2, "step": 0.1}
+    for made in (features.feature_vectors(points, fld, value), features.quadrics(points, fld, radius=0.4), features.descended(target, fld, value, steps=1), transforms.with_bases(points, fld, **ball), features.ball_values(points, fld, **ball)):
+        assert made.rdd.getNumPartitions() > 1
+
+
+def test_balls_are_grouped_where_they_are_made(spark):
+    points = spark.range(64).select("id", *(F.lit(2.0).alias(c) for c in "xyz"))
+    for made in (features.pca_moments(points, mocks.sphere(), 0.2, 0.1), features.quantiles_sql(points, mocks.sphere(), [0.5], 0.2, 0.1)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
