@@ -177,7 +177,7 @@ def quadrics(points: DataFrame, fld, radius: float = QUADRIC_RADIUS, border: flo
             yield b.assign(coef=coef.tolist(), centre=centre.tolist())
 
     schema = points.select("*", F.array(F.lit(0.0)).alias("coef"), F.array(F.lit(0.0)).alias("centre")).schema
-    return points.mapInPandas(run, schema)
+    return dealt(points).mapInPandas(run, schema)
 
 
 @dataclass(frozen=True)
@@ -290,7 +290,7 @@ def feature_vectors(
             size = max(1, CHUNK // (1 if d.ball is None else len(d.ball)))
             yield b.assign(features=[r for at in range(0, len(p), size) for r in d.describe(p[at : at + size]).tolist()])
 
-    return points.select("id", "x", "y", "z").mapInPandas(run, "id long, x double, y double, z double, features array<double>")
+    return dealt(points.select("id", "x", "y", "z")).mapInPandas(run, "id long, x double, y double, z double, features array<double>")
 
 
 #: What each kind needs in a configuration file: parameter, its name there, its type. Fixed by the format.
@@ -374,6 +374,6 @@ def descended(
                 far[part] = np.sqrt(((d.describe(p[part]) - wanted[part]) ** 2).sum(1))
             yield pd.DataFrame({"id": b["id"], "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "distance": far, "steps": moved, "ended": np.array(ENDS)[why]})
 
-    out = points.select("id", "x", "y", "z", "target").mapInPandas(run, "id long, x double, y double, z double, distance double, steps int, ended string")
+    out = dealt(points.select("id", "x", "y", "z", "target")).mapInPandas(run, "id long, x double, y double, z double, distance double, steps int, ended string")
     plain = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return out.select("id", *(plain(c) for c in ("x", "y", "z", "distance")), "steps", "ended")
