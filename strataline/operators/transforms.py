@@ -13,7 +13,7 @@ from strataline.functions import dense
 from strataline.functions import exprs as E
 from strataline.operators import scan
 from strataline.operators.features import BALL_RADIUS, BALL_STEP
-from strataline.runtime import ship
+from strataline.runtime import dealt, ship
 
 _CANDIDATE = "id long, match_id long, r array<double>, t array<double>"
 
@@ -61,7 +61,7 @@ def with_bases(points: DataFrame, fld, radius: float = BALL_RADIUS, step: float
             out = b.assign(bases=made)
             yield out[out["bases"].notna()]
 
-    return points.select("id", "x", "y", "z").mapInPandas(run, "id long, x double, y double, z double, bases array<array<double>>")
+    return dealt(points.select("id", "x", "y", "z")).mapInPandas(run, "id long, x double, y double, z double, bases array<array<double>>")
 
 
 def candidates(matches: DataFrame, micro_bases: DataFrame, macro_bases: DataFrame) -> DataFrame:
