@@ -4,8 +4,9 @@ Vectors of both sets go to the nearest of a bounded number of pivots, sampled fr
 packed into blocks in order of their distance from the pivot, so a full cell is many blocks, each a ring. In the first round
 a micro block meets one macro block, that of the nearest ring in its cell; the k-th distances found are its bars. In
 the second it meets the macro blocks that its largest bar cannot exclude: cells first, by the distances of pivots and
-the rings' ends, then blocks, by ring, centre and reach. Block pairs come from an equality join on cells and ship the blocks
-they name; a pair is the unit of work and of recovery. Bounds keep ties, so results are exact.
+the rings' ends, then blocks, by ring, centre and reach. Block pairs come from an equality join on cells and meet in tiles
+(`tiles`), so that a block is shuffled a few times, not once for each block it meets, and a tile gives the k best of a vector, not
+each pair; a tile is the unit of work and of recovery. Bounds keep ties, so results are exact.
 
 Cosine scores are decided the same way, on vectors of length one; a score of 0 (all that point away) bounds nothing.
 
@@ -18,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataline.operators.tiles import groups_of, sized, tiled
 from strataline.runtime import mapped
 from strataline.shared import materialize, temporary
 
-LEAST_BLOCK, MOST_PIVOTS, SLACK = 256, 1024, 1e-9
+LEAST_BLOCK, MOST_PIVOTS, WIDE, SLACK = 256, 1024, 8192, 1e-9
 
 
 def nearest(q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, kind: str = "euclid") -> tuple[np.ndarray, np.ndarray]:
@@ -131,28 +133,77 @@ def _blocks(vectors: DataFrame, pivots: np.ndarray, kind: str, size: int) -> Dat
     return mapped(rows.repartitionByRange("cell", "d", "id").sortWithinPartitions("cell", "d", "id"), pack, _BLOCK, 2048)
 
 
-_FOUND = "a long, micro_id long, macro_id long, score double, n int"
+_FOUND = "a long, micro binary, macro binary, scores binary"
 
 
-def _meet(pairs: DataFrame, dim: int, k: int, kind: str, same_set: bool) -> DataFrame:
-    """The k best of each micro vector in each pair of blocks; of the second round, those that the bar leaves."""
+def _merged(ids: list[np.ndarray], scores: list[np.ndarray], k: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row of several tables [n, any] of ids and scores, in order; scores NaN count as none, and fill up."""
+    i, s = np.concatenate(ids, 1), np.concatenate(scores, 1)
+    key = np.where(np.isnan(s), np.inf, s if kind == "euclid" else -s)
+    at = np.lexsort((i, key), axis=1)[:, :k]
+    i, s = np.take_along_axis(i, at, 1), np.take_along_axis(s, at, 1)
+    short = ((0, 0), (0, k - i.shape[1]))
+    return np.pad(i, short), np.pad(s, short, constant_values=np.nan)
+
+
+def _meet(a: DataFrame, b: DataFrame, pairs: DataFrame, groups: tuple[int, int], dim: int, k: int, kind: str, same_set: bool) -> DataFrame:
+    """For each micro block and tile: its vectors' ids, and ids and scores [vectors, k] of their best in the macro blocks met there."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            held = {n: (np.frombuffer(i, "<i8"), np.frombuffer(m).reshape(-1, dim)) for n, i, m in zip(*(right.column(c).to_pylist() for c in ("b", "ids", "m")))}
+            for block, q_ids, m, near in zip(*(left.column(c).to_pylist() for c in ("a", "ids", "m", "near"))):
+                q, qi = np.frombuffer(m).reshape(-1, dim), np.frombuffer(q_ids, "<i8")
+                ids, scores, some, n = [np.zeros((len(q), 0), np.int64)], [np.zeros((len(q), 0))], [], 0
+                for j, b in enumerate(sorted(near)):
+                    some.append(held[b])
+                    n += len(held[b][0])
+                    if n >= WIDE or j + 1 == len(near):
+                        ci, c = np.concatenate([v[0] for v in some]), np.concatenate([v[1] for v in some])
+                        at, s = nearest(q, c, ci, k + same_set, kind)
+                        found = ci[at]
+                        ids.append(found)
+                        scores.append(np.where(found == qi[:, None], np.nan, s) if same_set else s)
+                        best = _merged(ids, scores, k, kind)
+                        ids, scores, some, n = [best[0]], [best[1]], [], 0
+                rows.append((block, q_ids, ids[0].astype("<i8").tobytes(), scores[0].tobytes()))
+        kinds = pa.int64(), pa.binary(), pa.binary(), pa.binary()
+        return pa.table({c.split()[0]: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(_FOUND.split(", "), kinds))})
+
+    return tiled(a.select(F.col("block").alias("a"), "ids", "m"), b.select(F.col("block").alias("b"), "ids", "m"), pairs, groups, run, _FOUND)
+
+
+def _bars(met: DataFrame, k: int, kind: str) -> DataFrame:
+    """block, bar: within which distance (for cosine, of directions) each of its vectors has k; null if one has not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, a_ids, a_m, b_ids, b_m, bar in zip(*(c.to_pylist() for c in b.columns)):
-                qi, ci = np.frombuffer(a_ids, "<i8"), np.frombuffer(b_ids, "<i8")
-                q, c = np.frombuffer(a_m).reshape(-1, dim), np.frombuffer(b_m).reshape(-1, dim)
-                at, s = nearest(q, c, ci, k + same_set, kind)
-                left, right = np.repeat(qi, at.shape[1]).reshape(at.shape), ci[at]
-                ok = left != right if same_set else np.ones(s.shape, bool)
-                ok &= ok.cumsum(1) <= k
-                n = ok.cumsum(1)
-                if bar is not None and kind == "euclid":
-                    ok &= s <= bar * (1 + SLACK) + SLACK
-                m = int(ok.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, a)), pa.array(left[ok]), pa.array(right[ok]), pa.array(s[ok]), pa.array(n[ok].astype(np.int32))], ["a", "micro_id", "macro_id", "score", "n"])
-
-    return mapped(pairs.select("a", "a_ids", "a_m", "b_ids", "b_m", "bar"), run, _FOUND, 8)
+            bars: list[float | None] = []
+            for v in b.column(1).to_pylist():
+                last = np.frombuffer(v).reshape(-1, k)[:, k - 1]
+                worst = float(last.max() if kind == "euclid" else last.min())  # NaN if one is
+                if kind != "euclid":
+                    worst = float(np.sqrt(max(0.0, 2 - worst / 50)) + 1e-7) if worst > 0 else np.nan
+                bars.append(None if np.isnan(worst) else worst)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bars, pa.float64())], ["block", "bar"])
+
+    return mapped(met.select("a", "scores"), run, "block long, bar double", 16)
+
+
+def _best(found: DataFrame, k: int, kind: str) -> DataFrame:
+    """micro_id, macro_id, score, n: what the tiles found, merged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for micro, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids, scores = _merged(*([np.frombuffer(p[c], t).reshape(-1, k) for p in parts] for c, t in (("macro", "<i8"), ("scores", "<f8"))), k, kind)
+                ok = ~np.isnan(scores)
+                left, n = np.repeat(np.frombuffer(micro, "<i8"), k).reshape(ids.shape), np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), ids.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(v[ok]) for v in (left, ids, scores, n)], ["micro_id", "macro_id", "score", "n"])
+
+    packed = found.groupBy("a").agg(F.first("micro").alias("micro"), F.collect_list(F.struct("macro", "scores")).alias("parts"))
+    return mapped(packed.select("micro", "parts"), run, "micro_id long, macro_id long, score double, n int", 4)
 
 
 def _cells_within(summary: DataFrame, pivots: np.ndarray, rings: dict[int, tuple[float, float]]) -> DataFrame:
@@ -208,26 +259,20 @@ def knn(micro: DataFrame, macro: DataFrame, k: int, kind: str = "euclid", column
         a, b = (materialize(_blocks(v, pivots, kind, size), "knn-blocks") for v in (left, right))
         rings = {r["cell"]: (r["lo"], r["hi"]) for r in b.groupBy("cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}
         slim = lambda d, s: d.select(F.col("block").alias(s), "cell", F.col("lo").alias(f"{s}_lo"), F.col("hi").alias(f"{s}_hi"), F.col("centre").alias(f"{s}_c"), F.col("reach").alias(f"{s}_r"))
-        full = lambda d, s: d.select(F.col("block").alias(s), F.col("ids").alias(f"{s}_ids"), F.col("m").alias(f"{s}_m"))
+        groups = groups_of(sized(a, "m"), sized(b, "m"), spark.sparkContext.defaultParallelism)
         # First round: the macro block of the nearest ring in the cell.
         off = F.abs(F.col("a_lo") + F.col("a_hi") - F.col("b_lo") - F.col("b_hi"))
         first = slim(a, "a").join(slim(b, "b"), "cell").groupBy("a").agg(F.min_by("b", F.struct(off, "b")).alias("b"))
-        first = first.withColumn("bar", F.lit(None).cast("double"))
-        met = materialize(_meet(first.join(full(a, "a"), "a").join(full(b, "b"), "b"), dim, k, kind, same_set), "knn-found")
-        worst = met.filter(F.col("n") == k).groupBy(F.col("a").alias("block")).agg((F.max("score") if kind == "euclid" else F.min("score")).alias("bar"), F.count("*").alias("of"))
-        if kind != "euclid":
-            worst = worst.withColumn("bar", F.when(F.col("bar") > 0, F.sqrt(F.greatest(F.lit(0.0), 2 - F.col("bar") / 50)) + 1e-7))
-        barred = a.select("block", "cell", "n", "lo", "hi").join(worst, "block", "left").withColumn("bar", F.when(F.col("of") == F.col("n"), F.col("bar")))
+        first = materialize(first, "knn-first")
+        met = materialize(_meet(a, b, first, groups, dim, k, kind, same_set), "knn-found")
+        barred = a.select("block", "cell", "n", "lo", "hi").join(_bars(met, k, kind), "block", "left")
         # Second round: the cells, then the blocks, that the bar leaves.
         cells = _cells_within(barred, pivots, rings)
         about = slim(a, "a").drop("cell").join(barred.select(F.col("block").alias("a"), "bar"), "a")
         close = cells.join(about, "a").join(slim(b, "b"), "cell").select("a", "b", "a_c", "b_c", (F.col("a_r") + F.col("b_r")).alias("reach"), "bar")
-        second = mapped(close, _apart(dim), "a long, b long, bar double", 4096).join(first.select("a", "b"), ["a", "b"], "left_anti")
+        second = mapped(close, _apart(dim), "a long, b long, bar double", 4096).select("a", "b").join(first, ["a", "b"], "left_anti")
         if work is not None:
             second = materialize(second, "knn-second")
             work |= {"met": first.count() + second.count(), "all": a.count() * b.count()}
-        more = _meet(second.join(full(a, "a"), "a").join(full(b, "b"), "b"), dim, k, kind, same_set)
-        best = F.col("score") if kind == "euclid" else F.desc("score")
-        n = F.row_number().over(Window.partitionBy("micro_id").orderBy(best, "macro_id"))
-        found = met.drop("n", "a").unionByName(more.drop("n", "a")).withColumn("n", n).filter(F.col("n") <= k)
-        return materialize(found.select("micro_id", "macro_id", "score", "n"), "knn", outlive=True)
+        more = _meet(a, b, second, groups, dim, k, kind, same_set)
+        return materialize(_best(met.unionByName(more), k, kind), "knn", outlive=True)

@@ -55,5 +55,6 @@ def tiled(left: DataFrame, right: DataFrame, pairs: DataFrame | None, groups: tu
     tile = (F.col("h") * g + F.col("g")).alias("tile")
     # Numbers of partitions are given, so that small ones are not joined: few bytes are much work here.
     parts = h * g
-    one, two = (d.select(tile, *(c for c in d.columns if c not in ("h", "g"))).repartition(parts, "tile") for d in (one, two))
+    # Aliases, as both sides may come from one table.
+    one, two = (d.select(tile, *(F.col(c).alias(c) for c in d.columns if c not in ("h", "g"))).repartition(parts, "tile") for d in (one, two))
     return one.groupBy("tile").cogroup(two.groupBy("tile")).applyInArrow(run, schema)
