@@ -252,8 +252,7 @@ def cross_covariance(spark, sf):
 SELECT ref, {", ".join(f"round(var_pop(d) FILTER (bin = {k}), 9) AS b{k}" for k in range(5, 10))} FROM p GROUP BY 1""")
 def shell_variance_pivot(spark, sf):
     e = _t(spark, sf, "embeddings").select("vec_id", "label", F.array(*(F.get("embedding", F.lit(k)).cast("double") for k in range(3))).alias("f"))
-    pairs = e.filter("label < 5").select(F.col("vec_id").alias("ref"), F.col("f").alias("ref_features")).crossJoin(e.filter("label >= 5").select(F.col("label").alias("bin"), F.col("f").alias("features")))
-    out = diagnostics.shell_matrix(diagnostics.feature_distances(pairs), range(5, 10))
+    out = diagnostics.shell_variances(e.filter("label < 5").select(F.col("vec_id").alias("ref"), "f"), e.filter("label >= 5").select(F.col("label").alias("bin"), "f"), range(5, 10), 3)
     return out.select("ref", *(_r(f"b{k}", 9).alias(f"b{k}") for k in range(5, 10)))
 
 

@@ -496,7 +496,7 @@ def test_neighbours_hand_on_one_row_a_block_and_tile(spark):
 
 def test_shell_variances_without_pairs(spark):
     rng = np.random.default_rng(4)
-    rows = [(i, i % 3, rng.normal(size=3).tolist()) for i in range(90)] + [(90, 0, None), (91, 1, [1.0, None, 2.0]), (92, 1, None)]
+    rows = [(i, i % 3, rng.normal(size=3).tolist()) for i in range(90)] + [(90, 0, [None] * 3), (91, 1, [1.0, None, 2.0]), (92, 1, [None] * 3)]
     e = spark.createDataFrame(rows, "id long, bin int, f array<double>")
     refs, others = e.filter("bin = 0").select(F.col("id").alias("ref"), "f"), e.filter("bin > 0").select("bin", "f")
     pairs = refs.withColumnRenamed("f", "ref_features").crossJoin(others.withColumnRenamed("f", "features")).filter("forall(features, v -> v IS NOT NULL)")
