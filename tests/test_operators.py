@@ -556,3 +556,21 @@ def test_bounds_of_cells_and_of_points_hold(spread):
     ms, r = np.array([np.average(f, weights=w[p]) for f, p in zip(far, parts)]), np.array([math.sqrt(f.max()) for f in far])
     low, high = density._cell_bounds(*density._squares(q, centre), n, ms, r, spread, radius)
     assert (low <= want + 1e-9).all() and (want <= high + 1e-9).all() and (low > 0).any()
+
+
+@pytest.mark.parametrize("by", [[], ["s"]])
+def test_ranks_in_a_reference_share_no_bucket_of_all_that_lie_beyond_it(spark, by, monkeypatch):
+    monkeypatch.setattr(ranking, "IN_BUCKET", 50)
+    held = []
+    keyed = ranking._in_bucket
+    monkeypatch.setattr(ranking, "_in_bucket", lambda *a: held.append(keyed(*a)) or held[-1])
+    rng = np.random.default_rng(6)
+    ref, asked = rng.integers(0, 400, 300) / 4.0, np.concatenate([rng.integers(0, 400, 200) / 4.0, 1000 + np.arange(6000.0)])
+    table = lambda v: spark.createDataFrame([("a", float(x)) for x in v] + [("a", None)], "s string, v double")
+    out = ranking.ecdf_of(table(asked), table(ref), by, "v").collect()
+    got = {r.v: r.ecdf for r in out}
+    assert len(out) == len(asked) + 1 and got.pop(None) is None
+    assert got == pytest.approx({x: ((ref < x).sum() + (ref <= x).sum()) / 600 for x in asked})
+    assert max(r["count"] for r in held[0].groupBy(*by, "bucket").count().collect()) <= 150
+    alone = spark.createDataFrame([("b", 1.0)], "s string, v double")
+    assert ranking.ecdf_of(alone, table(ref) if by else table([]), by, "v").first().ecdf is None
